@@ -1,6 +1,529 @@
-"""Queries over the driver's tables and their SQL oracles."""
+"""Queries over the driver's tables, one per operator, each with the same question in DuckDB's SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from seqlake.functions import sequence as sq
+from seqlake.operators import align, cluster, coords, ordinal, sv, tandem
+from seqlake.plans.proxies import table, view, with_views
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+#: DuckDB forms of what several oracles share.
+LIFT = "select t.*, c.seq, t.beg+c.pos sbeg, t.fin+c.pos send, c.pos from px_tan t join px_contig c using (ctg)"
+SCORE = "cast(trunc(1000*(1e0-cast(diffs as double)/(fin-beg))) as integer)"
+OVL = "(least(ae-ab,be-bb))"
+SV = f"""select i.aread a, i.bread b, i.comp, case when i.comp=0 then i.ae else j.ae end a_begin, case when i.comp=0 then j.ab else i.ab end a_end,
+    i.be b_match_begin, j.bb b_match_end, case when i.comp=0 then i.sz else j.sz end lflank, case when i.comp=0 then j.sz else i.sz end rflank
+    from (select *, {OVL} sz from px_ovl) i join (select *, {OVL} sz from px_ovl) j on i.aread=j.aread and i.bread=j.bread and i.comp=j.comp
+    and j.bb between i.be-50 and i.be+50 and i.sz>=1000 and j.sz>=1000
+    where (case when i.comp=0 then j.ab-i.ae else i.ab-j.ae end) > 0 and (case when i.comp=0 then j.ab-i.ae else i.ab-j.ae end) < {{size}}"""
+SMALL = sv.SvOptions(max_size=5000)
+LINK = "levenshtein(x.s,y.s)<=14"
+
+
+def query(name: str, oracle: str | None, *views: str):
+    def add(f):
+        QUERIES[name] = f
+        if oracle:
+            ORACLE_SQL[name] = (with_views(*views) + " " if views else "") + oracle
+        return f
+
+    return add
+
+
+def lifted(spark: SparkSession, d: str) -> DataFrame:
+    t = view(spark, d, "px_tan").withColumn("len", F.col("fin") - F.col("beg"))
+    return coords.lift(t, view(spark, d, "px_contig"), "beg", "fin").withColumn("score", tandem.score(F.col("diffs"), F.col("len")))
+
+
+@query("j02_lift_bed", f"select cast(seq as varchar) as name, sbeg as start, send as \"end\", unit, {SCORE} as score from ({LIFT}) order by 1,2,3", "px_tan", "px_contig")
+def _(spark, d):
+    return lifted(spark, d).select(F.col("seq").cast("string").alias("name"), F.col("beg").alias("start"), F.col("fin").alias("end"), "unit", "score").orderBy("name", "start", "end")
+
+
+@query("k11_bed_lines", f"select concat_ws(chr(9), seq, sbeg, send, unit, {SCORE}) as value from ({LIFT})", "px_tan", "px_contig")
+def _(spark, d):
+    return tandem.to_bed(lifted(spark, d).select(F.col("seq").alias("name"), F.col("beg").alias("start"), F.col("fin").alias("end"), "unit", "score"))
+
+
+@query("a07_tandem_totals", "select count(*) as n, cast(sum(fin-beg) as bigint) as total, round(100e0*sum(fin-beg)/(select sum(len) from px_contig),6) as percent from px_tan", "px_tan", "px_contig")
+def _(spark, d):
+    t = tandem.totals(view(spark, d, "px_tan").select(F.col("beg").alias("start"), F.col("fin").alias("end")))
+    genome = view(spark, d, "px_contig").agg(F.sum("len").alias("g"))
+    return t.crossJoin(genome).select("n", "total", F.round(100.0 * F.col("total") / F.col("g"), 6).alias("percent"))  # two single rows
+
+
+@query("p03_score", f"select {SCORE} as score, count(*) as n from px_tan group by 1", "px_tan")
+def _(spark, d):
+    return view(spark, d, "px_tan").groupBy(tandem.score(F.col("diffs"), F.col("fin") - F.col("beg")).alias("score")).agg(F.count("*").alias("n"))
+
+
+@query("p01_contig_to_scaffold", "select ctg, seq from px_contig", "px_contig")
+def _(spark, d):
+    return view(spark, d, "px_contig").select("ctg", "seq")
+
+
+@query("w01_contig_pos", "select ctg, seq, len, pos from px_contig", "px_contig")
+def _(spark, d):
+    return coords.contig_positions(view(spark, d, "px_contig").drop("pos"), gap=200)
+
+
+@query("w03_gaps", "select * from (select seq, ctg, pos-coalesce(lag(pos+len) over (partition by seq order by pos, ctg),0) gap from px_contig) where gap>0 union all select seq, null, 75 from px_contig group by seq", "px_contig")
+def _(spark, d):
+    c = view(spark, d, "px_contig")
+    return coords.gaps(c, c.groupBy("seq").agg((F.max(F.col("pos") + F.col("len")) + 75).alias("len")))
+
+
+@query("a05_gdb_totals", """select count(distinct seq) as n_seq, count(*) as n_ctg, cast(sum(len) as bigint) as tot_ctg,
+    (select cast(sum(e) as bigint) from (select max(pos+len) e from px_contig group by seq)) as tot_seq,
+    (select count(*) from (select pos-coalesce(lag(pos+len) over (partition by seq order by pos),0) g from px_contig) where g>0) as n_gap from px_contig""", "px_contig")
+def _(spark, d):
+    return coords.gdb_totals(view(spark, d, "px_contig"))
+
+
+@query("a06_seq_len", "select seq, max(pos+len) as len from px_contig group by seq", "px_contig")
+def _(spark, d):
+    return view(spark, d, "px_contig").groupBy("seq").agg(F.max(F.col("pos") + F.col("len")).alias("len"))
+
+
+@query("a09_max_len", "select max(length(dna)) as len from px_seq", "px_seq")
+def _(spark, d):
+    return view(spark, d, "px_seq").agg(F.max(F.length("dna")).cast("long").alias("len"))
+
+
+@query("j01_name_lookup", "select s_suppkey as ctg, n_nationkey as seq from supplier join nation on s_nationkey=n_nationkey where n_name is not null")
+def _(spark, d):
+    names = table(spark, d, "nation").select(F.col("n_nationkey").alias("seq"), "n_name")
+    rows = table(spark, d, "supplier").join(names.withColumnRenamed("seq", "s_nationkey"), "s_nationkey").select(F.col("s_suppkey").alias("ctg"), "n_name")
+    return rows.join(coords.dimension(names), "n_name").select("ctg", "seq")
+
+
+@query("j09_unknown_names", "select count(*) as n from supplier where s_nationkey not in (select n_nationkey from nation where n_nationkey%2=0)")
+def _(spark, d):
+    known = table(spark, d, "nation").where("n_nationkey % 2 = 0")
+    return table(spark, d, "supplier").join(known, F.col("s_nationkey") == F.col("n_nationkey"), "left_anti").agg(F.count("*").alias("n"))
+
+
+BED = "select cast(seq as varchar) as name, sbeg as s, send + ctg*997 as e from (" + LIFT + ")"
+
+
+@query("fl12_bed_violations", f"select count(*) as n from ({BED}) b left join (select cast(seq as varchar) as name, max(pos+len) len from px_contig group by 1) c using (name) where not coalesce(s>=0 and s<=e and e<=len, false)", "px_tan", "px_contig")
+def _(spark, d):
+    bed = lifted(spark, d).select(F.col("seq").cast("string").alias("name"), F.col("beg").alias("start"), (F.col("fin") + F.col("ctg") * 997).alias("end"))
+    size = view(spark, d, "px_contig").groupBy(F.col("seq").cast("string").alias("name")).agg(F.max(F.col("pos") + F.col("len")).alias("len"))
+    return coords.bed_violations(bed, size).agg(F.count("*").alias("n"))
+
+
+@query("fl13_self_alignments", "select count(*) as n from px_ovl where aread=bread", "px_ovl")
+def _(spark, d):
+    return view(spark, d, "px_ovl").where("aread = bread").agg(F.count("*").alias("n"))
+
+
+@query("fl14_name_length", "select count(*) as n from px_seq s left join (select seq_id, length(dna)-(seq_id%3) len from px_seq where seq_id%5<>0) c using (seq_id) where not coalesce(length(dna)=len,false)", "px_seq")
+def _(spark, d):
+    s = view(spark, d, "px_seq").select(F.col("seq_id").alias("name"), F.length("dna").cast("long").alias("len"))
+    return coords.name_and_length_mismatches(s, s.where("name % 5 <> 0").select("name", (F.col("len") - F.col("name") % 3).alias("len"))).agg(F.count("*").alias("n"))
+
+
+MASK = f"select seq, sbeg s, sbeg+(send-sbeg)*300 e from ({LIFT}) where ctg%3=0"
+
+
+def _bed(spark, d):
+    return lifted(spark, d).where("ctg % 3 = 0").select("seq", F.col("beg").alias("start"), (F.col("beg") + (F.col("fin") - F.col("beg")) * 300).alias("end"))
+
+
+@query("j10_mask_project", f"select ctg, greatest(s,pos)-pos as start, least(e,pos+len)-pos as \"end\" from ({MASK}) m join px_contig c on m.seq=c.seq and s<pos+len and e>pos", "px_tan", "px_contig")
+def _(spark, d):
+    return coords.project_masks(_bed(spark, d), view(spark, d, "px_contig"))
+
+
+@query("a08_mask_totals", f"select cast(sum(e-s) as bigint) as total, count(*) as n from ({MASK})", "px_tan", "px_contig")
+def _(spark, d):
+    return _bed(spark, d).agg(F.sum(F.col("end") - F.col("start")).alias("total"), F.count("*").alias("n"))
+
+
+ACGT = "abcdghkmnrstvwy"
+
+
+@query("f01_revcomp", "select seq_id, reverse(translate(dna,'acgt','tgca')) as rc from px_seq", "px_seq")
+def _(spark, d):
+    return view(spark, d, "px_seq").select("seq_id", sq.revcomp(F.col("dna")).alias("rc"))
+
+
+@query("f02_normalise", "select doc_id, regexp_replace(text,'[^ACGTNacgtn]','','g') as dna, translate(lower(regexp_replace(text,'[^ACGTNacgtn]','','g')),'acgtn','01234') as idx from documents")
+def _(spark, d):
+    return table(spark, d, "documents").select("doc_id", sq.dna_text(F.col("text")).alias("dna"), sq.to_index(F.col("text")).alias("idx"))
+
+
+@query("f05_first_mismatch", """select seq_id, coalesce((select min(i) from range(0,64) r(i) where substring(dna,cast(i+1 as integer),1)<>substring(dna,cast(i+2 as integer),1) and i < least(length(dna)-1,64)),0) as pos from px_seq where length(dna)>64""", "px_seq")
+def _(spark, d):
+    s = view(spark, d, "px_seq").where("length(dna) > 64")
+    return s.select("seq_id", sq.first_mismatch(F.substring("dna", 1, 64), F.substring("dna", 2, 64)).cast("long").alias("pos"))
+
+
+@query("f06_qual_pack", "select seq_id, list_transform(range(1,21), lambda k: case when ascii(substring(dna,cast(k as integer),1))>=103 then 1 else 0 end) as bits from px_seq where length(dna)>=20", "px_seq")
+def _(spark, d):
+    q = F.transform(F.sequence(F.lit(1), F.lit(20)), lambda k: F.ascii(F.substr("dna", k, F.lit(1))))
+    return view(spark, d, "px_seq").where("length(dna) >= 20").select("seq_id", sq.quality_bits(q, 103).alias("bits"))
+
+
+@query("f07_substring", "select seq_id, substring(dna, cast(seq_id%50+1 as integer), 25) as part from px_seq", "px_seq")
+def _(spark, d):
+    return view(spark, d, "px_seq").select("seq_id", sq.cut(F.col("dna"), F.col("seq_id") % 50, F.col("seq_id") % 50 + 25).alias("part"))
+
+
+@query("f10_coordinates", "select ctg, seq, pos as start, pos+len as \"end\" from px_contig", "px_contig")
+def _(spark, d):
+    t = view(spark, d, "px_contig").withColumn("c", sq.parse_coordinates(F.format_string("%d:%d-%d", "seq", "pos", F.col("pos") + F.col("len"))))
+    return t.select("ctg", F.col("c.id").cast("long").alias("seq"), "c.start", "c.end")
+
+
+@query("f14_base_index", "select seq_id, translate(dna,'acgt','0123') as idx from px_seq", "px_seq")
+def _(spark, d):
+    return view(spark, d, "px_seq").select("seq_id", sq.to_index(F.col("dna")).alias("idx"))
+
+
+@query("p09_short_name", "select doc_id, regexp_extract(text,'^[^ \\t]*',0) as name from documents")
+def _(spark, d):
+    return table(spark, d, "documents").select("doc_id", sq.short_name(F.col("text")).alias("name"))
+
+
+@query("p12_unit_label", "select p_partkey, coalesce(try_cast(regexp_extract(cast(p_size as varchar)||' bp','^\\s*([+-]?\\d+)',1) as bigint),0) as unit from part")
+def _(spark, d):
+    return table(spark, d, "part").select("p_partkey", sq.leading_integer(F.concat(F.col("p_size").cast("string"), F.lit(" bp"))).alias("unit"))
+
+
+@query("s24_contig_runs", "select seq_id, len(regexp_extract_all(translate(dna,'c','n'),'[ACGTacgt]+')) as n_runs, cast(list_sum(list_transform(regexp_extract_all(translate(dna,'c','n'),'[ACGTacgt]+'), lambda r: length(r))) as bigint) as bases from px_seq where length(dna)>0", "px_seq")
+def _(spark, d):
+    runs = view(spark, d, "px_seq").where("length(dna) > 0").select("seq_id", F.posexplode_outer(F.regexp_extract_all(F.translate("dna", "c", "n"), F.lit("([ACGTacgt]+)"), F.lit(1))).alias("k", "run"))
+    return runs.groupBy("seq_id").agg(F.count("run").alias("n_runs"), F.sum(F.length("run")).alias("bases"))
+
+
+@query("s26_random_sequences", None)
+def _(spark, d):
+    return align.random_sequences(spark, 50, 100)
+
+
+@query("w02_differences", "select user_id, event_id, lead(event_id) over (partition by user_id order by ts, event_id) - event_id as diff from events")
+def _(spark, d):
+    return table(spark, d, "events").select("user_id", "event_id", (F.lead("event_id").over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - F.col("event_id")).alias("diff"))
+
+
+@query("w08_runs", """select seq_id, count(*) as n_runs, max(n) as longest from (select seq_id, g, count(*) n from (
+    select seq_id, i, sum(f) over (partition by seq_id order by i) g from (select seq_id, i, case when c is distinct from lag(c) over (partition by seq_id order by i) then 1 else 0 end f
+    from (select seq_id, i, substring(dna,cast(i as integer),1) c from (select seq_id, dna, unnest(range(1,length(dna)+1)) i from px_seq where length(dna) between 1 and 2000)))) group by 1,2) group by 1""", "px_seq")
+def _(spark, d):
+    r = view(spark, d, "px_seq").where("length(dna) between 1 and 2000").select("seq_id", sq.symbol_runs(F.col("dna")).alias("r"))
+    return r.select("seq_id", F.size("r").cast("long").alias("n_runs"), F.array_max(F.transform("r", F.length)).cast("long").alias("longest"))
+
+
+GREEDY = f"""lift as (select seq, sbeg s, send e, unit, row_number() over (partition by seq order by sbeg, send, unit) rn from ({LIFT})),
+    acc as (select seq, rn, e from lift where rn=1 union all select seq, n.rn, n.e from (select a.seq, min(struct_pack(rn:=l.rn, e:=l.e)) n from acc a join lift l on l.seq=a.seq and l.s>=a.e group by a.seq))"""
+
+
+def _accepted(spark, d):
+    return tandem.greedy(lifted(spark, d).select("seq", F.col("beg").alias("start"), F.col("fin").alias("end"), "unit"))
+
+
+@query("w04_greedy", f", {GREEDY} select l.seq, l.s as start, l.e as \"end\", l.unit from acc join lift l using (seq, rn)", "px_tan", "px_contig")
+def _(spark, d):
+    return _accepted(spark, d)
+
+
+@query("f08_splice_lengths", f""", {GREEDY} select c.seq, c.len - coalesce(r.less,0) as len from (select seq, max(pos+len) len from px_contig group by seq) c
+    left join (select l.seq, cast(sum(l.e-l.s-l.unit) as bigint) less from acc join lift l using (seq, rn) group by l.seq) r using (seq)""", "px_tan", "px_contig")
+def _(spark, d):
+    size = view(spark, d, "px_contig").groupBy("seq").agg(F.max(F.col("pos") + F.col("len")).alias("len"))
+    less = _accepted(spark, d).groupBy("seq").agg(F.sum(F.col("end") - F.col("start") - F.col("unit")).alias("less"))
+    return size.join(less, "seq", "left").select("seq", (F.col("len") - F.coalesce("less", F.lit(0))).alias("len"))
+
+
+ARR = "select event_id%97 seq, (event_id*37)%1200 s, (event_id*37)%1200+10+event_id%40 e, 3+event_id%5 unit from events where event_id%50=0"
+
+
+@query("f08_splice", f""", lift as (select *, row_number() over (partition by seq order by s,e,unit) rn from ({ARR})),
+    acc as (select seq, rn, e from lift where rn=1 union all select seq, n.rn, n.e from (select a.seq, min(struct_pack(rn:=l.rn, e:=l.e)) n from acc a join lift l on l.seq=a.seq and l.s>=a.e group by a.seq)),
+    ok as (select l.*, row_number() over (partition by l.seq order by l.rn) k, lag(l.e,1,0) over (partition by l.seq order by l.rn) pe from acc join lift l using (seq, rn)),
+    parts as (select seq, string_agg(substring(dna,cast(pe+1 as integer),cast(s-pe as integer))||substring(dna,cast(s+1 as integer),cast(unit as integer)),'' order by k) p, max(e) e from ok join px_seq on seq=seq_id where e<=length(dna) or true group by seq)
+    select seq_id as seq, coalesce(p||substring(dna,cast(e+1 as integer)),dna) as dna from px_seq left join parts on seq=seq_id where length(dna)>1300""", "px_seq")
+def _(spark, d):
+    e = table(spark, d, "events").where("event_id % 50 = 0")
+    s = (F.col("event_id") * 37) % 1200
+    arr = e.select((F.col("event_id") % 97).alias("seq"), s.alias("start"), (s + 10 + F.col("event_id") % 40).alias("end"), (3 + F.col("event_id") % 5).alias("unit"))
+    return tandem.splice(view(spark, d, "px_seq").where("length(dna) > 1300").withColumnRenamed("seq_id", "seq"), tandem.greedy(arr))
+
+
+STEP = "select arr, p from (select arr, p, lead(p) over (partition by arr order by p)-p d from px_step) where d=20"
+
+
+@query("a10_exact_copies", f"select arr, count(*) as n from ({STEP}) group by arr", "px_step")
+def _(spark, d):
+    return tandem.exact_copies(view(spark, d, "px_step"), 20).groupBy("arr").agg(F.count("*").alias("n"))
+
+
+@query("a11_best_array", f"select arr, n from (select arr, count(*) n from ({STEP}) group by arr) order by n desc, arr limit 1", "px_step")
+def _(spark, d):
+    return tandem.best_array(tandem.exact_copies(view(spark, d, "px_step"), 20))
+
+
+@query("fl07_units", "select count(*) as n from px_tan where unit>=20", "px_tan")
+def _(spark, d):
+    return view(spark, d, "px_tan").where("unit >= 20").agg(F.count("*").alias("n"))
+
+
+@query("fl08_min_copies", f"select arr, count(*) as n from ({STEP}) group by arr having count(*)>=60", "px_step")
+def _(spark, d):
+    return tandem.exact_copies(view(spark, d, "px_step"), 20).groupBy("arr").agg(F.count("*").alias("n")).where("n >= 60")
+
+
+@query("fl09_locus", f"select ctg, beg, fin from px_tan where ctg=3 and beg>=100 and beg<50000", "px_tan")
+def _(spark, d):
+    return view(spark, d, "px_tan").where("ctg = 3 and beg >= 100 and beg < 50000").select("ctg", "beg", "fin")
+
+
+@query("fl10_unit", "select ctg, beg, fin from px_tan where unit=17", "px_tan")
+def _(spark, d):
+    return view(spark, d, "px_tan").where("unit = 17").select("ctg", "beg", "fin")
+
+
+COPIES = f"copies as (select arr, substring(dna,cast(p+1 as integer),20) copy from ({STEP}) join px_seq on seq_id=arr where p+20<=length(dna))"
+VOTE = f""", {COPIES}, vote as (select arr, k, c base, count(*) n from (select arr, k, substring(copy,cast(k as integer),1) c from (select arr, copy, unnest(range(1,21)) k from copies)) group by all),
+    top as (select arr, k, base, n from vote qualify row_number() over (partition by arr, k order by n desc, base)=1),
+    cns as (select arr, string_agg(base,'' order by k) consensus, cast(sum(n) as bigint) matched from top group by arr)"""
+
+
+def _copies(spark, d):
+    s = tandem.exact_copies(view(spark, d, "px_step"), 20).join(view(spark, d, "px_seq"), F.col("arr") == F.col("seq_id"))
+    return s.where("p + 20 <= length(dna)").select("arr", sq.cut(F.col("dna"), F.col("p"), F.col("p") + 20).alias("copy"))
+
+
+@query("a12_consensus", VOTE + " select arr, consensus, matched from cns", "px_step", "px_seq")
+def _(spark, d):
+    return tandem.consensus(_copies(spark, d), 20).select("arr", "consensus", "matched")
+
+
+@query("a13_identity", VOTE + " select arr, (1000*matched)//(20*n) as score from cns join (select arr, count(*) n from copies group by arr) using (arr)", "px_step", "px_seq")
+def _(spark, d):
+    return tandem.consensus(_copies(spark, d), 20).select("arr", "score")
+
+
+@query("k12_consensus_fasta", VOTE + " select '>cons20#s'||arr||':0-20#'||n||'#'||printf('%.1f', 0.1*((1000*matched)//(20*n))) as header, consensus from cns join (select arr, count(*) n from copies group by arr) using (arr)", "px_step", "px_seq")
+def _(spark, d):
+    c = tandem.consensus(_copies(spark, d), 20)
+    return c.select(tandem.fasta_header(F.lit(20), F.format_string("s%d", "arr"), F.lit(0), F.lit(20), F.col("count"), F.col("score")).alias("header"), "consensus")
+
+
+@query("j03_sv_theta_self_join", SV.format(size=50000), "px_ovl")
+def _(spark, d):
+    return sv.insertions(view(spark, d, "px_ovl"))
+
+
+@query("fl03_min_flank", "select count(*) as n from px_ovl where least(ae-ab,be-bb)>=2000", "px_ovl")
+def _(spark, d):
+    return view(spark, d, "px_ovl").where(F.least(F.col("ae") - F.col("ab"), F.col("be") - F.col("bb")) >= 2000).agg(F.count("*").alias("n"))
+
+
+@query("p04_alignment_size", "select aread, bread, comp, bb, ab, least(ae-ab,be-bb) as size, abs((ae-ab)-(be-bb)) as unequal from px_ovl", "px_ovl")
+def _(spark, d):
+    a, b = F.col("ae") - F.col("ab"), F.col("be") - F.col("bb")
+    return view(spark, d, "px_ovl").select("aread", "bread", "comp", "bb", "ab", F.least(a, b).alias("size"), F.abs(a - b).alias("unequal"))
+
+
+TERM = "substring(txt, cast(least(b_match_begin,b_match_end)%10000+1 as integer), cast(abs(b_match_begin-b_match_end)+60 as integer))"
+
+
+@query("j04_term_seq", f"select a,b,comp,a_begin,a_end,b_match_begin,b_match_end, case when comp=0 then {TERM} else reverse(translate({TERM},'acgt','tgca')) end as term_seq from ({SV.format(size=5000)}) join px_ref on ctg=b", "px_ovl", "px_ref")
+def _(spark, d):
+    return sv.with_terminal(sv.insertions(view(spark, d, "px_ovl"), SMALL).drop("lflank", "rflank"), view(spark, d, "px_ref"), modulo=10000)
+
+
+@query("j05_ins_seq", f"select a,b,comp,a_begin,a_end,b_match_begin,b_match_end, substring(txt,cast(a_begin%10000+1 as integer),cast(a_end-a_begin as integer)) as ins_seq from ({SV.format(size=5000)}) join px_ref on ctg=a", "px_ovl", "px_ref")
+def _(spark, d):
+    return sv.with_insert(sv.insertions(view(spark, d, "px_ovl"), SMALL).drop("lflank", "rflank"), view(spark, d, "px_ref"), modulo=10000)
+
+
+@query("u01_self_union", "select aread,bread,comp,bb,be,ab,ae from px_ovl union all select bread,aread,comp,ab,ae,bb,be from px_ovl", "px_ovl")
+def _(spark, d):
+    return sv.both_roles(view(spark, d, "px_ovl")).select("aread", "bread", "comp", "bb", "be", "ab", "ae")
+
+
+BUCKET = f"select a, a_begin//1000 x, a_end//1000 y, b, comp, b_match_begin, b_match_end from ({SV.format(size=50000)})"
+
+
+@query("a14_dedup", f"select a, x, y, b, comp, b_match_begin, b_match_end from ({BUCKET}) qualify row_number() over (partition by a,x,y order by b,comp,b_match_begin,b_match_end)=1", "px_ovl")
+def _(spark, d):
+    rows = sv.insertions(view(spark, d, "px_ovl")).select("a", F.expr("a_begin div 1000").alias("x"), F.expr("a_end div 1000").alias("y"), "b", "comp", "b_match_begin", "b_match_end")
+    return sv.dedup(rows, "a", "x", "y")
+
+
+@query("p06_flip", "select bread as aread, aread as bread, comp, ab as bb, ae as be, bb as ab, be as ae from px_ovl", "px_ovl")
+def _(spark, d):
+    return sv.flip(view(spark, d, "px_ovl"))
+
+
+@query("p07_extensions", f"select a,b,a_begin,a_end,b_match_begin, least(a_begin,30) as lext, least(2100000-a_end,30) as rext from ({SV.format(size=50000)})", "px_ovl")
+def _(spark, d):
+    return sv.with_extensions(sv.insertions(view(spark, d, "px_ovl")), F.lit(2100000)).select("a", "b", "a_begin", "a_end", "b_match_begin", "lext", "rext")
+
+
+@query("p08_sv_id", f"select a||':'||a_begin||'-'||a_end||'_'||b||':'||b_match_begin||'-'||b_match_end as id from ({SV.format(size=50000)})", "px_ovl")
+def _(spark, d):
+    return sv.with_id(sv.insertions(view(spark, d, "px_ovl"))).select("id")
+
+
+@query("j06_pairs", "select x.seq_id i, y.seq_id j from px_short x join px_short y on x.seq_id<y.seq_id", "px_short")
+def _(spark, d):
+    return align.pairs(view(spark, d, "px_short"), 8).select("i", "j")
+
+
+@query("f20_nw_unit_cost", "select x.seq_id i, y.seq_id j, cast(levenshtein(x.s,y.s) as integer) as score from px_short x join px_short y on x.seq_id<y.seq_id", "px_short")
+def _(spark, d):
+    return align.pairs(view(spark, d, "px_short"), 8).select("i", "j", align.distance_udf(align.Costs(1, 1, 1))("s_i", "s_j").getField("score").alias("score"))
+
+
+@query("f22_strand_min", "select i, j, cast(least(f,r) as integer) as score, case when f<=r then '+' else '-' end as strand from (select x.seq_id i, y.seq_id j, levenshtein(x.s,y.s) f, levenshtein(x.s,reverse(translate(y.s,'acgt','tgca'))) r from px_short x join px_short y on x.seq_id<y.seq_id)", "px_short")
+def _(spark, d):
+    return align.score_pairs(view(spark, d, "px_short"), align.Costs(1, 1, 1)).select("i", "j", "score", "strand")
+
+
+@query("k14_pair_scores", None)
+def _(spark, d):
+    return align.score_pairs(view(spark, d, "px_short"))
+
+
+@query("f20_nw_default", None)
+def _(spark, d):
+    return align.pairs(view(spark, d, "px_short"), 8).select("i", "j", align.distance_udf()("s_i", "s_j").getField("score").alias("score"))
+
+
+@query("f21_nw_loop", None)
+def _(spark, d):
+    return align.score_pairs(view(spark, d, "px_short"), align.Costs(loop=True))
+
+
+@query("a15_threshold", None)
+def _(spark, d):
+    return align.estimate_factor(spark)
+
+
+@query("fl11_similar", f"select x.seq_id i, y.seq_id j from px_short x join px_short y on x.seq_id<y.seq_id where levenshtein(x.s,y.s) <= cast(trunc(0.75e0*greatest(length(x.s),length(y.s))-10) as integer)", "px_short")
+def _(spark, d):
+    p = align.pairs(view(spark, d, "px_short"), 8)
+    return p.where(F.levenshtein("s_i", "s_j") <= align.threshold(0.75, F.length("s_i"), F.length("s_j"))).select("i", "j")
+
+
+REACH = f"""links as (select x.seq_id i, y.seq_id j, levenshtein(x.s,y.s) score from px_short x join px_short y on x.seq_id<y.seq_id),
+    e as (select i x, j y from links where score<=14 union select j, i from links where score<=14),
+    r as (select x, y from e union select r.x, e.y from r join e on r.y=e.x), comp as (select x node, least(x,min(y)) label from r group by x)"""
+
+
+def _labels(spark, d):
+    p = align.pairs(view(spark, d, "px_short"), 8).select("i", "j", F.levenshtein("s_i", "s_j").cast("long").alias("score"))
+    return p, cluster.components(p.where("score <= 14").select("i", "j"))
+
+
+@query("g01_components", f", {REACH} select node, label from comp", "px_short")
+def _(spark, d):
+    return _labels(spark, d)[1]
+
+
+SUMS = "sums as (select a.label, a.node, cast(sum(l.score) as bigint) total from comp a join comp b on a.label=b.label and a.node<>b.node join links l on l.i=least(a.node,b.node) and l.j=greatest(a.node,b.node) group by all)"
+
+
+@query("a16_cluster_sum", f", {REACH}, {SUMS} select label, node, total from sums", "px_short")
+def _(spark, d):
+    return cluster.member_sums(*_labels(spark, d))
+
+
+@query("a17_medoid", f", {REACH}, {SUMS} select label, count(*) as count, 32 as min_len, arg_min(node, total*1000+node) as medoid from sums group by label", "px_short")
+def _(spark, d):
+    sizes = view(spark, d, "px_short").select(F.col("seq_id").alias("node"), F.length("s").alias("len"))
+    return cluster.medoids(cluster.member_sums(*_labels(spark, d)), sizes)
+
+
+@query("k15_cluster_report", f", {REACH} select dense_rank() over (order by label) as cluster, node as member, node=label as is_first from comp", "px_short")
+def _(spark, d):
+    return cluster.cluster_numbers(_labels(spark, d)[1]).select(F.col("cluster").cast("long").alias("cluster"), F.col("node").alias("member"), (F.col("node") == F.col("label")).alias("is_first"))
+
+
+@query("a01_line_stats", "select typ as type, count(*) as count, max(val) as max, cast(sum(val) as bigint) as total from px_lines group by typ", "px_lines")
+def _(spark, d):
+    return ordinal.line_stats(view(spark, d, "px_lines"))
+
+
+OBJ = "obj as (select *, cast(sum(case when typ='A' then 1 else 0 end) over (order by line_no) as bigint) obj from px_lines)"
+
+
+@query("w06_object_ordinal", f", {OBJ} select line_no, obj from obj", "px_lines")
+def _(spark, d):
+    return ordinal.object_ordinal(view(spark, d, "px_lines"), "A").select("line_no", "obj")
+
+
+@query("a02_nested_stats", f", {OBJ} select typ as type, max(n) as max_count, cast(max(t) as bigint) as max_total from (select obj, typ, count(*) n, sum(val) t from obj where obj>0 group by all) group by typ", "px_lines")
+def _(spark, d):
+    return ordinal.nested_stats(view(spark, d, "px_lines"), "A")
+
+
+@query("a03_until_next", f", {OBJ} select obj as grp, count(*) filter (typ='U') as n from obj where obj>0 group by obj", "px_lines")
+def _(spark, d):
+    return ordinal.count_until_next(view(spark, d, "px_lines"), "A", "U")
+
+
+@query("j07_children", f", {OBJ} select obj, max(val) filter (typ='A') as own, arg_max(val, line_no) filter (typ='D') as \"D\", arg_max(val, line_no) filter (typ='U') as \"U\" from obj where obj>0 group by obj", "px_lines")
+def _(spark, d):
+    return ordinal.children(view(spark, d, "px_lines"), "A", ["D", "U"])
+
+
+@query("fl01_ordinal_ranges", f", {OBJ} select line_no, typ, val, obj from obj where obj<10 or (obj>=100 and obj<105)", "px_lines")
+def _(spark, d):
+    return ordinal.ordinal_ranges(ordinal.object_ordinal(view(spark, d, "px_lines"), "A"), [(0, 10), (100, 105)])
+
+
+@query("fl02_contained_lines", "select line_no, typ from px_lines where typ in ('A','D')", "px_lines")
+def _(spark, d):
+    allowed = spark.createDataFrame([("A",), ("D",)], "typ string")
+    return view(spark, d, "px_lines").join(F.broadcast(allowed), "typ", "left_semi").select("line_no", "typ")
+
+
+@query("w07_enclosing", f", {OBJ} select q.x, (select max(obj) from obj where typ='A' and line_no<=q.x) as obj from (select line_no x from px_lines where line_no%1000=0) q", "px_lines")
+def _(spark, d):
+    return ordinal.object_ordinal(view(spark, d, "px_lines"), "A").where("line_no % 1000 = 0").select(F.col("line_no").alias("x"), F.when(F.col("obj") > 0, F.col("obj")).alias("obj"))
+
+
+@query("w05_first_row", f"select seq, s as start from (select seq, sbeg s, row_number() over (partition by seq order by sbeg, send, unit, ctg, diffs) rn from ({LIFT})) where rn=1", "px_tan", "px_contig")
+def _(spark, d):
+    return lifted(spark, d).groupBy("seq").agg(F.min("beg").alias("start"))
+
+
+@query("o05_top1", "select max(fin-beg) as longest from px_tan", "px_tan")
+def _(spark, d):
+    return view(spark, d, "px_tan").agg(F.max(F.col("fin") - F.col("beg")).alias("longest"))
+
+
+@query("o04_count_desc", f"select arr, count(*) as n from ({STEP}) group by arr order by n desc, arr", "px_step")
+def _(spark, d):
+    return tandem.exact_copies(view(spark, d, "px_step"), 20).groupBy("arr").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "arr")
+
+
+@query("u04_set_insert", "select l_suppkey as k, min(l_orderkey) as first from lineitem group by l_suppkey")
+def _(spark, d):
+    return table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("k")).agg(F.min("l_orderkey").alias("first"))
+
+
+@query("a18_byte_histogram", "select c as byte, count(*) as n from (select unnest(string_split(dna,'')) c from px_seq) where c<>'' group by c", "px_seq")
+def _(spark, d):
+    letters = F.transform(F.array(*map(F.lit, "acgt")), lambda c: F.struct(c.alias("byte"), (F.length("dna") - F.length(F.replace("dna", c))).cast("long").alias("n")))
+    return view(spark, d, "px_seq").select(F.inline(letters)).groupBy("byte").agg(F.sum("n").alias("n"))
+
+
+@query("k10_fasta_lines", "select '>'||seq_id||chr(10)||dna as value from px_seq", "px_seq")
+def _(spark, d):
+    from seqlake.sources.seqfiles import fasta_lines
+
+    return fasta_lines(view(spark, d, "px_seq").select(F.col("seq_id").cast("string").alias("id"), F.col("dna").alias("seq")))
