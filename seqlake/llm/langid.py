@@ -18,6 +18,8 @@ from seqlake.llm.common import arrow_map, batch, held_out, without
 WINDOW, HIDDEN = 48, 6
 #: Training documents per language, windows of each, languages at most (the most frequent), passes.
 SAMPLE, SAMPLE_WINDOWS, MOST_LANGUAGES, EPOCHS = 400, 6, 64, 8
+#: Steps at least: small samples get more passes.
+STEPS = 300
 #: Documents that the pipeline rejects: undetermined ones, and those whose best language is below this.
 MIN_SCORE = 0.4
 _BLOCK = 1024
@@ -100,6 +102,7 @@ class BiGru:
         """x: (windows, L), y: (windows)."""
         rng = np.random.default_rng(seed)
         m, v, step = {k: np.zeros_like(w) for k, w in self.p.items()}, {k: np.zeros_like(w) for k, w in self.p.items()}, 0
+        epochs = max(epochs, -(-STEPS * size // max(len(x), size)))
         total = epochs * max(1, -(-len(x) // size))
         for _ in range(epochs):
             order = rng.permutation(len(x))
