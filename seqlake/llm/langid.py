@@ -21,7 +21,7 @@ SAMPLE, SAMPLE_WINDOWS, MOST_LANGUAGES, EPOCHS = 400, 6, 64, 8
 #: Steps at least: small samples get more passes.
 STEPS = 300
 #: Documents that the pipeline rejects: undetermined ones, and those whose best language is below this.
-MIN_SCORE = 0.4
+MIN_SCORE = 0.3
 _BLOCK = 1024
 _LETTER = np.array([b >= 128 or chr(b).isalpha() for b in range(256)])
 
