@@ -158,7 +158,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     out = ("doc_id", "digest", "keep", "n")
     result = (
         groups.where("n = 1").select(F.col("keep").alias("doc_id"), "digest", "keep", "n")
-        .unionByName(checked.where("same").join(F.broadcast(fewer), "digest", "left").withColumn("n", F.col("n") - F.coalesce("less", F.lit(0))).select(*out)
+        .unionByName(checked.where("same").join(fewer, "digest", "left").withColumn("n", F.col("n") - F.coalesce("less", F.lit(0))).select(*out)
                      if unlike.limit(1).count() else checked.where("same").select(*out))
         .unionByName(unlike.drop("keep", "n").join(apart, ["digest", "norm"]).select(*out))
     )
