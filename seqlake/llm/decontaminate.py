@@ -2,15 +2,18 @@
 
 1. One pass finds every occurrence of any n-gram of any test item in the training texts (an Aho-Corasick automaton over
    the items' n-grams) and writes, per document and item, the n-grams met and the stretch of words around them.
-2. The n-grams are counted over all documents. Seeds of an item are the rarer half of its n-grams (and of ties all, so
-   that a passage in many documents loses no seed to its own frequency).
-3. Stretches with a seed are aligned with the item by Smith-Waterman; a document is contaminated by an item if the score
-   is at least MIN_RATIO of the item's score against itself. Edited and paraphrased copies keep most of their score.
+2. The n-grams are counted over all documents. Seeds of a stretch are the rarer half of the n-grams that it holds
+   itself (and of ties all), so every stretch has one, whatever an edited copy kept of the item and however often.
+3. Every stretch is aligned with its item by Smith-Waterman, but those that hold too few of the item's words for the
+   least score (each match is worth MATCH, nothing else adds). A document is contaminated by an item if the score is at
+   least MIN_RATIO of the item's score against itself. Edited and paraphrased copies keep most of their score.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections import Counter
 
 import ahocorasick
 import numpy as np
@@ -24,6 +27,8 @@ NGRAM, MIN_RATIO = 3, 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Words of all test items up to which they are sent to every worker in one block; more items go in blocks of this size.
 BLOCK_WORDS = 2_000_000
+#: Pairs, and words of their texts, that are aligned at once.
+PAIRS, CELLS = 128, 1_000_000
 _WORD = re.compile(r"\w+")
 
 
@@ -49,6 +54,12 @@ def smith_waterman(items: list[list[int]], texts: list[list[int]]) -> np.ndarray
     return best
 
 
+def most_matches(bag: Counter, text: list[str]) -> int:
+    """Words of an item that an alignment with text can match at most, in whatever order: the multisets' intersection."""
+    there = Counter(w for w in text if w in bag)
+    return sum(min(c, there[w]) for w, c in bag.items())
+
+
 class _Grams:
     """N-grams of a block of items, each with the items that have it."""
 
@@ -141,25 +152,28 @@ def _block_matches(spark, texts: DataFrame, block: list, n: int, min_ratio: floa
     met = scratch.table(arrow_map(texts, scan, "doc_id long, item int, grams array<int>, stretch string"), "met")
     counted = met.select("doc_id", F.explode(F.array_distinct("grams")).alias("gram")).distinct().groupBy("gram").agg(F.count("*").alias("df"))
     df = {r.gram: r.df for r in counted.toLocalIterator()}  # the n-grams of one block of items, whatever the corpus
-    own, seeds = _Grams(numbered, n), {}
-    for k, g in enumerate(own.names):
-        for item in own.of[g]:
-            seeds.setdefault(item, []).append((df.get(k, 0), k))
-    for item, x in seeds.items():
-        bound = sorted(c for c, _ in x)[(len(x) - 1) // 2]
-        seeds[item] = {k for c, k in x if c <= bound}
-    chosen = spark.sparkContext.broadcast(seeds)
+    counts = spark.sparkContext.broadcast(df)
     result = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.int32()), ("ratio", pa.float64()), ("n_seeds", pa.int32())])
 
     def align(batches):
         items, ids, _ = shared.value
-        seeds = chosen.value
+        df, bags = counts.value, {}
         for b in batches:
-            rows = [(d, i, len(seeds[i].intersection(g)), s.split()) for d, i, g, s in zip(*(c.to_pylist() for c in b.columns)) if not seeds[i].isdisjoint(g)]
+            rows = []
+            for d, i, g, s in zip(*(c.to_pylist() for c in b.columns)):
+                w, item = s.split(), items[i][1]
+                bag = bags.get(i) or bags.setdefault(i, Counter(item))
+                if most_matches(bag, w) / len(item) >= min_ratio:
+                    met = sorted(df[k] for k in g)
+                    rows.append((d, i, bisect_right(met, met[(len(met) - 1) // 2]), w))
             rows.sort(key=lambda r: (len(items[r[1]][1]), len(r[3])))
-            got = []
-            for k in range(0, len(rows), 128):
-                part, number = rows[k : k + 128], {}
+            got, k = [], 0
+            while k < len(rows):
+                end, wide = k + 1, len(rows[k][3])
+                while end < min(len(rows), k + PAIRS) and (end + 1 - k) * (wide := max(wide, len(rows[end][3]))) <= CELLS:
+                    end += 1
+                part, number = rows[k:end], {}
+                k = end
                 code = lambda ws: [number.setdefault(w, len(number)) for w in ws]  # noqa: B023, E731
                 score = smith_waterman([code(items[i][1]) for _, i, _, _ in part], [code(s) for *_, s in part])
                 for (d, i, c, _), v in zip(part, score.tolist(), strict=True):

@@ -323,6 +323,21 @@ def test_decontaminate(spark, sf, odd, none):
     decontaminate.matches(odd, items).collect()
 
 
+def test_decontaminate_edited_copies(spark):
+    """Copies with every 4th or 5th word changed are found, where nobody has the n-grams that they lost and where many
+    copies make frequent what they keep."""
+    rng = random.Random(19)
+    item = [rng.choice(WORDS) + str(k) for k in range(40)]
+    edit = lambda every, d: " ".join(f"new{d}x{k}" if k % every == every - 1 else w for k, w in enumerate(item))
+    items = spark.createDataFrame([(10, " ".join(item))], "item_id long, text string")
+    for every in (4, 5):
+        docs = [(d, f"{prose(rng, 90)} {edit(every, d)} {prose(rng, 90)}") for d in range(6)] + [(99, prose(rng, 90))]
+        got = {r.doc_id: r for r in decontaminate.matches(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()}
+        assert got.keys() == set(range(6)), every
+        lost = 40 // every  # the last changed word is the item's last, so the alignment leaves it out
+        assert all(r.score == 2 * (40 - lost) - (lost - 1) and r.n_seeds > 0 for r in got.values())
+
+
 def test_smith_waterman():
     rng = random.Random(11)
     for _ in range(50):
