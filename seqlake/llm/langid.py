@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from seqlake.llm.common import arrow_map, batch, held_out, without
 
 WINDOW, HIDDEN = 48, 6
-#: Training documents per language, windows of each, languages at most (the most frequent), passes.
-SAMPLE, SAMPLE_WINDOWS, MOST_LANGUAGES, EPOCHS = 400, 6, 64, 8
+#: Training documents per language, windows of each, passes. Every language of the training fold is learnt.
+SAMPLE, SAMPLE_WINDOWS, EPOCHS = 400, 6, 8
 #: Steps at least: small samples get more passes.
 STEPS = 300
 #: Documents that the pipeline rejects: undetermined ones, and those whose best language is below this.
@@ -165,11 +165,12 @@ class BiGru:
         owner = np.repeat(np.arange(len(raw)), counts)
         x = np.frombuffer(b"".join([r.ljust(c * WINDOW, b"\0") for r, c in zip(raw, counts.tolist())]), np.uint8).reshape(-1, WINDOW)
         total, letters = np.zeros((len(raw), len(self.languages))), np.zeros(len(raw))
-        for k in range(0, len(x), _BLOCK):
-            part = x[k : k + _BLOCK]
+        block = max(1, _BLOCK * 64 // max(64, len(self.languages)))  # bounds positions() however many languages
+        for k in range(0, len(x), block):
+            part = x[k : k + block]
             mask = _LETTER[part]
             sums = (self.positions(part) * mask.T).sum(1)
-            own = owner[k : k + _BLOCK]
+            own = owner[k : k + block]
             for c in range(total.shape[1]):
                 total[:, c] += np.bincount(own, sums[c], len(raw))
             letters += np.bincount(own, mask.sum(1), len(raw))
@@ -187,12 +188,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """Learns from text and non-null lang of rows of the training fold; None where there are none."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = {r["lang"]: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
-    if not counts:
-        return None
-    share = F.lit(0.0)
-    for lang, n in counts.items():  # at most MOST_LANGUAGES branches
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, sample / n))).otherwise(share)
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    shares = counts.select("lang", F.least(F.lit(1.0), F.lit(sample) / F.col("n")).alias("share"))
     out = pa.schema([("lang", pa.string()), ("windows", pa.binary())])
 
     def cut(batches):
@@ -200,11 +197,12 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             rows = [(g, b"".join(_windows(t))) for t, g in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if t]
             yield batch(out, *zip(*rows)) if rows else batch(out, [], [])
 
-    picked = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < share * (1 << 30)).select("text", "lang")
-    got = sorted((r["lang"], bytes(r.windows)) for r in arrow_map(picked, cut, "lang string, windows binary").limit(3 * sample * len(counts)).collect())
+    drawn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < F.col("share") * (1 << 30)
+    picked = rows.join(F.broadcast(shares), "lang").where(drawn).distinct().select("text", "lang")  # a row per language, like the network's output
+    got = sorted((r["lang"], bytes(r.windows)) for r in arrow_map(picked, cut, "lang string, windows binary").toLocalIterator())
     if not got:
         return None
-    names = sorted(counts)
+    names = sorted({g for g, _ in got})
     x = np.frombuffer(b"".join(w for _, w in got), np.uint8).reshape(-1, WINDOW)
     y = np.concatenate([np.full(len(w) // WINDOW, names.index(g)) for g, w in got])
     return BiGru.new(names).train(x, y)

@@ -406,6 +406,18 @@ def test_language(spark, sf, odd, none):
     assert {r.lang_pred for r in langid.predict(odd, None).collect()} == {"und"}
 
 
+def test_language_learns_every_language(spark):
+    """70 languages, the last ones rarest: none is left out, and documents of the rarest are told apart."""
+    letters = [chr(0x4E00 + 64 * k) for k in range(70)]  # each language has a character of its own
+    rows = [(100 * k + d, letters[k] * 30, f"l{k:02}") for k in range(70) for d in range(12 if k < 64 else 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs)
+    assert model.languages == [f"l{k:02}" for k in range(70)]
+    truth = {d: g for d, _, g in rows}
+    rare = [r for r in langid.predict(docs, model).collect() if r.doc_id >= 6400]
+    assert np.mean([r.lang_pred == truth[r.doc_id] for r in rare]) > 0.5
+
+
 def test_toxicity(spark, sf, odd, none):
     rng = random.Random(13)
     bad = ["idiotic", "scoundrel", "nitwit"]
