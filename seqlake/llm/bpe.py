@@ -4,7 +4,8 @@ A sequence of tokens is what the merges give if and only if each two neighbours
 the two tokens' bytes alone gives back the two tokens. So a piece is encoded left to right: take the longest token
 that matches, or the next shorter one that is compatible with the token before it, and step back where none is. Each
 position is given up at most once, and compatibility is memoised by pair. Bytes are mapped to Latin-1 characters, so
-that one Aho-Corasick automaton over all tokens finds every match of a piece in a single scan.
+that one Aho-Corasick automaton over all tokens finds every match of a piece in a single scan. Both the backtracking
+and the test of compatibility are the published ones of GitHub's "So many tokens, so little time" (2024).
 """
 
 from __future__ import annotations
@@ -18,12 +19,12 @@ import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from seqlake.llm.common import arrow_map, batch
+from seqlake.llm.common import arrow_map, batch, column
 
-#: Distinct pre-tokens and pairs that a worker remembers; beyond, it starts afresh (results are the same).
-MEMO = 200_000
+#: Distinct pre-tokens and pairs that a worker remembers; beyond, it starts afresh (results are the same). Pre-tokens of
+#: more than MEMO_CHARS characters are never remembered, so the memo is bounded in bytes too.
+MEMO, MEMO_CHARS = 200_000, 64
 #: White space of the Unicode standard, which is what \s means to the public tokenizers' pattern engines.
 WHITE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -145,10 +146,12 @@ class TextCodec:
     def piece(self, text: str) -> tuple[list[int], str, bytes]:
         found = self.known.get(text)
         if found is None:
-            if len(self.known) > MEMO:
-                self.known.clear()
             ids = self.bpe.encode(text.encode())
-            found = self.known[text] = (ids, ",".join(map(str, ids)), self.bpe.decode(ids))
+            found = (ids, ",".join(map(str, ids)), self.bpe.decode(ids))
+            if len(text) <= MEMO_CHARS:
+                if len(self.known) > MEMO:
+                    self.known.clear()
+                self.known[text] = found
         return found
 
     def pieces(self, text: str) -> list[tuple[list[int], str, bytes]]:
@@ -168,7 +171,7 @@ def encode(docs: DataFrame, ranks: str, pat: str, id_col: str = "doc_id", text_c
             ids = [codec.encode(t or "") for t in b.column(1).to_pylist()]
             yield batch(out, b.column(0), ids, [codec.bpe.decode(x) for x in ids])
 
-    return arrow_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, "doc_id long, ids array<int>, decoded binary")
+    return arrow_map(docs.select(column(id_col).cast("long").alias("doc_id"), column(text_col).cast("string").alias("text")), run, "doc_id long, ids array<int>, decoded binary")
 
 
 def digests(docs: DataFrame, ranks: str, pat: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -188,7 +191,7 @@ def digests(docs: DataFrame, ranks: str, pat: str, id_col: str = "doc_id", text_
                 back.append(hashlib.sha256(b"".join([p[2] for p in pieces])).hexdigest())
             yield batch(out, b.column(0), n, ids, back)
 
-    return arrow_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return arrow_map(docs.select(column(id_col).cast("long").alias("doc_id"), column(text_col).cast("string").alias("text")), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def default_ranks() -> tuple[str, str]:

@@ -45,11 +45,13 @@ def format_turn(role: Column, text: Column) -> Column:
     )
 
 
+#: An escaped role. Possessive, so that the engine neither recurses nor steps back, however long the role is.
+NAME = r"[^<>\[\]\\]*+(?:\\.[^<>\[\]\\]*+)*+"
 #: One formatted turn; the groups hold the bodies of user, system, other and assistant turns (escaped).
 TURN = (
     r"(?s)<s>\[INST\] (?:.*?) \[/INST\]"
     r"|<<SYS>> (?:.*?) <</SYS>>"
-    r"|<<role (?:[^<>\[\]\\]|\\.)*>> (?:.*?) <</role>>"
+    rf"|<<role {NAME}>> (?:.*?) <</role>>"
     r"| (?:.*?) </s>"
 )
 
@@ -57,7 +59,7 @@ TURN = (
 def parse_turn(turn: Column) -> Column:
     """struct(role, text) of one formatted turn."""
     named = lambda start, end, role: F.struct(role.alias("role"), unescape(F.substr(turn, F.lit(start + 1), F.length(turn) - (start + end))).alias("text"))
-    other = F.regexp_extract(turn, r"(?s)^<<role ((?:[^<>\[\]\\]|\\.)*)>> ", 1)
+    other = F.regexp_extract(turn, rf"(?s)^<<role ({NAME})>> ", 1)
     body = F.substr(turn, F.length(other) + F.lit(len("<<role >> ") + 1), F.length(turn) - F.length(other) - (len("<<role >> ") + len(" <</role>>")))
     return (
         F.when(F.startswith(turn, F.lit("<s>[INST] ")), named(len("<s>[INST] "), len(" [/INST]"), F.lit("user")))
@@ -103,7 +105,7 @@ def read_back(examples: DataFrame) -> DataFrame:
 
 
 def digests(conversations: DataFrame) -> DataFrame:
-    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_examples: see read_back()."""
+    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars: see read_back()."""
     back = read_back(expand(conversations))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
     return back.select(

@@ -1,18 +1,28 @@
-"""Helpers shared by the corpus operators: scratch tables, Arrow row mapping, the fixed folds."""
+"""Helpers shared by the corpus operators: row keys, joins that leave long texts where they are, Arrow row mapping, folds."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
+import contextlib
+import io
+import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in an Arrow batch: texts of documents are long, so a batch is kept far below Spark's 10,000 rows.
-BATCH_ROWS = 1024
+from seqlake.operators.scratch import Scratch, shared_root
+
+__all__ = ["KeyFilter", "Scratch", "shared_root", "arrow_map", "batch", "column", "fold", "held_out", "join_rows", "numbered", "spare", "table", "without"]
+
+#: Rows and bytes that a function sees at once. Spark bounds the bytes of what it hands to a worker (64 MB by
+#: default); a worker cuts that into pieces of this size.
+BATCH_ROWS, BATCH_BYTES = 1024, 8 << 20
+#: Keys up to which they are broadcast to the scan of a table (under 100 MB with what belongs to them), and keys up to
+#: which a filter of theirs is (9 bits each, 64 MB).
+BROADCAST_KEYS, SCREEN_KEYS = 400_000, 56_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +30,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def column(name: str) -> Column:
+    """The top-level column of exactly that name, dots included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def spare(docs: DataFrame, name: str) -> str:
+    """name, or with underscores behind it, so that no column of docs has it (case doesn't count)."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def fold(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 4 (null for a null id)."""
     return F.crc32(doc_id.cast("string")) % 4
@@ -30,70 +53,108 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(fold(doc_id) == 2, F.lit(False))
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one on a single machine."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    root = "file://" + tempfile.mkdtemp(prefix="seqlake-checkpoint-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+def _pieces(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    if b.num_rows > BATCH_ROWS or b.num_rows > 1 and b.nbytes > BATCH_BYTES:
+        half = b.num_rows // 2
+        yield from _pieces(b.slice(0, half))
+        yield from _pieces(b.slice(half))
+    else:
+        yield b
 
 
-class Scratch:
-    """Intermediate tables of one operator run in the shared folder.
+def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """mapInArrow() with batches of bounded rows and bytes (one row at least, however long)."""
 
-    A written table cuts lineage: after an executor is lost, later steps read the files and repeat nothing before
-    them. Tables that nothing reads any more are dropped at once, the others when the driver ends.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return fn(p for b in batches for p in _pieces(b))
 
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root, self.n = spark, f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}", 0
-        atexit.register(self.drop_all)
-
-    def _delete(self, path: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-    def table(self, df: DataFrame, name: str) -> DataFrame:
-        self.n += 1
-        path = f"{self.root}/{self.n:03d}-{name}"
-        df.write.option("compression", "zstd").parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._scratch_path = path
-        return out
+    return df.mapInArrow(run, schema)
 
-    def drop(self, *tables: DataFrame) -> None:
-        for t in tables:
-            self._delete(t._scratch_path)
 
-    def drop_all(self) -> None:
-        try:
-            self._delete(self.root)
-        except Exception:  # noqa: BLE001  the JVM may have ended before the driver's Python
-            pass
+def batch(schema: pa.Schema, *columns: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bounds what a Python worker holds at once; a smaller setting of the session stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, str(rows))
+ROW = "struct<file:bigint,at:bigint>"
+ROW_ARROW = pa.struct([("file", pa.int64()), ("at", pa.int64())])
 
 
-def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    small_batches(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+def _is_scan(docs: DataFrame) -> bool:
+    """Whether docs is a scan of Parquet files with columns and filters only, so that its rows are the files' rows."""
+    text = io.StringIO()
+    with contextlib.redirect_stdout(text):
+        docs.explain()
+    nodes = re.findall(r"^[\s:+*()\d-]*([A-Z]\w+(?: parquet)?)", text.getvalue(), re.MULTILINE)
+    return "FileScan parquet" in nodes and set(nodes) <= {"FileScan parquet", "Project", "Filter", "ColumnarToRow"}
 
 
-def batch(schema: pa.Schema, *columns: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+def numbered(docs: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """docs with a key of each row in column name (see spare()): equal rows have different keys, and a row has the same
+    key whenever the result is read again, on whatever executors.
 
+    Rows of a scan of Parquet files are known by file (a 64-bit hash of its path) and place in it, so nothing is
+    written. Other tables are written to scratch first.
+    """
+    if _is_scan(docs) and "_metadata" not in docs.columns:
+        return docs.withColumn(name, F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")))
+    return scratch.table(docs.withColumn(name, F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("at"))), "numbered")
+
+
+class KeyFilter:
+    """Binary-fuse filters of a set of 64-bit keys, small enough to be broadcast: 9 bits a key, no key is missed, one
+    other in 256 passes."""
+
+    def __init__(self, keys: DataFrame, scratch: Scratch):
+        """keys: column key (long), SCREEN_KEYS of them at most."""
+        from seqlake.llm.exact import filters_of
+
+        self.shards = max(1, keys.count() // 250_000)
+        rows = scratch.table(filters_of(keys, self.shards), "screen").toLocalIterator()
+        parts = {r["shard"]: (r["seed"], r["segment"], r["segments"], bytes(r["cells"])) for r in rows}
+        self.shared = keys.sparkSession.sparkContext.broadcast(parts)
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        from seqlake.llm.exact import FuseFilter
+
+        parts = self.shared.value
+        if self.shards == 1:
+            return FuseFilter.load(*parts[0]).has(keys) if parts else np.zeros(len(keys), bool)
+        out, shard = np.zeros(len(keys), bool), keys % self.shards
+        for s in np.unique(shard):
+            if s in parts:
+                at = shard == s
+                out[at] = FuseFilter.load(*parts[s]).has(keys[at])
+        return out
+
+
+def _screen(keys: DataFrame, name: str, scratch: Scratch) -> Callable[[Column], Column]:
+    known = KeyFilter(keys.select(F.xxhash64(name).alias("key")), scratch)
+
+    @F.pandas_udf("boolean")
+    def hit(key: pd.Series) -> pd.Series:
+        return pd.Series(known.has(key.to_numpy(np.int64)))
 
-def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """docs without the rows whose id is in ids (one column named as id_col); rows without an id stay."""
-    return docs.join(ids.select(id_col), id_col, "left_anti").select(*docs.columns)
+    return lambda c: hit(F.xxhash64(c))
+
+
+def join_rows(docs: DataFrame, keyed: DataFrame, name: str, scratch: Scratch, how: str = "inner", broadcast_keys: int = BROADCAST_KEYS, screen_keys: int = SCREEN_KEYS) -> DataFrame:
+    """docs joined with keyed (a written table whose key in column name is unique): "inner", "left_semi" or "left_anti".
+
+    Long rows stay where they are as long as that can be done: up to broadcast_keys keys are sent to the scan of docs;
+    up to screen_keys a filter of theirs is, and only rows that pass it are shuffled to meet the keys; beyond, all are.
+    The result is the same.
+    """
+    n = keyed.count()
+    if n <= broadcast_keys:
+        return docs.join(F.broadcast(keyed), name, how)
+    if n > screen_keys:
+        return docs.join(keyed.hint("merge"), name, how)
+    hit = _screen(keyed, name, scratch)(F.col(name))
+    met = docs.where(hit).join(keyed.hint("merge"), name, how)
+    return met.unionByName(docs.where(~hit)) if how == "left_anti" else met
+
+
+def without(docs: DataFrame, gone: DataFrame, name: str, scratch: Scratch) -> DataFrame:
+    """docs (numbered in column name) without the rows whose keys are in gone, and without the key column."""
+    left = [c for c in docs.columns if c != name]
+    return join_rows(docs, scratch.table(gone.select(name).distinct(), "gone"), name, scratch, "left_anti").select(*map(column, left))

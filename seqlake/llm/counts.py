@@ -1,9 +1,9 @@
 """Token counts without ids: pieces are counted once per distinct pre-token.
 
-1. One pass splits every text into pre-tokens and writes each document's pre-token frequencies in two parts: what is
-   among the HEAD most frequent pre-tokens is summed on the spot, the rest is kept as (pre-token, frequency) pairs.
-   (The head is a table of at most HEAD rows, whatever the corpus; it comes from a first pass of counts.)
-2. The distinct pre-tokens of the rest are encoded once each and joined back to the frequencies.
+1. One pass splits every text into pre-tokens and writes each document's pre-token frequencies.
+2. The distinct pre-tokens are counted over all documents and encoded once each.
+3. The pieces join the frequencies and are summed by document. The HEAD most frequent pre-tokens, a table of bounded
+   size, are joined by broadcast, so that hot keys are never shuffled; the others by shuffle.
 """
 
 from __future__ import annotations
@@ -20,12 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqlake.llm.bpe import pattern
-from seqlake.llm.common import Scratch, arrow_map, batch
+from seqlake.llm.common import Scratch, arrow_map, column
 
-#: Most frequent pre-tokens that are counted before the join and sent to every worker (about 5 MB).
+#: Most frequent pre-tokens whose pieces are joined by broadcast (about 5 MB).
 HEAD = 100_000
-#: Distinct pre-tokens that a worker gathers before it hands their counts on.
-GATHER = 300_000
 LIMIT = 2048
 
 
@@ -45,6 +43,7 @@ class Splitter:
         self.pattern = pattern(split["pattern"]["Regex"])
         special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
+        self.begins = {t[0] for t in special}
         own = spec | {"normalizer": None, "pre_tokenizer": byte_level, "added_tokens": []}
         self.pieces = Tokenizer.from_str(json.dumps(own))
 
@@ -57,7 +56,7 @@ class Splitter:
 
     def split(self, text: str) -> tuple[list[str], int]:
         """Pre-tokens in order, and the number of special tokens, which count one each."""
-        if self.special is None or "<" not in text or not (n := len(self.special.findall(text))):
+        if self.special is None or not any(c in text for c in self.begins) or not (n := len(self.special.findall(text))):
             return self.pattern.findall(self.normal(text)), 0
         return [w for part in self.special.split(text) for w in self.pattern.findall(self.normal(part))], n
 
@@ -71,32 +70,36 @@ def splitter(path: str) -> Splitter:
 
 
 def _counted(words: DataFrame, path: str) -> DataFrame:
-    """(word) -> (word, pieces), each row encoded once."""
-    out = pa.schema([("word", pa.string()), ("pieces", pa.int64())])
+    """(word, n) -> (word, n, pieces), each row encoded once."""
 
     def run(batches):
         s = splitter(path)
         for b in batches:
-            yield batch(out, b.column(0), s.count(b.column(0).to_pylist()))
+            yield b.append_column("pieces", pa.array(s.count(b.column(0).to_pylist()), pa.int64()))
 
-    return words.select("word").mapInArrow(run, "word string, pieces long")
+    return words.select("word", "n").mapInArrow(run, "word string, n long, pieces long")
 
 
-def pretoken_totals(texts: DataFrame, path: str) -> DataFrame:
-    """(word, n) over all texts: gathered by worker, then summed."""
-    out = pa.schema([("word", pa.string()), ("n", pa.int64())])
+def frequencies(texts: DataFrame, path: str) -> DataFrame:
+    """(doc_id, n_bytes, special, words): special tokens and the frequency of each pre-token, of every row."""
+    kind = pa.map_(pa.string(), pa.int32())
 
     def run(batches):
-        s, gathered = splitter(path), Counter()
+        s = splitter(path)
         for b in batches:
+            size, special, ends, words, counts = [], [], [0], [], []
             for t in b.column(1).to_pylist():
-                gathered.update(s.split(t or "")[0])
-                if len(gathered) > GATHER:
-                    yield batch(out, list(gathered), list(gathered.values()))
-                    gathered = Counter()
-        yield batch(out, list(gathered), list(gathered.values()))
+                split, n = s.split(t or "")
+                seen = Counter(split)
+                size.append(len((t or "").encode()))
+                special.append(n)
+                words += seen
+                counts += seen.values()
+                ends.append(len(words))
+            maps = pa.MapArray.from_arrays(pa.array(ends, pa.int32()), pa.array(words, pa.string()), pa.array(counts, pa.int32())).cast(kind)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(special, pa.int64()), maps], names=["doc_id", "n_bytes", "special", "words"])
 
-    return arrow_map(texts, run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return arrow_map(texts, run, "doc_id long, n_bytes long, special long, words map<string,int>")
 
 
 _CELL = "floor(8 * log2(n))"
@@ -121,37 +124,19 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     token). Null and repeated ids stay as rows of their own: rows are matched by a row number, not by id. An empty
     table gives no rows. Other columns are not read. Any head, 0 included, gives the same counts.
     """
-    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "counts")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    totals = scratch.table(pretoken_totals(texts, path), "totals")
+    scratch = Scratch(docs.sparkSession, "counts")
+    texts = docs.select(column(id_col).cast("long").alias("doc_id"), column(text_col).cast("string").alias("text"))
+    rows = scratch.table(frequencies(texts, path).withColumn("row", F.monotonically_increasing_id()), "frequencies")
+    seen = rows.select("row", F.explode("words").alias("word", "n"))
+    totals = scratch.table(seen.groupBy("word").agg(F.sum("n").alias("n")), "totals")
     cell = _head_cell(totals, head)
-    common = {r.word: r.pieces for r in _counted(totals.where(f"{_CELL} >= {cell}"), path).toLocalIterator()}
-    shared = spark.sparkContext.broadcast(common)
-    schema = "doc_id long, n_bytes long, known long, words array<string>, counts array<int>"
-
-    def run(batches):
-        s, common = splitter(path), shared.value
-        for b in batches:
-            size, known, ends, rest, counts = [], [], [0], [], []
-            for t in b.column(1).to_pylist():
-                words, special = s.split(t or "")
-                size.append(len((t or "").encode()))
-                pieces = list(map(common.get, words))
-                known.append(special + sum(filter(None, pieces)))
-                rare = Counter([w for w, p in zip(words, pieces) if p is None])
-                rest += rare
-                counts += rare.values()
-                ends.append(len(rest))
-            ends = pa.array(ends, pa.int32())
-            columns = [b.column(0), pa.array(size, pa.int64()), pa.array(known, pa.int64()), pa.ListArray.from_arrays(ends, pa.array(rest, pa.string())), pa.ListArray.from_arrays(ends, pa.array(counts, pa.int32()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "known", "words", "counts"])
-
-    rows = scratch.table(arrow_map(texts, run, schema).withColumn("row", F.monotonically_increasing_id()), "frequencies")
-    rare = rows.select("row", F.explode(F.arrays_zip("words", "counts")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
-    pieces = scratch.table(_counted(totals.where(f"{_CELL} < {cell}"), path), "pieces")
+    pieces = scratch.table(_counted(totals, path).withColumn("hot", F.expr(f"{_CELL} >= {cell}")), "pieces")
     scratch.drop(totals)
-    summed = rare.join(pieces, "word").groupBy("row").agg(F.sum(F.col("n") * F.col("pieces")).alias("more"))
-    n = (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_tokens")
+    hot, rest = (pieces.where(w).select("word", "pieces") for w in ("hot", "not hot"))
+    joined = seen.join(F.broadcast(hot), "word").select("row", "n", "pieces")  # head rows at most
+    cold = seen.join(F.broadcast(hot.select("word")), "word", "left_anti").join(rest, "word").select("row", "n", "pieces")
+    summed = joined.unionByName(cold).groupBy("row").agg(F.sum(F.col("n") * F.col("pieces")).alias("inside"))
+    n = (F.col("special") + F.coalesce("inside", F.lit(0))).alias("n_tokens")
     return rows.join(summed, "row", "left").select("doc_id", "n_bytes", n).withColumn("over_limit", F.col("n_tokens") > limit)
 
 

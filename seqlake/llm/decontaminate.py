@@ -1,45 +1,78 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
-
-1. One pass finds every occurrence of any n-gram of any test item in the training texts (an Aho-Corasick automaton over
-   the items' n-grams) and writes, per document and item, the n-grams met and the stretch of words around them.
-2. The n-grams are counted over all documents. Seeds of a stretch are the rarer half of the n-grams that it holds
-   itself (and of ties all), so every stretch has one, whatever an edited copy kept of the item and however often.
-3. Every stretch is aligned with its item by Smith-Waterman, but those that hold too few of the item's words for the
-   least score (each match is worth MATCH, nothing else adds). A document is contaminated by an item if the score is at
-   least MIN_RATIO of the item's score against itself. Edited and paraphrased copies keep most of their score.
+"""Benchmark decontamination: rare seeds join passages to test items, Smith-Waterman alignment of words scores them.
+
+A copy may be edited, so seeds are ordered pairs of words at distance one or two, on both sides. An alignment of an item
+of n words that scores at least r of the item's own has m matches and costs of at most 2m - 2rn; two matches in a row
+that are further apart than two words, in the item or the text, cost 2 at least, so rn - 1 or more of them are such
+pairs. Hence:
+
+1. The pairs of all items are counted over all documents (document frequency).
+2. Each item drops its most frequent pairs, two thirds of the rn - 1 that every copy keeps; the others are its seeds.
+   Every copy thus still holds a third of rn - 1 seeds, within (3 - 2r) n words. Nothing that scores enough is lost,
+   however edited.
+3. Seeds met in texts join the items' seeds. Document and item go on where enough seeds lie close enough together, and
+   the stretch of words around them is aligned.
+
+Items, pairs, seeds and stretches are tables; only a filter of the pairs (9 bits each) goes to the scans of documents.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
-from collections import Counter
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqlake.llm.common import Scratch, arrow_map, batch, without
+from seqlake.llm.common import ROW, ROW_ARROW, SCREEN_KEYS, KeyFilter, Scratch, arrow_map, batch, column, join_rows, numbered, spare, without
 
-NGRAM, MIN_RATIO = 3, 0.5
+MIN_RATIO = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
-#: Words of all test items up to which they are sent to every worker in one block; more items go in blocks of this size.
-BLOCK_WORDS = 2_000_000
 #: Pairs, and words of their texts, that are aligned at once.
 PAIRS, CELLS = 128, 1_000_000
 _WORD = re.compile(r"\w+")
+_MEMO, _GATHER = 500_000, 300_000
 
 
 def words(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
+class Hashes(dict):
+    """64-bit hash of each word, remembered while there is room."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > _MEMO:
+            self.clear()
+        self[word] = h = xxhash.xxh64_intdigest(word.encode("utf-8", "replace"))
+        return h
+
+    def of(self, w: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, w), np.uint64, len(w))
+
+
+def pair_keys(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place of the first word, key) of each ordered pair of words at distance one or two."""
+    at, keys = [], []
+    with np.errstate(over="ignore"):
+        for gap in (1, 2):
+            a, b = h[:-gap], h[gap:]
+            at.append(np.arange(len(a)))
+            x = (a * np.uint64(0x9E3779B97F4A7C15)) ^ (b + (a >> np.uint64(29)))
+            keys.append((x ^ (x >> np.uint64(32))) * np.uint64(0xC4CEB9FE1A85EC53))
+    return np.concatenate(at), np.concatenate(keys).view(np.int64)
+
+
+def kept_pairs(n: Column, min_ratio: float) -> Column:
+    """Pairs of its item that every copy of enough score holds at least."""
+    return F.greatest(F.lit(1), F.ceil(n * F.lit(min_ratio)) - 1)
+
+
 def smith_waterman(items: list[list[int]], texts: list[list[int]]) -> np.ndarray:
     """Best local score of each pair, linear gaps; a row of an item's words at a time for all pairs at once."""
     rows, wide, tall = len(items), max(map(len, texts), default=0), max(map(len, items), default=0)
-    a, b = np.full((rows, tall), -1, np.int64), np.full((rows, wide), -2, np.int64)
+    a, b = np.full((rows, tall), -1, np.int32), np.full((rows, wide), -2, np.int32)
     for k, (x, y) in enumerate(zip(items, texts, strict=True)):
         a[k, : len(x)] = x
         b[k, : len(y)] = y
@@ -47,145 +80,192 @@ def smith_waterman(items: list[list[int]], texts: list[list[int]]) -> np.ndarray
     step = -GAP * np.arange(wide + 1, dtype=np.int32)
     for i in range(tall):
         now = np.zeros_like(before)
-        np.maximum(before[:, :-1] + np.where(b == a[:, i : i + 1], MATCH, MISMATCH), before[:, 1:] + GAP, out=now[:, 1:])
+        np.maximum(before[:, :-1] + np.where(b == a[:, i : i + 1], np.int32(MATCH), np.int32(MISMATCH)), before[:, 1:] + GAP, out=now[:, 1:])
         np.maximum(now, 0, out=now)
         before = np.maximum.accumulate(now + step, axis=1) - step  # gaps along the text: a running maximum
         np.maximum(best, before.max(1), out=best)
     return best
 
 
-def most_matches(bag: Counter, text: list[str]) -> int:
-    """Words of an item that an alignment with text can match at most, in whatever order: the multisets' intersection."""
-    there = Counter(w for w in text if w in bag)
-    return sum(min(c, there[w]) for w, c in bag.items())
-
-
-class _Grams:
-    """N-grams of a block of items, each with the items that have it."""
-
-    def __init__(self, items: list[tuple[int, list[str]]], n: int):
-        self.items, self.n = dict(items), n
-        self.of: dict[str, list[int]] = {}
-        for item, w in items:
-            for g in dict.fromkeys(" ".join(w[k : k + n]) for k in range(max(1, len(w) - n + 1))):
-                self.of.setdefault(g, []).append(item)
-        self.names = list(self.of)
-        self.automaton = ahocorasick.Automaton()
-        for k, g in enumerate(self.names):
-            self.automaton.add_word(f" {g} ", k)
-        if self.names:
-            self.automaton.make_automaton()
-
-    def stretches(self, w: list[str]) -> list[tuple[int, list[int], str]]:
-        """(item, n-grams met, words around them) for each group of nearby occurrences."""
-        text = f" {' '.join(w)} "
-        hits: dict[int, list[tuple[int, int]]] = {}
-        starts = None
-        for end, k in self.automaton.iter(text) if self.names else ():
-            for item in self.of[self.names[k]]:
-                hits.setdefault(item, []).append((end - len(self.names[k]) - 1, k))
-        if not hits:
-            return []
-        starts = np.cumsum([1, *(len(x) + 1 for x in w)])  # where each word begins in the text
-        out = []
-        for item, found in hits.items():
-            reach = 2 * len(self.items[item])
-            at = np.searchsorted(starts, [p + 1 for p, _ in found])
-            order, k = np.argsort(at, kind="stable"), 0
-            while k < len(order):
-                j = k
-                while j + 1 < len(order) and at[order[j + 1]] - at[order[j]] <= reach:
-                    j += 1
-                lo, hi = max(0, int(at[order[k]]) - reach), int(at[order[j]]) + reach + self.n
-                out.append((item, sorted({found[x][1] for x in order[k : j + 1]}), " ".join(w[lo:hi])))
-                k = j + 1
-        return out
-
-
-def _blocks(items: DataFrame, item_col: str, text_col: str, most: int) -> list[list[tuple[int, list[str]]]]:
-    """Test items in blocks of bounded size, read one after the other."""
-    blocks, size = [[]], 0
-    for r in items.select(F.col(item_col).cast("long"), F.col(text_col).cast("string")).where(F.col(item_col).isNotNull()).distinct().toLocalIterator():
-        w = words(r[1])
-        if w and size + len(w) > most and blocks[-1]:
-            blocks.append([])
-            size = 0
-        if w:
-            blocks[-1].append((r[0], w))
-            size += len(w)
-    return blocks
-
-
-def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
-            n: int = NGRAM, min_ratio: float = MIN_RATIO, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """(doc_id, item_id, score, ratio, n_seeds): the contaminated pairs, each once, with its best stretch.
+def stretches(at: list[int], n: int, need: int, min_ratio: float = MIN_RATIO) -> list[tuple[int, int]]:
+    """(first word, end) of the stretches that can hold a copy of n words, which itself has at most (3 - 2 min_ratio) n:
+    need seeds that close together, and as much around them as the copy can reach; overlapping ones are one."""
+    out: list[tuple[int, int]] = []
+    reach = int((3 - 2 * min_ratio) * n) + 1
+    for k in range(len(at) - need + 1):
+        lo, hi = at[k], at[k + need - 1]
+        if hi - lo <= reach:
+            first, end = max(0, hi - reach), lo + reach + 2
+            if out and first <= out[-1][1]:
+                out[-1] = (out[-1][0], end)
+            else:
+                out.append((first, end))
+    return out
 
-    Every row and whole text of docs counts. Null and empty texts and items match nothing; items shorter than n words
-    are one n-gram; an item_id that repeats with other texts has the best of them. A null doc_id is not reported, equal
-    rows are reported once. Empty tables give no rows. Other columns are not read. Beyond block_words words of items,
-    they are taken in blocks, one scan of docs each: the result is the same.
-    """
-    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "decontaminate")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    out = None
-    for block in _blocks(items, item_col, item_text, block_words):
-        found = _block_matches(spark, texts, block, n, min_ratio, scratch)
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        return spark.createDataFrame([], "doc_id long, item_id long, score int, ratio double, n_seeds int")
-    best = F.max(F.struct("ratio", "score", "n_seeds")).alias("best")
-    return out.where("doc_id is not null").groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.score", "best.ratio", "best.n_seeds")
+
+def _items(items: DataFrame, item_col: str, text_col: str, scratch: Scratch) -> DataFrame:
+    """(item, item_id, words): distinct items that have an id and a word, numbered."""
+    out = pa.schema([("item_id", pa.int64()), ("words", pa.list_(pa.string()))])
+
+    def cut(batches):
+        for b in batches:
+            rows = [(i, w) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if (w := words(t))]
+            yield batch(out, *zip(*rows)) if rows else batch(out, [], [])
+
+    rows = items.select(column(item_col).cast("long").alias("item_id"), column(text_col).cast("string").alias("text")).where("item_id is not null")
+    return scratch.table(arrow_map(rows, cut, "item_id long, words array<string>").distinct().withColumn("item", F.monotonically_increasing_id()), "items")
+
+
+def _item_pairs(items: DataFrame, scratch: Scratch) -> DataFrame:
+    """(item, n, key): one row for each place of a pair in an item."""
+    out = pa.schema([("item", pa.int64()), ("n", pa.int32()), ("key", pa.int64())])
+
+    def run(batches):
+        h = Hashes()
+        for b in batches:
+            for i, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                keys = pair_keys(h.of(w))[1]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), i)), pa.array(np.full(len(keys), len(w), np.int32)), pa.array(keys)], schema=out)
+
+    return scratch.table(arrow_map(items.select("item", "words"), run, "item long, n int, key long"), "item-pairs")
 
 
-def _block_matches(spark, texts: DataFrame, block: list, n: int, min_ratio: float, scratch: Scratch) -> DataFrame:
-    numbered = [(k, w) for k, (_, w) in enumerate(block)]  # an item_id may repeat
-    shared = spark.sparkContext.broadcast((numbered, [i for i, _ in block], n))
+def _filter(keys: DataFrame, scratch: Scratch) -> KeyFilter | None:
+    """None where there are too many keys for a filter: then every pair of every text meets the join."""
+    keys = scratch.table(keys.select("key").distinct(), "keys")
+    return KeyFilter(keys, scratch) if keys.count() <= SCREEN_KEYS else None
 
-    kind = pa.schema([("doc_id", pa.int64()), ("item", pa.int32()), ("grams", pa.list_(pa.int32())), ("stretch", pa.string())])
 
-    def scan(batches):
-        g = _Grams(*shared.value[::2])
+def document_frequency(texts: DataFrame, known: KeyFilter | None) -> DataFrame:
+    """(key, df): documents that hold each pair that the filter passes; summed by task, then by key."""
+    out = pa.schema([("key", pa.int64()), ("n", pa.int64())])
+
+    def gathered(parts: list[np.ndarray]) -> pa.RecordBatch:
+        keys, n = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.int64),) * 2
+        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.astype(np.int64))], schema=out)
+
+    def run(batches):
+        h, parts, size = Hashes(), [], 0
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                if w := words(t):
+                    keys = pair_keys(h.of(w))[1]
+                    parts.append(np.unique(keys if known is None else keys[known.has(keys)]))
+                    size += len(parts[-1])
+            if size > 10 * _GATHER:
+                yield gathered(parts)
+                parts, size = [], 0
+        yield gathered(parts)
+
+    return arrow_map(texts.select("text"), run, "key long, n long").groupBy("key").agg(F.sum("n").alias("df"))
+
+
+def seed_table(pairs: DataFrame, df: DataFrame, min_ratio: float) -> DataFrame:
+    """(item, n, need, key): the item's rarer pairs, and how many of them every copy of enough score holds."""
+    kept = kept_pairs(F.col("n"), min_ratio)
+    need = F.ceil(kept / 3)
+    counted = pairs.join(df, "key", "left").withColumns({"df": F.coalesce("df", F.lit(0)), "need": need.cast("int")})
+    rank = F.row_number().over(Window.partitionBy("item").orderBy(F.desc("df"), "key"))
+    return counted.withColumn("rank", rank).where(F.col("rank") > kept - F.col("need")).select("item", "n", "need", "key").distinct()
+
+
+def _met(texts: DataFrame, known: KeyFilter | None) -> DataFrame:
+    """(row, at, key): places of pairs in texts that the filter of the seeds passes."""
+    out = pa.schema([("row", ROW_ARROW), ("at", pa.int32()), ("key", pa.int64())])
+
+    def run(batches):
+        h = Hashes()
         for b in batches:
-            rows = [(d, *s) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if t for s in g.stretches(words(t))]
+            rows, at, keys = [], [], []
+            for k, t in enumerate(b.column(1).to_pylist()):
+                if w := words(t):
+                    p, x = pair_keys(h.of(w))
+                    if known is not None:
+                        ok = known.has(x)
+                        p, x = p[ok], x[ok]
+                    rows.append(np.full(len(p), k))
+                    at.append(p.astype(np.int32))
+                    keys.append(x)
+            if rows:
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(at)), pa.array(np.concatenate(keys))], schema=out)
+
+    return arrow_map(texts.select("row", "text"), run, f"row {ROW}, at int, key long")
+
+
+def _matches(texts: DataFrame, items: DataFrame, item_col: str, item_text: str, min_ratio: float, scratch: Scratch) -> DataFrame:
+    """(row, item_id, score, ratio, n_seeds) of texts (row, text)."""
+    tests = _items(items, item_col, item_text, scratch)
+    pairs = _item_pairs(tests, scratch)
+    df = document_frequency(texts, _filter(pairs, scratch))
+    seeds = scratch.table(seed_table(pairs, df, min_ratio), "seeds")
+    met = _met(texts, _filter(seeds, scratch)).join(seeds, "key")
+    near = met.groupBy("row", "item").agg(F.sort_array(F.collect_list("at")).alias("at"), F.max("n").alias("n"), F.max("need").alias("need"))
+    near = near.where(F.size("at") >= F.col("need"))
+    kind = pa.schema([("row", ROW_ARROW), ("item", pa.int64()), ("n_seeds", pa.int32()), ("first", pa.int32()), ("end", pa.int32())])
+
+    def place(batches):
+        for b in batches:
+            rows = [(r, i, len(at), a, e) for r, i, at, n, need in zip(*(c.to_pylist() for c in b.columns)) for a, e in stretches(at, n, need, min_ratio)]
             yield batch(kind, *zip(*rows)) if rows else batch(kind, *[[] for _ in kind])
 
-    met = scratch.table(arrow_map(texts, scan, "doc_id long, item int, grams array<int>, stretch string"), "met")
-    counted = met.select("doc_id", F.explode(F.array_distinct("grams")).alias("gram")).distinct().groupBy("gram").agg(F.count("*").alias("df"))
-    df = {r.gram: r.df for r in counted.toLocalIterator()}  # the n-grams of one block of items, whatever the corpus
-    counts = spark.sparkContext.broadcast(df)
-    result = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.int32()), ("ratio", pa.float64()), ("n_seeds", pa.int32())])
+    found = scratch.table(arrow_map(near.select("row", "item", "at", "n", "need"), place, f"row {ROW}, item long, n_seeds int, first int, end int"), "places")
+    by_row = scratch.table(found.groupBy("row").agg(F.collect_list(F.struct("item", "n_seeds", "first", "end")).alias("places")), "by-row")
+    mine = join_rows(texts, by_row.select("row"), "row", scratch, "left_semi").join(by_row, "row")  # other texts aren't moved
+    cut_kind = pa.schema([("row", ROW_ARROW), ("item", pa.int64()), ("n_seeds", pa.int32()), ("stretch", pa.list_(pa.string()))])
+
+    def cut(batches):
+        for b in batches:
+            for r, t, places in zip(*(c.to_pylist() for c in b.columns)):
+                w = words(t)
+                yield batch(cut_kind, *zip(*[(r, p["item"], p["n_seeds"], w[p["first"] : p["end"]]) for p in places]))
+
+    passages = arrow_map(mine.select("row", "text", "places"), cut, f"row {ROW}, item long, n_seeds int, stretch array<string>")
+    result = pa.schema([("row", ROW_ARROW), ("item_id", pa.int64()), ("score", pa.int32()), ("ratio", pa.float64()), ("n_seeds", pa.int32())])
 
     def align(batches):
-        items, ids, _ = shared.value
-        df, bags = counts.value, {}
         for b in batches:
-            rows = []
-            for d, i, g, s in zip(*(c.to_pylist() for c in b.columns)):
-                w, item = s.split(), items[i][1]
-                bag = bags.get(i) or bags.setdefault(i, Counter(item))
-                if most_matches(bag, w) / len(item) >= min_ratio:
-                    met = sorted(df[k] for k in g)
-                    rows.append((d, i, bisect_right(met, met[(len(met) - 1) // 2]), w))
-            rows.sort(key=lambda r: (len(items[r[1]][1]), len(r[3])))
+            rows = [x for x in zip(*(c.to_pylist() for c in b.columns))]
+            rows.sort(key=lambda r: (len(r[3]), len(r[4])))
             got, k = [], 0
             while k < len(rows):
-                end, wide = k + 1, len(rows[k][3])
-                while end < min(len(rows), k + PAIRS) and (end + 1 - k) * (wide := max(wide, len(rows[end][3]))) <= CELLS:
+                end, wide = k + 1, len(rows[k][4])
+                while end < min(len(rows), k + PAIRS) and (end + 1 - k) * (wide := max(wide, len(rows[end][4]))) <= CELLS:
                     end += 1
                 part, number = rows[k:end], {}
                 k = end
                 code = lambda ws: [number.setdefault(w, len(number)) for w in ws]  # noqa: B023, E731
-                score = smith_waterman([code(items[i][1]) for _, i, _, _ in part], [code(s) for *_, s in part])
-                for (d, i, c, _), v in zip(part, score.tolist(), strict=True):
-                    ratio = v / (MATCH * len(items[i][1]))
+                score = smith_waterman([code(r[3]) for r in part], [code(r[4]) for r in part])
+                for (row, i, c, item, _), v in zip(part, score.tolist(), strict=True):
+                    ratio = v / (MATCH * len(item))
                     if ratio >= min_ratio:
-                        got.append((d, ids[i], v, ratio, c))
+                        got.append((row, i, v, ratio, c))
             yield batch(result, *zip(*got)) if got else batch(result, *[[] for _ in result])
 
-    return scratch.table(arrow_map(met, align, "doc_id long, item_id long, score int, ratio double, n_seeds int"), "aligned")
+    joined = passages.join(tests, "item").select("row", "item_id", "n_seeds", "words", "stretch")
+    return scratch.table(arrow_map(joined, align, f"row {ROW}, item_id long, score int, ratio double, n_seeds int"), "aligned")
+
+
+def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", min_ratio: float = MIN_RATIO) -> DataFrame:
+    """(doc_id, item_id, score, ratio, n_seeds): the contaminated pairs, each once, with its best stretch.
+
+    Every row and whole text of docs counts. Null and empty texts and items match nothing; an item_id that repeats with
+    other texts has the best of them; an item of one word matches nothing, of one of two words the text has to hold both,
+    next to each other or one apart. A null doc_id is not reported, equal rows are reported once. Empty tables give no rows. Other columns
+    are not read.
+    """
+    scratch, row = Scratch(docs.sparkSession, "decontaminate"), spare(docs, "row")
+    rows = numbered(docs, scratch, row).select(F.col(row).alias("row"), column(id_col).cast("long").alias("doc_id"), column(text_col).cast("string").alias("text"))
+    found = _matches(rows.select("row", "text"), items, item_col, item_text, min_ratio, scratch)
+    best = F.max(F.struct("ratio", "score", "n_seeds")).alias("best")
+    hits = scratch.table(found.groupBy("row", "item_id").agg(best), "hits")
+    ids = join_rows(rows.select("row", "doc_id"), scratch.table(hits.select("row").distinct(), "hit-rows"), "row", scratch, "left_semi")
+    per = hits.join(ids.where("doc_id is not null"), "row").groupBy("doc_id", "item_id").agg(F.max("best").alias("best"))
+    return per.select("doc_id", "item_id", "best.score", "best.ratio", "best.n_seeds")
 
 
-def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that a test item contaminates."""
-    gone = matches(docs, items, id_col, text_col).select(F.col("doc_id").alias(id_col)).distinct()
-    return without(docs, gone, id_col)
+def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_ratio: float = MIN_RATIO) -> DataFrame:
+    """docs without the rows that a test item contaminates; rows go by their own text, whatever their id."""
+    scratch, row = Scratch(docs.sparkSession, "clean"), spare(docs, "row")
+    rows = numbered(docs, scratch, row)
+    found = _matches(rows.select(F.col(row).alias("row"), column(text_col).cast("string").alias("text")), items, "item_id", "text", min_ratio, scratch)
+    return without(rows, found.select(F.col("row").alias(row)), row, scratch)

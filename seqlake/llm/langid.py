@@ -13,17 +13,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqlake.llm.common import arrow_map, batch, held_out, without
+from seqlake.llm.common import arrow_map, batch, column, held_out
 
 WINDOW, HIDDEN = 48, 6
 #: Training documents per language, windows of each, passes. Every language of the training fold is learnt.
 SAMPLE, SAMPLE_WINDOWS, EPOCHS = 400, 6, 8
 #: Steps at least: small samples get more passes.
 STEPS = 300
-#: Documents that the pipeline rejects: undetermined ones, and those whose best language is below this.
-MIN_SCORE = 0.3
+#: The pipeline rejects undetermined documents, and those with scores at which fewer than this share are right.
+PRECISION = 0.5
 _BLOCK = 1024
-_LETTER = np.array([b >= 128 or chr(b).isalpha() for b in range(256)])
+_ASCII_LETTER = np.array([b < 128 and chr(b).isalpha() for b in range(256)])
+#: Letters among the characters up to U+FFFF; the rarer planes hold letters almost only, and signs that are taken out below.
+_LETTER = np.array([not 0xD800 <= c < 0xE000 and chr(c).isalpha() for c in range(0x10000)])
+
+
+def letter_bytes(text: str, raw: bytes) -> np.ndarray:
+    """Which bytes of a text in UTF-8 belong to letters: dashes, quotes, digits and pictographs don't."""
+    if len(raw) == len(text):
+        return _ASCII_LETTER[np.frombuffer(raw, np.uint8)]
+    code = np.frombuffer(text.encode("utf-32-le", "replace"), "<u4")
+    letter = _LETTER[np.minimum(code, 0xFFFF)]
+    for k in np.nonzero(code > 0xFFFF)[0]:
+        letter[k] = chr(code[k]).isalpha()
+    return np.repeat(letter, 1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF))
 
 
 class BiGru:
@@ -59,10 +72,9 @@ class BiGru:
             out[t] = h
         return out, kept
 
-    def loss(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean cross entropy over letters, and its gradients. x: (L, B) bytes, y: (B) classes."""
+    def loss(self, x: np.ndarray, y: np.ndarray, mask: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+        """Mean cross entropy over letters, and its gradients. x: (L, B) bytes, y: (B) classes, mask: (L, B) letters."""
         p, hid = self.p, len(self.p["bf"])
-        mask = _LETTER[x]
         hf, kf = self._forward(x, "f")
         hb, kb = self._forward(x, "b")
         h = np.concatenate([hf, hb], 2)
@@ -98,8 +110,8 @@ class BiGru:
             grad[f"u{d}"], grad[f"b{d}"] = du, db
         return value, grad
 
-    def train(self, x: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, size: int = 256, rate: float = 0.01, seed: int = 11) -> BiGru:
-        """x: (windows, L), y: (windows)."""
+    def train(self, x: np.ndarray, y: np.ndarray, mask: np.ndarray, epochs: int = EPOCHS, size: int = 256, rate: float = 0.01, seed: int = 11) -> BiGru:
+        """x and mask: (windows, L), y: (windows)."""
         rng = np.random.default_rng(seed)
         m, v, step = {k: np.zeros_like(w) for k, w in self.p.items()}, {k: np.zeros_like(w) for k, w in self.p.items()}, 0
         epochs = max(epochs, -(-STEPS * size // max(len(x), size)))
@@ -108,7 +120,7 @@ class BiGru:
             order = rng.permutation(len(x))
             for k in range(0, len(x), size):
                 part = order[k : k + size]
-                _, grad = self.loss(x[part].T, y[part])
+                _, grad = self.loss(x[part].T, y[part], mask[part].T)
                 norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
                 step += 1
                 lr = rate * (1 - (step - 1) / total)
@@ -158,54 +170,79 @@ class BiGru:
         logits /= logits.sum(0)
         return logits.reshape(len(logits), *x.shape)
 
-    def documents(self, texts: list[str | None]) -> np.ndarray:
-        """(documents, K): mean over the letters of each whole text; zeros where there is none."""
-        raw = [(t or "").encode() for t in texts]
-        counts = np.array([-(-len(r) // WINDOW) for r in raw], np.int64)
-        owner = np.repeat(np.arange(len(raw)), counts)
-        x = np.frombuffer(b"".join([r.ljust(c * WINDOW, b"\0") for r, c in zip(raw, counts.tolist())]), np.uint8).reshape(-1, WINDOW)
-        total, letters = np.zeros((len(raw), len(self.languages))), np.zeros(len(raw))
+    def documents(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(documents, K): mean over the letters of each whole text, zeros where there is none; and their letters'
+        bytes."""
+        said = [(t or "").encode("utf-8", "replace") for t in texts]
+        counts = np.array([-(-len(r) // WINDOW) for r in said], np.int64)
+        owner = np.repeat(np.arange(len(said)), counts)
+        x = np.frombuffer(b"".join([r.ljust(c * WINDOW, b"\0") for r, c in zip(said, counts.tolist())]), np.uint8).reshape(-1, WINDOW)
+        letter, at = np.zeros(x.size, bool), 0
+        for t, r, c in zip(texts, said, counts.tolist()):
+            if r:
+                letter[at : at + len(r)] = letter_bytes(t, r)
+            at += c * WINDOW
+        letter = letter.reshape(-1, WINDOW)
+        total, letters = np.zeros((len(said), len(self.languages))), np.zeros(len(said))
         block = max(1, _BLOCK * 64 // max(64, len(self.languages)))  # bounds positions() however many languages
         for k in range(0, len(x), block):
-            part = x[k : k + block]
-            mask = _LETTER[part]
-            sums = (self.positions(part) * mask.T).sum(1)
+            mask = letter[k : k + block]
+            sums = (self.positions(x[k : k + block]) * mask.T).sum(1)
             own = owner[k : k + block]
             for c in range(total.shape[1]):
-                total[:, c] += np.bincount(own, sums[c], len(raw))
-            letters += np.bincount(own, mask.sum(1), len(raw))
-        return total / np.maximum(letters, 1)[:, None]
+                total[:, c] += np.bincount(own, sums[c], len(said))
+            letters += np.bincount(own, mask.sum(1), len(said))
+        return total / np.maximum(letters, 1)[:, None], letters
 
 
-def _windows(text: str, most: int = SAMPLE_WINDOWS) -> list[bytes]:
-    """Windows at evenly spaced places of the whole text."""
-    raw = text.encode()
+def _windows(text: str, most: int = SAMPLE_WINDOWS) -> tuple[list[bytes], list[bytes]]:
+    """Windows at evenly spaced places of the whole text, and which of their bytes belong to letters."""
+    raw = text.encode("utf-8", "replace")
+    mask = letter_bytes(text, raw).tobytes()
     n = -(-len(raw) // WINDOW)
-    return [raw[k * WINDOW : (k + 1) * WINDOW].ljust(WINDOW, b"\0") for k in sorted({i * n // min(n, most) for i in range(min(n, most))})]
+    cut = lambda b: [b[k * WINDOW : (k + 1) * WINDOW].ljust(WINDOW, b"\0") for k in sorted({i * n // min(n, most) for i in range(min(n, most))})]
+    return cut(raw), cut(mask)
+
+
+def _labelled(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int) -> DataFrame:
+    """(lang, text, part): labelled rows of the training fold, about sample a language in part 0 (to learn from) and as
+    many others in part 1 (to set a threshold on), drawn by a hash of the row."""
+    rows = docs.select(column(id_col).alias("doc_id"), column(text_col).cast("string").alias("text"), column(lang_col).cast("string").alias("lang"))
+    rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
+    shares = rows.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(sample) / F.count("*")).alias("share"))
+    drawn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    part = F.when(drawn < F.col("share"), 0).when(drawn < 2 * F.col("share"), 1)
+    return rows.join(F.broadcast(shares), "lang").select("lang", "text", part.alias("part")).where("part is not null").distinct()  # a share per language, like the network's output
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> BiGru | None:
     """Learns from text and non-null lang of rows of the training fold; None where there are none."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    shares = counts.select("lang", F.least(F.lit(1.0), F.lit(sample) / F.col("n")).alias("share"))
-    out = pa.schema([("lang", pa.string()), ("windows", pa.binary())])
+    out = pa.schema([("lang", pa.string()), ("windows", pa.binary()), ("letters", pa.binary())])
 
     def cut(batches):
         for b in batches:
-            rows = [(g, b"".join(_windows(t))) for t, g in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if t]
-            yield batch(out, *zip(*rows)) if rows else batch(out, [], [])
+            rows = [(g, *map(b"".join, _windows(t))) for g, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if t]
+            yield batch(out, *zip(*rows)) if rows else batch(out, [], [], [])
 
-    drawn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < F.col("share") * (1 << 30)
-    picked = rows.join(F.broadcast(shares), "lang").where(drawn).distinct().select("text", "lang")  # a row per language, like the network's output
-    got = sorted((r["lang"], bytes(r.windows)) for r in arrow_map(picked, cut, "lang string, windows binary").toLocalIterator())
+    picked = _labelled(docs, id_col, text_col, lang_col, sample).where("part = 0").select("lang", "text")
+    got = sorted((r["lang"], bytes(r.windows), bytes(r.letters)) for r in arrow_map(picked, cut, "lang string, windows binary, letters binary").toLocalIterator())
     if not got:
         return None
-    names = sorted({g for g, _ in got})
-    x = np.frombuffer(b"".join(w for _, w in got), np.uint8).reshape(-1, WINDOW)
-    y = np.concatenate([np.full(len(w) // WINDOW, names.index(g)) for g, w in got])
-    return BiGru.new(names).train(x, y)
+    names = sorted({g for g, *_ in got})
+    x = np.frombuffer(b"".join(w for _, w, _ in got), np.uint8).reshape(-1, WINDOW)
+    mask = np.frombuffer(b"".join(m for *_, m in got), np.uint8).reshape(-1, WINDOW) > 0
+    y = np.concatenate([np.full(len(w) // WINDOW, names.index(g)) for g, w, _ in got])
+    return BiGru.new(names).train(x, y, mask)
+
+
+def _best(net: BiGru | None, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    if net is None:
+        return ["und"] * len(texts), [0.0] * len(texts)
+    prob, letters = net.documents(texts)
+    best = prob.argmax(1)
+    some = (letters > 0).tolist()
+    names = [net.languages[k] if ok else "und" for k, ok in zip(best.tolist(), some)]
+    return names, [min(1.0, float(prob[i, k])) if some[i] else 0.0 for i, k in enumerate(best.tolist())]
 
 
 def predict(docs: DataFrame, model: BiGru | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -220,17 +257,9 @@ def predict(docs: DataFrame, model: BiGru | None, id_col: str = "doc_id", text_c
     def run(batches):
         net = BiGru(*shared.value) if shared.value else None
         for b in batches:
-            texts = b.column(1).to_pylist()
-            some = [bool(t) and any(map(str.isalpha, t)) for t in texts]
-            if net is None:
-                yield batch(out, b.column(0), ["und"] * len(texts), [0.0] * len(texts))
-                continue
-            prob = net.documents(texts)
-            best = prob.argmax(1)
-            names = [net.languages[k] if ok else "und" for k, ok in zip(best.tolist(), some)]
-            yield batch(out, b.column(0), names, [min(1.0, float(prob[i, k])) if some[i] else 0.0 for i, k in enumerate(best.tolist())])
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+            yield batch(out, b.column(0), *_best(net, b.column(1).to_pylist()))
+
+    rows = docs.select(column(id_col).cast("long").alias("doc_id"), column(text_col).cast("string").alias("text"))
     return arrow_map(rows, run, "doc_id long, lang_pred string, score double").select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
@@ -239,7 +268,44 @@ def identify(docs: DataFrame) -> DataFrame:
     return predict(docs, train(docs))
 
 
-def keep_identified(docs: DataFrame, scratch, min_score: float = MIN_SCORE) -> DataFrame:
-    """docs without the rows that are undetermined or below min_score."""
-    found = scratch.table(identify(docs), "languages")
-    return without(docs, found.where((F.col("lang_pred") == "und") | (F.col("score") < min_score)).select("doc_id").distinct())
+def least_score(scores: np.ndarray, right: np.ndarray, precision: float = PRECISION) -> float:
+    """The score up to which documents are best rejected: rejecting one gains precision and costs 1 if it was right
+    (0 where nothing is gained)."""
+    order = np.argsort(scores, kind="stable")
+    gain = (precision - right[order]).cumsum()
+    k = int(gain.argmax())
+    return float(np.nextafter(scores[order][k], 2)) if gain[k] > 0 else 0.0
+
+
+def calibrate(docs: DataFrame, model: BiGru | None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> float:
+    """least_score() on labelled documents of the training fold that train() has not seen."""
+    if model is None:
+        return 0.0
+    shared, out = docs.sparkSession.sparkContext.broadcast((model.p, model.languages)), pa.schema([("score", pa.float64()), ("good", pa.bool_())])
+
+    def run(batches):
+        net = BiGru(*shared.value)
+        for b in batches:
+            names, scores = _best(net, b.column(1).to_pylist())
+            yield batch(out, scores, [g == n for g, n in zip(b.column(0).to_pylist(), names)])
+
+    rows = _labelled(docs, id_col, text_col, lang_col, sample).where("part = 1").select("lang", "text")
+    got = [(r.score, r.good) for r in arrow_map(rows, run, "score double, good boolean").toLocalIterator()]
+    return least_score(np.array([s for s, _ in got]), np.array([g for _, g in got], float)) if got else 0.0
+
+
+def keep_identified(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """docs without the rows whose language is undetermined, or whose score is one at which the prediction is more
+    likely wrong than right (see calibrate()). Rows are judged one by one where they are, so repeated and null ids and
+    equal rows each stay or go by their own text; all columns stay as they are."""
+    model = train(docs)
+    least, at = calibrate(docs, model), docs.columns.index(text_col)
+    shared = docs.sparkSession.sparkContext.broadcast(model and (model.p, model.languages))
+
+    def run(batches):
+        net = BiGru(*shared.value) if shared.value else None
+        for b in batches:
+            names, scores = _best(net, b.column(at).to_pylist())
+            yield b.filter(pa.array([n != "und" and s >= least for n, s in zip(names, scores)]))
+
+    return arrow_map(docs, run, docs.schema)

@@ -8,15 +8,17 @@ over hashed words and word shapes learns it from a bounded sample of documents a
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqlake.llm.common import Scratch, arrow_map, batch
+from seqlake.llm.common import arrow_map, batch, column
 
 #: Documents that the scorer is fitted on at most, about; hashed columns; the score from which a document is kept.
 SAMPLE, COLUMNS, KEEP = 4000, 1 << 16, 0.5
@@ -90,6 +92,28 @@ def estimate(counts: dict[int, int], labellers: int = len(LABELLERS), rounds: in
     return dict(zip(codes.tolist(), post.tolist(), strict=True)), share, said
 
 
+def posterior_of(code: int, share: float, said: np.ndarray) -> float:
+    """The posterior of one pattern under what estimate() has found; patterns that it never met have one too."""
+    k = np.arange(len(said))
+    like = [float(np.log(said[k, c, code // 3**k % 3]).sum()) for c in (0, 1)]
+    return 1 / (1 + math.exp(min(500.0, like[0] - like[1] + math.log((1 - share) / share))))
+
+
+class Posterior(dict):
+    """Posteriors by pattern, computed once each."""
+
+    def __init__(self, share: float, said: np.ndarray):
+        super().__init__()
+        self.share, self.said = share, said
+
+    def __missing__(self, code: int) -> float:
+        self[code] = posterior_of(code, self.share, self.said)
+        return self[code]
+
+    def __reduce__(self):
+        return Posterior, (self.share, self.said)
+
+
 _RUN = re.compile(r"(.)\1+")
 
 
@@ -156,18 +180,20 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sam
     No label table is read. Null and empty texts are texts without words. Null and repeated ids stay as rows; an empty
     table gives no rows; other columns are not read.
     """
-    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "quality")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    out = pa.schema([("pattern", pa.int32()), ("mark", pa.int64())])
+    spark = docs.sparkSession
+    texts = docs.select(column(id_col).cast("long").alias("doc_id"), column(text_col).cast("string").alias("text"))
+    out = pa.schema([("pattern", pa.int32()), ("n", pa.int64())])
 
     def vote(batches):
+        n = Counter()
         for b in batches:
-            t = b.column(0).to_pylist()
-            yield batch(out, [pattern_code(votes(x)) for x in t], [zlib.crc32((x or "").encode()) for x in t])
+            n.update(pattern_code(votes(x)) for x in b.column(0).to_pylist())
+        yield batch(out, list(n), list(n.values()))
 
-    voted = arrow_map(texts.select("text"), vote, "pattern int, mark long").groupBy("pattern").agg(F.count("*").alias("n"))
+    voted = arrow_map(texts.select("text"), vote, "pattern int, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
     counts = {r.pattern: r.n for r in voted.collect()}  # 3^8 rows at most
-    posterior, _, _ = estimate(counts)
+    _, good, said = estimate(counts)
+    posterior = Posterior(good, said)
     share = min(1.0, sample / max(1, sum(counts.values())))
     rows = pa.schema([("label", pa.float64()), ("cols", pa.list_(pa.int32())), ("vals", pa.list_(pa.float32()))])
 
@@ -178,7 +204,8 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sam
             yield batch(rows, *zip(*got)) if got else batch(rows, [], [], [])
 
     chosen = texts.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < share * (1 << 30)).select("text")
-    seen = arrow_map(chosen, pick, "label double, cols array<int>, vals array<float>").limit(3 * sample).collect()
+    drawn = arrow_map(chosen, pick, "label double, cols array<int>, vals array<float>")
+    seen = drawn.orderBy(F.xxhash64("cols", "vals"), "label").limit(3 * sample).collect()  # about sample; the limit only holds it if hashes are very uneven
     shared = spark.sparkContext.broadcast((posterior, fit([(np.array(r.cols, np.int64), np.array(r.vals), r.label) for r in seen]).astype(np.float32)))
     kind = pa.schema([("doc_id", pa.int64()), ("weak_label", pa.float64()), ("score", pa.float64())])
 

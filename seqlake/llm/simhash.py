@@ -23,8 +23,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqlake.llm.common import Scratch, arrow_map, batch, without
-from seqlake.llm.components import connected_components
+from seqlake.llm.common import ROW, ROW_ARROW, Scratch, arrow_map, batch, column, numbered, spare, without
+from seqlake.operators.components import connected_components
 
 SHINGLE, SEED, TAU = 4, 42, 4
 #: Parts up to this width have exact histograms (2^16 cells each: the largest thing that is broadcast).
@@ -52,15 +52,16 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(total * 2 > n, bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): every row and whole text."""
-    out = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row: str | None = None) -> DataFrame:
+    """(doc_id, fp), and row if docs have a row key in that column: every row and whole text."""
+    out = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), *([("row", ROW_ARROW)] if row else [])])
 
     def run(batches):
         for b in batches:
-            yield batch(out, b.column(0), [fingerprint(t) for t in b.column(1).to_pylist()])
+            yield batch(out, b.column(0), [fingerprint(t) for t in b.column(1).to_pylist()], *b.columns[2:])
 
-    return arrow_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, "doc_id long, fp long")
+    columns = [column(id_col).cast("long").alias("doc_id"), column(text_col).cast("string").alias("text"), *([F.col(row).alias("row")] if row else [])]
+    return arrow_map(docs.select(*columns), run, "doc_id long, fp long" + f", row {ROW}" * bool(row))
 
 
 def _bits(fps: np.ndarray) -> np.ndarray:
@@ -223,16 +224,8 @@ def links(nodes: DataFrame, scratch: Scratch, tau: int = TAU, parts: int | None
     return scratch.table(near.select("fp", "other").distinct(), "near")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = TAU, parts: int | None = None) -> DataFrame:
-    """One row per row of docs: doc_id, fingerprint (16 hex digits), component_id, n_links.
-
-    component_id is the smallest doc_id reachable over links of tau or fewer bits; n_links counts the other distinct
-    fingerprints linked to the row's own. Null and empty texts have fingerprint zero and link like any other. A row
-    with a null id takes part; its component's id is that of the smallest non-null id, or null. Repeated ids give
-    repeated rows. An empty table gives no rows. Other columns of docs are not read.
-    """
-    scratch = Scratch(docs.sparkSession, "simhash")
-    fps = scratch.table(fingerprints(docs, id_col, text_col), "fingerprints")
+def _components(fps: DataFrame, scratch: Scratch, tau: int, parts: int | None) -> DataFrame:
+    """(fp, label, component_id, n_links) of the distinct fingerprints of fps (doc_id, fp), a written table."""
     nodes = scratch.table(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     near = links(nodes.select("fp"), scratch, tau, parts)
     label = connected_components(near, "fp", "other", scratch)
@@ -243,12 +236,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     comp = scratch.table(comp, "labelled")
     least = comp.groupBy("label").agg(F.min("least").alias("component_id"))
-    named = scratch.table(comp.join(least, "label").select("fp", "component_id", "n_links"), "named")
+    return scratch.table(comp.join(least, "label").select("fp", "label", "component_id", "n_links"), "named")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = TAU, parts: int | None = None) -> DataFrame:
+    """One row per row of docs: doc_id, fingerprint (16 hex digits), component_id, n_links.
+
+    component_id is the smallest doc_id reachable over links of tau or fewer bits; n_links counts the other distinct
+    fingerprints linked to the row's own. Null and empty texts have fingerprint zero and link like any other. A row
+    with a null id takes part; its component's id is that of the smallest non-null id, or null. Repeated ids give
+    repeated rows. An empty table gives no rows. Other columns of docs are not read.
+    """
+    scratch = Scratch(docs.sparkSession, "simhash")
+    fps = scratch.table(fingerprints(docs, id_col, text_col), "fingerprints")
+    named = _components(fps, scratch, tau, parts)
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = TAU) -> DataFrame:
-    """docs without the rows that another document of the component stands for (the smallest id stays)."""
-    found = near_duplicates(docs, id_col, text_col, tau)
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(id_col)).distinct()
-    return without(docs, gone, id_col)
+    """docs with one row of each component: that with the smallest id (a null id only where there is no other), of rows
+    that share it the first in the table. Rows go by their place in the table, not by id."""
+    scratch, row = Scratch(docs.sparkSession, "near"), spare(docs, "row")
+    rows = numbered(docs, scratch, row)
+    fps = scratch.table(fingerprints(rows, id_col, text_col, row), "fingerprints")
+    known = scratch.table(fps.join(_components(fps, scratch, tau, None), "fp").select("row", "doc_id", "label", "component_id"), "known")
+    least = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    ties = known.where(least).groupBy("label").agg(F.count("*").alias("n"), F.min("row").alias("first")).where("n > 1")
+    later = known.where(least).join(ties, "label").where("row <> first")
+    return without(rows, known.where(~least).select(F.col("row").alias(row)).unionByName(later.select(F.col("row").alias(row))), row, scratch)

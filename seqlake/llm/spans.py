@@ -10,24 +10,29 @@ sentences meet their positions.
 from __future__ import annotations
 
 import re
+import zlib
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqlake.llm.common import Scratch, arrow_map, batch
+from seqlake.llm.common import Scratch, arrow_map, batch, column, join_rows, numbered, spare
 
-#: Words that a span has at least, and sentences.
-SPAN_WORDS, SPAN_SENTENCES = 24, 2
+#: Words that a span has at least, and sentences; words from which a sentence is cut further.
+SPAN_WORDS, SPAN_SENTENCES, LONG = 20, 2, 12
+#: One word in so many ends a part of a long sentence.
+ONE_IN = 8
 _CUT = re.compile(r"(?<=[.!?…。！？])\s+|\n+")
-_LONG = re.compile(r"(?<=[,;:])\s+")
+_COMMA = re.compile(r"(?<=[,;:])\s+")
 
 
-def sentences(text: str | None, most_words: int = SPAN_WORDS) -> list[tuple[int, int]]:
+def sentences(text: str | None, most_words: int = LONG) -> list[tuple[int, int]]:
     """(start, end) of each sentence, white space at the ends left out. A sentence ends at a stop that white space
-    follows or at a line end; one of more than most_words words is cut after commas as well, and after every
-    most_words words where it has none."""
+    follows or at a line end; one of more than most_words words is cut after commas as well, and what is still longer
+    behind words that a hash picks (one in ONE_IN). So places of cuts depend on the words next to them alone, and a
+    passage is cut alike wherever it stands; only where no word of 4 x most_words in a row is picked, a cut is made
+    there."""
     out: list[tuple[int, int]] = []
     if not text:
         return out
@@ -46,20 +51,22 @@ def _add(out: list[tuple[int, int]], text: str, start: int, end: int, most: int,
         return
     if body.count(" ") < most or len(words := list(re.finditer(r"\S+", body))) <= most:
         out.append((start, start + len(body)))
-    elif commas and (cuts := list(_LONG.finditer(body))):
+    elif commas and (cuts := list(_COMMA.finditer(body))):
         at = 0
         for a, b in [*((m.start(), m.end()) for m in cuts), (len(body), len(body))]:
             _add(out, text, start + at, start + a, most, commas=False)
             at = b
     else:
-        for k in range(0, len(words), most):
-            part = words[k : k + most]
-            out.append((start + part[0].start(), start + part[-1].end()))
+        first = 0
+        for k, w in enumerate(words):
+            if k == len(words) - 1 or zlib.crc32(w[0].encode("utf-8", "replace")) % ONE_IN == 0 or k - first + 1 >= 4 * most:
+                out.append((start + words[first].start(), start + w.end()))
+                first = k + 1
 
 
-def spans(text: str | None, words: int = SPAN_WORDS, least: int = SPAN_SENTENCES) -> list[tuple[int, int, bytes]]:
+def spans(text: str | None, words: int = SPAN_WORDS, least: int = SPAN_SENTENCES, most: int = LONG) -> list[tuple[int, int, bytes]]:
     """(first sentence, sentences, hash of the words) of every span; white space between words doesn't count."""
-    cut = sentences(text, words)
+    cut = sentences(text, most)
     parts = [text[a:b].split() for a, b in cut]
     keys = [" ".join(p).encode() for p in parts]
     out, j, n = [], 0, 0
@@ -74,32 +81,35 @@ def spans(text: str | None, words: int = SPAN_WORDS, least: int = SPAN_SENTENCES
     return out
 
 
-def covered(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", words: int = SPAN_WORDS) -> DataFrame:
-    """(doc_id, first, n, of): the spans that are not the first of their kind; of: the document that has the first."""
-    schema = "doc_id long, first int, n int, hash binary"
-    out = pa.schema([("doc_id", pa.int64()), ("first", pa.int32()), ("n", pa.int32()), ("hash", pa.binary())])
+def _keyed(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
+    """(key, text): key is the id and a hash of the row's place, so rows that share an id are told apart."""
+    row = spare(docs, "row")
+    key = F.struct(column(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(row)).alias("place"))
+    return numbered(docs, scratch, row).select(key.alias("key"), column(text_col).cast("string").alias("text")).where("key.doc_id is not null")
+
+
+def covered(docs: DataFrame, scratch: Scratch, words: int = SPAN_WORDS) -> DataFrame:
+    """(key, first, n, of) of docs (key, text): the spans that are not the first of their kind, which is that with the
+    smallest id, then position; of: the document that has the first."""
+    out = pa.schema([("doc_id", pa.int64()), ("first", pa.int32()), ("place", pa.int64()), ("n", pa.int32()), ("hash", pa.binary())])
 
     def run(batches):
         for b in batches:
-            ids, first, n, hashes = [], [], [], []
-            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for i, k, h in spans(t, words):
-                    ids.append(d)
-                    first.append(i)
-                    n.append(k)
-                    hashes.append(h)
-                if len(ids) > 100_000:
-                    yield batch(out, ids, first, n, hashes)
-                    ids, first, n, hashes = [], [], [], []
-            yield batch(out, ids, first, n, hashes)
-
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
-    every = scratch.table(arrow_map(docs, run, schema), "spans")
-    place = F.struct("doc_id", "first")
+            rows = []
+            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                rows += [(k["doc_id"], i, k["place"], n, h) for i, n, h in spans(t, words)]
+                if len(rows) > 100_000:
+                    yield batch(out, *zip(*rows))
+                    rows = []
+            if rows:
+                yield batch(out, *zip(*rows))
+
+    every = scratch.table(arrow_map(docs, run, "doc_id long, first int, place long, n int, hash binary"), "spans")
+    place = F.struct("doc_id", "first", "place")
     groups = every.groupBy("hash").agg(F.count("*").alias("times"), F.min(place).alias("origin")).where("times > 1").select("hash", "origin")
     groups = scratch.table(groups, "repeated")
     again = every.join(groups, "hash").where(place != F.col("origin"))
-    out = scratch.table(again.select("doc_id", "first", "n", F.col("origin.doc_id").alias("of")), "covered")
+    out = scratch.table(again.select(F.struct("doc_id", "place").alias("key"), "first", "n", F.col("origin.doc_id").alias("of")), "covered")
     scratch.drop(every, groups)
     return out
 
@@ -109,21 +119,22 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     repeats_of (sorted ids of the documents that keep the passages; the document itself if it repeats itself).
 
     Documents without a repeated span, null and empty texts have no row: they stay as they are. Sentences that go take
-    the white space behind them along. Rows with a null id are not compared. If ids repeat, the rows are treated as one
-    document's: equal rows lose the same sentences, the first of a kind in none of them. An empty table gives no rows.
+    the white space behind them along. Rows with a null id are not compared. Rows that share an id are documents of
+    their own; of equal rows one keeps its sentences. An empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "spans")
-    gone = covered(docs, scratch, id_col, text_col, words)
-    per_doc = gone.groupBy("doc_id").agg(F.collect_set(F.struct("first", "n")).alias("gone"), F.sort_array(F.collect_set("of")).alias("repeats_of"))
+    texts = _keyed(docs, id_col, text_col, scratch)
+    gone = covered(texts, scratch, words)
+    per_doc = gone.groupBy("key").agg(F.collect_set(F.struct("first", "n")).alias("gone"), F.sort_array(F.collect_set("of")).alias("repeats_of"))
     per_doc = scratch.table(per_doc, "by-document")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    mine = join_rows(texts, per_doc.select("key"), "key", scratch, "left_semi").join(per_doc, "key")  # other texts aren't moved
     out = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_sentences", pa.int32()), ("n_removed", pa.int32()), ("chars_removed", pa.int64()), ("repeats_of", pa.list_(pa.int64()))])
 
     def run(batches):
         for b in batches:
             rows = []
             for d, t, gone, of in zip(*(c.to_pylist() for c in b.columns)):
-                cut = sentences(t, words)
+                cut = sentences(t)
                 drop = {k for x in gone for k in range(x["first"], x["first"] + x["n"])}
                 kept, at = [], 0
                 for k, (start, end) in enumerate(cut):
@@ -133,8 +144,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                         at = nxt
                 kept.append(t[at:])
                 left = "".join(kept)
-                rows.append((d, left, len(cut), len([k for k in drop if k < len(cut)]), len(t) - len(left), of))
+                rows.append((d, left, len(cut), len(drop), len(t) - len(left), of))
             yield batch(out, *zip(*rows)) if rows else batch(out, *[[] for _ in out])
 
     kind = "doc_id long, text string, n_sentences int, n_removed int, chars_removed long, repeats_of array<long>"
-    return arrow_map(texts.join(per_doc, "doc_id").select("doc_id", "text", "gone", "repeats_of"), run, kind)
+    return arrow_map(mine.select("key.doc_id", "text", "gone", "repeats_of"), run, kind)

@@ -12,8 +12,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from seqlake.llm import bpe, chat, components, counts, decontaminate, exact, langid, quality, queries, simhash, spans, toxicity
+from seqlake.llm import bpe, chat, common, counts, decontaminate, exact, langid, quality, queries, simhash, spans, toxicity
 from seqlake.llm.common import Scratch, table
+from seqlake.operators import components
 
 WORDS = "alder birch cedar dogwood elm fir gum hazel ivy juniper kapok larch maple nutmeg oak pine quince rowan spruce teak umber viburnum willow yew".split()
 
@@ -36,7 +37,7 @@ def odd(spark):
         (None, b, None), (8, prose(rng, 40_000), "en"), (9, "12345 --- !!!", "en"), (10, "</s><|endoftext|> \x1c\x85 it's", "fr"), (-5, b, "fr"), (11, "x" * 50_000, "de"), (12, "a b c d " * 3000, "fr"),
     ]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    extra = {c: F.lit(7) for c in ("fp", "digest", "norm", "keep", "n", "hash", "item_id", "word", "score", "label", "part", "key", "row", "source", "n_chars")}
+    extra = {c: F.lit(7) for c in ("a.b", "w`x", "file", "at", "hit", "row_", "first", "place", "kept","fp", "digest", "norm", "keep", "n", "hash", "item_id", "word", "score", "label", "part", "key", "row", "source", "n_chars")}
     return df.withColumns(extra).repartition(3)
 
 
@@ -53,13 +54,14 @@ def labels_of(spark, rows):
 
 
 def brute_exact(rows):
+    """Of equal texts one row stays: of the smallest id, null last; of equal ids any one."""
     groups = collections.defaultdict(list)
     for d, t in rows:
         groups[re.sub(r"[\x20\x09-\x0D]+", " ", t or "")].append(d)
     out = []
     for t, ids in groups.items():
-        keep = min((i for i in ids if i is not None), default=None)
-        out += [(i, keep, len(ids), i == keep, sha(t)) for i in ids]
+        ids = sorted(ids, key=lambda i: (i is None, i or 0))
+        out += [(i, ids[0], len(ids), k == 0, sha(t)) for k, i in enumerate(ids)]
     return sorted(out, key=repr)
 
 
@@ -93,6 +95,63 @@ def test_exact_tables(spark, sf, none):
     assert exact.drop_copies(table(spark, sf, "documents")).columns == table(spark, sf, "documents").columns
 
 
+#: Rows that share ids but not texts, fully equal rows, null ids.
+TANGLED = [(1, "same old text"), (5, "same  old\ttext"), (5, "unique"), (5, "unique"), (7, "twin"), (7, "twin"), (None, "lone"), (None, "lone"), (None, "other"), (None, "twin"), (9, None), (9, ""), (9, " x ")]
+
+
+def kept_by_hand(rows):
+    first = {}
+    for d, t in rows:
+        key = re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
+        if key not in first or (d is None, d or 0) < (first[key] is None, first[key] or 0):
+            first[key] = d
+    return sorted(((d, k) for k, d in first.items()), key=repr)
+
+
+@pytest.mark.parametrize("stored", [False, True])
+def test_copies_go_by_row(spark, tmp_path, stored):
+    """Nothing but copies goes when ids repeat or are null; of equal rows one stays."""
+    df = spark.createDataFrame(TANGLED, "doc_id long, text string").withColumn("a.b", F.lit(1))
+    if stored:
+        df.repartition(3).write.parquet(str(tmp_path / "t"))
+        df = spark.read.parquet(str(tmp_path / "t"))
+    got = exact.drop_copies(df)
+    assert got.columns == df.columns
+    assert sorted(((r.doc_id, re.sub(r"[\x20\x09-\x0D]+", " ", r.text or "")) for r in got.collect()), key=repr) == kept_by_hand(TANGLED)
+    near = [(r.doc_id, r.text) for r in simhash.keep_one(df).collect()]
+    fps = {t: brute_fingerprint(t) for _, t in TANGLED}
+    comp = brute_components(fps.values())
+    assert len(near) == len(set(comp.values()))  # one row of each component
+    for d, t in near:
+        group = [x for x, y in TANGLED if comp[fps[y]] == comp[fps[t]]]
+        assert d == min((x for x in group if x is not None), default=None)
+
+
+@pytest.mark.parametrize("limits", [(10**6, 10**6), (0, 10**6), (0, 0)])
+def test_join_rows_whatever_the_size(spark, tmp_path, limits):
+    spark.range(3000).select(F.col("id"), F.expr("struct(id % 7 as file, id as at)").alias("k"), F.lit("x").alias("a.b")).write.parquet(str(tmp_path / "t"))
+    docs, scratch = spark.read.parquet(str(tmp_path / "t")), Scratch(spark, "test")
+    keys = scratch.table(docs.where("id % 11 = 3").select("k", (F.col("id") * 2).alias("twice")), "keys")
+    join = lambda how, k=keys: common.join_rows(docs, k, "k", scratch, how, *limits)
+    want = {i for i in range(3000) if i % 11 == 3}
+    assert {(r.id, r.twice) for r in join("inner").collect()} == {(i, 2 * i) for i in want}
+    assert {r.id for r in join("left_semi").collect()} == want and {r.id for r in join("left_anti").collect()} == set(range(3000)) - want
+    none = scratch.table(keys.where("twice < 0"), "none")
+    assert join("left_semi", none).count() == 0 and join("left_anti", none).count() == 3000
+
+
+def test_snapshot_and_batches(spark, tmp_path):
+    """A stored snapshot meets later batches: known rows, copies inside the batch, and the rest."""
+    old = spark.createDataFrame([(10, "a b"), (11, "a  b"), (12, "c"), (13, None)], "doc_id long, text string")
+    exact.write_snapshot(old, str(tmp_path / "s"))
+    snapshot = exact.Snapshot(spark, str(tmp_path / "s"))
+    new = spark.createDataFrame([(1, "a\tb"), (2, "new"), (3, "new"), (3, "newer"), (4, ""), (None, "c")], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.keep_id, r.known, r.kept) for r in exact.add_batch(new, snapshot, old).collect()), key=repr)
+    assert got == sorted([(1, 10, True, False), (2, 2, False, True), (3, 2, False, False), (3, 3, False, True), (4, 13, True, False), (None, 12, True, False)], key=repr)
+    exact.write_snapshot(old.where("doc_id < 0"), str(tmp_path / "e"))
+    assert exact.add_batch(new, exact.Snapshot(spark, str(tmp_path / "e")), old.where("doc_id < 0")).where("known").count() == 0
+
+
 # --- SimHash
 
 
@@ -209,6 +268,24 @@ def test_bpe_rows(odd, none):
     assert sorted((r.doc_id or 0, bytes(r.decoded).decode()) for r in bpe.encode(odd, path, pat).collect()) == sorted((r.doc_id or 0, r.text or "") for r in odd.collect())
 
 
+def test_tables_against_the_libraries(spark, sf):
+    """Ids, digests and counts of all documents, against the libraries themselves."""
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    docs = {r.doc_id: r.text or "" for r in table(spark, sf, "documents").collect()}
+    path, pat = bpe.default_ranks()
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    ref = tiktoken.Encoding("own", pat_str=pat, mergeable_ranks=ranks, special_tokens={})
+    for r in queries.op8_bpe(spark, sf).collect():
+        ids = ref.encode_ordinary(docs[r.doc_id])
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), sha(",".join(map(str, ids))), sha(docs[r.doc_id]))
+    word = Tokenizer.from_file(counts.default_path())
+    for r in queries.op9_token_counts(spark, sf).collect():
+        n = len(word.encode(docs[r.doc_id], add_special_tokens=False).ids)
+        assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(docs[r.doc_id].encode()), n, n > 2048)
+
+
 @pytest.mark.parametrize("head", [0, 20, 100_000])
 def test_token_counts(odd, none, head):
     from tokenizers import Tokenizer
@@ -261,10 +338,21 @@ def test_chat(spark, sf):
     assert queries.op5_chat(spark, sf).where("conv_id = -7 and n_turns = 2").count() == 1
 
 
+def test_chat_long_roles_and_texts(spark):
+    """A role or text of a million characters, escapes included, is read back."""
+    big = "ab\\<>[]" * 140_000
+    rows = [(1, 0, big, "hi"), (1, 1, "assistant", big), (2, 0, "x" * 1_000_000, ""), (2, 1, "assistant", "<s>" * 300_000)]
+    got = {r.conv_id: r for r in chat.digests(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    for c in (1, 2):
+        turns = [(r, x) for k, _, r, x in rows if k == c]
+        assert got[c].turns_sha256 == sha("".join(f"{r}\n{x}\n" for r, x in turns)) and got[c].loss_sha256 == sha(turns[1][1])
+
+
 # --- spans
 
 
 def brute_spans(docs, words=spans.SPAN_WORDS):
+    """Sentences that go, by document; docs have different ids."""
     seen, drop = {}, collections.defaultdict(set)
     for d, t in sorted(docs):
         parts = [t[a:b] for a, b in spans.sentences(t)]
@@ -299,7 +387,27 @@ def test_sentences_cover_the_text():
     t = "One two.  Three, four! \n\n Five " + "x, " * 60 + "end\nlast" + " w" * 100
     cut = spans.sentences(t)
     assert [x for a, b in cut for x in t[a:b].split()] == t.split()
-    assert all(len(t[a:b].split()) <= spans.SPAN_WORDS for a, b in cut) and spans.sentences(None) == [] == spans.sentences(" \n ")
+    assert all(len(t[a:b].split()) <= 4 * spans.LONG for a, b in cut) and spans.sentences(None) == [] == spans.sentences(" \n ")
+
+
+def test_long_sentences_are_cut_alike_everywhere():
+    """A passage without a stop is cut at the same words behind whatever stands before it."""
+    rng = random.Random(8)
+    passage = " ".join(rng.choice(WORDS) + str(rng.randrange(99)) for _ in range(60))
+    ends = []
+    for lead in ("", "one two three ", "a b c d e f g h i j k "):
+        t = lead + passage
+        ends.append([b - len(lead) for _, b in spans.sentences(t) if b - len(lead) > 120])
+    assert ends[0] == ends[1] == ends[2] and len(ends[0]) > 2
+
+
+def test_spans_of_rows_that_share_an_id(spark):
+    p = " ".join(f"word{k} stands here." for k in range(12))
+    rows = [(1, p), (2, "Quite another text with enough words in it to be cut. " * 2 + p), (2, "A third text that nobody repeats, of two sentences. It has the same id as the second."), (2, "x"), (None, p)]
+    got = spans.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [(r.doc_id, r.repeats_of) for r in got] == [(2, [1])] and "word3" not in got[0].text
+    twins = spans.remove_repeats(spark.createDataFrame([(3, p), (3, p)], "doc_id long, text string")).collect()
+    assert len(twins) == 1 and twins[0].text == ""
 
 
 # --- decontamination
@@ -311,16 +419,56 @@ def test_decontaminate(spark, sf, odd, none):
     edited = [w if k % 6 else "changed" for k, w in enumerate(item)]
     dropped = [w for k, w in enumerate(item) if k % 9]
     fill = lambda: prose(rng, 200)
-    docs = [(1, fill() + " " + " ".join(item).upper() + ", " + fill()), (2, fill() + " " + " ".join(edited) + fill()), (3, " ".join(dropped)), (4, fill()), (5, " ".join(item[:8])), (6, None), (None, " ".join(item)), (7, "")]
-    items = spark.createDataFrame([(10, " ".join(item)), (11, None), (12, ""), (13, "two words"), (10, " ".join(item)), (None, "x y z")], "item_id long, text string").withColumn("doc_id", F.lit(0))
+    docs = [(1, fill() + " " + " ".join(item).upper() + ", " + fill()), (2, fill() + " " + " ".join(edited) + fill()), (3, " ".join(dropped)), (4, fill()), (5, " ".join(item[:8])), (6, None), (None, " ".join(item)), (7, ""), (1, "same id"), (1, "same id")]
+    items = spark.createDataFrame([(10, " ".join(item)), (11, None), (12, ""), (13, "two zebras"), (14, "single"), (10, " ".join(item)), (None, "x y z")], "item_id long, text string").withColumn("doc_id", F.lit(0))
     df = spark.createDataFrame(docs, "doc_id long, text string")
     got = {(r.doc_id, r.item_id): r for r in decontaminate.matches(df, items).collect()}
     assert got.keys() == {(1, 10), (2, 10), (3, 10)} and got[1, 10].ratio == 1.0
-    blocks = {(r.doc_id, r.item_id) for r in decontaminate.matches(df, items, block_words=10).collect()}
-    assert blocks == got.keys()
-    assert [r.doc_id for r in decontaminate.clean(df, items).orderBy("doc_id").collect()] == [None, 4, 5, 6, 7]
+    left = decontaminate.clean(df, items).collect()
+    assert sorted(((r.doc_id, (r.text or "")[:7]) for r in left), key=repr) == sorted([(1, "same id"), (1, "same id"), (4, docs[3][1][:7]), (5, docs[4][1][:7]), (6, ""), (7, "")], key=repr)
     assert decontaminate.matches(none, items).count() == 0 and decontaminate.matches(df, items.where("item_id = 99")).count() == 0
     decontaminate.matches(odd, items).collect()
+    short = decontaminate.matches(spark.createDataFrame([(1, "see two old zebras"), (2, "two"), (3, "single")], "doc_id long, text string"), items)
+    assert [(r.doc_id, r.item_id) for r in short.collect()] == [(1, 13)]
+
+
+EDITS = {
+    "third word changed": lambda w, rng: [x if k % 3 else f"new{k}" for k, x in enumerate(w)],
+    "fourth word changed": lambda w, rng: [x if k % 4 else f"new{k}" for k, x in enumerate(w)],
+    "sixth word changed": lambda w, rng: [x if k % 6 else f"new{k}" for k, x in enumerate(w)],
+    "word put in after every word": lambda w, rng: [y for k, x in enumerate(w) for y in (x, f"in{k}")],
+    "word put in after every second": lambda w, rng: [y for k, x in enumerate(w) for y in ((x, f"in{k}") if k % 2 else (x,))],
+    "third word dropped": lambda w, rng: [x for k, x in enumerate(w) if k % 3],
+    "neighbours swapped": lambda w, rng: [y for k in range(0, len(w) - 1, 4) for y in (w[k + 1], w[k], *w[k + 2 : k + 4])],
+    "random": lambda w, rng: [y for x in w for y in rng.choice([(x,), (x,), (x,), ("odd",), (), (x, "more")])],
+}
+
+
+def test_decontaminate_against_all_alignments(spark):
+    """Every pair of document and item whose alignment scores enough is found, however the copy is edited, and no other:
+    brute force aligns all pairs. Items share frequent words, and many documents hold their common pairs."""
+    rng = random.Random(23)
+    frequent = "of the in to and a".split()
+    items = {i: [rng.choice(frequent) if rng.random() < 0.4 else rng.choice(WORDS) + str(rng.randrange(40)) for _ in range(rng.choice([3, 5, 12, 30, 41]))] for i in range(24)}
+    docs, d = {}, 0
+    fill = lambda n: [rng.choice(frequent) if rng.random() < 0.4 else rng.choice(WORDS) + str(rng.randrange(40)) for _ in range(n)]
+    for edit in EDITS.values():
+        for i in rng.sample(sorted(items), 12):
+            docs[d] = fill(rng.randrange(40)) + edit(items[i], rng) + fill(rng.randrange(40))
+            d += 1
+    for _ in range(40):
+        docs[d] = fill(100)
+        d += 1
+    number = {}
+    code = lambda ws: [number.setdefault(w, len(number)) for w in ws]
+    want = set()
+    for i, w in items.items():
+        score = decontaminate.smith_waterman([code(w)] * len(docs), [code(x) for x in docs.values()])
+        want |= {(d, i, int(v)) for d, v in zip(docs, score.tolist()) if v >= len(w)}  # half of two a word
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in docs.items()], "doc_id long, text string")
+    tests = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.score) for r in decontaminate.matches(df, tests).collect()}
+    assert got == want and len(want) > 60
 
 
 def test_decontaminate_edited_copies(spark):
@@ -351,6 +499,29 @@ def test_smith_waterman():
 
 
 def test_leaks_in_the_tables(spark, sf):
+    """The whole query against the alignment of every document with every item."""
+    docs = {r.doc_id: decontaminate.words(r.text) for r in table(spark, sf, "documents").collect()}
+    number, want = {}, set()
+    code = lambda ws: [number.setdefault(w, len(number)) for w in ws]
+    order = sorted(docs, key=lambda d: len(docs[d]))
+    coded = {d: code(docs[d]) for d in order}
+    for r in table(spark, sf, "benchmark").collect():
+        w = decontaminate.words(r.text)
+        near = [d for d in order if decontaminate_bound(w, docs[d]) >= len(w)]
+        for k in range(0, len(near), 50):
+            part = near[k : k + 50]
+            score = decontaminate.smith_waterman([code(w)] * len(part), [coded[d] for d in part])
+            want |= {(d, r.item_id) for d, v in zip(part, score.tolist()) if v >= len(w)}
+    assert {(r.doc_id, r.item_id) for r in queries.op7_decontaminate(spark, sf).collect()} == want and want
+
+
+def decontaminate_bound(item, text):
+    """No alignment scores more than two for each word of the item that the text has."""
+    there = set(text)
+    return 2 * sum(w in there for w in item)
+
+
+def test_whole_leaks_in_the_tables(spark, sf):
     """Every document that holds a whole test item is found, and nothing with under half of its words in a row."""
     docs = {r.doc_id: " ".join(decontaminate.words(r.text)) for r in table(spark, sf, "documents").collect()}
     items = {r.item_id: " ".join(decontaminate.words(r.text)) for r in table(spark, sf, "benchmark").collect()}
@@ -369,16 +540,17 @@ def test_language_gradients():
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
     rng = np.random.default_rng(0)
     x, y = rng.integers(60, 130, (7, 5)), np.array([0, 1, 2, 0, 1])
-    _, grad = net.loss(x, y)
+    mask = rng.random(x.shape) < 0.8
+    _, grad = net.loss(x, y, mask)
     for k, w in net.p.items():
         i = tuple(int(rng.integers(0, s)) for s in w.shape)
         if k.startswith("wx"):
             i = (int(x[3, 2]), i[1])
         old, e = w[i], 1e-6
         w[i] = old + e
-        up, _ = net.loss(x, y)
+        up, _ = net.loss(x, y, mask)
         w[i] = old - e
-        down, _ = net.loss(x, y)
+        down, _ = net.loss(x, y, mask)
         w[i] = old
         assert abs((up - down) / 2 / e - grad[k][i]) < 1e-6
 
@@ -393,6 +565,30 @@ def test_language_positions():
     assert np.allclose(net.positions(w), p.transpose(2, 0, 1), atol=1e-4)
 
 
+def test_language_documents_against_one_window_at_a_time():
+    """Probabilities of whole documents: the mean over letters of the network run window by window."""
+    net = langid.BiGru.new(["a", "b", "c"], 4)
+    texts = ["Plain words, and 12 signs – “quoted”… 😀", "é" * 70 + " ñandú", None, "", "--- 🎉 ---", "日本語のテキスト" * 20, "x" * 5000]
+    prob, letters = net.documents(texts)
+    for t, p, n in zip(texts, prob, letters):
+        raw = (t or "").encode()
+        mask = np.array([c.isalpha() for c in t or "" for _ in c.encode()], bool)
+        total = np.zeros(3)
+        for k in range(0, len(raw), langid.WINDOW):
+            w = raw[k : k + langid.WINDOW]
+            x = np.frombuffer(w.ljust(langid.WINDOW, b"\0"), np.uint8)[:, None]
+            h = np.concatenate([net._forward(x, "f")[0], net._forward(x, "b")[0]], 2)[:, 0]
+            z = np.exp(h @ net.p["wo"] + net.p["bo"])
+            total += (z / z.sum(1, keepdims=True))[: len(w)][mask[k : k + langid.WINDOW]].sum(0)
+        assert n == mask.sum() and np.allclose(p, total / max(1, n), atol=1e-3)
+
+
+def test_least_score():
+    assert langid.least_score(np.array([0.3, 0.5, 0.9]), np.array([1.0, 1, 1])) == 0.0
+    t = langid.least_score(np.array([0.9, 0.3, 0.35, 0.5]), np.array([1.0, 0, 0, 1]))
+    assert 0.35 < t < 0.5
+
+
 def test_language(spark, sf, odd, none):
     docs = table(spark, sf, "documents")
     truth = {r.doc_id: r["lang"] for r in docs.collect()}
@@ -445,6 +641,51 @@ def test_toxicity(spark, sf, odd, none):
     assert toxicity.toxicity(none, y).count() == 0
 
 
+def test_decoding_against_every_reading():
+    """Viterbi's choice scores as high as the best of all readings of a span."""
+    import itertools
+
+    rng = random.Random(3)
+    model = toxicity.CharModel(toxicity.gram_counts({w: rng.randrange(1, 9) for w in WORDS}))
+
+    def score(chosen):
+        """Readings in order: the model's log probabilities minus the costs."""
+        cells, size, context, total = model.cells, toxicity.SYMBOLS, 0, 0.0
+        for reading, cost in chosen:
+            total -= cost
+            if reading == " ":
+                total, context = total + (cells[context * size] if context else 0.0), 0
+            elif reading:
+                cell = context * size + ord(toxicity._FOLD[ord(reading)])
+                total, context = total + cells[cell], cell % size**3
+        return total + (cells[context * size] if context else 0.0)
+
+    for span in ("0ak", "e1m", "f1rr", "g.u.m", "b!rch", "p 1 n e", "l4rchh", "0.4.k", "tt3akk"):
+        spaced, options = toxicity._SPACED.fullmatch(span) is not None, []
+        for k, ch in enumerate(span):
+            if spaced and ch in toxicity._SEPARATORS:
+                options.append([("", toxicity.JOIN), (" ", toxicity.BREAK)])
+            elif ch.isalpha():
+                options.append([(ch, 0.0)] + ([("", toxicity.REPEAT)] if k and span[k - 1] == ch else []))
+            else:
+                options.append([(r, toxicity.LOOKALIKE) for r in toxicity.READINGS.get(ch, "")] + [("", toxicity.NOTHING)])
+        every = {}
+        for chosen in itertools.product(*options):
+            text = "".join(r for r, _ in chosen)
+            every[text] = max(every.get(text, -1e9), score(chosen))
+        assert abs(every[model.decode(span)] - max(every.values())) < 1e-6, span
+
+
+def test_toxicity_with_repeated_ids(spark, monkeypatch):
+    """However many rows a labelled id has, the sample holds one of each id."""
+    docs = spark.createDataFrame([(k % 8, f"{'vile' if k % 8 < 4 else 'kind'} text {k}") for k in range(400)], "doc_id long, text string")
+    y = labels_of(spark, [(k, 1, int(k < 4)) for k in range(8)])
+    seen = []
+    real = toxicity._logistic
+    monkeypatch.setattr(toxicity, "_logistic", lambda rows, *a, **k: seen.append(len(rows)) or real(rows, *a, **k))
+    assert toxicity.toxicity(docs, y).count() == 400 and seen[0] <= 8
+
+
 def test_restoration():
     counts_ = toxicity.gram_counts({w: 9 for w in [*WORDS, "idiot", "moron", "scum"]})
     r = toxicity.Restorer(toxicity.CharModel(counts_))
@@ -469,6 +710,14 @@ def test_quality(spark, sf, odd, none):
     assert quality.quality(odd).count() == odd.count() and quality.quality(none).count() == 0
 
 
+def test_quality_of_unseen_patterns():
+    counts_ = {quality.pattern_code(v): n for v, n in (([2] * 8, 80), ([1] * 8, 20), ([2, 1] * 4, 7))}
+    post, share, said = quality.estimate(counts_, rounds=2000)
+    for code, p in post.items():
+        assert abs(quality.posterior_of(code, share, said) - p) < 1e-6
+    assert 0 <= quality.Posterior(share, said)[quality.pattern_code([0] * 8)] <= 1
+
+
 def test_expectation_maximisation():
     rng = np.random.default_rng(17)
     right, n = [0.95, 0.8, 0.7, 0.9], 20_000
