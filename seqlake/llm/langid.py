@@ -308,4 +308,5 @@ def keep_identified(docs: DataFrame, text_col: str = "text") -> DataFrame:
             names, scores = _best(net, b.column(at).to_pylist())
             yield b.filter(pa.array([n != "und" and s >= least for n, s in zip(names, scores)]))
 
-    return arrow_map(docs, run, docs.schema)
+    plain = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))  # mapInArrow() can't have names with dots
+    return arrow_map(plain, run, plain.schema).toDF(*docs.columns)
