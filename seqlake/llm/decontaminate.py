@@ -12,7 +12,8 @@ pairs. Hence:
 3. Seeds met in texts join the items' seeds. Document and item go on where enough seeds lie close enough together, and
    the stretch of words around them is aligned.
 
-Items, pairs, seeds and stretches are tables; only a filter of the pairs (9 bits each) goes to the scans of documents.
+Items, pairs, seeds and stretches are tables; a filter of the pairs (9 bits each) goes to the scans of documents, and the
+items' words where they are few. Beyond stated sizes both are left out, and the result is the same.
 """
 
 from __future__ import annotations
@@ -32,33 +33,57 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 #: Pairs, and words of their texts, that are aligned at once.
 PAIRS, CELLS = 128, 1_000_000
 _WORD = re.compile(r"\w+")
-_MEMO, _GATHER = 500_000, 300_000
+_MEMO, _GATHER = 200_000, 1_000_000
+#: Distinct words of all items up to which they are sent to the scans, so that other words need no hash.
+VOCABULARY = 500_000
+#: Characters of words among those up to U+FFFF, as the pattern has them.
+_IN_WORD = np.array([not 0xD800 <= c < 0xE000 and (chr(c).isalnum() or chr(c) == "_") for c in range(0x10000)])
+_BYTES = bytes(c if c >= 128 or _IN_WORD[c] else 32 for c in range(256))
 
 
 def words(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").lower())
+    """Runs of letters, digits and underscores of the lower-case text (the pattern \\w+, whole arrays at a time)."""
+    low = (text or "").lower()
+    if low.isascii():
+        return low.encode().translate(_BYTES).decode().split()
+    code = np.frombuffer(low.encode("utf-32-le", "replace"), "<u4")
+    if code.max() > 0xFFFF:
+        return _WORD.findall(low)
+    return np.where(_IN_WORD[code], code, 32).astype("<u4").tobytes().decode("utf-32-le").split()
+
+
+def _hash(word: str) -> int:
+    return xxhash.xxh64_intdigest(word.encode("utf-8", "replace")) or 1
 
 
 class Hashes(dict):
-    """64-bit hash of each word, remembered while there is room."""
+    """64-bit hash of each word, 0 for words outside a vocabulary if one is given; else remembered while there is room."""
+
+    def __init__(self, vocabulary: list[str] | None = None):
+        super().__init__((w, _hash(w)) for w in vocabulary or ())
+        self.closed = vocabulary is not None
 
     def __missing__(self, word: str) -> int:
         if len(self) > _MEMO:
             self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word.encode("utf-8", "replace"))
+        self[word] = h = _hash(word)
         return h
 
     def of(self, w: list[str]) -> np.ndarray:
+        if self.closed:
+            get = self.get
+            return np.fromiter([get(x, 0) for x in w], np.uint64, len(w))
         return np.fromiter(map(self.__getitem__, w), np.uint64, len(w))
 
 
 def pair_keys(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(place of the first word, key) of each ordered pair of words at distance one or two."""
+    """(place of the first word, key) of each ordered pair of words at distance one or two, both with a hash."""
     at, keys = [], []
     with np.errstate(over="ignore"):
         for gap in (1, 2):
-            a, b = h[:-gap], h[gap:]
-            at.append(np.arange(len(a)))
+            both = np.nonzero((h[:-gap] != 0) & (h[gap:] != 0))[0]
+            a, b = h[both], h[both + gap]
+            at.append(both)
             x = (a * np.uint64(0x9E3779B97F4A7C15)) ^ (b + (a >> np.uint64(29)))
             keys.append((x ^ (x >> np.uint64(32))) * np.uint64(0xC4CEB9FE1A85EC53))
     return np.concatenate(at), np.concatenate(keys).view(np.int64)
@@ -136,7 +161,14 @@ def _filter(keys: DataFrame, scratch: Scratch) -> KeyFilter | None:
     return KeyFilter(keys, scratch) if keys.count() <= SCREEN_KEYS else None
 
 
-def document_frequency(texts: DataFrame, known: KeyFilter | None) -> DataFrame:
+def _vocabulary(items: DataFrame):
+    """A broadcast of the items' distinct words, or of None where they are more than VOCABULARY."""
+    distinct = items.select(F.explode("words").alias("word")).distinct()
+    got = [r.word for r in distinct.limit(VOCABULARY + 1).toLocalIterator()]
+    return items.sparkSession.sparkContext.broadcast(got if len(got) <= VOCABULARY else None)
+
+
+def document_frequency(texts: DataFrame, known: KeyFilter | None, vocabulary) -> DataFrame:
     """(key, df): documents that hold each pair that the filter passes; summed by task, then by key."""
     out = pa.schema([("key", pa.int64()), ("n", pa.int64())])
 
@@ -145,14 +177,14 @@ def document_frequency(texts: DataFrame, known: KeyFilter | None) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.astype(np.int64))], schema=out)
 
     def run(batches):
-        h, parts, size = Hashes(), [], 0
+        h, parts, size = Hashes(vocabulary.value), [], 0
         for b in batches:
             for t in b.column(0).to_pylist():
                 if w := words(t):
                     keys = pair_keys(h.of(w))[1]
                     parts.append(np.unique(keys if known is None else keys[known.has(keys)]))
                     size += len(parts[-1])
-            if size > 10 * _GATHER:
+            if size > _GATHER:
                 yield gathered(parts)
                 parts, size = [], 0
         yield gathered(parts)
@@ -169,12 +201,12 @@ def seed_table(pairs: DataFrame, df: DataFrame, min_ratio: float) -> DataFrame:
     return counted.withColumn("rank", rank).where(F.col("rank") > kept - F.col("need")).select("item", "n", "need", "key").distinct()
 
 
-def _met(texts: DataFrame, known: KeyFilter | None) -> DataFrame:
+def _met(texts: DataFrame, known: KeyFilter | None, vocabulary) -> DataFrame:
     """(row, at, key): places of pairs in texts that the filter of the seeds passes."""
     out = pa.schema([("row", ROW_ARROW), ("at", pa.int32()), ("key", pa.int64())])
 
     def run(batches):
-        h = Hashes()
+        h = Hashes(vocabulary.value)
         for b in batches:
             rows, at, keys = [], [], []
             for k, t in enumerate(b.column(1).to_pylist()):
@@ -196,9 +228,10 @@ def _matches(texts: DataFrame, items: DataFrame, item_col: str, item_text: str,
     """(row, item_id, score, ratio, n_seeds) of texts (row, text)."""
     tests = _items(items, item_col, item_text, scratch)
     pairs = _item_pairs(tests, scratch)
-    df = document_frequency(texts, _filter(pairs, scratch))
+    vocabulary = _vocabulary(tests)
+    df = document_frequency(texts, _filter(pairs, scratch), vocabulary)
     seeds = scratch.table(seed_table(pairs, df, min_ratio), "seeds")
-    met = _met(texts, _filter(seeds, scratch)).join(seeds, "key")
+    met = _met(texts, _filter(seeds, scratch), vocabulary).join(seeds, "key")
     near = met.groupBy("row", "item").agg(F.sort_array(F.collect_list("at")).alias("at"), F.max("n").alias("n"), F.max("need").alias("need"))
     near = near.where(F.size("at") >= F.col("need"))
     kind = pa.schema([("row", ROW_ARROW), ("item", pa.int64()), ("n_seeds", pa.int32()), ("first", pa.int32()), ("end", pa.int32())])

@@ -432,6 +432,14 @@ def test_decontaminate(spark, sf, odd, none):
     assert [(r.doc_id, r.item_id) for r in short.collect()] == [(1, 13)]
 
 
+def test_words_are_those_of_the_pattern():
+    rng = random.Random(4)
+    pool = "abZ09_ é–“”日本İıß😀\u0300\u200b²½٣-.,;'\n\t\x85\u2028"
+    for _ in range(500):
+        t = "".join(rng.choice(pool) for _ in range(rng.randrange(40)))
+        assert decontaminate.words(t) == re.findall(r"\w+", t.lower()), repr(t)
+
+
 EDITS = {
     "third word changed": lambda w, rng: [x if k % 3 else f"new{k}" for k, x in enumerate(w)],
     "fourth word changed": lambda w, rng: [x if k % 4 else f"new{k}" for k, x in enumerate(w)],
@@ -444,7 +452,7 @@ EDITS = {
 }
 
 
-def test_decontaminate_against_all_alignments(spark):
+def test_decontaminate_against_all_alignments(spark, monkeypatch):
     """Every pair of document and item whose alignment scores enough is found, however the copy is edited, and no other:
     brute force aligns all pairs. Items share frequent words, and many documents hold their common pairs."""
     rng = random.Random(23)
@@ -469,6 +477,9 @@ def test_decontaminate_against_all_alignments(spark):
     tests = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
     got = {(r.doc_id, r.item_id, r.score) for r in decontaminate.matches(df, tests).collect()}
     assert got == want and len(want) > 60
+    monkeypatch.setattr(decontaminate, "VOCABULARY", 5)  # beyond both sizes
+    monkeypatch.setattr(decontaminate, "SCREEN_KEYS", 5)
+    assert {(r.doc_id, r.item_id, r.score) for r in decontaminate.matches(df, tests).collect()} == want
 
 
 def test_decontaminate_edited_copies(spark):
