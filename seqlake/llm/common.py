@@ -17,9 +17,8 @@ from seqlake.operators.scratch import Scratch, shared_root
 
 __all__ = ["KeyFilter", "Scratch", "shared_root", "arrow_map", "batch", "column", "fold", "held_out", "join_rows", "numbered", "spare", "table", "without"]
 
-#: Rows and bytes that a function sees at once. Spark bounds the bytes of what it hands to a worker (64 MB by
-#: default); a worker cuts that into pieces of this size.
-BATCH_ROWS, BATCH_BYTES = 1024, 8 << 20
+#: Rows and bytes that a function sees at once (one row at least, however long).
+BATCH_ROWS, BATCH_BYTES = 1024, 4 << 20
 #: Keys up to which they are broadcast to the scan of a table (under 100 MB with what belongs to them), and keys up to
 #: which a filter of theirs is (9 bits each, 64 MB).
 BROADCAST_KEYS, SCREEN_KEYS = 400_000, 56_000_000
@@ -63,7 +62,12 @@ def _pieces(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """mapInArrow() with batches of bounded rows and bytes (one row at least, however long)."""
+    """mapInArrow() with batches of bounded rows and bytes. What Spark hands to a worker at once is bounded by a setting of
+    the session, 64 MB by default; it is lowered to BATCH_BYTES, because tasks of long texts else hold several such
+    batches. A smaller setting stays."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(str(conf.get(key)).rstrip("bB")) <= BATCH_BYTES:
+        conf.set(key, f"{BATCH_BYTES}b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return fn(p for b in batches for p in _pieces(b))
