@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,34 +22,67 @@ def totals(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("n"), F.sum(F.col("end") - F.col("start")).alias("total"))
 
 
-def greedy(rows: DataFrame) -> DataFrame:
+#: Bases of a bucket of greedy(): between buckets the scan can be cut.
+BUCKET = 1 << 16
+
+
+def greedy(rows: DataFrame, width: int = BUCKET) -> DataFrame:
     """Rows (seq, start, end, unit) accepted by one scan of each sequence in order: a row is accepted if it starts at or
     behind the end of the last accepted one.
 
-    The scan is cut where no earlier row reaches over: a row that starts at or behind the end of all before it is
-    accepted whatever came first. So each island of overlapping rows is folded by itself, and no task holds a sequence.
+    A row that starts at or behind the end of all before it is accepted whatever came first. So the scan is cut between
+    buckets of positions over which nothing reaches; what lies between two cuts is sorted by Spark and read as a stream
+    by one task, which holds one batch. Cuts are found on a table of one row a bucket.
     """
     order = ("start", "end", "unit")
-    before = F.max("end").over(Window.partitionBy("seq").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
-    fresh = F.when(F.coalesce(F.col("start") >= before, F.lit(True)), 1).otherwise(0)
-    island = F.sum("fresh").over(Window.partitionBy("seq").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    groups = rows.select("seq", *order).withColumn("fresh", fresh).withColumn("island", island).groupBy("seq", "island").agg(F.array_sort(F.collect_list(F.struct(*order))).alias("rows"))
-    empty = F.struct(F.lit(-(1 << 62)).cast("long").alias("last"), F.slice("rows", 1, 0).alias("kept"))
-    step = lambda acc, r: F.when(r.start >= acc.last, F.struct(r.end.alias("last"), F.array_append(acc.kept, r).alias("kept"))).otherwise(acc)
-    return groups.select("seq", F.inline(F.aggregate("rows", empty, step).getField("kept")))
+    placed = rows.select("seq", *order).withColumn("bucket", F.floor(F.col("start") / width))
+    per = placed.groupBy("seq", "bucket").agg(F.min("start").alias("lo"), F.max("end").alias("hi"))
+    w = Window.partitionBy("seq").orderBy("bucket")
+    clean = F.coalesce(F.col("lo") >= F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)).cast("int")
+    cuts = per.withColumn("clean", clean).select("seq", "bucket", F.sum("clean").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("segment"))
+    dealt = placed.join(cuts, ["seq", "bucket"]).select("seq", *order, "segment").repartition("seq", "segment").sortWithinPartitions("seq", "segment", *order)
+
+    def scan(batches):
+        now, last = None, 0
+        for b in batches:
+            seqs, starts, ends, segments = (b.column(c).to_pylist() for c in ("seq", "start", "end", "segment"))
+            keep = []
+            for seq, start, end, segment in zip(seqs, starts, ends, segments):
+                if (seq, segment) != now:
+                    now, last = (seq, segment), start
+                keep.append(start >= last)
+                if start >= last:
+                    last = end
+            yield b.select(["seq", *order]).filter(pa.array(keep, pa.bool_()))
+
+    return dealt.mapInArrow(scan, placed.select("seq", *order).schema)
 
 
 def splice(sequences: DataFrame, accepted: DataFrame) -> DataFrame:
     """(seq, dna): each accepted repeat is replaced by its first unit; sequences without one keep all bases. A unit of
-    0 removes the array, a unit longer than it repeats the bases behind it, as the rule says literally."""
-    per = accepted.groupBy("seq").agg(F.array_sort(F.collect_list(F.struct("start", "end", "unit"))).alias("rows"))
-    j = sequences.join(per, "seq", "left")
-    part = lambda a, n: F.substring(F.col("dna"), (a + 1).cast("int"), F.greatest(n, F.lit(0)).cast("int"))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-    step = lambda acc, r: F.struct(r.end.cast("long").alias("at"), F.concat(acc.out, part(acc.at, r.start - acc.at), part(r.start, r.unit)).alias("out"))
-    done = F.aggregate(F.coalesce("rows", F.array().cast("array<struct<start:bigint,end:bigint,unit:bigint>>")), start, step)
-    j = j.withColumn("done", done)
-    return j.select("seq", F.concat("done.out", part(F.col("done.at"), F.length("dna") - F.col("done.at"))).alias("dna"))
+    0 removes the array, a unit longer than it repeats the bases behind it, as the rule says literally.
+
+    Each sequence is cut once, from left to right, in Arrow batches: Spark's substring() walks a string from its
+    beginning at every cut, which takes the square of a chromosome's length.
+    """
+    per = accepted.groupBy("seq").agg(F.array_sort(F.collect_list(F.struct(*(F.col(c).cast("long").alias(c) for c in ("start", "end", "unit"))))).alias("rows"))
+    j = sequences.select("seq", "dna").join(per, "seq", "left")
+
+    @F.pandas_udf("string")
+    def cut(dna: pd.Series, rows: pd.Series) -> pd.Series:
+        out = []
+        for text, row in zip(dna, rows):
+            if row is None or text is None:
+                out.append(text)
+                continue
+            parts, at = [], 0
+            for r in row:
+                parts += (text[at : max(at, r["start"])], text[r["start"] : r["start"] + max(0, r["unit"])])
+                at = r["end"]
+            out.append("".join([*parts, text[at:]]))
+        return pd.Series(out)
+
+    return j.select("seq", F.when(F.col("rows").isNull(), F.col("dna")).otherwise(cut("dna", "rows")).alias("dna"))
 
 
 def exact_copies(steps: DataFrame, unit: int, least: int = 20) -> DataFrame:
@@ -86,3 +121,13 @@ def consensus(copies: DataFrame, unit: int) -> DataFrame:
 
 def fasta_header(unit: Column, name: Column, start: Column, end: Column, count: Column, score: Column) -> Column:
     return F.format_string(">cons%d#%s:%d-%d#%d#%.1f", unit, name, start, end, count, score * 0.1)
+
+
+def copies_out_of_bounds(copies: DataFrame, unit: int) -> DataFrame:
+    """Copies (p, len) that leave their sequence; strict mode fails on them: coords.checked(copies, ~leaves, ...)."""
+    return copies.where(F.col("p") + unit > F.col("len"))
+
+
+def first_hit(rows: DataFrame, wanted: Column, *order: str) -> DataFrame:
+    """The first row in order that is wanted; no more than one row of each task is gathered."""
+    return rows.where(wanted).orderBy(*order).limit(1)
