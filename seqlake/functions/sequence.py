@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -46,14 +48,43 @@ def is_acgt(seq: Column) -> Column:
     return seq.rlike("^[ACGTacgt]*$")
 
 
+#: Sets of bases of the ambiguity codes, one bit for each of a, c, g, t (fixed values).
+FOUR_BITS = {"-": 0, "a": 1, "c": 2, "m": 3, "g": 4, "r": 5, "s": 6, "v": 7, "t": 8, "w": 9, "y": 10, "h": 11, "k": 12, "d": 13, "b": 14, "n": 15}
+AMINO = "ACDEFGHIKLMNPQRSTVWY"
+
+
+def _codes(seq: Column, letters: str, codes: list[int], fold: bool = True) -> Column:
+    """array<int> of the codes of letters, others left out."""
+    table = F.create_map(*[F.lit(x) for c, k in zip(letters, codes) for x in (c, k)])
+    symbols = F.split(F.lower(seq) if fold else seq, "")
+    return F.filter(F.transform(symbols, lambda c: F.element_at(table, c)), lambda k: k.isNotNull())
+
+
+def to_index4(seq: Column) -> Column:
+    """a, c, g, t and n as "0" to "3", n as "0": what two bits hold."""
+    return to_index(seq, "0")
+
+
+def to_four_bits(seq: Column, ambiguous: bool = False) -> Column:
+    """array<int>: the set of bases of each letter; of a, c, g, t and n only, unless ambiguous."""
+    use = {c: k for c, k in FOUR_BITS.items() if ambiguous or c in "acgtn"}
+    return _codes(seq, "".join(use), list(use.values()))
+
+
+def amino_index(seq: Column) -> Column:
+    """array<int>: amino acids by their letters' order, X (and B and Z, which stand for two) 20; others are left out."""
+    return _codes(amino_text(seq), AMINO + "X", list(range(21)), fold=False)
+
+
 def amino_text(seq: Column) -> Column:
-    return F.regexp_replace(seq, "[^ACDEFGHIKLMNPQRSTVWXYacdefghiklmnpqrstvwxy*-]", "")
+    """Amino acids in upper case, X for B, Z and X; other characters are left out."""
+    return F.regexp_replace(F.translate(F.upper(seq), "BZ", "XX"), f"[^{AMINO}X]", "")
 
 
 def first_mismatch(a: Column, b: Column) -> Column:
     """The first 0-based position at which two sequences of equal length differ; 0 if they are equal."""
-    i = F.filter(F.sequence(F.lit(1), F.greatest(F.least(F.length(a), F.length(b)), F.lit(1))), lambda k: F.substr(a, k, F.lit(1)) != F.substr(b, k, F.lit(1)))
-    return F.coalesce(F.get(i, F.lit(0)) - 1, F.lit(0))
+    unlike = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: x != y)
+    return F.greatest(F.array_position(unlike, True) - 1, F.lit(0))
 
 
 def cut(seq: Column, start: Column, end: Column) -> Column:
@@ -61,14 +92,14 @@ def cut(seq: Column, start: Column, end: Column) -> Column:
     return F.substr(seq, (start + 1).cast("int"), F.greatest(end - start, F.lit(0)).cast("int"))
 
 
-def contig_runs(seq: Column) -> Column:
-    """array<struct<pos, run>>: maximal runs of a, c, g, t of either case with their 0-based positions."""
-    parts = F.regexp_extract_all(seq, F.lit("([ACGTacgt]+|[^ACGTacgt]+)"), F.lit(1))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<pos:bigint,run:string>>").alias("out"))
-    step = lambda acc, p: F.struct(
-        (acc.at + F.length(p)).alias("at"), F.when(p.rlike("^[ACGTacgt]"), F.array_append(acc.out, F.struct(acc.at.alias("pos"), p.alias("run")))).otherwise(acc.out).alias("out")
-    )
-    return F.aggregate(parts, start, step).getField("out")
+_RUN = re.compile("[ACGTacgt]+")
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("pos", T.LongType()), T.StructField("run", T.StringType())])))
+def contig_runs(seq: pd.Series) -> pd.Series:
+    """array<struct<pos, run>>: maximal runs of a, c, g, t of either case with their 0-based positions, in one pass over
+    each sequence (a fold over an array would copy what it has at every run)."""
+    return seq.map(lambda s: None if s is None else [{"pos": m.start(), "run": m[0]} for m in _RUN.finditer(s)])
 
 
 def symbol_runs(seq: Column) -> Column:
@@ -134,9 +165,24 @@ def unpack2bit(packed: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([None if p is None else unpack_bases(bytes(p), int(k)) for p, k in zip(packed, n)])
 
 
+_SWAP = np.array([(3 - (b & 3)) << 6 | (3 - (b >> 2 & 3)) << 4 | (3 - (b >> 4 & 3)) << 2 | 3 - (b >> 6) for b in range(256)], np.uint8)
+
+
 def packed_revcomp(packed: bytes, n: int) -> bytes:
-    """Reverse complement of a packed sequence."""
-    return pack_bases(unpack_bases(packed, n)[::-1].translate(str.maketrans("acgt", "tgca")))
+    """Reverse complement of a packed sequence of n bases: bytes in reverse order by a table, then shifted over the
+    unused places at what was the end."""
+    x = _SWAP[np.frombuffer(packed, np.uint8)[::-1]]
+    spare = 2 * (-n % 4)
+    if spare:
+        x = (x >> spare) | np.append(x[1:], 0).astype(np.uint8) << (8 - spare)
+        x = x.astype(np.uint8)
+        x[-1] &= (1 << (8 - spare)) - 1
+    return x.tobytes()
+
+
+@F.pandas_udf(T.BinaryType())
+def revcomp2bit(packed: pd.Series, n: pd.Series) -> pd.Series:
+    return pd.Series([None if p is None else packed_revcomp(bytes(p), int(k)) for p, k in zip(packed, n)])
 
 
 def pack_bits(bits: list[int]) -> bytes:

@@ -1,14 +1,18 @@
 """Reading and writing of typed line files, ASCII and binary, and a Spark data source of their lines.
 
 A reader yields Line records; the data source `one` gives them as rows of LINES. Binary files carry an index of their
-objects and are split between tasks at objects; an ASCII file is one task.
+objects and are split between tasks at objects, each of which reads its own bytes; an ASCII file is one task, which
+holds one block of it.
 """
 
 from __future__ import annotations
 
 import glob
 import os
+import shutil
 import struct
+import tempfile
+import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -40,6 +44,9 @@ class Header:
     references: list[tuple[str, int]] = field(default_factory=list)
     deferred: list[str] = field(default_factory=list)
     counts: dict[str, int] = field(default_factory=dict)
+    longest: dict[str, int] = field(default_factory=dict)
+    totals: dict[str, int] = field(default_factory=dict)
+    nested: dict[tuple[str, str, str], int] = field(default_factory=dict)  # (# or +, object type, type): most in one object
     index: dict[str, list[int]] = field(default_factory=dict)
     codecs: dict[str, Codec] = field(default_factory=dict)
     binary: bool = False
@@ -137,11 +144,57 @@ class Codec:
         return bytes(out)
 
 
+class FileBytes:
+    """A file that is sliced like bytes but read in blocks, as far as it is looked at (headers and footers)."""
+
+    BLOCK = 1 << 16
+
+    def __init__(self, file):
+        self.file, self.blocks = file, {}
+        self.size = file.seek(0, os.SEEK_END)
+
+    def __len__(self) -> int:
+        return self.size
+
+    def _block(self, k: int) -> bytes:
+        if k not in self.blocks:
+            if len(self.blocks) > 64:
+                self.blocks.clear()
+            self.file.seek(k * self.BLOCK)
+            self.blocks[k] = self.file.read(self.BLOCK)
+        return self.blocks[k]
+
+    def __getitem__(self, key):
+        if isinstance(key, int):
+            key += self.size if key < 0 else 0
+            return self._block(key // self.BLOCK)[key % self.BLOCK]
+        a, b, _ = key.indices(self.size)
+        if a // self.BLOCK == (b - 1) // self.BLOCK:
+            return self._block(a // self.BLOCK)[a % self.BLOCK : a % self.BLOCK + b - a] if b > a else b""
+        self.file.seek(a)
+        return self.file.read(max(0, b - a))
+
+    def find(self, what: bytes, start: int = 0) -> int:
+        at = start
+        while at < self.size:
+            part = self[at : (at // self.BLOCK + 1) * self.BLOCK]
+            if (k := part.find(what)) >= 0:
+                return at + k
+            at += len(part)
+        return -1
+
+    def partition(self, what: bytes) -> tuple[bytes, bytes, bytes]:
+        """The first line only: what is behind it isn't read."""
+        k = self.find(what)
+        return (self[:k], what, b"") if k >= 0 else (self[:], b"", b"")
+
+
 class Parser:
-    """Lines of one file held as bytes."""
+    """Lines of one file held as bytes, or of a part of one whose first byte has offset base."""
 
-    def __init__(self, data: bytes, type: str | None = None, schema: Schema | None = None):
-        self.data, self.at, self.line = data, 0, 0
+    def __init__(self, data: bytes | FileBytes, type: str | None = None, schema: Schema | None = None):
+        self.data, self.at, self.line, self.base = data, 0, 0, 0
+        self.wanted: set[str] | None = None  # line types whose lists are decoded; None: all
         if data[:2] == b"1 ":
             first, _, _ = data.partition(b"\n")
             parts = first.decode().split(" ")
@@ -217,6 +270,7 @@ class Parser:
 
     def _binary(self, byte: int, kinds: tuple[str, ...], letter: str) -> Line:
         values, size, kind = [], None, None
+        lazy = self.wanted is not None and letter not in self.wanted and letter not in HEADER
         for f in kinds:
             if f == "REAL":
                 values.append(struct.unpack("<d", self.data[self.at : self.at + 8])[0])
@@ -232,14 +286,15 @@ class Parser:
                 else:
                     values.append(v)
         if kind is not None:
-            values[values.index(None)] = self._list(kind, size, byte & 1, letter)
+            values[values.index(None)] = self._list(kind, size, byte & 1, letter, lazy)
         return Line(letter, values)
 
     def _take(self, n: int) -> bytes:
         self.at += n
         return self.data[self.at - n : self.at]
 
-    def _list(self, kind: str, size: int, packed: int, letter: str):
+    def _list(self, kind: str, size: int, packed: int, letter: str, lazy: bool = False):
+        """The list field; a lazy one is stepped over by its length and never decoded."""
         if not size:
             return "" if kind in ("STRING", "DNA") else []
         if kind == "STRING_LIST":
@@ -253,10 +308,16 @@ class Parser:
         n = {"STRING": size, "DNA": size, "REAL_LIST": 8 * size}.get(kind) or width * (size - 1)
         if packed:
             bits, self.at = read_varint(self.data, self.at)
+            if lazy:
+                self.at += (bits + 7) // 8
+                return None
             raw = self._take((bits + 7) // 8)
             if kind == "DNA":
                 return unpack_bases(raw, size)
             raw = self.header.codecs[letter].decode(raw, bits, n)
+        elif lazy:
+            self.at += n
+            return None
         else:
             raw = self._take(n)
         if kind == "INT_LIST":
@@ -278,6 +339,10 @@ class Parser:
             self._fail(f"unknown line type {letter!r}")
         if byte & 0x80:
             return self._binary(byte, kinds, letter)
+        if self.wanted is not None and letter not in self.wanted and letter not in HEADER:
+            end = self.data.find(b"\n", self.at)
+            self.at = len(self.data) if end < 0 else end + 1
+            return Line(letter, [None] * len(kinds))
         return self._ascii(letter, kinds)
 
     def _read_header(self) -> None:
@@ -299,8 +364,10 @@ class Parser:
                     h.schema.group(v[1])
                 else:
                     h.schema.add(v[0], v[1], tuple(v[2]), x.comment or "")
-            elif letter == "#":
-                h.counts[v[0]] = v[1]
+            elif letter in "#@+":
+                {"#": h.counts, "@": h.longest, "+": h.totals}[letter][v[0]] = v[1]
+            elif letter == "%":
+                h.nested[v[0], v[1], v[2]] = v[3]
             elif letter == "!":
                 h.provenance.append(tuple(v[0]))
             elif letter == "<":
@@ -320,13 +387,14 @@ class Parser:
             elif letter == "^":
                 self.at = back
 
-    def lines(self, start: int | None = None, end: int | None = None) -> Iterator[tuple[int, Line]]:
-        """(byte offset, line) of data lines."""
-        self.at = self.header.data_start if start is None else start
-        end = self.header.data_end if end is None else end
-        held = None
+    def lines(self, start: int | None = None, end: int | None = None, last: bool = True) -> Iterator[tuple[int, Line]]:
+        """(byte offset, line) of data lines from start to end; unless last, the final line is kept for the next call,
+        because a comment of it may follow."""
+        self.at = (self.header.data_start if start is None else start) - self.base
+        end = (self.header.data_end if end is None else end) - self.base
+        held, self.held = getattr(self, "held", None), None
         while self.at < end:
-            at = self.at
+            at = self.at + self.base
             x = self._next()
             if x is None:
                 break
@@ -337,8 +405,30 @@ class Parser:
             if held:
                 yield held
             held = (at, x)
-        if held:
+        if last and held:
             yield held
+        elif held:
+            self.held = held
+
+    def read_range(self, file, start: int, end: int, block: int = 8 << 20) -> Iterator[tuple[int, Line]]:
+        """lines() of a byte range of the open file: an ASCII range is read a block of whole lines at a time, a binary
+        one (cut at objects, see OneReader.partitions) at once."""
+        if self.header.binary:
+            file.seek(start)
+            self.data, self.base = file.read(end - start), start
+            yield from self.lines(start, end)
+            return
+        at, rest = start, b""
+        file.seek(start)
+        while at < end or rest:
+            part = file.read(min(block, end - at))
+            at += len(part)
+            data = rest + part
+            cut = data.rfind(b"\n") + 1 if part and at < end else len(data)
+            self.data, self.base, rest = data[:cut], at - len(data), data[cut:]
+            yield from self.lines(self.base, self.base + cut, last=at >= end)
+            if not part:
+                break
 
 
 def letter_of(byte: int) -> str:
@@ -404,45 +494,120 @@ def binary_line(line: Line, kinds: tuple[str, ...]) -> bytes:
     return out
 
 
+class Encoder:
+    """Writes a typed line file line after line: a binary one at once, with counts and index behind the data; the data
+    of an ASCII one into a spare file first, because its counts stand in front."""
+
+    def __init__(self, path: str, schema: Schema, binary: bool = False, header: Header | None = None):
+        self.path, self.schema, self.binary = path, schema, binary
+        self.stats: dict[str, tuple[int, int, int]] = {}
+        h = header or Header(schema)
+        out = [f"1 {len(schema.primary)} {schema.primary} {MAJOR} {MINOR}"]
+        if h.subtype:
+            out.append(f"2 {len(h.subtype)} {h.subtype}")
+        out += [f". {t}" for t in h.text]
+        out += ["! " + _text_value("STRING_LIST", list(p)) for p in h.provenance]
+        out += [f"< {_text_value('STRING', f)} {n}" for f, n in h.references] + [f"> {_text_value('STRING', f)}" for f in h.deferred]
+        for letter, line in schema.lines.items():
+            out.append(f"~ {line.kind} {letter} {_text_value('STRING_LIST', list(line.fields))}" + (f" {line.comment}" if line.comment else ""))
+            out += [f"~ G {m} 0" for m in schema.groups.get(letter, [])]
+        self.head = out
+        self.file = open(path if binary else path + ".data", "wb")
+        if binary:
+            self.file.write("\n".join([*out, "$ 0", ""]).encode("utf-8", "surrogateescape"))
+            self.start = self.file.tell()
+            self.index: dict[str, list[int]] = {}
+
+    def add(self, x: Line) -> None:
+        line = self.schema.lines[x.type]
+        if self.binary:
+            if line.kind == "O":
+                self.index.setdefault(x.type, [self.start]).append(self.file.tell())
+            self.file.write(binary_line(x, line.fields))
+        else:
+            self.file.write(ascii_line(x, line.fields).encode("utf-8", "surrogateescape") + b"\n")
+        n = next((len(v.encode("utf-8", "surrogateescape")) if isinstance(v, str) else len(v) for k, v in zip(line.fields, x.values) if k in LISTS), 0)
+        c, m, t = self.stats.get(x.type, (0, 0, 0))
+        self.stats[x.type] = (c + 1, max(m, n), t + n)
+
+    def close(self) -> None:
+        counts = counts_text(self.stats)
+        if self.binary:
+            self.file.write(footer(self.file.tell(), counts, {k: self.index[k] for k in self.schema.lines if k in self.index}))
+            self.file.close()
+            return
+        self.file.close()
+        with open(self.path, "wb") as f, open(self.path + ".data", "rb") as data:
+            f.write("\n".join([*self.head, *counts, ".", ""]).encode("utf-8", "surrogateescape"))
+            shutil.copyfileobj(data, f)
+        os.remove(self.path + ".data")
+
+
+def counts_text(stats: dict[str, tuple[int, int, int]]) -> list[str]:
+    return [f"{s} {k} {v}" for k, x in sorted(stats.items()) for s, v in zip("#@+", x) if s == "#" or x[1]]
+
+
+def footer(end: int, counts: list[str], index: dict[str, list[int]]) -> bytes:
+    """What follows the data of a binary file whose last byte has offset end - 1."""
+    out = b"\n" + "".join(c + "\n" for c in counts).encode()
+    for k, at in index.items():
+        out += bytes([byte_of("&")]) + k.encode() + varint(len(at)) + compact_ints(at)
+    return out + b"^\n" + struct.pack("<q", end + 1)
+
+
+def encode_file(schema: Schema, lines: Iterable[Line], binary: bool = False, header: Header | None = None) -> bytes:
+    """A whole small file; header gives subtype, provenance, references and deferred files."""
+    with tempfile.TemporaryDirectory() as d:
+        e = Encoder(f"{d}/x", schema, binary, header)
+        for x in lines:
+            e.add(x)
+        e.close()
+        with open(f"{d}/x", "rb") as f:
+            return f.read()
+
+
 def statistics(schema: Schema, lines: Iterable[Line]) -> dict[str, tuple[int, int, int]]:
     """(count, max, total) of list lengths by line type."""
     out: dict[str, tuple[int, int, int]] = {}
     for x in lines:
         kinds = schema.lines[x.type].fields
-        n = next((len(v.encode()) if isinstance(v, str) else len(v) for k, v in zip(kinds, x.values) if k in LISTS), 0)
+        n = next((len(v.encode("utf-8", "surrogateescape")) if isinstance(v, str) else len(v) for k, v in zip(kinds, x.values) if k in LISTS), 0)
         c, m, t = out.get(x.type, (0, 0, 0))
         out[x.type] = (c + 1, max(m, n), t + n)
     return out
 
 
-def encode_file(schema: Schema, lines: list[Line], binary: bool = False, header: Header | None = None) -> bytes:
-    """A whole file; header gives subtype, provenance, references and deferred files."""
-    h = header or Header(schema)
-    out = [f"1 {len(schema.primary)} {schema.primary} {MAJOR} {MINOR}"]
-    if h.subtype:
-        out.append(f"2 {len(h.subtype)} {h.subtype}")
-    out += [f". {t}" for t in h.text]
-    out += ["! " + _text_value("STRING_LIST", list(p)) for p in h.provenance]
-    out += [f"< {_text_value('STRING', f)} {n}" for f, n in h.references] + [f"> {_text_value('STRING', f)}" for f in h.deferred]
-    for letter, line in schema.lines.items():
-        out.append(f"~ {line.kind} {letter} {_text_value('STRING_LIST', list(line.fields))}" + (f" {line.comment}" if line.comment else ""))
-        out += [f"~ G {m} 0" for m in schema.groups.get(letter, [])]
-    stats = statistics(schema, lines)
-    counts = [f"{s} {k} {v}" for k, x in sorted(stats.items()) for s, v in zip("#@+", x) if s == "#" or x[1]]
-    if not binary:
-        return "\n".join([*out, *counts, ".", *(ascii_line(x, schema.lines[x.type].fields) for x in lines)]).encode("utf-8", "surrogateescape") + b"\n"
-    data = bytearray("\n".join([*out, "$ 0", ""]).encode("utf-8", "surrogateescape"))
-    index = {k: [len(data)] for k, x in schema.lines.items() if x.kind == "O" and k in stats}
-    for x in lines:
-        if x.type in index:
-            index[x.type].append(len(data))
-        data += binary_line(x, schema.lines[x.type].fields)
-    data += b"\n"
-    foot = len(data)
-    data += "".join(c + "\n" for c in counts).encode()
-    for k, at in index.items():
-        data += bytes([byte_of("&")]) + k.encode() + varint(len(at)) + compact_ints(at)
-    return bytes(data + b"^\n" + struct.pack("<q", foot))
+def read_header(path: str, type: str | None = None, schema: Schema | None = None) -> Header:
+    """Header, and footer of a binary file, without the data between them."""
+    with open(path, "rb") as f:
+        return Parser(FileBytes(f), type, schema).header
+
+
+def merge_files(parts: list[str], out: str) -> None:
+    """One file of binary parts that were written with the same schema and header, their lines in the order of the parts:
+    data are copied as streams, counts summed, maxima taken, the object index shifted."""
+    heads = [read_header(p) for p in parts]
+    stats: dict[str, tuple[int, int, int]] = {}
+    index: dict[str, list[int]] = {}
+    with open(out + ".tmp", "wb") as f:
+        for path, h in zip(parts, heads):
+            with open(path, "rb") as part:
+                if not f.tell():
+                    f.write(part.read(h.data_start))
+                shift = f.tell() - h.data_start
+                part.seek(h.data_start)
+                left = h.data_end - 1 - h.data_start  # without the empty line that ends the data
+                while left:
+                    data = part.read(min(left, 8 << 20))
+                    f.write(data)
+                    left -= len(data)
+            for k, at in h.index.items():
+                index.setdefault(k, [heads[0].data_start]).extend(x + shift for x in at[1:])
+            for k, n in h.counts.items():
+                c, m, t = stats.get(k, (0, 0, 0))
+                stats[k] = (c + n, max(m, h.longest.get(k, 0)), t + h.totals.get(k, 0))
+        f.write(footer(f.tell(), counts_text(stats), index))
+    os.replace(out + ".tmp", out)
 
 
 def resolve(path: str, type: str | None = None) -> list[str]:
@@ -474,68 +639,102 @@ class OneReader(DataSourceReader):
         self.path, self.type = options["path"], options.get("type")
         self.wanted = set(options["lines"].replace(",", "")) if options.get("lines") else None  # prunes line types
         self.object = options.get("object")  # the object type to number and to split by
-        self.splits = int(options.get("splits", "8"))
+        self.splits, self.split_bytes = int(options.get("splits", "8")), int(options.get("split_bytes", str(64 << 20)))
+        self.first, self.stop = int(options.get("from", "0")), int(options.get("to", "0"))  # objects to read, half-open
         schemas = parse_schemas(options["schema_text"]) if options.get("schema_text") else {}
         self.schema_ = schemas.get(self.type) if self.type else next(iter(schemas.values()), None)
 
-    def _open(self, file: str) -> Parser:
-        with open(file, "rb") as f:
-            return Parser(f.read(), self.type, self.schema_)
-
     def partitions(self):
+        """Binary files are cut at objects; header and footer are all that is read for it. With from and to, only the
+        parts that hold those objects are read at all."""
         out = []
         for file in resolve(self.path, self.type):
-            h = self._open(file).header
+            h = read_header(file, self.type, self.schema_)
             at = h.index.get(self.object or "", [])
-            if h.binary and len(at) > self.splits:
-                cuts = sorted({1 + k * (len(at) - 1) // self.splits for k in range(self.splits)})
-                out.append(_Part(file, h.data_start, at[1], 0))
-                out += [_Part(file, at[a], at[b] if b < len(at) else h.data_end, a - 1) for a, b in zip(cuts, [*cuts[1:], len(at)])]
+            if h.binary and len(at) > 1 and (len(at) > self.splits or self.stop):
+                lo, hi = (max(1, self.first), min(self.stop, len(at))) if self.stop else (1, len(at))
+                splits = max(self.splits, (h.data_end - h.data_start) // self.split_bytes)
+                cuts = sorted({lo + k * (hi - lo) // splits for k in range(splits)}) if hi > lo else []
+                if not self.first:
+                    out.append(_Part(file, h.data_start, at[1], 0))
+                out += [_Part(file, at[a], at[b] if b < len(at) else h.data_end, a - 1) for a, b in zip(cuts, [*cuts[1:], hi])]
             else:
                 out.append(_Part(file, None, None, 0))
         return out
 
     def read(self, part: _Part):
-        p, obj, n = self._open(part.file), part.first, 0
-        letter = self.object or next((k for k, x in p.header.schema.lines.items() if x.kind == "O"), None)
-        for at, x in p.lines(part.start, part.end):
-            n += 1
-            obj += x.type == letter
-            if self.wanted is None or x.type in self.wanted:
-                yield _row(part.file, at if part.start is not None else n, x, p.header.schema.lines[x.type].fields, obj)
+        with open(part.file, "rb") as f:
+            p, obj, n = Parser(FileBytes(f), self.type, self.schema_), part.first, 0
+            p.wanted = self.wanted
+            h = p.header
+            letter = self.object or next((k for k, x in h.schema.lines.items() if x.kind == "O"), None)
+            start, end = (h.data_start, h.data_end) if part.start is None else (part.start, part.end)
+            for at, x in p.read_range(f, start, end):
+                n += 1
+                obj += x.type == letter
+                if (self.wanted is None or x.type in self.wanted) and (part.start is not None or not self.stop or self.first <= obj < self.stop):
+                    yield _row(part.file, at if part.start is not None else n, x, h.schema.lines[x.type].fields, obj)
+
+
+class _Written(WriterCommitMessage):
+    def __init__(self, files: list[tuple[str, str]]):
+        self.files = files
 
 
 class OneWriter(DataSourceWriter):
-    """Each task writes one whole file into the folder, its lines in the order of line_no."""
+    """Each task writes one whole file into a staging folder beside the results, line after line; rows have to come in
+    the order of line_no (sortWithinPartitions). Files appear when the job commits; a failed job leaves none. With
+    single, the parts are joined to one file in their order."""
 
     def __init__(self, options):
-        self.path, self.binary = options["path"], options.get("binary", "false") == "true"
+        self.path, self.binary, self.single = options["path"], options.get("binary", "false") == "true", options.get("single", "false") == "true"
         schemas = parse_schemas(options["schema_text"])
         self.schema = schemas[options["type"]] if options.get("type") else next(iter(schemas.values()))
+        self.header = Header(self.schema, references=[(name, k + 1) for k, name in enumerate(filter(None, options.get("references", "").split(",")))])
+        self.staging = f"{self.path}/_staging-{uuid.uuid4().hex}"
+        if self.single and not self.binary:
+            raise ValueError("only binary parts are joined")
 
     def write(self, rows) -> WriterCommitMessage:
         from pyspark import TaskContext
 
-        lines = []
-        for r in sorted(rows, key=lambda r: (r.line_no is None, r.line_no or 0)):
-            values, kinds = [], self.schema.lines[r.type].fields
+        context, encoder, before = TaskContext.get(), None, None
+        name = f"part-{context.partitionId():05d}.1{self.schema.primary}"
+        place = f"{self.staging}/{name}-{context.taskAttemptId()}"
+        for r in rows:
+            if encoder is None:
+                os.makedirs(self.staging, exist_ok=True)
+                encoder = Encoder(place, self.schema, self.binary, self.header)
+            if before is not None and r.line_no is not None and r.line_no < before:
+                raise ValueError("rows are not in the order of line_no: sortWithinPartitions('line_no')")
+            before, values, kinds = r.line_no, [], self.schema.lines[r.type].fields
             for k, f in zip(kinds, r.fields):
                 values.append({"INT": f.i, "REAL": f.r, "CHAR": f.c, "STRING": r.list_str, "DNA": r.list_str, "INT_LIST": r.list_int, "REAL_LIST": r.list_real, "STRING_LIST": r.list_strs}[k])
-            lines.append(Line(r.type, values, r.comment))
-        if lines:
-            os.makedirs(self.path, exist_ok=True)
-            name = f"{self.path}/part-{TaskContext.get().partitionId():05d}.1{self.schema.primary}"
-            with open(name + ".tmp", "wb") as f:
-                f.write(encode_file(self.schema, lines, self.binary))
-            os.replace(name + ".tmp", name)
-        return WriterCommitMessage()
+            encoder.add(Line(r.type, values, r.comment))
+        if encoder is None:
+            return _Written([])
+        encoder.close()
+        return _Written([(place, name)])
+
+    def commit(self, messages) -> None:
+        files = sorted((f for m in messages if m is not None for f in m.files), key=lambda f: f[1])
+        if self.single and files:
+            merge_files([place for place, _ in files], f"{self.path}/all.1{self.schema.primary}")
+        else:
+            for place, name in files:
+                os.replace(place, f"{self.path}/{name}")
+        shutil.rmtree(self.staging, ignore_errors=True)
+
+    def abort(self, messages) -> None:
+        shutil.rmtree(self.staging, ignore_errors=True)
 
 
 class OneSource(DataSource):
     """spark.dataSource.register(OneSource); spark.read.format("one").load(path).
 
-    Options: type and schema_text (needed for headerless files), lines (letters to keep), object (type to number and
-    split by), splits; for writing: schema_text, type, binary. The path has to be mounted on the executors.
+    Options: type and schema_text (needed for headerless files), lines (letters to keep; lists of others are never
+    decoded), object (type to number and split by), from and to (its ordinals to read, half-open), splits and split_bytes;
+    for writing: schema_text, type, binary, references, single. The path has to be mounted on the executors.
     """
 
     @classmethod
