@@ -32,36 +32,76 @@ for _k, _c in enumerate("acgt"):
     _CODE[[ord(_c), ord(_c.upper())]] = _k
 
 
-def distance(s1: str, s2: str, costs: Costs = Costs()) -> tuple[int, int]:
-    """(score, end): the least cost; circular alignment starts anywhere on the shorter sequence and wraps around its
-    end, and end is the first column with the least cost (0 otherwise, and 0 if none is below three per base)."""
-    if len(s2) > len(s1):
-        s1, s2 = s2, s1
-    a, b = (_CODE[np.frombuffer(s.encode("latin-1", "replace"), np.uint8)] for s in (s1, s2))
-    n, gap, matrix = len(b), costs.gap, costs.matrix()
-    if not n:
-        return len(a) * gap if not costs.loop else min(3, gap) * len(a), 0
-    ramp = gap * np.arange(n + 1)
-    last = np.zeros(n + 1, np.int64) if costs.loop else ramp.astype(np.int64)
-    by_letter = matrix[:, b]
-    row = np.empty(n + 1, np.int64)
-    for i, letter in enumerate(a.tolist(), 1):
-        c = by_letter[letter]
-        row[0] = min(last[n - 1] + c[n - 1], gap + last[n]) if costs.loop else i * gap
-        np.minimum(last[:-1] + c, last[1:] + gap, out=row[1:])
-        last = np.minimum.accumulate(row - ramp) + ramp  # gaps along the row: a running minimum
+#: Cells of a row of the tables that are filled at once.
+CELLS = 1 << 21
+
+
+def _codes(texts: list[str], fill: int) -> np.ndarray:
+    out = np.full((len(texts), max(map(len, texts), default=0)), fill, np.uint8)
+    for k, s in enumerate(texts):
+        out[k, : len(s)] = _CODE[np.frombuffer(s.encode("latin-1", "replace"), np.uint8)]
+    return out
+
+
+def _block(longer: list[str], shorter: list[str], costs: Costs) -> tuple[np.ndarray, np.ndarray]:
+    """(scores, ends) of pairs, one row of every pair's table at a time. Cells behind a pair's own width never reach
+    those inside it, and a pair whose letters are used up keeps its last row."""
+    m, n = np.array([len(s) for s in longer]), np.array([len(s) for s in shorter])
+    a, b, gap, at = _codes(longer, 4), _codes(shorter, 4), costs.gap, np.arange(len(m))
+    cost, wide = costs.matrix().astype(np.int32), b.shape[1]
+    ramp = (gap * np.arange(wide + 1)).astype(np.int32)
+    last = np.zeros((len(m), wide + 1), np.int32) if costs.loop else np.repeat(ramp[None], len(m), 0)
+    row = np.empty_like(last)
+    for i in range(a.shape[1]):
+        c = cost[a[:, i : i + 1], b]
+        row[:, 0] = np.minimum(last[at, n - 1] + c[at, n - 1], gap + last[at, n]) if costs.loop else (i + 1) * gap
+        np.minimum(last[:, :-1] + c, last[:, 1:] + gap, out=row[:, 1:])
+        now = np.minimum.accumulate(row - ramp, axis=1) + ramp  # gaps along the row: a running minimum
+        last = np.where((i < m)[:, None], now, last)
     if not costs.loop:
-        return int(last[n]), 0
-    k = int(last[:n].argmin())
-    return (int(last[k]), k) if last[k] < 3 * len(a) else (3 * len(a), 0)
+        return last[at, n], np.zeros(len(m), np.int64)
+    inside = np.where(np.arange(wide + 1) < n[:, None], last, np.iinfo(np.int32).max)
+    end = inside.argmin(1)
+    score, most = inside[at, end], 3 * m
+    return np.where(score < most, score, most), np.where(score < most, end, 0)
+
+
+def distances(s1: list[str], s2: list[str], costs: Costs = Costs()) -> tuple[list[int], list[int]]:
+    """(scores, ends): the least cost of each pair; circular alignment starts anywhere on the shorter sequence and wraps
+    around its end, and end is the first column with the least cost (0 otherwise, and 0 if none is below three per
+    base). Pairs are aligned many at a time, those of like lengths together."""
+    turned = [(x, y) if len(x) >= len(y) else (y, x) for x, y in zip(s1, s2, strict=True)]
+    score, end = [0] * len(turned), [0] * len(turned)
+    order = sorted(range(len(turned)), key=lambda k: (len(turned[k][1]), len(turned[k][0])))
+    while order and not turned[order[0]][1]:
+        k = order.pop(0)
+        score[k] = len(turned[k][0]) * (min(3, costs.gap) if costs.loop else costs.gap)
+    at = 0
+    while at < len(order):
+        many = max(1, CELLS // (len(turned[order[min(len(order), at + 256) - 1]][1]) + 1))
+        part = order[at : at + min(many, 1 << 14)]
+        while len(part) > 1 and len(part) * (len(turned[part[-1]][1]) + 1) > CELLS:
+            part = part[: len(part) // 2]
+        got = _block([turned[k][0] for k in part], [turned[k][1] for k in part], costs)
+        for k, v, e in zip(part, got[0].tolist(), got[1].tolist()):
+            score[k], end[k] = v, e
+        at += len(part)
+    return score, end
+
+
+def distance(s1: str, s2: str, costs: Costs = Costs()) -> tuple[int, int]:
+    """(score, end) of one pair, see distances()."""
+    score, end = distances([s1], [s2], costs)
+    return score[0], end[0]
 
 
 def distance_udf(costs: Costs = Costs()):
-    """(s1, s2) -> struct(score, end)."""
+    """(s1, s2) -> struct(score, end), whole Arrow batches at a time."""
 
     @F.pandas_udf("score int, end int")
     def nw(s1: pd.Series, s2: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([distance(x, y, costs) for x, y in zip(s1, s2)], columns=["score", "end"])
+        score, end = distances(s1.tolist(), s2.tolist(), costs)
+        return pd.DataFrame({"score": score, "end": end})
 
     return nw
 
@@ -98,8 +138,8 @@ def threshold(factor: float, len_i: Column, len_j: Column) -> Column:
 
 
 def random_sequences(spark, n: int, length: int, seed: int = 1) -> DataFrame:
-    """(seq_id, s): reproducible pseudo-random sequences from hashes of id and position."""
-    base = lambda k: F.element_at(F.array(*map(F.lit, "acgt")), (F.pmod(F.xxhash64("id", k, F.lit(seed)), F.lit(4)) + 1).cast("int"))
+    """(seq_id, s): reproducible pseudo-random sequences, each base by the first digit of md5("id:place:seed")."""
+    base = lambda k: F.translate(F.substring(F.md5(F.concat_ws(":", F.col("id").cast("string"), k.cast("string"), F.lit(str(seed)))), 1, 1), "0123456789abcdef", "acgt" * 4)
     return spark.range(n).select(F.col("id").alias("seq_id"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(length)), base), "").alias("s"))
 
 

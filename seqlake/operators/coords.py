@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqlake.operators.ordinal import dense_ordinal
+
 
 def contig_table(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(scaffold, contig) tables from lines (seq, ord, typ, len, name) of types S, G and C: S names a scaffold, G is a gap
@@ -35,9 +37,12 @@ def gaps(contigs: DataFrame, scaffolds: DataFrame | None = None) -> DataFrame:
     return before.where("gap > 0")
 
 
-def dimension(df: DataFrame, bytes_each: int = 64, most: int = 256 << 20) -> DataFrame:
-    """Marks a dimension table for broadcast if its counted size is within bounds; larger ones are joined by shuffle."""
-    return F.broadcast(df) if df.count() * bytes_each <= most else df
+def dimension(df: DataFrame, most: int = 128 << 20) -> DataFrame:
+    """Marks a dimension table for broadcast if its rows, counted and measured, are within bounds; larger ones are
+    joined by shuffle."""
+    texts = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema.fields if f.dataType.simpleString() in ("string", "binary")]
+    n, size = df.agg(F.count("*"), F.coalesce(F.sum(sum(texts, F.lit(0))), F.lit(0))).first()
+    return F.broadcast(df) if n * (32 + 16 * len(df.columns)) + size <= most else df
 
 
 def lift(rows: DataFrame, contigs: DataFrame, *coords: str) -> DataFrame:
@@ -86,3 +91,9 @@ def name_and_length_mismatches(sequences: DataFrame, scaffolds: DataFrame) -> Da
     """Sequences whose name the scaffolds lack or whose length differs."""
     j = sequences.join(scaffolds.withColumnRenamed("len", "scaffold_len"), "name", "left")
     return j.where(~F.coalesce(F.col("len") == F.col("scaffold_len"), F.lit(False)))
+
+
+def name_dictionary(rows: DataFrame, name: str, order: str) -> DataFrame:
+    """(name, id): names numbered from 0 in the order in which they first occur (by an integer column), densely."""
+    first = rows.groupBy(name).agg(F.min(order).alias("__first"))
+    return dense_ordinal(first, F.floor(F.col("__first") / (1 << 14)), ["__first", name], "id", 0).select(F.col(name).alias("name"), F.col("id").cast("long").alias("id"))

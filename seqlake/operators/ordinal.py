@@ -67,3 +67,17 @@ def count_until_next(lines: DataFrame, group_type: str, member_type: str, type_c
     """Member lines of each group object, up to the next group object."""
     g = object_ordinal(lines, group_type, type_col, order, "grp").where("grp > 0")
     return g.groupBy("grp").agg(F.sum(F.when(F.col(type_col) == member_type, 1).otherwise(0)).alias("n"))
+
+
+def contained_lines(lines: DataFrame, letters: set[str], type_col: str = "typ") -> DataFrame:
+    """Lines of the types that an object type contains (Schema.contained())."""
+    return lines.where(F.col(type_col).isin(*sorted(letters))).select("line_no", type_col)
+
+
+def concatenate(shards: Sequence[DataFrame], bucket: Column, order: Sequence[str], name: str) -> DataFrame:
+    """Shards one behind the other, each in the order given: adds shard (its number) and name (1, 2, ... through all)."""
+    numbered = [s.withColumn("shard", F.lit(k)) for k, s in enumerate(shards)]
+    whole = numbered[0]
+    for s in numbered[1:]:
+        whole = whole.unionByName(s)
+    return dense_ordinal(whole, F.struct("shard", bucket.alias("b")), ["shard", *order], name)

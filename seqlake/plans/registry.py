@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from seqlake.functions import sequence as sq
 from seqlake.operators import align, cluster, coords, ordinal, sv, tandem
 from seqlake.plans.proxies import table, view, with_views
+from seqlake.sources.oneschema import parse_schemas
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -23,8 +24,6 @@ SV = f"""select i.aread a, i.bread b, i.comp, case when i.comp=0 then i.ae else
     from (select *, {OVL} sz from px_ovl) i join (select *, {OVL} sz from px_ovl) j on i.aread=j.aread and i.bread=j.bread and i.comp=j.comp
     and j.bb between i.be-50 and i.be+50 and i.sz>=1000 and j.sz>=1000
     where (case when i.comp=0 then j.ab-i.ae else i.ab-j.ae end) > 0 and (case when i.comp=0 then j.ab-i.ae else i.ab-j.ae end) < {{size}}"""
-SMALL = sv.SvOptions(max_size=5000)
-LINK = "levenshtein(x.s,y.s)<=14"
 
 
 def query(name: str, oracle: str | None, *views: str):
@@ -64,9 +63,9 @@ def _(spark, d):
     return view(spark, d, "px_tan").groupBy(tandem.score(F.col("diffs"), F.col("fin") - F.col("beg")).alias("score")).agg(F.count("*").alias("n"))
 
 
-@query("p01_contig_to_scaffold", "select ctg, seq from px_contig", "px_contig")
+@query("p01_contig_to_scaffold", "select t.ctg, t.beg, t.fin, t.unit, c.seq from px_tan t join px_contig c using (ctg)", "px_tan", "px_contig")
 def _(spark, d):
-    return view(spark, d, "px_contig").select("ctg", "seq")
+    return coords.lift(view(spark, d, "px_tan"), view(spark, d, "px_contig")).select("ctg", "beg", "fin", "unit", "seq")
 
 
 @query("w01_contig_pos", "select ctg, seq, len, pos from px_contig", "px_contig")
@@ -97,11 +96,12 @@ def _(spark, d):
     return view(spark, d, "px_seq").agg(F.max(F.length("dna")).cast("long").alias("len"))
 
 
-@query("j01_name_lookup", "select s_suppkey as ctg, n_nationkey as seq from supplier join nation on s_nationkey=n_nationkey where n_name is not null")
+@query("j01_name_lookup", """with names as (select o_orderpriority as name, min(o_orderkey) first from orders group by 1), dict as (select name, row_number() over (order by first, name)-1 as id from names)
+    select o_orderkey, cast(id as bigint) as id from orders join dict on o_orderpriority=name""")
 def _(spark, d):
-    names = table(spark, d, "nation").select(F.col("n_nationkey").alias("seq"), "n_name")
-    rows = table(spark, d, "supplier").join(names.withColumnRenamed("seq", "s_nationkey"), "s_nationkey").select(F.col("s_suppkey").alias("ctg"), "n_name")
-    return rows.join(coords.dimension(names), "n_name").select("ctg", "seq")
+    o = table(spark, d, "orders").select("o_orderkey", F.col("o_orderpriority").alias("name"))
+    names = coords.name_dictionary(o, "name", "o_orderkey")
+    return o.join(coords.dimension(names), "name").select("o_orderkey", "id")
 
 
 @query("j09_unknown_names", "select count(*) as n from supplier where s_nationkey not in (select n_nationkey from nation where n_nationkey%2=0)")
@@ -131,11 +131,11 @@ def _(spark, d):
     return coords.name_and_length_mismatches(s, s.where("name % 5 <> 0").select("name", (F.col("len") - F.col("name") % 3).alias("len"))).agg(F.count("*").alias("n"))
 
 
-MASK = f"select seq, sbeg s, sbeg+(send-sbeg)*300 e from ({LIFT}) where ctg%3=0"
+MASK = f"select seq, sbeg s, sbeg+(send-sbeg)*300 e from ({LIFT})"
 
 
 def _bed(spark, d):
-    return lifted(spark, d).where("ctg % 3 = 0").select("seq", F.col("beg").alias("start"), (F.col("beg") + (F.col("fin") - F.col("beg")) * 300).alias("end"))
+    return lifted(spark, d).select("seq", F.col("beg").alias("start"), (F.col("beg") + (F.col("fin") - F.col("beg")) * 300).alias("end"))
 
 
 @query("j10_mask_project", f"select ctg, greatest(s,pos)-pos as start, least(e,pos+len)-pos as \"end\" from ({MASK}) m join px_contig c on m.seq=c.seq and s<pos+len and e>pos", "px_tan", "px_contig")
@@ -161,16 +161,15 @@ def _(spark, d):
     return table(spark, d, "documents").select("doc_id", sq.dna_text(F.col("text")).alias("dna"), sq.to_index(F.col("text")).alias("idx"))
 
 
-@query("f05_first_mismatch", """select seq_id, coalesce((select min(i) from range(0,64) r(i) where substring(dna,cast(i+1 as integer),1)<>substring(dna,cast(i+2 as integer),1) and i < least(length(dna)-1,64)),0) as pos from px_seq where length(dna)>64""", "px_seq")
+@query("f05_first_mismatch", "select seq_id, greatest(coalesce(list_position(list_transform(list_zip(string_split(dna,''),string_split(reverse(dna),'')), lambda p: p[1]<>p[2]), true),0)-1,0) as pos from px_seq", "px_seq")
 def _(spark, d):
-    s = view(spark, d, "px_seq").where("length(dna) > 64")
-    return s.select("seq_id", sq.first_mismatch(F.substring("dna", 1, 64), F.substring("dna", 2, 64)).cast("long").alias("pos"))
+    return view(spark, d, "px_seq").select("seq_id", sq.first_mismatch(F.col("dna"), F.reverse("dna")).cast("long").alias("pos"))
 
 
-@query("f06_qual_pack", "select seq_id, list_transform(range(1,21), lambda k: case when ascii(substring(dna,cast(k as integer),1))>=103 then 1 else 0 end) as bits from px_seq where length(dna)>=20", "px_seq")
+@query("f06_qual_pack", "select seq_id, translate(dna,'acgt','0011') as bits from px_seq", "px_seq")
 def _(spark, d):
-    q = F.transform(F.sequence(F.lit(1), F.lit(20)), lambda k: F.ascii(F.substr("dna", k, F.lit(1))))
-    return view(spark, d, "px_seq").where("length(dna) >= 20").select("seq_id", sq.quality_bits(q, 103).alias("bits"))
+    q = F.transform(F.filter(F.split("dna", ""), lambda c: c != ""), F.ascii)
+    return view(spark, d, "px_seq").select("seq_id", F.array_join(F.transform(sq.quality_bits(q, 103), lambda b: b.cast("string")), "").alias("bits"))
 
 
 @query("f07_substring", "select seq_id, substring(dna, cast(seq_id%50+1 as integer), 25) as part from px_seq", "px_seq")
@@ -199,13 +198,18 @@ def _(spark, d):
     return table(spark, d, "part").select("p_partkey", sq.leading_integer(F.concat(F.col("p_size").cast("string"), F.lit(" bp"))).alias("unit"))
 
 
-@query("s24_contig_runs", "select seq_id, len(regexp_extract_all(translate(dna,'c','n'),'[ACGTacgt]+')) as n_runs, cast(list_sum(list_transform(regexp_extract_all(translate(dna,'c','n'),'[ACGTacgt]+'), lambda r: length(r))) as bigint) as bases from px_seq where length(dna)>0", "px_seq")
+@query("s24_contig_runs", "select seq_id, cast(len(regexp_extract_all(translate(dna,'c','n'),'[ACGTacgt]+')) as bigint) as n_runs, length(replace(dna,'c','')) as bases, coalesce(length(regexp_extract(translate(dna,'c','n'),'^[^ACGTacgt]*')),0) as first, coalesce(list_max(list_transform(regexp_extract_all(translate(dna,'c','n'),'[ACGTacgt]+'), lambda r: length(r))),0) as longest from px_seq", "px_seq")
 def _(spark, d):
-    runs = view(spark, d, "px_seq").where("length(dna) > 0").select("seq_id", F.posexplode_outer(F.regexp_extract_all(F.translate("dna", "c", "n"), F.lit("([ACGTacgt]+)"), F.lit(1))).alias("k", "run"))
-    return runs.groupBy("seq_id").agg(F.count("run").alias("n_runs"), F.sum(F.length("run")).alias("bases"))
+    r = view(spark, d, "px_seq").select("seq_id", "dna", sq.contig_runs(F.translate("dna", "c", "n")).alias("r"))
+    sizes = F.transform("r", lambda x: F.length(x.run).cast("long"))
+    first = F.coalesce(F.get("r", F.lit(0)).getField("pos"), F.length("dna").cast("long"))  # a sequence without a run ends before its first
+    return r.select("seq_id", F.size("r").cast("long").alias("n_runs"), F.aggregate(sizes, F.lit(0).cast("long"), lambda a, x: a + x).alias("bases"), first.alias("first"), F.coalesce(F.array_max(sizes), F.lit(0)).alias("longest"))
 
 
-@query("s26_random_sequences", None)
+RANDOM = "select id seq_id, string_agg(translate(substring(md5(id||':'||k||':1'),1,1),'0123456789abcdef','acgtacgtacgtacgt'),'' order by k) s from range(0,{n}) a(id), range(1,{size}) b(k) group by id"
+
+
+@query("s26_random_sequences", RANDOM.format(n=50, size=101))
 def _(spark, d):
     return align.random_sequences(spark, 50, 100)
 
@@ -217,10 +221,10 @@ def _(spark, d):
 
 @query("w08_runs", """select seq_id, count(*) as n_runs, max(n) as longest from (select seq_id, g, count(*) n from (
     select seq_id, i, sum(f) over (partition by seq_id order by i) g from (select seq_id, i, case when c is distinct from lag(c) over (partition by seq_id order by i) then 1 else 0 end f
-    from (select seq_id, i, substring(dna,cast(i as integer),1) c from (select seq_id, dna, unnest(range(1,length(dna)+1)) i from px_seq where length(dna) between 1 and 2000)))) group by 1,2) group by 1""", "px_seq")
+    from (select seq_id, unnest(string_split(dna,'')) c, unnest(range(1,length(dna)+1)) i from px_seq where length(dna)>0))) group by 1,2) group by 1""", "px_seq")
 def _(spark, d):
-    r = view(spark, d, "px_seq").where("length(dna) between 1 and 2000").select("seq_id", sq.symbol_runs(F.col("dna")).alias("r"))
-    return r.select("seq_id", F.size("r").cast("long").alias("n_runs"), F.array_max(F.transform("r", F.length)).cast("long").alias("longest"))
+    r = view(spark, d, "px_seq").where("length(dna) > 0").select("seq_id", F.transform(sq.symbol_runs(F.col("dna")), F.length).alias("r"))
+    return r.select("seq_id", F.size("r").cast("long").alias("n_runs"), F.array_max("r").cast("long").alias("longest"))
 
 
 GREEDY = f"""lift as (select seq, sbeg s, send e, unit, row_number() over (partition by seq order by sbeg, send, unit) rn from ({LIFT})),
@@ -244,19 +248,19 @@ def _(spark, d):
     return size.join(less, "seq", "left").select("seq", (F.col("len") - F.coalesce("less", F.lit(0))).alias("len"))
 
 
-ARR = "select event_id%97 seq, (event_id*37)%1200 s, (event_id*37)%1200+10+event_id%40 e, 3+event_id%5 unit from events where event_id%50=0"
+ARR = "select event_id%997 seq, (event_id*37)%12000 s, (event_id*37)%12000+10+event_id%40 e, 3+event_id%5 unit from events"
 
 
 @query("f08_splice", f""", lift as (select *, row_number() over (partition by seq order by s,e,unit) rn from ({ARR})),
     acc as (select seq, rn, e from lift where rn=1 union all select seq, n.rn, n.e from (select a.seq, min(struct_pack(rn:=l.rn, e:=l.e)) n from acc a join lift l on l.seq=a.seq and l.s>=a.e group by a.seq)),
     ok as (select l.*, row_number() over (partition by l.seq order by l.rn) k, lag(l.e,1,0) over (partition by l.seq order by l.rn) pe from acc join lift l using (seq, rn)),
-    parts as (select seq, string_agg(substring(dna,cast(pe+1 as integer),cast(s-pe as integer))||substring(dna,cast(s+1 as integer),cast(unit as integer)),'' order by k) p, max(e) e from ok join px_seq on seq=seq_id where e<=length(dna) or true group by seq)
-    select seq_id as seq, coalesce(p||substring(dna,cast(e+1 as integer)),dna) as dna from px_seq left join parts on seq=seq_id where length(dna)>1300""", "px_seq")
+    parts as (select seq, string_agg(substring(dna,cast(pe+1 as integer),cast(s-pe as integer))||substring(dna,cast(s+1 as integer),cast(unit as integer)),'' order by k) p, max(e) e from ok join px_seq on seq=seq_id group by seq)
+    select seq_id as seq, coalesce(p||substring(dna,cast(e+1 as integer)),dna) as dna from px_seq left join parts on seq=seq_id""", "px_seq")
 def _(spark, d):
-    e = table(spark, d, "events").where("event_id % 50 = 0")
-    s = (F.col("event_id") * 37) % 1200
-    arr = e.select((F.col("event_id") % 97).alias("seq"), s.alias("start"), (s + 10 + F.col("event_id") % 40).alias("end"), (3 + F.col("event_id") % 5).alias("unit"))
-    return tandem.splice(view(spark, d, "px_seq").where("length(dna) > 1300").withColumnRenamed("seq_id", "seq"), tandem.greedy(arr))
+    e = table(spark, d, "events")
+    s = (F.col("event_id") * 37) % 12000
+    arr = e.select((F.col("event_id") % 997).alias("seq"), s.alias("start"), (s + 10 + F.col("event_id") % 40).alias("end"), (3 + F.col("event_id") % 5).alias("unit"))
+    return tandem.splice(view(spark, d, "px_seq").withColumnRenamed("seq_id", "seq"), tandem.greedy(arr))
 
 
 STEP = "select arr, p from (select arr, p, lead(p) over (partition by arr order by p)-p d from px_step) where d=20"
@@ -335,17 +339,45 @@ def _(spark, d):
     return view(spark, d, "px_ovl").select("aread", "bread", "comp", "bb", "ab", F.least(a, b).alias("size"), F.abs(a - b).alias("unequal"))
 
 
-TERM = "substring(txt, cast(least(b_match_begin,b_match_end)%10000+1 as integer), cast(abs(b_match_begin-b_match_end)+60 as integer))"
+#: Places on the texts of px_ref, which are shorter than the coordinates.
+TERM_AT, INS_AT = "(least(b_match_begin,b_match_end)%60000)", "(a_begin%60000+30)"
+TERM = f"substring(txt, cast({TERM_AT}+1 as integer), cast(abs(b_match_begin-b_match_end)+60 as integer))"
+TERM_SEQ = f"case when comp=0 then {TERM} else reverse(translate({TERM},'acgt','tgca')) end"
+
+
+@query("j04_term_seq", f"select a,b,comp,a_begin,a_end,b_match_begin,b_match_end, {TERM_SEQ} as term_seq from ({SV.format(size=50000)}) join px_ref on ctg=b", "px_ovl", "px_seq", "px_part", "px_ref")
+def _(spark, d):
+    rows = sv.insertions(view(spark, d, "px_ovl")).drop("lflank", "rflank")
+    return sv.with_terminal(rows, sv.chunks(view(spark, d, "px_ref"), 160, 4096), fold=F.expr(TERM_AT), size=4096)
+
+
+@query("j05_ins_seq", f"select a,b,comp,a_begin,a_end,b_match_begin,b_match_end, substring(txt,cast({INS_AT}+1 as integer),cast(a_end-a_begin as integer)) as ins_seq from ({SV.format(size=50000)}) join px_ref on ctg=a", "px_ovl", "px_seq", "px_part", "px_ref")
+def _(spark, d):
+    rows = sv.insertions(view(spark, d, "px_ovl")).drop("lflank", "rflank")
+    return sv.with_insert(rows, sv.chunks(view(spark, d, "px_ref"), 50060), fold=F.expr(INS_AT))
+
+
+@query("k13_variants", f"""select an.name||':'||(an.pos+a_begin)||'-'||(an.pos+a_end)||'_'||bn.name||':'||(bn.pos+b_match_begin)||'-'||(bn.pos+b_match_end) as id,
+    an.name as a_name, an.pos+a_begin as a_start, an.pos+a_end as a_stop, bn.name as b_name, bn.pos+b_match_begin as b_start, bn.pos+b_match_end as b_stop, comp, lflank, rflank, lext, rext,
+    (select {TERM_SEQ} from px_ref where ctg=b) as term_seq, (select substring(txt,cast({INS_AT}-lext+1 as integer),cast(a_end-a_begin+lext+rext as integer)) from px_ref where ctg=a) as ins_seq
+    from (select *, least(a_begin,30) lext, least(2100000-a_end,30) rext from ({SV.format(size=50000)})
+    qualify row_number() over (partition by a,a_begin,a_end order by b,comp,b_match_begin,b_match_end,lflank,rflank)=1) v join px_scaf an on an.ctg=v.a join px_scaf bn on bn.ctg=v.b""", "px_ovl", "px_seq", "px_part", "px_ref", "px_scaf")
+def _(spark, d):
+    ref, scaf = view(spark, d, "px_ref"), view(spark, d, "px_scaf")
+    parts = sv.chunks(ref, 50060)
+    return sv.variants(view(spark, d, "px_ovl"), parts, parts, scaf, scaf, fold_a=F.expr(INS_AT), fold_b=F.expr(TERM_AT))
 
 
-@query("j04_term_seq", f"select a,b,comp,a_begin,a_end,b_match_begin,b_match_end, case when comp=0 then {TERM} else reverse(translate({TERM},'acgt','tgca')) end as term_seq from ({SV.format(size=5000)}) join px_ref on ctg=b", "px_ovl", "px_ref")
+@query("o03_variant_order", f"select a,b,a_begin,a_end,b_match_begin,b_match_end,comp, row_number() over (order by a,a_begin,a_end,b,comp,b_match_begin,b_match_end) as place from ({SV.format(size=50000)})", "px_ovl")
 def _(spark, d):
-    return sv.with_terminal(sv.insertions(view(spark, d, "px_ovl"), SMALL).drop("lflank", "rflank"), view(spark, d, "px_ref"), modulo=10000)
+    rows = sv.insertions(view(spark, d, "px_ovl")).drop("lflank", "rflank")
+    return ordinal.dense_ordinal(rows, F.col("a") * (1 << 20) + F.floor(F.col("a_begin") / 4096), ["a", "a_begin", "a_end", "b", "comp", "b_match_begin", "b_match_end"], "place")
 
 
-@query("j05_ins_seq", f"select a,b,comp,a_begin,a_end,b_match_begin,b_match_end, substring(txt,cast(a_begin%10000+1 as integer),cast(a_end-a_begin as integer)) as ins_seq from ({SV.format(size=5000)}) join px_ref on ctg=a", "px_ovl", "px_ref")
+@query("k19_variant_counts", f"select comp, count(*) as n, count(distinct a||':'||a_begin||'-'||a_end) as places, cast(sum(a_end-a_begin) as bigint) as bases from ({SV.format(size=50000)}) group by comp", "px_ovl")
 def _(spark, d):
-    return sv.with_insert(sv.insertions(view(spark, d, "px_ovl"), SMALL).drop("lflank", "rflank"), view(spark, d, "px_ref"), modulo=10000)
+    rows = sv.insertions(view(spark, d, "px_ovl"))
+    return rows.groupBy("comp").agg(F.count("*").alias("n"), F.countDistinct("a", "a_begin", "a_end").alias("places"), F.sum(F.col("a_end") - F.col("a_begin")).alias("bases"))
 
 
 @query("u01_self_union", "select aread,bread,comp,bb,be,ab,ae from px_ovl union all select bread,aread,comp,ab,ae,bb,be from px_ovl", "px_ovl")
@@ -392,40 +424,65 @@ def _(spark, d):
     return align.score_pairs(view(spark, d, "px_short"), align.Costs(1, 1, 1)).select("i", "j", "score", "strand")
 
 
-@query("k14_pair_scores", None)
+#: Weighted distance of pairs (i, j, p, q), p the longer: a row of the table a step, gaps along it by a running minimum.
+COST = "case when substring(p,cast(k+1 as integer),1)=substring(q,cast(c as integer),1) then 0 when substring(p,cast(k+1 as integer),1)||substring(q,cast(c as integer),1) in ('ag','ga','ct','tc') then 1 else 2 end"
+
+
+def nw_rows(name: str, pairs: str, loop: bool) -> str:
+    """CTEs: {name}_r with the rows of each pair's table, {name} with (i, j, score, ends)."""
+    edge = COST.replace("substring(q,cast(c as integer),1)", "substring(q,cast(length(q) as integer),1)")
+    left = f"least(prev[length(q)]+{edge}, 3+prev[length(q)+1])" if loop else "(k+1)*3"
+    start = "list_transform(range(0,length(q)+1), lambda x: 0)" if loop else "list_transform(range(0,length(q)+1), lambda x: 3*x)"
+    best = "list_min(prev[1:length(q)])" if loop else "prev[length(q)+1]"
+    ends = f"case when {best} < 3*length(p) then list_position(prev[1:length(q)], {best})-1 else 0 end" if loop else "0"
+    score = f"least({best}, 3*length(p))" if loop else best
+    return f""", {name}_p as ({pairs}), {name}_r as (select i, j, p, q, cast(0 as bigint) k, cast({start} as bigint[]) prev from {name}_p union all
+        select i, j, any_value(p), any_value(q), any_value(k)+1, list(cast(m+3*c as bigint) order by c) from (select i, j, p, q, k, c, min(t-3*c) over (partition by i, j order by c) m from (
+        select i, j, p, q, k, c, case when c=0 then {left} else least(prev[c]+{COST}, 3+prev[c+1]) end t from (select *, unnest(range(0,length(q)+1)) c from {name}_r where k<length(p)))) group by i, j),
+    {name} as (select i, j, cast({score} as integer) score, cast({ends} as integer) ends from {name}_r where k=length(p))"""
+
+
+LONGER = "case when length(y.s)>length(x.s) then y.s else x.s end p, case when length(y.s)>length(x.s) then x.s else y.s end q"
+REVERSE = "(select seq_id, reverse(translate(s,'acgt','tgca')) s, length(s) n from px_name)"
+FORWARD_PAIRS = f"select x.seq_id i, y.seq_id j, {LONGER} from px_name x join px_name y on x.seq_id<y.seq_id"
+REVERSE_PAIRS = f"select x.seq_id i, y.seq_id j, {LONGER} from px_name x join {REVERSE} y on x.seq_id<y.seq_id"
+BOTH = "select i, x.len as len_i, j, y.len as len_j, least(f.score,r.score) as score, case when f.score<=r.score then '+' else '-' end as strand, case when f.score<=r.score then f.ends else r.ends end as end_col from f join r using (i,j) join (select seq_id, cast(length(s) as integer) len from px_name) x on x.seq_id=i join (select seq_id, cast(length(s) as integer) len from px_name) y on y.seq_id=j"
+
+
+@query("k14_pair_scores", nw_rows("f", FORWARD_PAIRS, False) + nw_rows("r", REVERSE_PAIRS, False) + " " + BOTH, "px_name")
 def _(spark, d):
-    return align.score_pairs(view(spark, d, "px_short"))
+    return align.score_pairs(view(spark, d, "px_name"))
 
 
-@query("f20_nw_default", None)
+@query("f20_nw_default", nw_rows("f", FORWARD_PAIRS, False) + " select i, j, score from f", "px_name")
 def _(spark, d):
-    return align.pairs(view(spark, d, "px_short"), 8).select("i", "j", align.distance_udf()("s_i", "s_j").getField("score").alias("score"))
+    return align.pairs(view(spark, d, "px_name"), 8).select("i", "j", align.distance_udf()("s_i", "s_j").getField("score").alias("score"))
 
 
-@query("f21_nw_loop", None)
+@query("f21_nw_loop", nw_rows("f", FORWARD_PAIRS, True) + nw_rows("r", REVERSE_PAIRS, True) + " " + BOTH, "px_name")
 def _(spark, d):
-    return align.score_pairs(view(spark, d, "px_short"), align.Costs(loop=True))
+    return align.score_pairs(view(spark, d, "px_name"), align.Costs(loop=True))
 
 
-@query("a15_threshold", None)
+@query("a15_threshold", "with recursive rnd as (" + RANDOM.format(n=20, size=101) + ")" + nw_rows("f", f"select x.seq_id i, y.seq_id j, {LONGER} from rnd x join rnd y on x.seq_id<y.seq_id", False) + " select avg(score) as mean, avg(score)*0.009e0 as factor from f")
 def _(spark, d):
     return align.estimate_factor(spark)
 
 
-@query("fl11_similar", f"select x.seq_id i, y.seq_id j from px_short x join px_short y on x.seq_id<y.seq_id where levenshtein(x.s,y.s) <= cast(trunc(0.75e0*greatest(length(x.s),length(y.s))-10) as integer)", "px_short")
+@query("fl11_similar", f"select x.seq_id i, y.seq_id j from px_short x join px_short y on x.seq_id<y.seq_id where levenshtein(x.s,y.s) <= cast(trunc(0.6e0*greatest(length(x.s),length(y.s))-10) as integer)", "px_short")
 def _(spark, d):
     p = align.pairs(view(spark, d, "px_short"), 8)
-    return p.where(F.levenshtein("s_i", "s_j") <= align.threshold(0.75, F.length("s_i"), F.length("s_j"))).select("i", "j")
+    return p.where(F.levenshtein("s_i", "s_j") <= align.threshold(0.6, F.length("s_i"), F.length("s_j"))).select("i", "j")
 
 
 REACH = f"""links as (select x.seq_id i, y.seq_id j, levenshtein(x.s,y.s) score from px_short x join px_short y on x.seq_id<y.seq_id),
-    e as (select i x, j y from links where score<=14 union select j, i from links where score<=14),
+    e as (select i x, j y from links where score<=9 union select j, i from links where score<=9),
     r as (select x, y from e union select r.x, e.y from r join e on r.y=e.x), comp as (select x node, least(x,min(y)) label from r group by x)"""
 
 
 def _labels(spark, d):
     p = align.pairs(view(spark, d, "px_short"), 8).select("i", "j", F.levenshtein("s_i", "s_j").cast("long").alias("score"))
-    return p, cluster.components(p.where("score <= 14").select("i", "j"))
+    return p, cluster.components(p.where("score <= 9").select("i", "j"))
 
 
 @query("g01_components", f", {REACH} select node, label from comp", "px_short")
@@ -441,15 +498,37 @@ def _(spark, d):
     return cluster.member_sums(*_labels(spark, d))
 
 
-@query("a17_medoid", f", {REACH}, {SUMS} select label, count(*) as count, 32 as min_len, arg_min(node, total*1000+node) as medoid from sums group by label", "px_short")
+MEDOID = """sized as (select s.*, cast(length(p.s) as integer) len, min(length(p.s)) over (partition by s.label) short from sums s join px_short p on p.seq_id=s.node),
+    picked as (select label, count(*) as count, cast(min(short) as integer) as min_len, case when arg_min(len, total*100000+node) > 1.1e0*min(short) then arg_min(node, total*100000+node) filter (len<=1.1e0*short) else arg_min(node, total*100000+node) end as medoid
+    from sized group by label)"""
+
+
+@query("a17_medoid", f", {REACH}, {SUMS}, {MEDOID} select label, count, min_len, medoid from picked", "px_short")
 def _(spark, d):
     sizes = view(spark, d, "px_short").select(F.col("seq_id").alias("node"), F.length("s").alias("len"))
     return cluster.medoids(cluster.member_sums(*_labels(spark, d)), sizes)
 
 
-@query("k15_cluster_report", f", {REACH} select dense_rank() over (order by label) as cluster, node as member, node=label as is_first from comp", "px_short")
+REPORT = f"""{REACH}, {SUMS}, {MEDOID}, report as (select dense_rank() over (order by label) as cluster, node as member, cast(length(s) as integer) as len,
+    case when node=medoid then 0 else (select score from links l where l.i=least(node,medoid) and l.j=greatest(node,medoid)) end as score, node=medoid as is_representative
+    from comp join picked using (label) join px_short on seq_id=node)"""
+
+
+def _report(spark, d):
+    seqs = view(spark, d, "px_short")
+    p, labels = _labels(spark, d)
+    medoid = cluster.medoids(cluster.member_sums(p, labels), seqs.select(F.col("seq_id").alias("node"), F.length("s").alias("len")))
+    return cluster.report(labels, medoid, p, seqs), seqs
+
+
+@query("k15_cluster_report", f", {REPORT} select cluster, member, len, cast(score as bigint) as score, is_representative from report", "px_short")
 def _(spark, d):
-    return cluster.cluster_numbers(_labels(spark, d)[1]).select(F.col("cluster").cast("long").alias("cluster"), F.col("node").alias("member"), (F.col("node") == F.col("label")).alias("is_first"))
+    return _report(spark, d)[0]
+
+
+@query("k15_representatives", f", {REPORT} select '>sat-'||cluster||'-'||len||chr(10)||s as value from report join px_short on seq_id=member where is_representative", "px_short")
+def _(spark, d):
+    return cluster.representative_fasta(*_report(spark, d))
 
 
 @query("a01_line_stats", "select typ as type, count(*) as count, max(val) as max, cast(sum(val) as bigint) as total from px_lines group by typ", "px_lines")
@@ -487,23 +566,43 @@ def _(spark, d):
 
 @query("fl02_contained_lines", "select line_no, typ from px_lines where typ in ('A','D')", "px_lines")
 def _(spark, d):
-    allowed = spark.createDataFrame([("A",), ("D",)], "typ string")
-    return view(spark, d, "px_lines").join(F.broadcast(allowed), "typ", "left_semi").select("line_no", "typ")
+    schema = parse_schemas("P 3 tst\nO A 1 3 INT\nD D 1 3 INT\nO U 1 3 INT\n")["tst"]  # a U line is an object that A doesn't contain
+    return ordinal.contained_lines(view(spark, d, "px_lines"), schema.contained("A"))
+
+
+@query("fl15_copy_bounds", f"select arr, p, p+20-length(dna) as beyond from ({STEP}) join px_seq on seq_id=arr where p+20>length(dna)", "px_step", "px_seq")
+def _(spark, d):
+    s = tandem.exact_copies(view(spark, d, "px_step"), 20).join(view(spark, d, "px_seq").select("seq_id", F.length("dna").cast("long").alias("len")), F.col("arr") == F.col("seq_id"))
+    return tandem.copies_out_of_bounds(s, 20).select("arr", "p", (F.col("p") + 20 - F.col("len")).alias("beyond"))
+
+
+@query("w07_enclosing", f", {OBJ} select line_no as x, nullif(max(case when typ='A' then obj end) over (order by line_no), 0) as obj from obj", "px_lines")
+def _(spark, d):
+    return ordinal.object_ordinal(view(spark, d, "px_lines"), "A").select(F.col("line_no").alias("x"), F.when(F.col("obj") > 0, F.col("obj")).alias("obj"))
+
+
+@query("w05_first_row", f"select seq, sbeg as start, send as \"end\", unit, ctg, diffs from (select *, row_number() over (partition by seq order by sbeg, send, unit, ctg, diffs) rn from ({LIFT})) where rn=1", "px_tan", "px_contig")
+def _(spark, d):
+    first = F.min(F.struct(F.col("beg").alias("start"), F.col("fin").alias("end"), "unit", "ctg", "diffs")).alias("r")
+    return lifted(spark, d).groupBy("seq").agg(first).select("seq", "r.*")
 
 
-@query("w07_enclosing", f", {OBJ} select q.x, (select max(obj) from obj where typ='A' and line_no<=q.x) as obj from (select line_no x from px_lines where line_no%1000=0) q", "px_lines")
+@query("o05_top1", "select ctg, beg, fin, unit, diffs from px_tan order by fin-beg desc, ctg, beg, fin, unit, diffs limit 1", "px_tan")
 def _(spark, d):
-    return ordinal.object_ordinal(view(spark, d, "px_lines"), "A").where("line_no % 1000 = 0").select(F.col("line_no").alias("x"), F.when(F.col("obj") > 0, F.col("obj")).alias("obj"))
+    return view(spark, d, "px_tan").orderBy(F.desc(F.col("fin") - F.col("beg")), "ctg", "beg", "fin", "unit", "diffs").limit(1)
 
 
-@query("w05_first_row", f"select seq, s as start from (select seq, sbeg s, row_number() over (partition by seq order by sbeg, send, unit, ctg, diffs) rn from ({LIFT})) where rn=1", "px_tan", "px_contig")
+@query("o07_first_hit", "select ctg, beg, fin, unit, diffs from px_tan where ctg=3 and beg>=100 order by beg, fin, unit, diffs limit 1", "px_tan")
 def _(spark, d):
-    return lifted(spark, d).groupBy("seq").agg(F.min("beg").alias("start"))
+    return tandem.first_hit(view(spark, d, "px_tan").select("ctg", "beg", "fin", "unit", "diffs"), (F.col("ctg") == 3) & (F.col("beg") >= 100), "beg", "fin", "unit", "diffs")
 
 
-@query("o05_top1", "select max(fin-beg) as longest from px_tan", "px_tan")
+@query("u02_shards_in_order", "select l_orderkey, l_linenumber, shard, row_number() over (order by shard, l_orderkey, l_partkey, l_suppkey, l_linenumber, l_extendedprice, l_shipdate) as line_no from (select *, 0 as shard from lineitem where l_returnflag='R' union all select *, 1 from lineitem where l_returnflag='A' union all select *, 2 from lineitem where l_returnflag not in ('R','A'))")
 def _(spark, d):
-    return view(spark, d, "px_tan").agg(F.max(F.col("fin") - F.col("beg")).alias("longest"))
+    li = table(spark, d, "lineitem")
+    shards = [li.where("l_returnflag = 'R'"), li.where("l_returnflag = 'A'"), li.where("l_returnflag not in ('R', 'A')")]
+    whole = ordinal.concatenate(shards, F.floor(F.col("l_orderkey") / 256), ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_shipdate"], "line_no")
+    return whole.select("l_orderkey", "l_linenumber", "shard", "line_no")
 
 
 @query("o04_count_desc", f"select arr, count(*) as n from ({STEP}) group by arr order by n desc, arr", "px_step")

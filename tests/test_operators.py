@@ -66,6 +66,33 @@ def test_greedy_against_scan(spark, seed):
     assert rows(tandem.greedy(spark.createDataFrame(rng.sample(data, len(data)), "seq long, start long, end long, unit long"))) == want
 
 
+@pytest.mark.parametrize("width", [1, 16, 1 << 16])
+def test_greedy_whatever_the_buckets(spark, width):
+    """Dense overlaps, long rows over many buckets, equal rows, empty rows."""
+    rng = random.Random(7)
+    data = sorted((rng.choice("xy"), s := rng.randrange(900), s + rng.choice([0, 1, 5, 30, 400]), 1) for _ in range(400))
+    want, last = [], {}
+    for q, s, e, u in data:
+        if s >= last.get(q, -1):
+            want.append((q, s, e, u))
+            last[q] = e
+    got = tandem.greedy(spark.createDataFrame(rng.sample(data, len(data)), "seq string, start long, end long, unit long"), width)
+    assert rows(got) == want
+    assert rows(tandem.greedy(got.where("start < 0"), width)) == []
+
+
+def test_splice_takes_linear_time(spark):
+    """Two million bases with 20,000 repeats: each is cut out once."""
+    n = 2_000_000
+    seq = spark.range(1).select(F.col("id").alias("seq"), F.repeat(F.lit("acgt"), n // 4).alias("dna"))
+    rep = spark.range(20_000).select(F.lit(0).cast("long").alias("seq"), (F.col("id") * 100 + 7).alias("start"), (F.col("id") * 100 + 57).alias("end"), F.lit(9).cast("long").alias("unit"))
+    got = tandem.splice(seq, rep).first().dna
+    text = "acgt" * (n // 4)
+    assert got == text[:7] + "".join(text[k : k + 9] + text[k + 50 : k + 100] for k in range(7, n, 100))
+    odd = tandem.splice(spark.createDataFrame([(1, None), (2, ""), (3, "acgtacgt")], "seq long, dna string"), spark.createDataFrame([(3, 2, 4, 0), (3, 6, 90, 5), (2, 0, 3, 2)], "seq long, start long, end long, unit long"))
+    assert {r.seq: r.dna for r in odd.collect()} == {1: None, 2: "", 3: "acacgt"}
+
+
 def test_consensus(spark):
     c = spark.createDataFrame([(0, x) for x in ("acgt", "acga", "tcga", "ncgc")] + [(1, "nann"), (1, "ntnn")], "arr long, copy string")
     got = {r.arr: r for r in tandem.consensus(c, 4).collect()}
@@ -99,7 +126,7 @@ def test_insertions(spark):
     got = sv.insertions(back)
     assert rows(got, "a_begin", "a_end") == [(2000, 2500)]
     text = spark.createDataFrame([(0, "ac" * 2000)], "ctg long, txt string")
-    term = sv.with_terminal(got, text).first().term_seq
+    term = sv.with_terminal(got, sv.chunks(text, 160, 512), size=512).first().term_seq
     s = ("ac" * 2000)[1970 : 1970 + 70]
     assert term == s[::-1].translate(str.maketrans("acgt", "tgca"))
     assert rows(sv.flip(sv.flip(back))) == rows(back.select("aread", "bread", "comp", "bb", "be", "ab", "ae"))
@@ -108,6 +135,35 @@ def test_insertions(spark):
             sv.SvOptions(**bad)
 
 
+@pytest.mark.parametrize("size", [7, 64, 1 << 14])
+def test_pieces_of_chunked_sequences(spark, size):
+    rng = random.Random(2)
+    texts = {k: "".join(rng.choice("acgt") for _ in range(n)) for k, n in enumerate((0, 1, 500, 1300))}
+    want = [(k, a, a + n) for k, t in texts.items() for a in range(-2, len(t) + 2, 17) for n in (0, 1, 20, 40)]
+    df = spark.createDataFrame(want, "ctg long, a long, e long")
+    parts = sv.chunks(spark.createDataFrame(list(texts.items()), "ctg long, txt string"), 40, size)
+    for r in sv.cut_pieces(df, "ctg", F.col("a"), F.col("e") - F.col("a"), parts, "piece", size).collect():
+        inside = 0 <= r.a < len(texts[r.ctg]) and r.e <= len(texts[r.ctg])
+        assert r.piece == (texts[r.ctg][r.a : r.e] if inside else None), r
+
+
+def test_whole_variants(spark):
+    """Two alignments with an insertion between them: sequences, extensions, names and the lines of the file."""
+    rng = random.Random(5)
+    a, b = ("".join(rng.choice("acgt") for _ in range(9000)) for _ in range(2))
+    texts = spark.createDataFrame([(0, a), (1, b)], "ctg long, txt string")
+    contigs = spark.createDataFrame([(0, "chrA", 100, 9000), (1, "chrB", 5, 9000)], "ctg long, name string, pos long, len long")
+    ov = overlap(spark, (0, 1, 0, 10, 2010, 100, 2100), (0, 1, 0, 2500, 4500, 2110, 4110), (0, 1, 0, 2500, 4500, 2111, 4111))
+    parts = sv.chunks(texts, 60_000)
+    got = sv.variants(ov, parts, parts, contigs, contigs)
+    r = got.first()
+    assert got.count() == 1 and r.id == "chrA:2110-2600_chrB:2105-2115" and (r.lext, r.rext) == (30, 30)
+    assert r.ins_seq == a[1980:2530] and r.term_seq == b[2070:2140] and sv.out_of_bounds(got).count() == 0
+    lines = sorted(sv.variant_lines(got).collect(), key=lambda x: x.line_no)
+    assert "".join(x.type for x in lines) == "osmfxqVBFXQSI" and lines[6].list_str == "chrA" and lines[6].fields[1].i == 2110
+    assert lines[-2].list_str == r.ins_seq and lines[0].fields[0].i == 50
+
+
 def test_insertions_against_loop(spark):
     rng = random.Random(4)
     data = []
@@ -160,6 +216,32 @@ def test_distance_against_loop():
             assert align.distance(a, b, c) == slow_distance(a, b, c)
 
 
+def test_distances_in_blocks(monkeypatch):
+    """Pairs of all lengths at once, whatever the size of a block; empty sequences too."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("acgtn") for _ in range(rng.choice([0, 1, 2, 9, 30])))
+    a, b = [word() for _ in range(120)], [word() for _ in range(120)]
+    for cells in (8, 1 << 21):
+        monkeypatch.setattr(align, "CELLS", cells)
+        for c in (align.Costs(), align.Costs(loop=True)):
+            got = list(zip(*align.distances(a, b, c)))
+            for x, y, g in zip(a, b, got):
+                if x and y:
+                    assert g == slow_distance(x, y, c), (x, y, c)
+                else:
+                    assert g == (3 * max(len(x), len(y)), 0)
+
+
+def test_cluster_report(spark):
+    labels = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (8, 7), (7, 7)], "node long, label long")
+    scores = spark.createDataFrame([(1, 2, 5), (1, 3, 5), (2, 3, 9), (7, 8, 1)], "i long, j long, score int")
+    seqs = spark.createDataFrame([(k, "a" * n) for k, n in ((1, 9), (2, 9), (3, 8), (7, 4), (8, 4))], "seq_id long, s string")
+    medoid = cluster.medoids(cluster.member_sums(scores, labels), seqs.select(F.col("seq_id").alias("node"), F.length("s").alias("len")))
+    got = cluster.report(labels, medoid, scores, seqs)
+    assert rows(got) == [(1, 1, 9, 5, False), (1, 2, 9, 9, False), (1, 3, 8, 0, True), (2, 7, 4, 0, True), (2, 8, 4, 1, False)]
+    assert rows(cluster.representative_fasta(got, seqs)) == [(">sat-1-8\naaaaaaaa",), (">sat-2-4\naaaa",)]
+
+
 def test_components_and_medoids(spark):
     links = spark.createDataFrame([(1, 2), (2, 3), (4, 5), (9, 8), (8, 7), (7, 6), (3, 3)], "i long, j long")
     assert rows(cluster.components(links)) == [(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (6, 6), (7, 6), (8, 6), (9, 6)]
@@ -185,6 +267,18 @@ def test_ordinals(spark):
     assert got.where("n <> k").count() == 0 and got.count() == 5000
 
 
+def test_names_bounds_and_first_hits(spark):
+    o = spark.createDataFrame([(5, "b"), (1, "c"), (9, "a"), (2, "b"), (1, "d")], "k long, name string")
+    assert rows(coords.name_dictionary(o, "name", "k"), "name", "id") == [("a", 3), ("b", 2), ("c", 0), ("d", 1)]
+    c = spark.createDataFrame([(0, 10, 29), (0, 9, 29)], "arr long, p long, len long")
+    assert rows(tandem.copies_out_of_bounds(c, 20), "p") == [(10,)]
+    with pytest.raises(Exception, match="leaves its sequence"):
+        coords.checked(c, F.col("p") + 20 <= F.col("len"), "a copy leaves its sequence").collect()
+    assert rows(tandem.first_hit(o, F.col("name") == "b", "k"), "k") == [(2,)]
+    both = ordinal.concatenate([o, o.where("k = 9")], F.floor(F.col("k") / 2), ["k", "name"], "n")
+    assert [r.n for r in both.orderBy("shard", "k", "name").collect()] == [1, 2, 3, 4, 5, 6]
+
+
 def test_sequence_functions(spark):
     one = lambda c: spark.range(1).select(c).first()[0]
     assert one(sq.revcomp(F.lit("ACGTNacgtnRYSWKMBDHV-"))) == "-BDHVKMWSRYnacgtNACGT"
@@ -199,6 +293,12 @@ def test_sequence_functions(spark):
     assert tuple(one(sq.parse_coordinates(F.lit("chr\\:1:5-90")))) == ("chr\\:1", 5, 90) and tuple(one(sq.parse_coordinates(F.lit("c:5")))) == ("c", 5, None)
     assert [one(sq.leading_integer(F.lit(x))) for x in ("23bp", " -4", "x", "")] == [23, -4, 0, 0]
     assert one(sq.short_name(F.lit("chr1 a"))) == "chr1" and one(sq.unescape_newlines(F.lit("a\\nb"))) == "a\nb"
+    assert one(sq.to_four_bits(F.lit("acgtNr-x"))) == [1, 2, 4, 8, 15] and one(sq.to_four_bits(F.lit("acgtNr-x"), True)) == [1, 2, 4, 8, 15, 5, 0]
+    assert one(sq.amino_text(F.lit("acbZ*o x"))) == "ACXXX" and one(sq.amino_index(F.lit("ACYbz-"))) == [0, 1, 19, 20, 20] and one(sq.to_index4(F.lit("acgtn"))) == "01230"
+    rng = random.Random(3)
+    for n in range(40):
+        t = "".join(rng.choice("acgt") for _ in range(n))
+        assert sq.packed_revcomp(sq.pack_bases(t), n) == sq.pack_bases(t[::-1].translate(str.maketrans("acgt", "tgca"))), n
     packed = spark.range(1).select(sq.pack2bit(F.lit("acgtTGn")).alias("p")).select("p", sq.unpack2bit("p", F.lit(7)).alias("u")).first()
     assert packed.u == "acgttga" and sq.packed_revcomp(bytes(packed.p), 7) == sq.pack_bases("tcaacgt")
     assert sq.unpack_bits(sq.pack_bits([1, 0, 1, 1, 0, 0, 0, 0, 1]), 9) == [1, 0, 1, 1, 0, 0, 0, 0, 1]
