@@ -67,7 +67,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_toxicity, op2_simhash, op3_langid, op4_quality, op5_chat, op6_exact, op7_decontaminate, op8_bpe, op9_token_counts, op10_spans, pipeline)
 }
 
+_TIMES = lambda text, what: f"((length({text})-length(replace({text},'{what}','')))//{len(what)})"
+#: Characters that escaping adds to a text: one for each backslash and for each control string or pair of brackets.
+_ESCAPES = "+".join(_TIMES("x", w) for w in ("\\", "<s>", "</s>", "[INST]", "[/INST]")) + "+coalesce(cast(list_sum(list_transform(regexp_extract_all(x,'<<+'), lambda m: length(m)-1)) as bigint),0)"
+
 ORACLE_SQL: dict[str, str] = {
+    "op5_chat": f"""
+        with said as (select conv_id, turn, role, text from conversations union all select -7, 0, 'user', '{HARD_TEXT}' union all select -7, 1, 'assistant', '{HARD_TEXT}'),
+        turns as (select conv_id, row_number() over (partition by conv_id order by turn is not null, turn, coalesce(role,''), coalesce(text,'')) k, coalesce(role,'') r, coalesce(text,'') x from said),
+        sized as (select *, length(x)+{_ESCAPES}+case r when 'user' then 18 when 'assistant' then 6 when 'system' then 17
+            else 20+length(r)+{_TIMES("r", chr(92))}+length(r)-length(regexp_replace(r,'[<>\\[\\]]','','g')) end as n from turns),
+        whole as (select *, sum(n) over (partition by conv_id order by k) as upto from sized)
+        select conv_id, count(*) as n_turns, sha256(string_agg(r||chr(10)||x||chr(10), '' order by k)) as turns_sha256,
+            coalesce(length(string_agg(x, '' order by k) filter (r='assistant')),0) as loss_chars, sha256(coalesce(string_agg(x, '' order by k) filter (r='assistant'),'')) as loss_sha256,
+            cast(coalesce(sum(upto) filter (r='assistant'),0)+case when arg_max(r,k)='assistant' then 0 else max(upto) end as bigint) as formatted_chars
+        from whole group by conv_id""",
     "op6_exact": r"""
         with rows as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as norm from documents)
         select doc_id, min(doc_id) over (partition by norm) as keep_id, count(*) over (partition by norm) as group_size,

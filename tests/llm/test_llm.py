@@ -763,7 +763,8 @@ def test_pipeline_stages(spark, sf, odd, none):
 
 def test_oracles(spark, sf):
     con = duckdb.connect()
-    con.sql(f"create view documents as from '{sf}/documents.parquet'")
+    for name in ("documents", "conversations"):
+        con.sql(f"create view {name} as from '{sf}/{name}.parquet'")
     for name, sql in queries.ORACLE_SQL.items():
         df = queries.QUERIES[name](spark, sf)
         rel = con.sql(sql)
