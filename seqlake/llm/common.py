@@ -18,7 +18,7 @@ from seqlake.operators.scratch import Scratch, shared_root
 __all__ = ["KeyFilter", "Scratch", "shared_root", "arrow_map", "batch", "column", "fold", "held_out", "join_rows", "numbered", "spare", "table", "without"]
 
 #: Rows and bytes that a function sees at once (one row at least, however long).
-BATCH_ROWS, BATCH_BYTES = 1024, 4 << 20
+BATCH_ROWS, BATCH_BYTES = 1024, 2 << 20
 #: Keys up to which they are broadcast to the scan of a table (under 100 MB with what belongs to them), and keys up to
 #: which a filter of theirs is (9 bits each, 64 MB).
 BROADCAST_KEYS, SCREEN_KEYS = 400_000, 56_000_000

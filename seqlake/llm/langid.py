@@ -13,15 +13,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqlake.llm.common import arrow_map, batch, column, held_out
+from seqlake.llm.common import ROW, ROW_ARROW, Scratch, arrow_map, batch, column, held_out, numbered, spare, without
 
 WINDOW, HIDDEN = 48, 6
 #: Training documents per language, windows of each, passes. Every language of the training fold is learnt.
 SAMPLE, SAMPLE_WINDOWS, EPOCHS = 400, 6, 8
 #: Steps at least: small samples get more passes.
 STEPS = 300
-#: The pipeline rejects undetermined documents, and those with scores at which fewer than this share are right.
-PRECISION = 0.5
+#: The pipeline rejects undetermined documents, and those with scores at which fewer than this share are right. Documents
+#: per language that this is seen on, times SAMPLE.
+PRECISION, CALIBRATION = 0.3, 5
 _BLOCK = 1024
 _ASCII_LETTER = np.array([b < 128 and chr(b).isalpha() for b in range(256)])
 #: Letters among the characters up to U+FFFF; the rarer planes hold letters almost only, and signs that are taken out below.
@@ -205,13 +206,13 @@ def _windows(text: str, most: int = SAMPLE_WINDOWS) -> tuple[list[bytes], list[b
 
 
 def _labelled(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int) -> DataFrame:
-    """(lang, text, part): labelled rows of the training fold, about sample a language in part 0 (to learn from) and as
-    many others in part 1 (to set a threshold on), drawn by a hash of the row."""
+    """(lang, text, part): labelled rows of the training fold, about sample a language in part 0 (to learn from) and
+    CALIBRATION times as many others in part 1 (to set a threshold on), drawn by a hash of the row."""
     rows = docs.select(column(id_col).alias("doc_id"), column(text_col).cast("string").alias("text"), column(lang_col).cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     shares = rows.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(sample) / F.count("*")).alias("share"))
     drawn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    part = F.when(drawn < F.col("share"), 0).when(drawn < 2 * F.col("share"), 1)
+    part = F.when(drawn < F.col("share"), 0).when(drawn < (1 + CALIBRATION) * F.col("share"), 1)
     return rows.join(F.broadcast(shares), "lang").select("lang", "text", part.alias("part")).where("part is not null").distinct()  # a share per language, like the network's output
 
 
@@ -294,19 +295,20 @@ def calibrate(docs: DataFrame, model: BiGru | None, id_col: str = "doc_id", text
     return least_score(np.array([s for s, _ in got]), np.array([g for _, g in got], float)) if got else 0.0
 
 
-def keep_identified(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs without the rows whose language is undetermined, or whose score is one at which the prediction is more
-    likely wrong than right (see calibrate()). Rows are judged one by one where they are, so repeated and null ids and
-    equal rows each stay or go by their own text; all columns stay as they are."""
-    model = train(docs)
-    least, at = calibrate(docs, model), docs.columns.index(text_col)
-    shared = docs.sparkSession.sparkContext.broadcast(model and (model.p, model.languages))
+def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """docs without the rows whose language is undetermined, or whose score is one at which predictions are mostly wrong
+    (see calibrate()). Rows go by their place in the table, so repeated and null ids and equal rows each stay or go by
+    their own text; all columns stay as they are."""
+    scratch, row = Scratch(docs.sparkSession, "language"), spare(docs, "row")
+    model = train(docs, id_col, text_col, lang_col)
+    least, rows = calibrate(docs, model, id_col, text_col, lang_col), numbered(docs, scratch, row)
+    shared, out = docs.sparkSession.sparkContext.broadcast(model and (model.p, model.languages)), pa.schema([("row", ROW_ARROW)])
 
-    def run(batches):
+    def rejected(batches):
         net = BiGru(*shared.value) if shared.value else None
         for b in batches:
-            names, scores = _best(net, b.column(at).to_pylist())
-            yield b.filter(pa.array([n != "und" and s >= least for n, s in zip(names, scores)]))
+            names, scores = _best(net, b.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array([n == "und" or s < least for n, s in zip(names, scores)], pa.bool_()))], schema=out)
 
-    plain = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))  # mapInArrow() can't have names with dots
-    return arrow_map(plain, run, plain.schema).toDF(*docs.columns)
+    gone = arrow_map(rows.select(F.col(row).alias("row"), column(text_col).cast("string").alias("text")), rejected, f"row {ROW}")
+    return without(rows, gone.select(F.col("row").alias(row)), row, scratch)

@@ -598,6 +598,17 @@ def test_least_score():
     assert langid.least_score(np.array([0.3, 0.5, 0.9]), np.array([1.0, 1, 1])) == 0.0
     t = langid.least_score(np.array([0.9, 0.3, 0.35, 0.5]), np.array([1.0, 0, 0, 1]))
     assert 0.35 < t < 0.5
+    assert langid.least_score(np.array([0.3, 0.4]), np.array([1.0, 0.0])) == 0.0
+
+
+def test_language_rows(spark, monkeypatch):
+    """Rows without a letter and rows under the threshold go, each by its own text, whatever its id."""
+    rows = [(1, "the cat sat on the mat", "en"), (1, "123", "en"), (None, "le chat est ici", "fr"), (None, None, "fr"), (2, "le chat", "fr"), (2, "le chat", "fr")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("a.b", F.lit(1))
+    got = langid.keep_identified(df)
+    assert got.columns == df.columns and sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted([(1, rows[0][1]), (None, rows[2][1]), (2, "le chat"), (2, "le chat")], key=repr)
+    monkeypatch.setattr(langid, "calibrate", lambda *a: 1.1)
+    assert langid.keep_identified(df).count() == 0
 
 
 def test_language(spark, sf, odd, none):
