@@ -81,3 +81,8 @@ def concatenate(shards: Sequence[DataFrame], bucket: Column, order: Sequence[str
     for s in numbered[1:]:
         whole = whole.unionByName(s)
     return dense_ordinal(whole, F.struct("shard", bucket.alias("b")), ["shard", *order], name)
+
+
+def edit_set(have: DataFrame, more: DataFrame, less: DataFrame, key: str) -> DataFrame:
+    """The keys of have and more, each once, without those of less."""
+    return have.select(key).unionByName(more.select(key)).distinct().join(less.select(key).distinct(), key, "left_anti")

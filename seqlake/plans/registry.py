@@ -464,7 +464,7 @@ def _(spark, d):
     return align.score_pairs(view(spark, d, "px_name"), align.Costs(loop=True))
 
 
-@query("a15_threshold", "with recursive rnd as (" + RANDOM.format(n=20, size=101) + ")" + nw_rows("f", f"select x.seq_id i, y.seq_id j, {LONGER} from rnd x join rnd y on x.seq_id<y.seq_id", False) + " select avg(score) as mean, avg(score)*0.009e0 as factor from f")
+@query("a15_threshold", "with recursive rnd as (" + RANDOM.format(n=20, size=101) + ")" + nw_rows("f", f"select x.seq_id i, y.seq_id j, {LONGER} from rnd x join rnd y on x.seq_id<y.seq_id", False) + " select avg(score)*100/100e0 as mean, avg(score)*100/100e0*0.009e0 as factor from f")
 def _(spark, d):
     return align.estimate_factor(spark)
 
@@ -610,6 +610,12 @@ def _(spark, d):
     return tandem.exact_copies(view(spark, d, "px_step"), 20).groupBy("arr").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "arr")
 
 
+@query("o08_set_edit", "select k from (select distinct l_suppkey as k from lineitem union select s_suppkey from supplier) where k not in (select n_nationkey from nation)")
+def _(spark, d):
+    have, more, less = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("k")), table(spark, d, "supplier").select(F.col("s_suppkey").alias("k")), table(spark, d, "nation").select(F.col("n_nationkey").alias("k"))
+    return ordinal.edit_set(have, more, less, "k")
+
+
 @query("u04_set_insert", "select l_suppkey as k, min(l_orderkey) as first from lineitem group by l_suppkey")
 def _(spark, d):
     return table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("k")).agg(F.min("l_orderkey").alias("first"))

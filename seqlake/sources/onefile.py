@@ -46,7 +46,7 @@ class Header:
     counts: dict[str, int] = field(default_factory=dict)
     longest: dict[str, int] = field(default_factory=dict)
     totals: dict[str, int] = field(default_factory=dict)
-    nested: dict[tuple[str, str, str], int] = field(default_factory=dict)  # (# or +, object type, type): most in one object
+    nested: dict[tuple[str, str, str], int] = field(default_factory=dict)  # (object type, # or +, type): most in one object
     index: dict[str, list[int]] = field(default_factory=dict)
     codecs: dict[str, Codec] = field(default_factory=dict)
     binary: bool = False
@@ -494,6 +494,41 @@ def binary_line(line: Line, kinds: tuple[str, ...]) -> bytes:
     return out
 
 
+class Nested:
+    """The most lines, and list elements, of each type inside one object of each type that contains them."""
+
+    def __init__(self, schema: Schema):
+        self.inside = {k: schema.contained(k) - {k} for k, x in schema.lines.items() if x.kind == "O"}
+        self.now: dict[str, dict[tuple[str, str], int]] = {}
+        self.most: dict[tuple[str, str, str], int] = {}
+
+    def add(self, letter: str, size: int) -> None:
+        for k, inside in self.inside.items():
+            if letter == k:
+                self.close(k)
+                self.now[k] = {}
+            elif letter in inside:
+                if k in self.now:
+                    for sign, n in (("#", 1), ("+", size)):
+                        self.now[k][sign, letter] = self.now[k].get((sign, letter), 0) + n
+            elif letter in self.inside:
+                self.close(k)
+
+    def close(self, k: str) -> None:
+        for (sign, letter), n in self.now.pop(k, {}).items():
+            if n > self.most.get((k, sign, letter), 0):
+                self.most[k, sign, letter] = n
+
+    def text(self) -> list[str]:
+        for k in list(self.now):
+            self.close(k)
+        return nested_text(self.most)
+
+
+def nested_text(most: dict[tuple[str, str, str], int]) -> list[str]:
+    return [f"% {k} {sign} {letter} {n}" for (k, sign, letter), n in sorted(most.items())]
+
+
 class Encoder:
     """Writes a typed line file line after line: a binary one at once, with counts and index behind the data; the data
     of an ASCII one into a spare file first, because its counts stand in front."""
@@ -501,6 +536,7 @@ class Encoder:
     def __init__(self, path: str, schema: Schema, binary: bool = False, header: Header | None = None):
         self.path, self.schema, self.binary = path, schema, binary
         self.stats: dict[str, tuple[int, int, int]] = {}
+        self.nested = Nested(schema)
         h = header or Header(schema)
         out = [f"1 {len(schema.primary)} {schema.primary} {MAJOR} {MINOR}"]
         if h.subtype:
@@ -529,9 +565,10 @@ class Encoder:
         n = next((len(v.encode("utf-8", "surrogateescape")) if isinstance(v, str) else len(v) for k, v in zip(line.fields, x.values) if k in LISTS), 0)
         c, m, t = self.stats.get(x.type, (0, 0, 0))
         self.stats[x.type] = (c + 1, max(m, n), t + n)
+        self.nested.add(x.type, n)
 
     def close(self) -> None:
-        counts = counts_text(self.stats)
+        counts = counts_text(self.stats) + self.nested.text()
         if self.binary:
             self.file.write(footer(self.file.tell(), counts, {k: self.index[k] for k in self.schema.lines if k in self.index}))
             self.file.close()
@@ -585,8 +622,12 @@ def read_header(path: str, type: str | None = None, schema: Schema | None = None
 
 def merge_files(parts: list[str], out: str) -> None:
     """One file of binary parts that were written with the same schema and header, their lines in the order of the parts:
-    data are copied as streams, counts summed, maxima taken, the object index shifted."""
+    data are copied as streams, counts summed, maxima taken, the object index shifted. Maxima inside objects are given
+    only if no object goes on from one part into the next."""
     heads = [read_header(p) for p in parts]
+    outer = {k for k, x in heads[0].schema.lines.items() if x.kind == "O" and not any(k in heads[0].schema.contained(o) for o, y in heads[0].schema.lines.items() if y.kind == "O" and o != k)}
+    nested: dict[tuple[str, str, str], int] = {}
+    whole = True
     stats: dict[str, tuple[int, int, int]] = {}
     index: dict[str, list[int]] = {}
     with open(out + ".tmp", "wb") as f:
@@ -596,6 +637,9 @@ def merge_files(parts: list[str], out: str) -> None:
                     f.write(part.read(h.data_start))
                 shift = f.tell() - h.data_start
                 part.seek(h.data_start)
+                first = part.read(1)[0]
+                whole = whole and (path == parts[0] or (letter_of(first) if first & 0x80 else chr(first)) in outer)
+                part.seek(h.data_start)
                 left = h.data_end - 1 - h.data_start  # without the empty line that ends the data
                 while left:
                     data = part.read(min(left, 8 << 20))
@@ -606,7 +650,9 @@ def merge_files(parts: list[str], out: str) -> None:
             for k, n in h.counts.items():
                 c, m, t = stats.get(k, (0, 0, 0))
                 stats[k] = (c + n, max(m, h.longest.get(k, 0)), t + h.totals.get(k, 0))
-        f.write(footer(f.tell(), counts_text(stats), index))
+            for key, n in h.nested.items():
+                nested[key] = max(n, nested.get(key, 0))
+        f.write(footer(f.tell(), counts_text(stats) + (nested_text(nested) if whole else []), index))
     os.replace(out + ".tmp", out)
 
 

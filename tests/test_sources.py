@@ -48,6 +48,16 @@ def test_round_trip(binary):
         assert next(p.lines(at[7]))[1].values == lines()[6 * 7].values
 
 
+def test_nested_statistics():
+    """The most lines and list elements inside one object; a B inside an A belongs to both."""
+    s = os_.parse_schemas(SCHEMA)["tst"]
+    L = of.Line
+    data = [L("B", ["acg"]), L("A", [1, 1.0, "x"]), L("T", [[1, 2]]), L("T", [[3]]), L("B", ["ac"]), L("I", ["q"]), L("B", [""]), L("A", [2, 1.0, "x"]), L("T", [[1, 2, 3, 4]]), L("B", ["acgta"]), L("I", ["qqq"])]
+    for binary in (False, True):
+        got = of.Parser(of.encode_file(s, data, binary)).header.nested
+        assert got == {("A", "#", "B"): 2, ("A", "+", "B"): 5, ("A", "#", "I"): 1, ("A", "+", "I"): 3, ("A", "#", "T"): 2, ("A", "+", "T"): 4, ("B", "#", "I"): 1, ("B", "+", "I"): 3}
+
+
 def test_varints():
     for v in [*range(-200, 9000), 1 << 31, -(1 << 31), (1 << 63) - 1, -(1 << 63)]:
         b = of.varint(v)
