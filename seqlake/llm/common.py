@@ -8,7 +8,6 @@ import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,7 +69,8 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
         conf.set(key, f"{BATCH_BYTES}b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return fn(p for b in batches for p in _pieces(b))
+        yield from fn(p for b in batches for p in _pieces(b))
+        pa.default_memory_pool().release_unused()  # workers live on between tasks
 
     return df.mapInArrow(run, schema)
 
@@ -118,7 +118,7 @@ class KeyFilter:
         self.shared = keys.sparkSession.sparkContext.broadcast(parts)
 
     def has(self, keys: np.ndarray) -> np.ndarray:
-        from seqlake.llm.exact import FuseFilter
+        from seqlake.llm.fuse import FuseFilter
 
         parts = self.shared.value
         if self.shards == 1:
@@ -132,12 +132,9 @@ class KeyFilter:
 
 
 def _screen(keys: DataFrame, name: str, scratch: Scratch) -> Callable[[Column], Column]:
-    known = KeyFilter(keys.select(F.xxhash64(name).alias("key")), scratch)
-
-    @F.pandas_udf("boolean")
-    def hit(key: pd.Series) -> pd.Series:
-        return pd.Series(known.has(key.to_numpy(np.int64)))
+    from seqlake.llm.exact import membership
 
+    hit = membership(KeyFilter(keys.select(F.xxhash64(name).alias("key")), scratch))
     return lambda c: hit(F.xxhash64(c))
 
 

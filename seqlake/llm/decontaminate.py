@@ -253,6 +253,7 @@ def _matches(texts: DataFrame, items: DataFrame, item_col: str, item_text: str,
                 yield batch(cut_kind, *zip(*[(r, p["item"], p["n_seeds"], w[p["first"] : p["end"]]) for p in places]))
 
     passages = arrow_map(mine.select("row", "text", "places"), cut, f"row {ROW}, item long, n_seeds int, stretch array<string>")
+    passages = scratch.table(passages, "passages")  # written, so that no task runs two Python workers at once
     result = pa.schema([("row", ROW_ARROW), ("item_id", pa.int64()), ("score", pa.int32()), ("ratio", pa.float64()), ("n_seeds", pa.int32())])
 
     def align(batches):

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from seqlake.llm import bpe, chat, common, counts, decontaminate, exact, langid, quality, queries, simhash, spans, toxicity
+from seqlake.llm import bpe, chat, common, counts, decontaminate, exact, fuse, langid, quality, queries, simhash, spans, toxicity
 from seqlake.llm.common import Scratch, table
 from seqlake.operators import components
 
@@ -82,7 +82,7 @@ def test_exact_regroups_unlike_bytes(spark, monkeypatch):
 def test_fuse_filter():
     keys = np.random.default_rng(1).integers(-(1 << 63), (1 << 63) - 1, 20_000)
     for n in (0, 1, 2, 3, 17, 20_000):
-        f = exact.FuseFilter.build(np.concatenate([keys[:n], keys[:n]]))
+        f = fuse.FuseFilter.build(np.concatenate([keys[:n], keys[:n]]))
         assert f.has(keys[:n]).all() and (n == 0 or int(keys[0]) in f)
         assert f.has(np.random.default_rng(2).integers(-(1 << 63), (1 << 63) - 1, 20_000)).mean() < 0.02
 
