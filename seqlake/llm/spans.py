@@ -19,17 +19,18 @@ from pyspark.sql import functions as F
 
 from seqlake.llm.common import Scratch, arrow_map, batch, column, join_rows, numbered, spare
 
-#: Words that a span has at least, and sentences; words from which a sentence is cut further.
-SPAN_WORDS, SPAN_SENTENCES, LONG = 20, 2, 12
+#: Words that a span has at least, and sentences; spaces from which a sentence is cut further.
+SPAN_WORDS, SPAN_SENTENCES, LONG = 20, 2, 16
 #: One word in so many ends a part of a long sentence.
 ONE_IN = 8
 _CUT = re.compile(r"(?<=[.!?…。！？])\s+|\n+")
 _COMMA = re.compile(r"(?<=[,;:])\s+")
+_WORD = re.compile(r"\S+")
 
 
 def sentences(text: str | None, most_words: int = LONG) -> list[tuple[int, int]]:
     """(start, end) of each sentence, white space at the ends left out. A sentence ends at a stop that white space
-    follows or at a line end; one of more than most_words words is cut after commas as well, and what is still longer
+    follows or at a line end; one with most_words spaces or more is cut after commas as well, and what is still longer
     behind words that a hash picks (one in ONE_IN). So places of cuts depend on the words next to them alone, and a
     passage is cut alike wherever it stands; only where no word of 4 x most_words in a row is picked, a cut is made
     there."""
@@ -49,15 +50,15 @@ def _add(out: list[tuple[int, int]], text: str, start: int, end: int, most: int,
     start, body = start + left, body.strip()
     if not body:
         return
-    if body.count(" ") < most or len(words := list(re.finditer(r"\S+", body))) <= most:
+    if body.count(" ") < most:
         out.append((start, start + len(body)))
-    elif commas and (cuts := list(_COMMA.finditer(body))):
+    elif commas and (cuts := [m.span() for m in _COMMA.finditer(body)]):
         at = 0
-        for a, b in [*((m.start(), m.end()) for m in cuts), (len(body), len(body))]:
+        for a, b in [*cuts, (len(body), len(body))]:
             _add(out, text, start + at, start + a, most, commas=False)
             at = b
     else:
-        first = 0
+        first, words = 0, list(_WORD.finditer(body))
         for k, w in enumerate(words):
             if k == len(words) - 1 or zlib.crc32(w[0].encode("utf-8", "replace")) % ONE_IN == 0 or k - first + 1 >= 4 * most:
                 out.append((start + words[first].start(), start + w.end()))
