@@ -31,6 +31,16 @@ def running_sum(df: DataFrame, value: Column, order: str, name: str, bucket_rows
     return df.withColumn("__i", inside).join(_before(df.groupBy("__b").agg(F.sum("__v").alias("__n"))), "__b").withColumn(name, F.col("__before") + F.col("__i")).drop("__b", "__i", "__v", "__before")
 
 
+def sum_before(df: DataFrame, keys: Sequence[str], bucket: str, order: str, value: str, name: str) -> DataFrame:
+    """Adds name: the sum of value over the rows of the same keys that come before by order; bucket (a column) has to grow
+    with order. Buckets are summed inside; their sums, one small row each, meet in one window a key."""
+    inside = F.sum(value).over(Window.partitionBy(*keys, bucket).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    sums = df.groupBy(*keys, bucket).agg(F.sum(value).alias("__n"))
+    before = sums.withColumn("__before", F.sum("__n").over(Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1))).drop("__n")
+    joined = df.withColumn("__i", inside).join(before, [*keys, bucket])
+    return joined.withColumn(name, F.coalesce("__i", F.lit(0)) + F.coalesce("__before", F.lit(0))).drop("__i", "__before")
+
+
 def object_ordinal(lines: DataFrame, object_type: str, type_col: str = "typ", order: str = "line_no", name: str = "obj") -> DataFrame:
     """Adds the number of object lines up to each line: 0 before the first object, then 1, 2, ..."""
     return running_sum(lines, F.when(F.col(type_col) == object_type, 1).otherwise(0), order, name)

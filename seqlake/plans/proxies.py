@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 BASE = "(l_orderkey*7919+l_linenumber*104729+l_partkey*31)"
-#: {name: SQL}; {rx} is the engine's way to keep only letters, {cat} its way to join texts in order. px_short has families of
-#: four like sequences of unequal lengths, px_ref ten sequences of all documents' letters.
+#: {name: SQL}; {rx} is the engine's way to keep only letters. px_short has families of four like sequences of unequal lengths.
 VIEWS = {
     "px_contig": """select cast(s_suppkey as bigint) ctg, cast(s_nationkey as bigint) seq, cast(100000+(s_suppkey*37)%5000 as bigint) len,
         cast(coalesce(sum(100000+(s_suppkey*37)%5000+200) over (partition by s_nationkey order by s_suppkey rows between unbounded preceding and 1 preceding),0) as bigint) pos
@@ -25,19 +24,17 @@ VIEWS = {
     "px_short": """select cast(s_suppkey as bigint) seq_id, substring(x,1,cast(3+k as integer))||'a'||substring(x,cast(5+k as integer),cast(24+s_suppkey%11 as integer)) s
         from (select s_suppkey, s_suppkey%4 k, translate(md5(concat('x',cast(floor(s_suppkey/4) as bigint)))||md5(concat('y',cast(floor(s_suppkey/4) as bigint))),'0123456789abcdef','acgtacgtacgtacgt') x from supplier) q""",
     "px_name": "select cast(n_nationkey as bigint) seq_id, substring(translate(md5(concat(n_name,'')),'0123456789abcdef','acgtacgtacgtacgt'),1,cast(9+n_nationkey%6 as integer)) s from nation",
-    "px_part": "select cast(seq_id%10 as bigint) ctg, {cat} txt from px_seq group by seq_id%10",
-    "px_ref": "select ctg, repeat(txt, cast(1+floor(120000/greatest(length(txt),1)) as integer)) txt from px_part where length(txt)>0",
-    "px_scaf": "select ctg, concat('chr',ctg%3) name, cast(ctg*2100000 as bigint) pos, cast(2100000 as bigint) len from px_part where length(txt)>0",
+    "px_scaf": "select cast(seq_id%10 as bigint) ctg, concat('chr',seq_id%10%3) name, cast(seq_id%10*2100000 as bigint) pos, cast(2100000 as bigint) len from px_seq where length(dna)>0 group by seq_id%10",
 }
-NEEDS = {"px_part": ["px_seq"], "px_ref": ["px_seq", "px_part"], "px_scaf": ["px_seq", "px_part"]}
+NEEDS = {"px_part": ["px_seq"], "px_scaf": ["px_seq"]}
 LINE_ORDER = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_shipdate")
 VIEWS_DUCK = VIEWS | {
+    #: Ten sequences, each of all letters of its documents one behind the other; Spark has them in chunks (text_chunks).
+    "px_part": "select cast(seq_id%10 as bigint) ctg, string_agg(dna,'' order by seq_id) txt from px_seq group by seq_id%10",
     "px_lines": f"""select row_number() over (order by {','.join(LINE_ORDER)}) line_no,
         case l_returnflag when 'R' then 'A' when 'A' then 'D' else 'U' end typ, cast(l_quantity as bigint) val from lineitem""",
 }
 _RX = {"spark": "regexp_replace(text,'[^A-Za-z]','')", "duck": "regexp_replace(text,'[^A-Za-z]','','g')"}
-#: All documents of a group one behind the other.
-_CAT = {"spark": "array_join(transform(array_sort(collect_list(struct(seq_id, dna))), x -> x.dna), '')", "duck": "string_agg(dna,'' order by seq_id)"}
 
 
 def with_views(*names: str) -> str:
@@ -45,7 +42,7 @@ def with_views(*names: str) -> str:
     order: list[str] = []
     for n in names:
         order += [x for x in [*NEEDS.get(n, []), n] if x not in order]
-    return "with recursive " + ", ".join(f"{n} as ({VIEWS_DUCK[n].replace('{rx}', _RX['duck']).replace('{cat}', _CAT['duck'])})" for n in order)
+    return "with recursive " + ", ".join(f"{n} as ({VIEWS_DUCK[n].replace('{rx}', _RX['duck'])})" for n in order)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,7 +59,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         rows = dense_ordinal(table(spark, sf_dir, "lineitem"), F.floor(F.col("l_orderkey") / 256), LINE_ORDER, "line_no")
         typ = F.when(F.col("l_returnflag") == "R", "A").when(F.col("l_returnflag") == "A", "D").otherwise("U")
         return rows.select("line_no", typ.alias("typ"), F.col("l_quantity").cast("bigint").alias("val"))
-    sql = VIEWS[name].replace("{rx}", _RX["spark"]).replace("{cat}", _CAT["spark"])
+    sql = VIEWS[name].replace("{rx}", _RX["spark"])
     frames = {n: table(spark, sf_dir, n) for n in ("supplier", "nation", "lineitem", "documents", "events") if f"from {n}" in sql}
     for need in NEEDS.get(name, []):
         if f"from {need}" in sql:
@@ -70,3 +67,14 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     for n in frames:
         sql = sql.replace(f"from {n}", f"from {{{n}}}")
     return spark.sql(sql, **frames)
+
+
+def text_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sequences of px_part as a written chunk table."""
+    from pyspark.sql import functions as F
+
+    from seqlake.operators import sv
+    from seqlake.operators.scratch import Scratch
+
+    docs = view(spark, sf_dir, "px_seq").select((F.col("seq_id") % 10).cast("long").alias("ctg"), "seq_id", F.col("dna").alias("txt"))
+    return Scratch(spark, "texts").table(sv.chunks(sv.joined_pieces(docs, F.floor(F.col("seq_id") / 4096), "seq_id")), "chunks")

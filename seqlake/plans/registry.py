@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from seqlake.functions import sequence as sq
 from seqlake.operators import align, cluster, coords, ordinal, sv, tandem
-from seqlake.plans.proxies import table, view, with_views
+from seqlake.plans.proxies import table, text_chunks, view, with_views
 from seqlake.sources.oneschema import parse_schemas
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -339,33 +339,52 @@ def _(spark, d):
     return view(spark, d, "px_ovl").select("aread", "bread", "comp", "bb", "ab", F.least(a, b).alias("size"), F.abs(a - b).alias("unequal"))
 
 
-#: Places on the texts of px_ref, which are shorter than the coordinates.
-TERM_AT, INS_AT = "(least(b_match_begin,b_match_end)%60000)", "(a_begin%60000+30)"
-TERM = f"substring(txt, cast({TERM_AT}+1 as integer), cast(abs(b_match_begin-b_match_end)+60 as integer))"
+#: Places of the coordinates on texts of length {n}: all over the text, and so that what is cut lies in it where the text is
+#: longer than the longest insertion with its extensions.
+TERM_AT, INS_AT = "(least(b_match_begin,b_match_end)%greatest({n}-160,1))", "(a_begin%greatest({n}-50090,1)+30)"
+
+
+def _piece(at: str, length: str) -> str:
+    return f"case when {at}+{length}<=length(txt) then substring(txt, cast({at}+1 as integer), cast({length} as integer)) end"
+
+
+TERM, INS = _piece(TERM_AT.format(n="length(txt)"), "abs(b_match_begin-b_match_end)+60"), _piece(INS_AT.format(n="length(txt)"), "a_end-a_begin")
 TERM_SEQ = f"case when comp=0 then {TERM} else reverse(translate({TERM},'acgt','tgca')) end"
+EXT_SEQ = _piece(INS_AT.format(n="length(txt)") + "-lext", "a_end-a_begin+lext+rext")
 
 
-@query("j04_term_seq", f"select a,b,comp,a_begin,a_end,b_match_begin,b_match_end, {TERM_SEQ} as term_seq from ({SV.format(size=50000)}) join px_ref on ctg=b", "px_ovl", "px_seq", "px_part", "px_ref")
+def _on_texts(rows: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Insertions of sequences that have a text, with their places on it: a_at and b_at."""
+    n = sv.lengths(chunks)
+    for key, at, place in (("a", "a_at", INS_AT), ("b", "b_at", TERM_AT)):
+        size = coords.dimension(n.select(F.col("ctg").alias(key), F.col("len").alias("__n")))
+        rows = rows.join(size, key).withColumn(at, F.expr(place.format(n="__n"))).drop("__n")
+    return rows
+
+
+@query("j04_term_seq", f"select a,b,comp,a_begin,a_end,b_match_begin,b_match_end, {TERM_SEQ} as term_seq from ({SV.format(size=50000)}) join px_part on ctg=b where length(txt)>0 and a in (select ctg from px_part where length(txt)>0)", "px_ovl", "px_seq", "px_part")
 def _(spark, d):
-    rows = sv.insertions(view(spark, d, "px_ovl")).drop("lflank", "rflank")
-    return sv.with_terminal(rows, sv.chunks(view(spark, d, "px_ref"), 160, 4096), fold=F.expr(TERM_AT), size=4096)
+    chunks = text_chunks(spark, d)
+    rows = _on_texts(sv.insertions(view(spark, d, "px_ovl")).drop("lflank", "rflank"), chunks)
+    return sv.with_terminal(rows, chunks, at=F.col("b_at")).drop("a_at", "b_at")
 
 
-@query("j05_ins_seq", f"select a,b,comp,a_begin,a_end,b_match_begin,b_match_end, substring(txt,cast({INS_AT}+1 as integer),cast(a_end-a_begin as integer)) as ins_seq from ({SV.format(size=50000)}) join px_ref on ctg=a", "px_ovl", "px_seq", "px_part", "px_ref")
+@query("j05_ins_seq", f"select a,b,comp,a_begin,a_end,b_match_begin,b_match_end, {INS} as ins_seq from ({SV.format(size=50000)}) join px_part on ctg=a where length(txt)>0 and b in (select ctg from px_part where length(txt)>0)", "px_ovl", "px_seq", "px_part")
 def _(spark, d):
-    rows = sv.insertions(view(spark, d, "px_ovl")).drop("lflank", "rflank")
-    return sv.with_insert(rows, sv.chunks(view(spark, d, "px_ref"), 50060), fold=F.expr(INS_AT))
+    chunks = text_chunks(spark, d)
+    rows = _on_texts(sv.insertions(view(spark, d, "px_ovl")).drop("lflank", "rflank"), chunks)
+    return sv.with_insert(rows, chunks, at=F.col("a_at")).drop("a_at", "b_at")
 
 
 @query("k13_variants", f"""select an.name||':'||(an.pos+a_begin)||'-'||(an.pos+a_end)||'_'||bn.name||':'||(bn.pos+b_match_begin)||'-'||(bn.pos+b_match_end) as id,
     an.name as a_name, an.pos+a_begin as a_start, an.pos+a_end as a_stop, bn.name as b_name, bn.pos+b_match_begin as b_start, bn.pos+b_match_end as b_stop, comp, lflank, rflank, lext, rext,
-    (select {TERM_SEQ} from px_ref where ctg=b) as term_seq, (select substring(txt,cast({INS_AT}-lext+1 as integer),cast(a_end-a_begin+lext+rext as integer)) from px_ref where ctg=a) as ins_seq
+    (select {TERM_SEQ} from px_part where ctg=b) as term_seq, (select {EXT_SEQ} from px_part where ctg=a) as ins_seq
     from (select *, least(a_begin,30) lext, least(2100000-a_end,30) rext from ({SV.format(size=50000)})
-    qualify row_number() over (partition by a,a_begin,a_end order by b,comp,b_match_begin,b_match_end,lflank,rflank)=1) v join px_scaf an on an.ctg=v.a join px_scaf bn on bn.ctg=v.b""", "px_ovl", "px_seq", "px_part", "px_ref", "px_scaf")
+    qualify row_number() over (partition by a,a_begin,a_end order by b,comp,b_match_begin,b_match_end,lflank,rflank)=1) v join px_scaf an on an.ctg=v.a join px_scaf bn on bn.ctg=v.b""", "px_ovl", "px_seq", "px_part", "px_scaf")
 def _(spark, d):
-    ref, scaf = view(spark, d, "px_ref"), view(spark, d, "px_scaf")
-    parts = sv.chunks(ref, 50060)
-    return sv.variants(view(spark, d, "px_ovl"), parts, parts, scaf, scaf, fold_a=F.expr(INS_AT), fold_b=F.expr(TERM_AT))
+    scaf, chunks = view(spark, d, "px_scaf"), text_chunks(spark, d)
+    rows = _on_texts(sv.variant_rows(view(spark, d, "px_ovl"), scaf, scaf), chunks)
+    return sv.with_sequences(rows, chunks, chunks, a_at=F.col("a_at"), b_at=F.col("b_at"))
 
 
 @query("o03_variant_order", f"select a,b,a_begin,a_end,b_match_begin,b_match_end,comp, row_number() over (order by a,a_begin,a_end,b,comp,b_match_begin,b_match_end) as place from ({SV.format(size=50000)})", "px_ovl")

@@ -126,7 +126,7 @@ def test_insertions(spark):
     got = sv.insertions(back)
     assert rows(got, "a_begin", "a_end") == [(2000, 2500)]
     text = spark.createDataFrame([(0, "ac" * 2000)], "ctg long, txt string")
-    term = sv.with_terminal(got, sv.chunks(text, 160, 512), size=512).first().term_seq
+    term = sv.with_terminal(got, sv.chunks(sv.pieces(text), 512, 64), size=512, strip=64).first().term_seq
     s = ("ac" * 2000)[1970 : 1970 + 70]
     assert term == s[::-1].translate(str.maketrans("acgt", "tgca"))
     assert rows(sv.flip(sv.flip(back))) == rows(back.select("aread", "bread", "comp", "bb", "be", "ab", "ae"))
@@ -135,16 +135,29 @@ def test_insertions(spark):
             sv.SvOptions(**bad)
 
 
-@pytest.mark.parametrize("size", [7, 64, 1 << 14])
-def test_pieces_of_chunked_sequences(spark, size):
+@pytest.mark.parametrize(("size", "strip", "most"), [(8, 4, 0), (64, 64, 1 << 20), (60, 20, 0), (1 << 14, 1 << 12, 1 << 20)])
+def test_pieces_across_chunks(spark, monkeypatch, size, strip, most):
+    """Pieces of every length, far longer than a chunk, out of bounds and repeated, from chunks that don't overlap."""
+    monkeypatch.setattr(sv, "BROADCAST", most)
     rng = random.Random(2)
     texts = {k: "".join(rng.choice("acgt") for _ in range(n)) for k, n in enumerate((0, 1, 500, 1300))}
-    want = [(k, a, a + n) for k, t in texts.items() for a in range(-2, len(t) + 2, 17) for n in (0, 1, 20, 40)]
-    df = spark.createDataFrame(want, "ctg long, a long, e long")
-    parts = sv.chunks(spark.createDataFrame(list(texts.items()), "ctg long, txt string"), 40, size)
-    for r in sv.cut_pieces(df, "ctg", F.col("a"), F.col("e") - F.col("a"), parts, "piece", size).collect():
-        inside = 0 <= r.a < len(texts[r.ctg]) and r.e <= len(texts[r.ctg])
-        assert r.piece == (texts[r.ctg][r.a : r.e] if inside else None), r
+    want = [(k, a, a + n, x) for k, t in [*texts.items(), (9, "")] for a in range(-2, len(t) + 2, 17) for n in (-1, 0, 1, 20, 40, 333) for x in (1, 1, 2)]
+    df = spark.createDataFrame(want, "ctg long, a long, e long, x int")
+    parts = sv.chunks(sv.pieces(spark.createDataFrame(list(texts.items()), "ctg long, txt string"), 50), size, strip)
+    assert sum(r.n for r in parts.collect()) == 1801 and rows(sv.lengths(parts, size)) == [(1, 1), (2, 500), (3, 1300)]
+    got = sv.cut_pieces(df, "ctg", F.col("a"), F.col("e") - F.col("a"), parts, "piece", size, strip)
+    piece = lambda k, a, e: texts[k][a:e] if texts.get(k) and 0 <= a <= e <= len(texts[k]) else None
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(((k, a, e, x, piece(k, a, e)) for k, a, e, x in want), key=repr)
+
+
+def test_sequences_of_several_rows(spark):
+    rng = random.Random(8)
+    docs = [(k % 3, k, "".join(rng.choice("acgt") for _ in range(rng.randrange(90)))) for k in range(300)] + [(1, 300, None)]
+    placed = sv.joined_pieces(spark.createDataFrame(docs, "ctg long, k long, txt string"), F.floor(F.col("k") / 16), "k")
+    whole = {c: "".join(t or "" for x, _, t in docs if x == c) for c in range(3)}
+    assert all(whole[r.ctg][r.start : r.start + len(r.txt)] == r.txt for r in placed.collect())
+    made = {c: "".join(s for r in sorted((r for r in sv.chunks(placed, 512, 64).collect() if r.ctg == c), key=lambda r: r.chunk) for s in r.strips) for c in range(3)}
+    assert made == whole
 
 
 def test_whole_variants(spark):
@@ -154,7 +167,7 @@ def test_whole_variants(spark):
     texts = spark.createDataFrame([(0, a), (1, b)], "ctg long, txt string")
     contigs = spark.createDataFrame([(0, "chrA", 100, 9000), (1, "chrB", 5, 9000)], "ctg long, name string, pos long, len long")
     ov = overlap(spark, (0, 1, 0, 10, 2010, 100, 2100), (0, 1, 0, 2500, 4500, 2110, 4110), (0, 1, 0, 2500, 4500, 2111, 4111))
-    parts = sv.chunks(texts, 60_000)
+    parts = sv.chunks(sv.pieces(texts))
     got = sv.variants(ov, parts, parts, contigs, contigs)
     r = got.first()
     assert got.count() == 1 and r.id == "chrA:2110-2600_chrB:2105-2115" and (r.lext, r.rext) == (30, 30)
