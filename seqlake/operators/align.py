@@ -106,16 +106,27 @@ def distance_udf(costs: Costs = Costs()):
     return nw
 
 
-def pairs(seqs: DataFrame, block: int = 256) -> DataFrame:
+def pairs(seqs: DataFrame, rows: int = 512, block: int | None = None) -> DataFrame:
     """(i, s_i, j, s_j) for all i < j of (seq_id, s), which is what scoring all pairs asks for.
 
-    Rows are dealt into blocks of ids; pairs of blocks meet by an equi join, so that each task holds two blocks and no
-    side is sent everywhere.
+    Rows are dealt into blocks of about rows each; every two blocks x <= y meet once by an equi join, so that each task
+    holds two blocks and no side is sent everywhere.
     """
-    b = F.pmod(F.xxhash64("seq_id"), F.lit(block)).cast("int")
-    left = seqs.select(F.col("seq_id").alias("i"), F.col("s").alias("s_i"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(block - 1)), lambda k: F.struct(b.alias("x"), k.alias("y")))).alias("b"))
-    right = seqs.select(F.col("seq_id").alias("j"), F.col("s").alias("s_j"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(block - 1)), lambda k: F.struct(k.alias("x"), b.alias("y")))).alias("b"))
-    return left.join(right, "b").where("i < j").drop("b")
+    if block is None:
+        block = max(1, -(-seqs.count() // rows))
+    return block_pairs(seqs.withColumn("__blocks", F.lit(block)))
+
+
+def block_pairs(seqs: DataFrame, *keys: str) -> DataFrame:
+    """pairs() within the groups of keys, each dealt into the number of blocks that its rows name in column __blocks."""
+    x = F.pmod(F.xxhash64("seq_id"), F.col("__blocks")).cast("int")
+    own = seqs.select(*keys, "seq_id", "s", x.alias("__own"), F.col("__blocks").cast("int").alias("__blocks"))
+    left = own.select(*keys, F.col("seq_id").alias("i"), F.col("s").alias("s_i"), F.col("__own").alias("x"), F.explode(F.sequence("__own", F.col("__blocks") - 1)).alias("y"))
+    right = own.select(*keys, F.col("seq_id").alias("j"), F.col("s").alias("s_j"), F.col("__own").alias("y"), F.explode(F.sequence(F.lit(0), F.col("__own"))).alias("x"))
+    met = left.join(right, [*keys, "x", "y"]).where("x < y or i < j")
+    turn = F.col("i") > F.col("j")
+    either = lambda a, b, name: F.when(turn, F.col(a)).otherwise(F.col(b)).alias(name)
+    return met.select(*keys, either("j", "i", "i"), either("s_j", "s_i", "s_i"), either("i", "j", "j"), either("s_i", "s_j", "s_j"))
 
 
 def strand_minimum(forward: Column, reverse: Column) -> Column:
@@ -123,10 +134,10 @@ def strand_minimum(forward: Column, reverse: Column) -> Column:
     return F.struct(F.least(forward, reverse).alias("score"), F.when(forward <= reverse, "+").otherwise("-").alias("strand"))
 
 
-def score_pairs(seqs: DataFrame, costs: Costs = Costs(), block: int = 8) -> DataFrame:
+def score_pairs(seqs: DataFrame, costs: Costs = Costs(), block: int | None = None) -> DataFrame:
     """(i, len_i, j, len_j, score, strand, end_col) of all pairs, the better of both strands."""
     nw = distance_udf(costs)
-    p = pairs(seqs, block).withColumn("f", nw("s_i", "s_j")).withColumn("r", nw("s_i", revcomp(F.col("s_j"))))
+    p = pairs(seqs, block=block).withColumn("f", nw("s_i", "s_j")).withColumn("r", nw("s_i", revcomp(F.col("s_j"))))
     best = F.least("f.score", "r.score")
     plus = F.col("f.score") <= F.col("r.score")
     return p.select("i", F.length("s_i").alias("len_i"), "j", F.length("s_j").alias("len_j"), best.alias("score"), F.when(plus, "+").otherwise("-").alias("strand"), F.when(plus, F.col("f.end")).otherwise(F.col("r.end")).alias("end_col"))
@@ -137,14 +148,16 @@ def threshold(factor: float, len_i: Column, len_j: Column) -> Column:
     return (F.lit(factor) * F.greatest(len_i, len_j) - 10).cast("int")
 
 
-def random_sequences(spark, n: int, length: int, seed: int = 1) -> DataFrame:
-    """(seq_id, s): reproducible pseudo-random sequences, each base by the first digit of md5("id:place:seed")."""
-    base = lambda k: F.translate(F.substring(F.md5(F.concat_ws(":", F.col("id").cast("string"), k.cast("string"), F.lit(str(seed)))), 1, 1), "0123456789abcdef", "acgt" * 4)
-    return spark.range(n).select(F.col("id").alias("seq_id"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(length)), base), "").alias("s"))
+def random_sequences(lengths: DataFrame, seed: int = 1) -> DataFrame:
+    """(seq_id, s): a reproducible pseudo-random sequence for each row (seq_id, len), each base by the first digit of
+    md5("id:place:seed"); what real sequences of those lengths are compared with."""
+    base = lambda k: F.translate(F.substring(F.md5(F.concat_ws(":", F.col("seq_id").cast("string"), k.cast("string"), F.lit(str(seed)))), 1, 1), "0123456789abcdef", "acgt" * 4)
+    return lengths.select("seq_id", F.when(F.col("len") > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.col("len"), F.lit(1))), base), "")).otherwise("").alias("s"))
 
 
-def estimate_factor(spark, n: int = 20, length: int = 100, costs: Costs = Costs(), seed: int = 1) -> DataFrame:
-    """(mean, factor): mean score of random pairs of one strand per 100 bases, and 0.9 % of it as the linking factor."""
-    got = pairs(random_sequences(spark, n, length, seed), 4).withColumn("f", distance_udf(costs)("s_i", "s_j"))
-    mean = F.avg("f.score") * 100 / length
+def estimate_factor(seqs: DataFrame, costs: Costs = Costs()) -> DataFrame:
+    """(mean, factor): mean score of all pairs, on one strand, per 100 bases of the longer one, and 0.9 % of it as the
+    linking factor; seqs are random sequences (random_sequences)."""
+    got = pairs(seqs).withColumn("f", distance_udf(costs)("s_i", "s_j"))
+    mean = F.avg(F.col("f.score") * 100 / F.greatest(F.length("s_i"), F.length("s_j")))
     return got.agg(mean.alias("mean"), (mean * 0.009).alias("factor"))

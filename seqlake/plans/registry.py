@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seqlake.functions import sequence as sq
-from seqlake.operators import align, cluster, coords, ordinal, sv, tandem
+from seqlake.operators import align, cluster, coords, ordinal, similar, sv, tandem
+from seqlake.operators.scratch import Scratch
 from seqlake.plans.proxies import table, text_chunks, view, with_views
 from seqlake.sources.oneschema import parse_schemas
 
@@ -206,12 +208,12 @@ def _(spark, d):
     return r.select("seq_id", F.size("r").cast("long").alias("n_runs"), F.aggregate(sizes, F.lit(0).cast("long"), lambda a, x: a + x).alias("bases"), first.alias("first"), F.coalesce(F.array_max(sizes), F.lit(0)).alias("longest"))
 
 
-RANDOM = "select id seq_id, string_agg(translate(substring(md5(id||':'||k||':1'),1,1),'0123456789abcdef','acgtacgtacgtacgt'),'' order by k) s from range(0,{n}) a(id), range(1,{size}) b(k) group by id"
+RANDOM = "select seq_id, coalesce(string_agg(translate(substring(md5(seq_id||':'||k||':1'),1,1),'0123456789abcdef','acgtacgtacgtacgt'),'' order by k),'') s from px_rand left join range(1,10000) b(k) on k<=len group by seq_id"
 
 
-@query("s26_random_sequences", RANDOM.format(n=50, size=101))
+@query("s26_random_sequences", RANDOM, "px_rand")
 def _(spark, d):
-    return align.random_sequences(spark, 50, 100)
+    return align.random_sequences(view(spark, d, "px_rand"))
 
 
 @query("w02_differences", "select user_id, event_id, lead(event_id) over (partition by user_id order by ts, event_id) - event_id as diff from events")
@@ -428,19 +430,22 @@ def _(spark, d):
     return sv.with_id(sv.insertions(view(spark, d, "px_ovl"))).select("id")
 
 
-@query("j06_pairs", "select x.seq_id i, y.seq_id j from px_short x join px_short y on x.seq_id<y.seq_id", "px_short")
+ALL_PAIRS = "px_name x join px_name y on x.seq_id<y.seq_id"
+
+
+@query("j06_pairs", f"select x.seq_id i, y.seq_id j from {ALL_PAIRS}", "px_name")
 def _(spark, d):
-    return align.pairs(view(spark, d, "px_short"), 8).select("i", "j")
+    return align.pairs(view(spark, d, "px_name")).select("i", "j")
 
 
-@query("f20_nw_unit_cost", "select x.seq_id i, y.seq_id j, cast(levenshtein(x.s,y.s) as integer) as score from px_short x join px_short y on x.seq_id<y.seq_id", "px_short")
+@query("f20_nw_unit_cost", f"select x.seq_id i, y.seq_id j, cast(levenshtein(x.s,y.s) as integer) as score from {ALL_PAIRS}", "px_name")
 def _(spark, d):
-    return align.pairs(view(spark, d, "px_short"), 8).select("i", "j", align.distance_udf(align.Costs(1, 1, 1))("s_i", "s_j").getField("score").alias("score"))
+    return align.pairs(view(spark, d, "px_name")).select("i", "j", align.distance_udf(align.Costs(1, 1, 1))("s_i", "s_j").getField("score").alias("score"))
 
 
-@query("f22_strand_min", "select i, j, cast(least(f,r) as integer) as score, case when f<=r then '+' else '-' end as strand from (select x.seq_id i, y.seq_id j, levenshtein(x.s,y.s) f, levenshtein(x.s,reverse(translate(y.s,'acgt','tgca'))) r from px_short x join px_short y on x.seq_id<y.seq_id)", "px_short")
+@query("f22_strand_min", f"select i, j, cast(least(f,r) as integer) as score, case when f<=r then '+' else '-' end as strand from (select x.seq_id i, y.seq_id j, levenshtein(x.s,y.s) f, levenshtein(x.s,reverse(translate(y.s,'acgt','tgca'))) r from {ALL_PAIRS})", "px_name")
 def _(spark, d):
-    return align.score_pairs(view(spark, d, "px_short"), align.Costs(1, 1, 1)).select("i", "j", "score", "strand")
+    return align.score_pairs(view(spark, d, "px_name"), align.Costs(1, 1, 1)).select("i", "j", "score", "strand")
 
 
 #: Weighted distance of pairs (i, j, p, q), p the longer: a row of the table a step, gaps along it by a running minimum.
@@ -475,7 +480,7 @@ def _(spark, d):
 
 @query("f20_nw_default", nw_rows("f", FORWARD_PAIRS, False) + " select i, j, score from f", "px_name")
 def _(spark, d):
-    return align.pairs(view(spark, d, "px_name"), 8).select("i", "j", align.distance_udf()("s_i", "s_j").getField("score").alias("score"))
+    return align.pairs(view(spark, d, "px_name")).select("i", "j", align.distance_udf()("s_i", "s_j").getField("score").alias("score"))
 
 
 @query("f21_nw_loop", nw_rows("f", FORWARD_PAIRS, True) + nw_rows("r", REVERSE_PAIRS, True) + " " + BOTH, "px_name")
@@ -483,69 +488,88 @@ def _(spark, d):
     return align.score_pairs(view(spark, d, "px_name"), align.Costs(loop=True))
 
 
-@query("a15_threshold", "with recursive rnd as (" + RANDOM.format(n=20, size=101) + ")" + nw_rows("f", f"select x.seq_id i, y.seq_id j, {LONGER} from rnd x join rnd y on x.seq_id<y.seq_id", False) + " select avg(score)*100/100e0 as mean, avg(score)*100/100e0*0.009e0 as factor from f")
+@query("a15_threshold", f", rnd as ({RANDOM})" + nw_rows("f", f"select x.seq_id i, y.seq_id j, {LONGER} from rnd x join rnd y on x.seq_id<y.seq_id", False) + " select avg(score*100e0/length(p)) as mean, avg(score*100e0/length(p))*0.009e0 as factor from f join f_p using (i,j)", "px_rand")
 def _(spark, d):
-    return align.estimate_factor(spark)
+    return align.estimate_factor(align.random_sequences(view(spark, d, "px_rand")))
+
+
+#: Linking distance in thousandths of the longer line.
+NEAR = 50
+def _words(n: int) -> str:
+    """How often each word of n letters stands in s, for words that can't overlap themselves."""
+    words = map("".join, itertools.product("acgt", repeat=n))
+    return "[" + ",".join(f"(length(s)-length(replace(s,'{w}','')))//{n}" for w in words if not any(w[:k] == w[-k:] for k in range(1, n))) + "]"
 
 
-@query("fl11_similar", f"select x.seq_id i, y.seq_id j from px_short x join px_short y on x.seq_id<y.seq_id where levenshtein(x.s,y.s) <= cast(trunc(0.6e0*greatest(length(x.s),length(y.s))-10) as integer)", "px_short")
+#: One edit changes 2n counts of words of n letters at most, so lines that differ in more aren't compared letter by letter.
+LINKS = f""", ln as materialized (select seq_id, s, length(s) n, {_words(2)} c, {_words(4)} w from px_line),
+    by_len as materialized (select x.seq_id i, y.seq_id j, y.n*{NEAR}//1000 k from ln x join ln y on x.n<=y.n and x.n>=y.n-y.n*{NEAR}//1000 where (x.n<y.n or x.seq_id<y.seq_id) and {'+'.join(f'abs(x.c[{n}]-y.c[{n}])' for n in range(1, 13))}<=4*(y.n*{NEAR}//1000)),
+    by_count as materialized (select i, j, x.s p, y.s q, k from by_len join ln x on x.seq_id=i join ln y on y.seq_id=j where list_sum(list_transform(list_zip(x.w,y.w), lambda z: abs(z[1]-z[2])))<=8*k),
+    scored as materialized (select i, j, k, cast(levenshtein(p,q) as integer) score from by_count), lk as materialized (select i, j, score from scored where score<=k)"""
+
+
+@query("fl11_similar", LINKS + " select least(i,j) i, greatest(i,j) j, score from lk", "px_line")
 def _(spark, d):
-    p = align.pairs(view(spark, d, "px_short"), 8)
-    return p.where(F.levenshtein("s_i", "s_j") <= align.threshold(0.6, F.length("s_i"), F.length("s_j"))).select("i", "j")
+    return similar.similar_pairs(view(spark, d, "px_line"), NEAR).select("i", "j", "score")
 
 
-REACH = f"""links as (select x.seq_id i, y.seq_id j, levenshtein(x.s,y.s) score from px_short x join px_short y on x.seq_id<y.seq_id),
-    e as (select i x, j y from links where score<=9 union select j, i from links where score<=9),
-    r as (select x, y from e union select r.x, e.y from r join e on r.y=e.x), comp as (select x node, least(x,min(y)) label from r group by x)"""
+REACH = LINKS + """, b as (select i x, j y from lk union all select j, i from lk),
+    r as (select x, y from b union select r.x, b.y from r join b on r.y=b.x), comp as materialized (select x node, least(x,min(y)) label from r group by x)"""
 
 
 def _labels(spark, d):
-    p = align.pairs(view(spark, d, "px_short"), 8).select("i", "j", F.levenshtein("s_i", "s_j").cast("long").alias("score"))
-    return p, cluster.components(p.where("score <= 9").select("i", "j"))
+    """The lines, and (node, label) of those with a link, both written once."""
+    scratch = Scratch(spark, "lines")
+    lines = scratch.table(view(spark, d, "px_line"), "lines")
+    return lines, scratch.table(cluster.components(similar.similar_pairs(lines, NEAR).select("i", "j")), "labels")
 
 
-@query("g01_components", f", {REACH} select node, label from comp", "px_short")
+@query("g01_components", f"{REACH} select node, label from comp", "px_line")
 def _(spark, d):
     return _labels(spark, d)[1]
 
 
-SUMS = "sums as (select a.label, a.node, cast(sum(l.score) as bigint) total from comp a join comp b on a.label=b.label and a.node<>b.node join links l on l.i=least(a.node,b.node) and l.j=greatest(a.node,b.node) group by all)"
+SUMS = "sums as (select a.label, a.node, cast(sum(levenshtein(p.s,q.s)) as bigint) total from comp a join comp b on a.label=b.label and a.node<>b.node join px_line p on p.seq_id=a.node join px_line q on q.seq_id=b.node group by all)"
+
+
+def _sums(spark, d):
+    lines, labels = _labels(spark, d)
+    return lines, labels, cluster.inner_sums(labels, lines)
 
 
-@query("a16_cluster_sum", f", {REACH}, {SUMS} select label, node, total from sums", "px_short")
+@query("a16_cluster_sum", f"{REACH}, {SUMS} select label, node, total from sums", "px_line")
 def _(spark, d):
-    return cluster.member_sums(*_labels(spark, d))
+    return _sums(spark, d)[2]
 
 
-MEDOID = """sized as (select s.*, cast(length(p.s) as integer) len, min(length(p.s)) over (partition by s.label) short from sums s join px_short p on p.seq_id=s.node),
-    picked as (select label, count(*) as count, cast(min(short) as integer) as min_len, case when arg_min(len, total*100000+node) > 1.1e0*min(short) then arg_min(node, total*100000+node) filter (len<=1.1e0*short) else arg_min(node, total*100000+node) end as medoid
+MEDOID = """sized as (select s.*, cast(length(p.s) as integer) len, min(length(p.s)) over (partition by s.label) short from sums s join px_line p on p.seq_id=s.node),
+    picked as (select label, count(*) as count, cast(min(short) as integer) as min_len, case when arg_min(len, struct_pack(t:=total,n:=node)) > 1.1e0*min(short) then arg_min(node, struct_pack(t:=total,n:=node)) filter (len<=1.1e0*short) else arg_min(node, struct_pack(t:=total,n:=node)) end as medoid
     from sized group by label)"""
 
 
-@query("a17_medoid", f", {REACH}, {SUMS}, {MEDOID} select label, count, min_len, medoid from picked", "px_short")
+@query("a17_medoid", f"{REACH}, {SUMS}, {MEDOID} select label, count, min_len, medoid from picked", "px_line")
 def _(spark, d):
-    sizes = view(spark, d, "px_short").select(F.col("seq_id").alias("node"), F.length("s").alias("len"))
-    return cluster.medoids(cluster.member_sums(*_labels(spark, d)), sizes)
+    lines, _, sums = _sums(spark, d)
+    return cluster.medoids(sums, lines.select(F.col("seq_id").alias("node"), F.length("s").alias("len")))
 
 
-REPORT = f"""{REACH}, {SUMS}, {MEDOID}, report as (select dense_rank() over (order by label) as cluster, node as member, cast(length(s) as integer) as len,
-    case when node=medoid then 0 else (select score from links l where l.i=least(node,medoid) and l.j=greatest(node,medoid)) end as score, node=medoid as is_representative
-    from comp join picked using (label) join px_short on seq_id=node)"""
+REPORT = f"""{REACH}, {SUMS}, {MEDOID}, report as (select dense_rank() over (order by label) as cluster, node as member, cast(length(p.s) as integer) as len,
+    case when node=medoid then 0 else levenshtein(p.s, q.s) end as score, node=medoid as is_representative
+    from comp join picked using (label) join px_line p on p.seq_id=node join px_line q on q.seq_id=medoid)"""
 
 
 def _report(spark, d):
-    seqs = view(spark, d, "px_short")
-    p, labels = _labels(spark, d)
-    medoid = cluster.medoids(cluster.member_sums(p, labels), seqs.select(F.col("seq_id").alias("node"), F.length("s").alias("len")))
-    return cluster.report(labels, medoid, p, seqs), seqs
+    lines, labels, sums = _sums(spark, d)
+    medoid = cluster.medoids(sums, lines.select(F.col("seq_id").alias("node"), F.length("s").alias("len")))
+    return cluster.report(labels, medoid, lines), lines
 
 
-@query("k15_cluster_report", f", {REPORT} select cluster, member, len, cast(score as bigint) as score, is_representative from report", "px_short")
+@query("k15_cluster_report", f"{REPORT} select cluster, member, len, cast(score as bigint) as score, is_representative from report", "px_line")
 def _(spark, d):
     return _report(spark, d)[0]
 
 
-@query("k15_representatives", f", {REPORT} select '>sat-'||cluster||'-'||len||chr(10)||s as value from report join px_short on seq_id=member where is_representative", "px_short")
+@query("k15_representatives", f"{REPORT} select '>sat-'||cluster||'-'||len||chr(10)||s as value from report join px_line on seq_id=member where is_representative", "px_line")
 def _(spark, d):
     return cluster.representative_fasta(*_report(spark, d))
 

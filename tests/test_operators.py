@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from seqlake.functions import sequence as sq
 from seqlake.functions.parse import index_list
-from seqlake.operators import align, cluster, coords, ordinal, sv, tandem
+from seqlake.operators import align, cluster, coords, ordinal, similar, sv, tandem
 
 
 def rows(df, *cols):
@@ -247,14 +247,79 @@ def test_distances_in_blocks(monkeypatch):
 
 def test_cluster_report(spark):
     labels = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (8, 7), (7, 7)], "node long, label long")
-    scores = spark.createDataFrame([(1, 2, 5), (1, 3, 5), (2, 3, 9), (7, 8, 1)], "i long, j long, score int")
-    seqs = spark.createDataFrame([(k, "a" * n) for k, n in ((1, 9), (2, 9), (3, 8), (7, 4), (8, 4))], "seq_id long, s string")
-    medoid = cluster.medoids(cluster.member_sums(scores, labels), seqs.select(F.col("seq_id").alias("node"), F.length("s").alias("len")))
-    got = cluster.report(labels, medoid, scores, seqs)
-    assert rows(got) == [(1, 1, 9, 5, False), (1, 2, 9, 9, False), (1, 3, 8, 0, True), (2, 7, 4, 0, True), (2, 8, 4, 1, False)]
+    seqs = spark.createDataFrame([(1, "aaaaaaaac"), (2, "aaaaaagtc"), (3, "aaaaaaaa"), (7, "aaaa"), (8, "aaac")], "seq_id long, s string")
+    sums = cluster.inner_sums(labels, seqs)
+    assert rows(sums) == [(1, 1, 3), (1, 2, 5), (1, 3, 4), (7, 7, 1), (7, 8, 1)]
+    medoid = cluster.medoids(sums, seqs.select(F.col("seq_id").alias("node"), F.length("s").alias("len")))
+    got = cluster.report(labels, medoid, seqs)
+    assert rows(got) == [(1, 1, 9, 1, False), (1, 2, 9, 3, False), (1, 3, 8, 0, True), (2, 7, 4, 0, True), (2, 8, 4, 1, False)]
     assert rows(cluster.representative_fasta(got, seqs)) == [(">sat-1-8\naaaaaaaa",), (">sat-2-4\naaaa",)]
 
 
+def test_pairs_and_sums_in_blocks(spark, monkeypatch):
+    rng = random.Random(12)
+    data = [(k, "".join(rng.choice("ac") for _ in range(rng.randrange(5)))) for k in range(60)]
+    seqs = spark.createDataFrame(data, "seq_id long, s string")
+    for block in (1, 3, 7):
+        assert rows(align.pairs(seqs, block=block)) == sorted((i, s, j, t) for i, s in data for j, t in data if i < j)
+    monkeypatch.setattr(cluster, "BLOCK", 4)
+    labels = seqs.select(F.col("seq_id").alias("node"), (F.col("seq_id") % 3).alias("label"))
+    want = {k: sum(edits(s, t) for j, t in data if j % 3 == k % 3) for k, s in data}
+    assert rows(cluster.inner_sums(labels, seqs)) == sorted((k % 3, k, v) for k, v in want.items())
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j - 1] + (x != y), last[j] + 1, row[-1] + 1))
+    return row[-1]
+
+
+def mutated(rng, s, n):
+    for _ in range(n):
+        k = rng.randrange(len(s) + 1)
+        s = s[:k] + rng.choice(["", rng.choice("acgt"), rng.choice("acgt") + s[k : k + 1]]) + s[k + 1 :]
+    return s
+
+
+@pytest.mark.parametrize(("per_mille", "strands"), [(0, False), (50, True), (120, False), (300, True), (900, False)])
+def test_similar_pairs_equal_all_pairs(spark, per_mille, strands):
+    rng = random.Random(per_mille)
+    word = lambda n: "".join(rng.choice("acgt") for _ in range(n))
+    data = ["", "", "a", "a", "t", "ac"] + [word(n) for n in (3, 9, 20, 21, 40, 60, 90)]
+    comp = str.maketrans("acgt", "tgca")
+    data += [mutated(rng, s, rng.randrange(1 + len(s) // 8)) for s in data for _ in range(4)]
+    data += [s[::-1].translate(comp) for s in data[::5]]
+    seqs = spark.createDataFrame([(k, s) for k, s in enumerate(data)] + [(999, None)], "seq_id long, s string")
+    want = []
+    for i, s in enumerate(data):
+        for j, t in enumerate(data[:i]):
+            score, strand = min((edits(s, x), n) for n, x in enumerate([t, t[::-1].translate(comp)][: 1 + strands]))
+            if score <= max(len(s), len(t)) * per_mille // 1000:
+                want.append((j, i, score, "+-"[strand]))
+    assert rows(similar.similar_pairs(seqs, per_mille, strands)) == sorted(want) and want
+
+
+def test_similar_candidates_are_few(spark):
+    """Families of like sequences: hardly more candidates than links, and as many again for ten times the families."""
+    rng = random.Random(3)
+    made = {}
+    for families in (20, 200):
+        data = [mutated(rng, s, 3) for s in ("".join(rng.choice("acgt") for _ in range(150)) for _ in range(families)) for _ in range(4)]
+        seqs = spark.createDataFrame(list(enumerate(data)), "seq_id long, s string")
+        made[families] = similar.candidates(seqs, 50).count()
+        assert similar.similar_pairs(seqs, 50).count() >= 5 * families
+    assert made[20] <= 6 * 20 * 1.2 and made[200] <= 6 * 200 * 1.2
+
+
+def test_distinct_texts(spark):
+    seqs = spark.createDataFrame([(3, "ac"), (1, "ac"), (2, "g"), (4, None)], "seq_id long, s string")
+    classes, members = similar.distinct_texts(seqs)
+    assert rows(classes) == [(1, "ac"), (2, "g")] and rows(members) == [(1, 1), (1, 3), (2, 2)]
+
+
 def test_components_and_medoids(spark):
     links = spark.createDataFrame([(1, 2), (2, 3), (4, 5), (9, 8), (8, 7), (7, 6), (3, 3)], "i long, j long")
     assert rows(cluster.components(links)) == [(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (6, 6), (7, 6), (8, 6), (9, 6)]
