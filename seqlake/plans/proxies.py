@@ -38,8 +38,10 @@ VIEWS_DUCK = VIEWS | {
     "px_lines": f"""select row_number() over (order by {','.join(LINE_ORDER)}) line_no,
         case l_returnflag when 'R' then 'A' when 'A' then 'D' else 'U' end typ, cast(l_quantity as bigint) val from lineitem""",
 }
-def _rx(sql: str, more: str) -> str:
-    return re.sub(r"\{rx(?::(\w+))?\}", lambda m: f"regexp_replace({m[1] or 'text'},'[^A-Za-z]',''{more})", sql)
+
+
+def _rx(sql: str, duck: bool) -> str:
+    return re.sub(r"\{rx(?::(\w+))?\}", lambda m: f"regexp_replace({m[1] or 'text'},'[^A-Za-z]',''" + (",'g')" if duck else ")"), sql)
 
 
 def with_views(*names: str) -> str:
@@ -47,7 +49,7 @@ def with_views(*names: str) -> str:
     order: list[str] = []
     for n in names:
         order += [x for x in [*NEEDS.get(n, []), n] if x not in order]
-    return "with recursive " + ", ".join(f"{n} as ({_rx(VIEWS_DUCK[n], ",'g'")})" for n in order)
+    return "with recursive " + ", ".join(f"{n} as ({_rx(VIEWS_DUCK[n], True)})" for n in order)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,7 +74,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "x"))
         dna = F.translate(F.lower(F.regexp_replace("x", "[^A-Za-z]", "")), "abcdefghijklmnopqrstuvwxyz", "acgtacgtacgtacgtacgtacgtac")
         return distinct_texts(lines.select((F.col("doc_id") * 1000000 + F.col("i")).alias("seq_id"), dna.alias("s")).where("length(s) > 0"))[0]
-    sql = _rx(VIEWS[name], "")
+    sql = _rx(VIEWS[name], False)
     frames = {n: table(spark, sf_dir, n) for n in ("supplier", "lineitem", "documents", "events", "pages") if f"from {n}" in sql}
     for need in NEEDS.get(name, []):
         if f"from {need}" in sql:
@@ -89,5 +91,6 @@ def text_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     from seqlake.operators import sv
     from seqlake.operators.scratch import Scratch
 
-    docs = view(spark, sf_dir, "px_seq").select((F.col("seq_id") % 10).cast("long").alias("ctg"), "seq_id", F.col("dna").alias("txt"))
-    return Scratch(spark, "texts").table(sv.chunks(sv.joined_pieces(docs, F.floor(F.col("seq_id") / 4096), "seq_id")), "chunks")
+    scratch = Scratch(spark, "texts")
+    docs = scratch.table(view(spark, sf_dir, "px_seq").select((F.col("seq_id") % 10).cast("long").alias("ctg"), "seq_id", F.col("dna").alias("txt")), "docs")
+    return scratch.table(sv.chunks(sv.joined_pieces(docs, F.floor(F.col("seq_id") / 4096), "seq_id")), "chunks")
