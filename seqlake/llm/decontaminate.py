@@ -1,16 +1,19 @@
 """Benchmark decontamination: rare seeds join passages to test items, Smith-Waterman alignment of words scores them.
 
 A copy may be edited, so seeds are ordered pairs of words at distance one or two, on both sides. An alignment of an item
-of n words that scores at least r of the item's own has m matches and costs of at most 2m - 2rn; two matches in a row
-that are further apart than two words, in the item or the text, cost 2 at least, so rn - 1 or more of them are such
-pairs. Hence:
+of n words that scores at least r of the item's own has m >= rn matches and costs of at most 2m - 2rn; two matches in a row
+that are further apart than two words, in the item or the text, cost 2 at least, so rn - 1 or more of the pairs of
+consecutive matches are near. These form paths over the item's places, so at most d - 1 of them lie wholly among any d places. Hence:
 
 1. The pairs of all items are counted over all documents (document frequency).
-2. Each item drops its most frequent pairs, two thirds of the rn - 1 that every copy keeps; the others are its seeds.
-   Every copy thus still holds a third of rn - 1 seeds, within (3 - 2r) n words. Nothing that scores enough is lost,
-   however edited.
-3. Seeds met in texts join the items' seeds. Document and item go on where enough seeds lie close enough together, and
-   the stretch of words around them is aligned.
+2. Each item drops all pairs among its d most frequent places (those whose pairs are the most frequent); the others are its
+   seeds, and every copy of enough score holds rn - d of them, within (3 - 2r) n words. Nothing that scores enough is
+   lost, however edited, for any d up to rn - 1. The item takes the d with the least bound on the documents that hold
+   enough seeds: the sum of the seeds' frequencies over the number needed. So what many items share (a template) is no seed.
+3. Seeds met in texts join the items' seeds. Document and item go on where enough seeds lie close enough together; the
+   stretch of words around them is aligned if rn places of the item or more hold a word of it.
+
+Letters of scripts without spaces are words of their own (scripts.words).
 
 Items, pairs, seeds and stretches are tables; a filter of the pairs (9 bits each) goes to the scans of documents, and the
 items' words where they are few. Beyond stated sizes both are left out, and the result is the same.
@@ -18,40 +21,24 @@ items' words where they are few. Beyond stated sizes both are left out, and the
 
 from __future__ import annotations
 
-import re
+import math
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqlake.llm.common import ROW, ROW_ARROW, SCREEN_KEYS, KeyFilter, Scratch, arrow_map, batch, column, join_rows, numbered, spare, without
+from seqlake.llm.scripts import words
 
 MIN_RATIO = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Pairs, and words of their texts, that are aligned at once.
 PAIRS, CELLS = 128, 1_000_000
-_WORD = re.compile(r"\w+")
 _MEMO, _GATHER = 200_000, 1_000_000
 #: Distinct words of all items up to which they are sent to the scans, so that other words need no hash.
 VOCABULARY = 500_000
-#: Characters of words among those up to U+FFFF, as the pattern has them.
-_IN_WORD = np.array([not 0xD800 <= c < 0xE000 and (chr(c).isalnum() or chr(c) == "_") for c in range(0x10000)])
-_BYTES = bytes(c if c >= 128 or _IN_WORD[c] else 32 for c in range(256))
-
-
-def words(text: str | None) -> list[str]:
-    """Runs of letters, digits and underscores of the lower-case text (the pattern \\w+, whole arrays at a time)."""
-    low = (text or "").lower()
-    if low.isascii():
-        return low.encode().translate(_BYTES).decode().split()
-    code = np.frombuffer(low.encode("utf-32-le", "replace"), "<u4")
-    if code.max() > 0xFFFF:
-        return _WORD.findall(low)
-    return np.where(_IN_WORD[code], code, 32).astype("<u4").tobytes().decode("utf-32-le").split()
-
-
 def _hash(word: str) -> int:
     return xxhash.xxh64_intdigest(word.encode("utf-8", "replace")) or 1
 
@@ -89,9 +76,30 @@ def pair_keys(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(at), np.concatenate(keys).view(np.int64)
 
 
-def kept_pairs(n: Column, min_ratio: float) -> Column:
+def kept_pairs(n: int, min_ratio: float) -> int:
     """Pairs of its item that every copy of enough score holds at least."""
-    return F.greatest(F.lit(1), F.ceil(n * F.lit(min_ratio)) - 1)
+    return max(1, math.ceil(n * min_ratio) - 1)
+
+
+def chosen_seeds(at: np.ndarray, to: np.ndarray, df: np.ndarray, n: int, min_ratio: float) -> tuple[np.ndarray, int]:
+    """(which pairs are seeds, how many of them every copy of enough score holds) of the pairs of places (at, to) of an
+    item of n words, df: in how many documents each pair stands."""
+    kept = kept_pairs(n, min_ratio)
+    weight = np.bincount(at, df, n) + np.bincount(to, df, n)
+    rank = np.empty(n, np.int64)
+    rank[np.lexsort((np.arange(n), -weight))] = np.arange(n)
+    gone = np.maximum(rank[at], rank[to])  # a pair goes when both of its places have
+    lost = np.bincount(gone, df, n).cumsum()
+    need = np.concatenate([[kept], kept - np.arange(kept)])  # for d = 0, 1, ... kept places
+    left = df.sum() - np.concatenate([[0], lost[:kept]])
+    d = int(np.lexsort((-need, left / need[: len(left)]))[0])
+    return gone >= d, int(need[d])
+
+
+def covers(item: list[str], stretch: list[str], min_ratio: float) -> bool:
+    """Whether enough places of the item hold a word of the stretch for an alignment that scores enough."""
+    there = set(stretch)
+    return sum(w in there for w in item) >= math.ceil(len(item) * min_ratio)
 
 
 def smith_waterman(items: list[list[int]], texts: list[list[int]]) -> np.ndarray:
@@ -142,17 +150,18 @@ def _items(items: DataFrame, item_col: str, text_col: str, scratch: Scratch) ->
 
 
 def _item_pairs(items: DataFrame, scratch: Scratch) -> DataFrame:
-    """(item, n, key): one row for each place of a pair in an item."""
-    out = pa.schema([("item", pa.int64()), ("n", pa.int32()), ("key", pa.int64())])
+    """(item, n, at, to, key): one row for each place of a pair in an item."""
+    out = pa.schema([("item", pa.int64()), ("n", pa.int32()), ("at", pa.int32()), ("to", pa.int32()), ("key", pa.int64())])
 
     def run(batches):
         h = Hashes()
         for b in batches:
             for i, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                keys = pair_keys(h.of(w))[1]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), i)), pa.array(np.full(len(keys), len(w), np.int32)), pa.array(keys)], schema=out)
+                at, keys = pair_keys(h.of(w))
+                to = at + np.where(np.arange(len(at)) < len(w) - 1, 1, 2)  # pairs of neighbours come first
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), i)), pa.array(np.full(len(keys), len(w), np.int32)), pa.array(at.astype(np.int32)), pa.array(to.astype(np.int32)), pa.array(keys)], schema=out)
 
-    return scratch.table(arrow_map(items.select("item", "words"), run, "item long, n int, key long"), "item-pairs")
+    return scratch.table(arrow_map(items.select("item", "words"), run, "item long, n int, at int, to int, key long"), "item-pairs")
 
 
 def _filter(keys: DataFrame, scratch: Scratch) -> KeyFilter | None:
@@ -193,12 +202,20 @@ def document_frequency(texts: DataFrame, known: KeyFilter | None, vocabulary) ->
 
 
 def seed_table(pairs: DataFrame, df: DataFrame, min_ratio: float) -> DataFrame:
-    """(item, n, need, key): the item's rarer pairs, and how many of them every copy of enough score holds."""
-    kept = kept_pairs(F.col("n"), min_ratio)
-    need = F.ceil(kept / 3)
-    counted = pairs.join(df, "key", "left").withColumns({"df": F.coalesce("df", F.lit(0)), "need": need.cast("int")})
-    rank = F.row_number().over(Window.partitionBy("item").orderBy(F.desc("df"), "key"))
-    return counted.withColumn("rank", rank).where(F.col("rank") > kept - F.col("need")).select("item", "n", "need", "key").distinct()
+    """(item, n, need, key): the seeds of each item, and how many of them every copy of enough score holds."""
+    out = pa.schema([("item", pa.int64()), ("n", pa.int32()), ("need", pa.int32()), ("key", pa.int64())])
+    counted = pairs.join(df, "key", "left").select("item", "n", F.struct("at", "to", F.coalesce("df", F.lit(0)).alias("df"), "key").alias("p"))
+    per_item = counted.groupBy("item", "n").agg(F.array_sort(F.collect_list("p")).alias("pairs"))
+
+    def run(batches):
+        for b in batches:
+            for i, n, p in zip(*(c.to_pylist() for c in b.columns)):
+                at, to, df, key = (np.array([x[k] for x in p], np.int64) for k in ("at", "to", "df", "key"))
+                seed, need = chosen_seeds(at, to, df, n, min_ratio)
+                keys = np.unique(key[seed])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), i)), pa.array(np.full(len(keys), n, np.int32)), pa.array(np.full(len(keys), need, np.int32)), pa.array(keys)], schema=out)
+
+    return arrow_map(per_item, run, "item long, n int, need int, key long")
 
 
 def _met(texts: DataFrame, known: KeyFilter | None, vocabulary) -> DataFrame:
@@ -258,7 +275,7 @@ def _matches(texts: DataFrame, items: DataFrame, item_col: str, item_text: str,
 
     def align(batches):
         for b in batches:
-            rows = [x for x in zip(*(c.to_pylist() for c in b.columns))]
+            rows = [x for x in zip(*(c.to_pylist() for c in b.columns)) if covers(x[3], x[4], min_ratio)]
             rows.sort(key=lambda r: (len(r[3]), len(r[4])))
             got, k = [], 0
             while k < len(rows):
@@ -283,7 +300,7 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     """(doc_id, item_id, score, ratio, n_seeds): the contaminated pairs, each once, with its best stretch.
 
     Every row and whole text of docs counts. Null and empty texts and items match nothing; an item_id that repeats with
-    other texts has the best of them; an item of one word matches nothing, of one of two words the text has to hold both,
+    other texts has the best of them; an item of one word (of one letter in an unspaced script) matches nothing, of one of two words the text has to hold both,
     next to each other or one apart. A null doc_id is not reported, equal rows are reported once. Empty tables give no rows. Other columns
     are not read.
     """

@@ -5,6 +5,7 @@ import collections
 import hashlib
 import random
 import re
+import unicodedata
 import zlib
 
 import duckdb
@@ -12,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from seqlake.llm import bpe, chat, common, counts, decontaminate, exact, fuse, langid, quality, queries, simhash, spans, toxicity
+from seqlake.llm import bpe, chat, common, counts, decontaminate, exact, fuse, langid, quality, queries, scripts, simhash, spans, toxicity
 from seqlake.llm.common import Scratch, table
 from seqlake.operators import components
 
@@ -351,24 +352,108 @@ def test_chat_long_roles_and_texts(spark):
 # --- spans
 
 
-def brute_spans(docs, words=spans.SPAN_WORDS):
+def lone(c):
+    return any(a <= ord(c) <= b for a, b in scripts.UNSPACED)
+
+
+def slow_units(t):
+    """(start, end) of words, and of single letters of unspaced scripts, a character at a time."""
+    out, k = [], 0
+    while k < len(t):
+        if t[k].isspace():
+            k += 1
+            continue
+        e = k + 1
+        while not lone(t[k]) and e < len(t) and not t[e].isspace() and not lone(t[e]):
+            e += 1
+        out.append((k, e))
+        k = e
+    return out
+
+
+def slow_cut(t, ends, wide, closing, newline):
+    """Stretches of t behind stops that white space follows, behind wide stops, and at line ends."""
+    out, start, k = [], 0, 0
+    while k < len(t):
+        stop = k and (t[k].isspace() and t[k - 1] in ends or newline and t[k] == "\n")
+        full = k and (t[k - 1] in wide and not (t[k] in closing or closing and t[k] in wide) or k > 1 and t[k - 1] in closing and t[k - 2] in wide)
+        if stop or full:
+            out.append((start, k))
+            start = k
+        k += 1
+    return [*out, (start, len(t))]
+
+
+def slow_sentences(t, most=16):
+    """An independent cutter: a character at a time, without patterns."""
+    out = []
+
+    def strip(a, b):
+        while a < b and t[a].isspace():
+            a += 1
+        while a < b and t[b - 1].isspace():
+            b -= 1
+        return a, b
+
+    for a, b in slow_cut(t, ".!?…", "。！？｡", "」』”’）", True):
+        a, b = strip(a, b)
+        if a == b:
+            continue
+        if len(slow_units(t[a:b])) <= most:
+            out.append((a, b))
+            continue
+        for c, d in slow_cut(t[a:b], ",;:", "、，；：", "", False):
+            c, d = strip(a + c, a + d)
+            units = slow_units(t[c:d])
+            if len(units) <= most:
+                out += [(c, d)] * (c < d)
+                continue
+            first = 0
+            for k, (x, y) in enumerate(units):
+                if k == len(units) - 1 or zlib.crc32(t[c + x : c + y].encode()) % 8 == 0 or k - first + 1 >= 4 * most:
+                    out.append((c + units[first][0], c + y))
+                    first = k + 1
+    return out
+
+
+def brute_spans(docs, chars=spans.SPAN_CHARS):
     """Sentences that go, by document; docs have different ids."""
     seen, drop = {}, collections.defaultdict(set)
     for d, t in sorted(docs):
-        parts = [t[a:b] for a, b in spans.sentences(t)]
+        parts = [tuple(t[a:b].split()) for a, b in slow_sentences(t or "")]
         for i in range(len(parts)):
-            j, n = i, 0
-            while j < len(parts) and (n < words or j - i < 2):
-                n += len(parts[j].split())
-                j += 1
-            if n >= words and j - i >= 2:
-                key = tuple(tuple(p.split()) for p in parts[i:j])
-                if key in seen:
-                    drop[d].update(range(i, j))
-                seen.setdefault(key, (d, i))
+            for j in range(i + 2, len(parts) + 1):
+                if sum(len(w) for p in parts[i:j] for w in p) >= chars:
+                    if tuple(parts[i:j]) in seen:
+                        drop[d].update(range(i, j))
+                    seen.setdefault(tuple(parts[i:j]), (d, i))
+                    break
     return {d: len(x) for d, x in drop.items()}
 
 
+def test_sentences_against_a_slow_cutter(spark, sf):
+    rng = random.Random(3)
+    pool = ["word", "a", "Zwei", "x9", ". ", "! ", ", ", " ", " ", "\n", "\t", "。", "」", "！", "，", "日", "本", "語", "ภาษา", "\u00a0", "; ", "?", "…", "é"]
+    for _ in range(400):
+        t = "".join(rng.choice(pool) for _ in range(rng.randrange(150)))
+        assert spans.sentences(t) == slow_sentences(t), repr(t)
+    for r in table(spark, sf, "documents").limit(60).collect():
+        assert spans.sentences(r.text) == slow_sentences(r.text or "")
+
+
+def test_spans_of_every_script(spark):
+    """Copies in one line of Chinese or Japanese, in words parted by tabs or no-break spaces, and a pair of short sentences."""
+    rng = random.Random(14)
+    han = "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(900))
+    stops = "。".join("".join(chr(rng.randrange(0x3041, 0x3090)) for _ in range(14)) for _ in range(30)) + "。"
+    tabs = "\t".join(rng.choice(WORDS) + str(rng.randrange(99)) for _ in range(200))
+    short = "The barge left port at noon today, loaded. Nobody saw the grey harbour master wave."
+    for k, copy in enumerate((han, stops, tabs, tabs.replace("\t", "\u00a0"), short)):
+        rows = [(1, copy), (2, "Something else that stands here. " + copy), (3, "Nothing of it is in this one.")]
+        got = spans.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert [r.doc_id for r in got] == [2] and got[0].chars_removed > 0.8 * len(copy), k
+
+
 def test_spans(spark, sf, odd, none):
     rng = random.Random(7)
     passage = ". ".join(" ".join(rng.choice(WORDS) for _ in range(9)) for _ in range(7)) + "."
@@ -432,12 +517,75 @@ def test_decontaminate(spark, sf, odd, none):
     assert [(r.doc_id, r.item_id) for r in short.collect()] == [(1, 13)]
 
 
-def test_words_are_those_of_the_pattern():
+def slow_words(t):
+    """A character at a time: letters, digits and underscores with their marks; letters of unspaced scripts alone."""
+    out, open_ = [], False
+    for c in t.lower():
+        if unicodedata.category(c)[0] == "M":
+            if open_ is not None and out:
+                out[-1] += c
+        elif not (c.isalnum() or c == "_"):
+            open_ = None
+        elif lone(c) or open_ is None or open_ == "alone" or not out:
+            out.append(c)
+            open_ = "alone" if lone(c) else "word"
+        else:
+            out[-1] += c
+    return out
+
+
+def test_words_of_every_script():
     rng = random.Random(4)
-    pool = "abZ09_ é–“”日本İıß😀\u0300\u200b²½٣-.,;'\n\t\x85\u2028"
-    for _ in range(500):
+    pool = "abZ09_ é–“”日本İıß😀\u0300\u200b²½٣-.,;'\n\t\x85\u2028ภาษาไทยที่かカ\U00020000कि"
+    for _ in range(800):
         t = "".join(rng.choice(pool) for _ in range(rng.randrange(40)))
-        assert decontaminate.words(t) == re.findall(r"\w+", t.lower()), repr(t)
+        assert decontaminate.words(t) == slow_words(t), repr(t)
+        spaced = "".join(c for c in t.lower() if not lone(c) and unicodedata.category(c)[0] != "M")
+        assert decontaminate.words(spaced) == re.findall(r"\w+", spaced)
+    assert decontaminate.words("日本語のword2本 ที่นี่") == ["日", "本", "語", "の", "word2", "本", "ที่", "นี่"]
+
+
+def test_decontaminate_unspaced_scripts(spark):
+    """Items in Chinese, Japanese and Thai, verbatim and with a tenth of the letters changed, in text without spaces."""
+    rng = random.Random(31)
+    letters = {20: range(0x4E00, 0x4E00 + 900), 21: range(0x3041, 0x3090), 22: range(0x0E01, 0x0E2E)}
+    text = lambda i, n: "".join(chr(rng.choice(letters[i])) for _ in range(n))
+    items = {i: text(i, 40) for i in letters}
+    edited = {i: "".join(c if k % 10 else text(i, 1) for k, c in enumerate(t)) for i, t in items.items()}
+    docs = [(d, text(i, 80) + t + text(i, 80)) for d, (i, t) in enumerate([*items.items(), *edited.items()])] + [(90 + i, text(i, 200)) for i in letters]
+    got = decontaminate.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(list(items.items()), "item_id long, text string"))
+    assert sorted((r.doc_id, r.item_id) for r in got.collect()) == [(0, 20), (1, 21), (2, 22), (3, 20), (4, 21), (5, 22)]
+
+
+def test_seeds_leave_out_a_template(spark, monkeypatch):
+    """400 documents and 400 items share five words of 14: hardly a pair of them meets, though copies are found."""
+    rng = random.Random(41)
+    word = lambda: "w" + str(rng.randrange(10**6))
+    template = "which of the following is".split()
+    items = {i: template + [word() for _ in range(9)] for i in range(400)}
+    docs = {d: template + [word() for _ in range(9)] for d in range(400)} | {1000 + i: [word()] + items[i][:6] + ["changed"] + items[i][7:] for i in range(0, 400, 40)}
+    aligned = []
+    monkeypatch.setattr(decontaminate.Scratch, "table", lambda self, df, name, f=decontaminate.Scratch.table: aligned.append(f(self, df, name)) or aligned[-1] if name == "passages" else f(self, df, name))
+    tests = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    got = decontaminate.matches(spark.createDataFrame([(d, " ".join(w)) for d, w in docs.items()], "doc_id long, text string"), tests)
+    assert sorted((r.doc_id, r.item_id) for r in got.collect()) == [(1000 + i, i) for i in range(0, 400, 40)]
+    assert aligned[0].count() < 2000
+
+
+def test_chosen_seeds_are_kept_by_every_copy():
+    """Whatever is dropped, an alignment of enough score holds as many seeds as are asked for."""
+    rng = random.Random(2)
+    for _ in range(300):
+        n = rng.randrange(2, 20)
+        at = np.array([k for g in (1, 2) for k in range(n - g)])
+        to = np.array([k + g for g in (1, 2) for k in range(n - g)])
+        seed, need = decontaminate.chosen_seeds(at, to, np.array([rng.randrange(9) for _ in at]), n, 0.5)
+        assert need >= 1
+        for _ in range(50):
+            path = sorted(rng.sample(range(n), rng.randrange(2, n + 1)))
+            near = {(a, b) for a, b in zip(path, path[1:]) if b - a <= 2}
+            if len(near) >= decontaminate.kept_pairs(n, 0.5):
+                assert sum((a, b) in near for a, b, x in zip(at, to, seed) if x) >= need
 
 
 EDITS = {
