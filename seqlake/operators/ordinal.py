@@ -41,6 +41,29 @@ def sum_before(df: DataFrame, keys: Sequence[str], bucket: str, order: str, valu
     return joined.withColumn(name, F.coalesce("__i", F.lit(0)) + F.coalesce("__before", F.lit(0))).drop("__i", "__before")
 
 
+def last_before(positions: DataFrame, at: str, starts: DataFrame, start: str, name: str, keys: Sequence[str] = (), width: int = 1 << 16, salts: int = 4) -> DataFrame:
+    """Adds name: the greatest start at or before each position (of the same keys, if any); null before the first. The
+    starts are another table, without a shared key.
+
+    Both are put into buckets of width. Inside a bucket the last start is carried along the order; a position before its
+    bucket's first start takes the last one of the nearest bucket before that has any, found among one row a bucket. A
+    bucket's positions are dealt over salts, so that one with very many is not one task's.
+    """
+    own, every = [F.col(k) for k in positions.columns], F.sequence(F.lit(0), F.lit(salts - 1))
+    salt = F.pmod(F.xxhash64(*own), F.lit(salts)).cast("int")
+    row = positions.select(*keys, F.col(at).cast("long").alias("__at"), F.lit(1).alias("__side"), F.lit(None).cast("long").alias("__start"), F.struct(*own).alias("__row"), salt.alias("__salt"))
+    kind = positions.select(F.struct(*own).alias("s")).schema["s"].dataType
+    known = starts.where(F.col(start).isNotNull()).select(*keys, F.col(start).cast("long").alias("__at")).distinct()
+    begin = known.select(*keys, "__at", F.lit(0).alias("__side"), F.col("__at").alias("__start"), F.lit(None).cast(kind).alias("__row"), F.explode(every).alias("__salt"))
+    both = row.unionByName(begin).withColumn("__b", F.floor(F.col("__at") / width))
+    order = Window.partitionBy(*keys, "__b", "__salt").orderBy("__at", "__side").rowsBetween(Window.unboundedPreceding, 0)
+    inside = both.withColumn("__last", F.last("__start", True).over(order)).where("__side = 1")
+    buckets = positions.select(*keys, F.floor(F.col(at) / width).alias("__b"), F.lit(None).cast("long").alias("__start")).distinct().unionByName(known.select(*keys, F.floor(F.col("__at") / width).alias("__b"), F.col("__at").alias("__start")))
+    per = buckets.groupBy(*keys, "__b").agg(F.max("__start").alias("__start"))
+    carried = per.withColumn("__carried", F.last("__start", True).over(Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))).drop("__start")
+    return inside.join(carried, [*keys, "__b"], "left").select("__row.*", F.coalesce("__last", "__carried").alias(name))
+
+
 def object_ordinal(lines: DataFrame, object_type: str, type_col: str = "typ", order: str = "line_no", name: str = "obj") -> DataFrame:
     """Adds the number of object lines up to each line: 0 before the first object, then 1, 2, ..."""
     return running_sum(lines, F.when(F.col(type_col) == object_type, 1).otherwise(0), order, name)

@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqlake.operators import coords
+
 
 def score(diffs: Column, length: Column) -> Column:
     """Identity in thousandths, cut towards zero; 0 without a differences line."""
@@ -85,6 +87,28 @@ def splice(sequences: DataFrame, accepted: DataFrame) -> DataFrame:
     return j.select("seq", F.when(F.col("rows").isNull(), F.col("dna")).otherwise(cut("dna", "rows")).alias("dna"))
 
 
+def splice_pieces(parts: DataFrame, accepted: DataFrame, size: int, strip: int, width: int = BUCKET) -> DataFrame:
+    """splice() for sequences of any length: (ctg, start, txt), pieces of the spliced sequences with their places in them,
+    from a chunk table (sv.chunks) and accepted repeats (seq, start, end, unit); sv.chunks() makes a chunk table of them.
+
+    What is kept lies between the end of one repeat and the first unit of the next; prefix sums of the kept lengths give
+    each its place. No value is longer than a chunk. Empty repeats (end at start) change nothing.
+    """
+    from seqlake.operators import sv
+    from seqlake.operators.ordinal import last_before, sum_before
+
+    size_of = sv.lengths(parts, size)
+    rows = accepted.where("end > start").select(F.col("seq").cast("long").alias("ctg"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.col("unit").cast("long").alias("unit"))
+    before = last_before(rows, "start", rows, "end", "prev", ["ctg"], width).join(coords.dimension(size_of), "ctg")
+    kept = before.select("ctg", F.coalesce("prev", F.lit(0)).alias("lo"), F.least(F.col("start") + F.greatest("unit", F.lit(0)), "len").alias("hi"))
+    tail = coords.dimension(size_of).join(rows.groupBy("ctg").agg(F.max("end").alias("lo")), "ctg", "left").select("ctg", F.coalesce("lo", F.lit(0)).alias("lo"), F.col("len").alias("hi"))
+    kept = kept.unionByName(tail).where("hi > lo").withColumns({"n": F.col("hi") - F.col("lo"), "b": F.floor(F.col("lo") / width)})
+    placed = sum_before(kept, ["ctg"], "b", "lo", "n", "to").withColumn("chunk", F.explode(F.sequence(F.expr(f"lo div {size}"), F.expr(f"(hi - 1) div {size}"))))
+    a, b = F.greatest("lo", F.col("chunk") * size), F.least("hi", (F.col("chunk") + 1) * size)
+    met = placed.join(parts.hint("merge"), ["ctg", "chunk"])
+    return met.select("ctg", (F.col("to") + a - F.col("lo")).alias("start"), sv.strip_cut(a % size, b - a, strip).alias("txt"))
+
+
 def exact_copies(steps: DataFrame, unit: int, least: int = 20) -> DataFrame:
     """(arr, p): starts of copies exactly one unit long, from positions (arr, p); nothing for units below least."""
     nxt = F.lead("p").over(Window.partitionBy("arr").orderBy("p"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from seqlake.functions import sequence as sq
 from seqlake.operators import align, cluster, coords, ordinal, similar, sv, tandem
+from seqlake.operators.byte_counts import byte_histogram
 from seqlake.operators.scratch import Scratch
 from seqlake.plans.proxies import table, text_chunks, view, with_views
 from seqlake.sources.oneschema import parse_schemas
@@ -253,16 +254,29 @@ def _(spark, d):
 ARR = "select event_id%997 seq, (event_id*37)%12000 s, (event_id*37)%12000+10+event_id%40 e, 3+event_id%5 unit from events"
 
 
-@query("f08_splice", f""", lift as (select *, row_number() over (partition by seq order by s,e,unit) rn from ({ARR})),
+SPLICED = f""", lift as (select *, row_number() over (partition by seq order by s,e,unit) rn from ({ARR})),
     acc as (select seq, rn, e from lift where rn=1 union all select seq, n.rn, n.e from (select a.seq, min(struct_pack(rn:=l.rn, e:=l.e)) n from acc a join lift l on l.seq=a.seq and l.s>=a.e group by a.seq)),
     ok as (select l.*, row_number() over (partition by l.seq order by l.rn) k, lag(l.e,1,0) over (partition by l.seq order by l.rn) pe from acc join lift l using (seq, rn)),
-    parts as (select seq, string_agg(substring(dna,cast(pe+1 as integer),cast(s-pe as integer))||substring(dna,cast(s+1 as integer),cast(unit as integer)),'' order by k) p, max(e) e from ok join px_seq on seq=seq_id group by seq)
-    select seq_id as seq, coalesce(p||substring(dna,cast(e+1 as integer)),dna) as dna from px_seq left join parts on seq=seq_id""", "px_seq")
-def _(spark, d):
-    e = table(spark, d, "events")
+    parts as (select seq, string_agg(substring(dna,cast(pe+1 as integer),cast(s-pe as integer))||substring(dna,cast(s+1 as integer),cast(unit as integer)),'' order by k) p, max(e) e from ok join px_seq on seq=seq_id group by seq),
+    spliced as (select seq_id as seq, coalesce(p||substring(dna,cast(e+1 as integer)),dna) as dna from px_seq left join parts on seq=seq_id)"""
+
+
+def _arrays(spark, d):
     s = (F.col("event_id") * 37) % 12000
-    arr = e.select((F.col("event_id") % 997).alias("seq"), s.alias("start"), (s + 10 + F.col("event_id") % 40).alias("end"), (3 + F.col("event_id") % 5).alias("unit"))
-    return tandem.splice(view(spark, d, "px_seq").withColumnRenamed("seq_id", "seq"), tandem.greedy(arr))
+    return table(spark, d, "events").select((F.col("event_id") % 997).alias("seq"), s.alias("start"), (s + 10 + F.col("event_id") % 40).alias("end"), (3 + F.col("event_id") % 5).alias("unit"))
+
+
+@query("f08_splice", SPLICED + " select seq, dna from spliced", "px_seq")
+def _(spark, d):
+    return tandem.splice(view(spark, d, "px_seq").withColumnRenamed("seq_id", "seq"), tandem.greedy(_arrays(spark, d)))
+
+
+@query("f08_splice_chunks", SPLICED + " select seq, cast(k as bigint) as chunk, substring(dna, cast(k*4096+1 as integer), 4096) as txt from (select *, unnest(range(0,(length(dna)+4095)//4096)) k from spliced)", "px_seq")
+def _(spark, d):
+    docs = view(spark, d, "px_seq").select(F.col("seq_id").alias("ctg"), F.lit(0).cast("long").alias("start"), F.col("dna").alias("txt"))
+    parts = Scratch(spark, "splice").table(sv.chunks(docs, 4096, 1024), "chunks")
+    made = sv.chunks(tandem.splice_pieces(parts, tandem.greedy(_arrays(spark, d)), 4096, 1024), 4096, 1024)
+    return made.select(F.col("ctg").alias("seq"), "chunk", F.array_join("strips", "").alias("txt"))
 
 
 STEP = "select arr, p from (select arr, p, lead(p) over (partition by arr order by p)-p d from px_step) where d=20"
@@ -619,9 +633,17 @@ def _(spark, d):
     return tandem.copies_out_of_bounds(s, 20).select("arr", "p", (F.col("p") + 20 - F.col("len")).alias("beyond"))
 
 
-@query("w07_enclosing", f", {OBJ} select line_no as x, nullif(max(case when typ='A' then obj end) over (order by line_no), 0) as obj from obj", "px_lines")
+#: Starts are far apart and begin late, so many positions lie in buckets without a start, or before the first.
+POSITIONS = "select l_orderkey, l_linenumber, l_partkey, l_suppkey, (l_orderkey*7919+l_linenumber*104729+l_partkey*31)*11%60000000 x from lineitem"
+STARTS = "select 1000000+(s_suppkey*1000003)%50000000 as start from supplier"
+
+
+@query("w07_enclosing", f"select p.*, s.start as obj_start from ({POSITIONS}) p asof left join ({STARTS}) s on p.x>=s.start")
 def _(spark, d):
-    return ordinal.object_ordinal(view(spark, d, "px_lines"), "A").select(F.col("line_no").alias("x"), F.when(F.col("obj") > 0, F.col("obj")).alias("obj"))
+    x = (F.col("l_orderkey") * 7919 + F.col("l_linenumber") * 104729 + F.col("l_partkey") * 31) * 11 % 60000000
+    positions = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", x.alias("x"))
+    starts = table(spark, d, "supplier").select((F.lit(1000000) + (F.col("s_suppkey") * 1000003) % 50000000).alias("start"))
+    return ordinal.last_before(positions, "x", starts, "start", "obj_start")
 
 
 @query("w05_first_row", f"select seq, sbeg as start, send as \"end\", unit, ctg, diffs from (select *, row_number() over (partition by seq order by sbeg, send, unit, ctg, diffs) rn from ({LIFT})) where rn=1", "px_tan", "px_contig")
@@ -664,10 +686,9 @@ def _(spark, d):
     return table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("k")).agg(F.min("l_orderkey").alias("first"))
 
 
-@query("a18_byte_histogram", "select c as byte, count(*) as n from (select unnest(string_split(dna,'')) c from px_seq) where c<>'' group by c", "px_seq")
+@query("a18_byte_histogram", "select lower(h) as byte, count(*) as n from (select unnest(regexp_extract_all(hex(encode(text)),'..')) h from documents) group by 1")
 def _(spark, d):
-    letters = F.transform(F.array(*map(F.lit, "acgt")), lambda c: F.struct(c.alias("byte"), (F.length("dna") - F.length(F.replace("dna", c))).cast("long").alias("n")))
-    return view(spark, d, "px_seq").select(F.inline(letters)).groupBy("byte").agg(F.sum("n").alias("n"))
+    return byte_histogram(table(spark, d, "documents"), "text").select(F.lower(F.lpad(F.hex("byte"), 2, "0")).alias("byte"), "n")
 
 
 @query("k10_fasta_lines", "select '>'||seq_id||chr(10)||dna as value from px_seq", "px_seq")

@@ -8,6 +8,7 @@ holds one block of it.
 from __future__ import annotations
 
 import glob
+import json
 import os
 import shutil
 import struct
@@ -16,9 +17,11 @@ import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from seqlake.functions.sequence import pack_bases, unpack_bases
+from seqlake.sources.huffman import Codec
 from seqlake.sources.oneschema import HEADER, LISTS, LineType, Schema, add_definition, parse_schemas
 
 LINES = (
@@ -80,16 +83,17 @@ def read_varint(b: bytes, at: int) -> tuple[int, int]:
     return int.from_bytes(b[at + 1 : at + 1 + n], "little", signed=True), at + 1 + n
 
 
+def split_ints(values: list[int]) -> tuple[bytes, bytes]:
+    """Binary form of a list: the first value and the width of the differences; the differences."""
+    if len(values) < 2:
+        return (varint(values[0]) if values else b""), b""
+    d = [y - x for x, y in zip(values, values[1:])]
+    n = next(k for k in range(1, 9) if all(-(1 << 8 * k - 1) <= x < 1 << 8 * k - 1 for x in d))
+    return varint(values[0]) + bytes([n]), b"".join(x.to_bytes(n, "little", signed=True) for x in d)
+
+
 def compact_ints(values: list[int]) -> bytes:
-    """Binary form of a list: the first value, the width of the differences, the differences."""
-    if not values:
-        return b""
-    out = varint(values[0])
-    if len(values) > 1:
-        d = [y - x for x, y in zip(values, values[1:])]
-        n = next(k for k in range(1, 9) if all(-(1 << 8 * k - 1) <= x < 1 << 8 * k - 1 for x in d))
-        out += bytes([n]) + b"".join(x.to_bytes(n, "little", signed=True) for x in d)
-    return out
+    return b"".join(split_ints(values))
 
 
 def expand_ints(first: int, width: int, diffs: bytes) -> list[int]:
@@ -99,51 +103,6 @@ def expand_ints(first: int, width: int, diffs: bytes) -> list[int]:
     return out
 
 
-class Codec:
-    """Decoder of length-limited Huffman code (at most 12 bits, and an escape before literal bytes)."""
-
-    def __init__(self, serial: bytes):
-        order = ">" if serial[0] else "<"
-        self.codes: dict[tuple[int, int], int] = {}  # (bits, code) to byte, 256 for the escape
-        at = 9
-        escape, length = struct.unpack(order + "ii", serial[1:9])
-        for s in range(256):
-            n = serial[at]
-            at += 1
-            if n > 0 or s == escape:
-                code = struct.unpack(order + "H", serial[at : at + 2])[0]
-                at += 2
-                if n > 0 and s != escape:
-                    self.codes[n, code] = s
-                if s == escape:
-                    self.codes[length, code] = 256
-
-    def decode(self, data: bytes, bits: int, size: int) -> bytes:
-        if data[:1] == b"\xff":
-            return data[1 : 1 + size]
-        words = bits // 64
-        b = bytearray(data)
-        if words and not data[0] & 0x40:  # written little-endian
-            b[0], b[7] = b[7], b[0]
-            for k in range(words):
-                b[8 * k : 8 * k + 8] = b[8 * k : 8 * k + 8][::-1]
-        stream = bin(int.from_bytes(b, "big") | 1 << 8 * len(b))[3 : 3 + bits][2:]
-        out, at = bytearray(), 0
-        while len(out) < size:
-            for n in range(1, 17):
-                s = self.codes.get((n, int(stream[at : at + n] or "0", 2)))
-                if s is not None and at + n <= len(stream):
-                    break
-            else:
-                raise ValueError("broken code")
-            at += n
-            if s == 256:
-                s = int(stream[at : at + 8], 2)
-                at += 8
-            out.append(s)
-        return bytes(out)
-
-
 class FileBytes:
     """A file that is sliced like bytes but read in blocks, as far as it is looked at (headers and footers)."""
 
@@ -383,7 +342,7 @@ class Parser:
             elif letter == "&":
                 h.index[v[0]] = v[1]
             elif letter == ";":
-                h.codecs[v[0]] = Codec(v[1].encode("utf-8", "surrogateescape"))
+                h.codecs[v[0]] = Codec.load(v[1].encode("utf-8", "surrogateescape"))
             elif letter == "^":
                 self.at = back
 
@@ -464,8 +423,19 @@ def ascii_line(line: Line, kinds: tuple[str, ...]) -> str:
     return " ".join([line.type, *(_text_value(k, v) for k, v in zip(kinds, line.values, strict=True)), *([line.comment] if line.comment else [])])
 
 
-def binary_line(line: Line, kinds: tuple[str, ...]) -> bytes:
-    """Lists other than DNA are left uncompressed."""
+def list_body(kind: str, v) -> tuple[bytes, bytes]:
+    """Binary form of a list in two: what always stands as it is, and the bytes that a codec compresses."""
+    if kind == "STRING":
+        return b"", v.encode("utf-8", "surrogateescape")
+    if kind == "INT_LIST":
+        return split_ints(v)
+    if kind == "REAL_LIST":
+        return b"", struct.pack(f"<{len(v)}d", *v)
+    return "".join(f" {len(x.encode())} {x}" for x in v).encode(), b""  # STRING_LIST
+
+
+def binary_line(line: Line, kinds: tuple[str, ...], codec: Codec | None = None) -> bytes:
+    """DNA takes two bits a base; other lists go through the codec of their line type, if it has one."""
     head, body, packed = b"", b"", 0
     for kind, v in zip(kinds, line.values, strict=True):
         if kind == "INT":
@@ -475,18 +445,15 @@ def binary_line(line: Line, kinds: tuple[str, ...]) -> bytes:
         elif kind == "CHAR":
             head += v.encode("latin-1")
         else:
-            raw = v.encode("utf-8", "surrogateescape") if isinstance(v, str) else b""
-            head += varint(len(raw) if isinstance(v, str) else len(v))
-            if kind == "DNA" and v:
-                packed, body = 1, varint(2 * len(v)) + pack_bases(v)[: (2 * len(v) + 7) // 8]
-            elif kind == "STRING":
-                body = raw
-            elif kind == "INT_LIST":
-                body = compact_ints(v)
-            elif kind == "REAL_LIST":
-                body = struct.pack(f"<{len(v)}d", *v)
-            elif kind == "STRING_LIST":
-                body = "".join(f" {len(x.encode())} {x}" for x in v).encode()
+            head += varint(len(v.encode("utf-8", "surrogateescape")) if isinstance(v, str) else len(v))
+            if kind == "DNA":
+                packed, body = (1, varint(2 * len(v)) + pack_bases(v)[: (2 * len(v) + 7) // 8]) if v else (0, b"")
+            else:
+                first, raw = list_body(kind, v)
+                if codec is not None and raw:
+                    data, bits = codec.encode(raw)
+                    packed, raw = 1, varint(bits) + data
+                body = first + raw
     out = bytes([byte_of(line.type) | packed]) + head + body
     if line.comment:
         c = line.comment.encode("utf-8", "surrogateescape")
@@ -494,35 +461,83 @@ def binary_line(line: Line, kinds: tuple[str, ...]) -> bytes:
     return out
 
 
+Counts = dict[tuple[str, str], int]  # (# or +, type): lines, or list elements
+
+
+def _added(a: Counts, b: Counts) -> Counts:
+    return {k: a.get(k, 0) + b.get(k, 0) for k in a.keys() | b.keys()}
+
+
+def _most(a: Counts, b: Counts) -> Counts:
+    return {k: max(a.get(k, 0), b.get(k, 0)) for k in a.keys() | b.keys()}
+
+
+@dataclass
+class Stretch:
+    """What a stretch of lines says about the objects of one type: head, the counts before any of them begins or ends (they
+    belong to one that is open before the stretch); most, the maxima of those that begin and end inside; tail, the counts of
+    the one still open at the end, None if there is none; ended: whether any begins or ends at all. then() is associative."""
+
+    head: Counts = field(default_factory=dict)
+    most: Counts = field(default_factory=dict)
+    tail: Counts | None = None
+    ended: bool = False
+
+    def add(self, one: Counts) -> None:
+        if not self.ended:
+            self.head = _added(self.head, one)
+        elif self.tail is not None:
+            self.tail = _added(self.tail, one)
+
+    def end(self, begins: bool) -> None:
+        self.most = _most(self.most, self.tail or {})
+        self.tail, self.ended = ({} if begins else None), True
+
+    def then(self, after: Stretch) -> Stretch:
+        if not after.ended:
+            if not self.ended:
+                return Stretch(_added(self.head, after.head))
+            return Stretch(self.head, self.most, None if self.tail is None else _added(self.tail, after.head), True)
+        if not self.ended:
+            return Stretch(_added(self.head, after.head), after.most, after.tail, True)
+        across = {} if self.tail is None else _added(self.tail, after.head)
+        return Stretch(self.head, _most(_most(self.most, after.most), across), after.tail, True)
+
+
 class Nested:
-    """The most lines, and list elements, of each type inside one object of each type that contains them."""
+    """The most lines, and list elements, of each type inside one object of each type that contains them. Those of stretches
+    of a file, cut anywhere, join to those of the whole: then()."""
 
-    def __init__(self, schema: Schema):
+    def __init__(self, schema: Schema, of: dict[str, Stretch] | None = None):
+        self.schema = schema
         self.inside = {k: schema.contained(k) - {k} for k, x in schema.lines.items() if x.kind == "O"}
-        self.now: dict[str, dict[tuple[str, str], int]] = {}
-        self.most: dict[tuple[str, str, str], int] = {}
+        self.of = of or {k: Stretch() for k in self.inside}
 
     def add(self, letter: str, size: int) -> None:
         for k, inside in self.inside.items():
             if letter == k:
-                self.close(k)
-                self.now[k] = {}
+                self.of[k].end(True)
             elif letter in inside:
-                if k in self.now:
-                    for sign, n in (("#", 1), ("+", size)):
-                        self.now[k][sign, letter] = self.now[k].get((sign, letter), 0) + n
+                self.of[k].add({("#", letter): 1, ("+", letter): size})
             elif letter in self.inside:
-                self.close(k)
+                self.of[k].end(False)
 
-    def close(self, k: str) -> None:
-        for (sign, letter), n in self.now.pop(k, {}).items():
-            if n > self.most.get((k, sign, letter), 0):
-                self.most[k, sign, letter] = n
+    def then(self, after: Nested) -> Nested:
+        return Nested(self.schema, {k: x.then(after.of[k]) for k, x in self.of.items()})
+
+    def maxima(self) -> dict[tuple[str, str, str], int]:
+        """Of a whole file: what stands before the first object belongs to none."""
+        return {(k, sign, letter): n for k, x in self.of.items() for (sign, letter), n in _most(x.most, x.tail or {}).items() if n}
 
     def text(self) -> list[str]:
-        for k in list(self.now):
-            self.close(k)
-        return nested_text(self.most)
+        return nested_text(self.maxima())
+
+
+def joined(parts: list[Nested]) -> Nested:
+    """then() of all, as a tree."""
+    while len(parts) > 1:
+        parts = [parts[k].then(parts[k + 1]) if k + 1 < len(parts) else parts[k] for k in range(0, len(parts), 2)]
+    return parts[0]
 
 
 def nested_text(most: dict[tuple[str, str, str], int]) -> list[str]:
@@ -538,6 +553,7 @@ class Encoder:
         self.stats: dict[str, tuple[int, int, int]] = {}
         self.nested = Nested(schema)
         h = header or Header(schema)
+        self.codecs = h.codecs
         out = [f"1 {len(schema.primary)} {schema.primary} {MAJOR} {MINOR}"]
         if h.subtype:
             out.append(f"2 {len(h.subtype)} {h.subtype}")
@@ -559,7 +575,7 @@ class Encoder:
         if self.binary:
             if line.kind == "O":
                 self.index.setdefault(x.type, [self.start]).append(self.file.tell())
-            self.file.write(binary_line(x, line.fields))
+            self.file.write(binary_line(x, line.fields, self.codecs.get(x.type)))
         else:
             self.file.write(ascii_line(x, line.fields).encode("utf-8", "surrogateescape") + b"\n")
         n = next((len(v.encode("utf-8", "surrogateescape")) if isinstance(v, str) else len(v) for k, v in zip(line.fields, x.values) if k in LISTS), 0)
@@ -570,7 +586,7 @@ class Encoder:
     def close(self) -> None:
         counts = counts_text(self.stats) + self.nested.text()
         if self.binary:
-            self.file.write(footer(self.file.tell(), counts, {k: self.index[k] for k in self.schema.lines if k in self.index}))
+            self.file.write(footer(self.file.tell(), counts, {k: self.index[k] for k in self.schema.lines if k in self.index}, {k: c for k, c in self.codecs.items() if k in self.stats}))
             self.file.close()
             return
         self.file.close()
@@ -584,11 +600,14 @@ def counts_text(stats: dict[str, tuple[int, int, int]]) -> list[str]:
     return [f"{s} {k} {v}" for k, x in sorted(stats.items()) for s, v in zip("#@+", x) if s == "#" or x[1]]
 
 
-def footer(end: int, counts: list[str], index: dict[str, list[int]]) -> bytes:
+def footer(end: int, counts: list[str], index: dict[str, list[int]], codecs: dict[str, Codec] | None = None) -> bytes:
     """What follows the data of a binary file whose last byte has offset end - 1."""
     out = b"\n" + "".join(c + "\n" for c in counts).encode()
     for k, at in index.items():
         out += bytes([byte_of("&")]) + k.encode() + varint(len(at)) + compact_ints(at)
+    for k, c in (codecs or {}).items():
+        serial = c.dump()
+        out += bytes([byte_of(";")]) + k.encode() + varint(len(serial)) + serial
     return out + b"^\n" + struct.pack("<q", end + 1)
 
 
@@ -620,42 +639,154 @@ def read_header(path: str, type: str | None = None, schema: Schema | None = None
         return Parser(FileBytes(f), type, schema).header
 
 
-def merge_files(parts: list[str], out: str) -> None:
-    """One file of binary parts that were written with the same schema and header, their lines in the order of the parts:
-    data are copied as streams, counts summed, maxima taken, the object index shifted. Maxima inside objects are given
-    only if no object goes on from one part into the next."""
+@dataclass
+class Joined:
+    """How parts become one file: pieces are (part, first byte, bytes, place in the file); head and foot stand around them."""
+
+    head: bytes
+    pieces: list[tuple[str, int, int, int]]
+    foot: bytes
+    size: int  # without the footer
+
+
+def join_plan(parts: list[str], nested: list[Nested] | None = None) -> Joined:
+    """From headers and footers alone: counts summed, maxima taken, the object index shifted. Maxima inside objects need
+    nested, the statistics of each part (a writer gives them) if an object goes on from one part into the next, and are
+    left out without. Parts have one schema, one header and the same codecs."""
     heads = [read_header(p) for p in parts]
-    outer = {k for k, x in heads[0].schema.lines.items() if x.kind == "O" and not any(k in heads[0].schema.contained(o) for o, y in heads[0].schema.lines.items() if y.kind == "O" and o != k)}
-    nested: dict[tuple[str, str, str], int] = {}
+    schema = heads[0].schema
+    outer = {k for k, x in schema.lines.items() if x.kind == "O" and not any(k in schema.contained(o) for o, y in schema.lines.items() if y.kind == "O" and o != k)}
+    codecs: dict[str, Codec] = {}
+    most: dict[tuple[str, str, str], int] = {}
     whole = True
     stats: dict[str, tuple[int, int, int]] = {}
     index: dict[str, list[int]] = {}
+    pieces, at = [], heads[0].data_start
+    for path, h in zip(parts, heads):
+        with open(path, "rb") as part:
+            if path == parts[0]:
+                head = part.read(h.data_start)
+            part.seek(h.data_start)
+            first = part.read(1)[0]
+        whole = whole and (path == parts[0] or (letter_of(first) if first & 0x80 else chr(first)) in outer)
+        size, shift = h.data_end - 1 - h.data_start, at - h.data_start  # without the empty line that ends the data
+        pieces.append((path, h.data_start, size, at))
+        at += size
+        for k, x in h.index.items():
+            index.setdefault(k, [heads[0].data_start]).extend(y + shift for y in x[1:])
+        for k, n in h.counts.items():
+            c, m, t = stats.get(k, (0, 0, 0))
+            stats[k] = (c + n, max(m, h.longest.get(k, 0)), t + h.totals.get(k, 0))
+        for key, n in h.nested.items():
+            most[key] = max(n, most.get(key, 0))
+        for k, c in h.codecs.items():
+            if codecs.setdefault(k, c).dump() != c.dump():
+                raise ValueError(f"parts compress lines {k} with different codes")
+    if nested is not None:
+        most, whole = joined(nested).maxima(), True
+    index = {k: index[k] for k in schema.lines if k in index}
+    codecs = {k: codecs[k] for k in schema.lines if k in codecs}
+    return Joined(head, pieces, footer(at, counts_text(stats) + (nested_text(most) if whole else []), index, codecs), at)
+
+
+def _copy(part: str, start: int, size: int, out, block: int = 8 << 20) -> None:
+    with open(part, "rb") as f:
+        f.seek(start)
+        while size:
+            data = f.read(min(size, block))
+            out.write(data)
+            size -= len(data)
+
+
+def merge_files(parts: list[str], out: str, nested: list[Nested] | None = None) -> None:
+    """One file of binary parts, their lines in the order of the parts: join_plan(), copied by this process."""
+    plan = join_plan(parts, nested)
     with open(out + ".tmp", "wb") as f:
-        for path, h in zip(parts, heads):
-            with open(path, "rb") as part:
-                if not f.tell():
-                    f.write(part.read(h.data_start))
-                shift = f.tell() - h.data_start
-                part.seek(h.data_start)
-                first = part.read(1)[0]
-                whole = whole and (path == parts[0] or (letter_of(first) if first & 0x80 else chr(first)) in outer)
-                part.seek(h.data_start)
-                left = h.data_end - 1 - h.data_start  # without the empty line that ends the data
-                while left:
-                    data = part.read(min(left, 8 << 20))
-                    f.write(data)
-                    left -= len(data)
-            for k, at in h.index.items():
-                index.setdefault(k, [heads[0].data_start]).extend(x + shift for x in at[1:])
-            for k, n in h.counts.items():
-                c, m, t = stats.get(k, (0, 0, 0))
-                stats[k] = (c + n, max(m, h.longest.get(k, 0)), t + h.totals.get(k, 0))
-            for key, n in h.nested.items():
-                nested[key] = max(n, nested.get(key, 0))
-        f.write(footer(f.tell(), counts_text(stats) + (nested_text(nested) if whole else []), index))
+        f.write(plan.head)
+        for part, start, size, _ in plan.pieces:
+            _copy(part, start, size, f)
+        f.write(plan.foot)
     os.replace(out + ".tmp", out)
 
 
+def merge_parts(spark, parts: list[str], out: str, nested: list[Nested] | None = None, block: int = 64 << 20) -> None:
+    """merge_files() by tasks: each copies blocks of the parts to their places in the file (on a mounted folder), again if
+    it is run again; the driver writes head and footer only."""
+    plan = join_plan(parts, nested)
+    with open(out + ".tmp", "wb") as f:
+        f.write(plan.head)
+        f.seek(plan.size)
+        f.write(plan.foot)
+    rows = [(part, start + k, min(block, size - k), at + k) for part, start, size, at in plan.pieces for k in range(0, size, block)]
+
+    def copy(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            done = 0
+            for part, start, size, at in zip(*(c.to_pylist() for c in b.columns)):
+                with open(out + ".tmp", "r+b") as f:
+                    f.seek(at)
+                    _copy(part, start, size, f)
+                done += size
+            yield pa.RecordBatch.from_arrays([pa.array([done], pa.int64())], names=["bytes"])
+
+    if rows:
+        todo = spark.createDataFrame(rows, "part string, start long, size long, at long").repartition(min(len(rows), 4 * spark.sparkContext.defaultParallelism))
+        copied = todo.mapInArrow(copy, "bytes long").groupBy().sum("bytes").first()[0]
+        if copied != sum(r[2] for r in rows):
+            raise OSError("not all bytes were copied")
+    os.replace(out + ".tmp", out)
+
+
+def byte_histograms(lines, schema: Schema):
+    """(type, byte, n) of typed lines (LINES): how often each byte stands in what a codec of the line type compresses.
+    Counted batch by batch, then summed; a row for each type and byte."""
+    kinds = {k: next((f for f in x.fields if f in ("STRING", "INT_LIST", "REAL_LIST")), None) for k, x in schema.lines.items()}
+    column = {"STRING": "list_str", "INT_LIST": "list_int", "REAL_LIST": "list_real"}
+
+    def count(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            seen: dict[str, np.ndarray] = {}
+            lists = {c: b.column(c).to_pylist() for c in column.values()}
+            for k, letter in enumerate(b.column("type").to_pylist()):
+                kind = kinds.get(letter)
+                v = lists[column[kind]][k] if kind else None
+                if v:
+                    seen[letter] = seen.get(letter, 0) + np.bincount(np.frombuffer(list_body(kind, v)[1], np.uint8), minlength=256)
+            got = [(t, x, int(n)) for t, h in seen.items() for x, n in enumerate(h) if n]
+            yield pa.RecordBatch.from_pylist([{"type": t, "byte": x, "n": n} for t, x, n in got], pa.schema([("type", pa.string()), ("byte", pa.int32()), ("n", pa.int64())]))
+
+    from pyspark.sql import functions as F
+
+    return lines.select("type", *column.values()).mapInArrow(count, "type string, byte int, n long").groupBy("type", "byte").agg(F.sum("n").alias("n"))
+
+
+def train_codecs(lines, schema: Schema) -> dict[str, Codec]:
+    """A codec for each line type with a list to compress, from the bytes of all lines; 256 counts a type are collected."""
+    counts: dict[str, list[int]] = {}
+    for r in byte_histograms(lines, schema).collect():
+        counts.setdefault(r.type, [0] * 256)[r.byte] = r.n
+    return {k: Codec.of_histogram(h) for k, h in counts.items()}
+
+
+def codecs_option(codecs: dict[str, Codec]) -> str:
+    """For the writer's option codecs."""
+    return json.dumps({k: c.dump().hex() for k, c in codecs.items()})
+
+
+def write_compressed(lines, path: str, schema_text: str, type: str | None = None, **options) -> None:
+    """Writes lines (LINES, sorted in their partitions) as binary files with compressed lists, one code for all tasks."""
+    schemas = parse_schemas(schema_text)
+    codecs = train_codecs(lines, schemas[type] if type else next(iter(schemas.values())))
+    w = lines.write.format("one").mode("append").option("schema_text", schema_text).option("binary", "true").option("codecs", codecs_option(codecs))
+    for k, v in (options | ({"type": type} if type else {})).items():
+        w = w.option(k, v)
+    w.save(path)
+
+
 def resolve(path: str, type: str | None = None) -> list[str]:
     """Files of a path: itself, a folder's, a pattern's, or with ".<type>" or ".1<type>" behind it."""
     for p in [path, *([f"{path}.{type}", f"{path}.1{type}"] if type else [])]:
@@ -686,24 +817,45 @@ class OneReader(DataSourceReader):
         self.wanted = set(options["lines"].replace(",", "")) if options.get("lines") else None  # prunes line types
         self.object = options.get("object")  # the object type to number and to split by
         self.splits, self.split_bytes = int(options.get("splits", "8")), int(options.get("split_bytes", str(64 << 20)))
-        self.first, self.stop = int(options.get("from", "0")), int(options.get("to", "0"))  # objects to read, half-open
+        self.first, self.stop = int(options.get("from", "0")), int(options.get("to", "0")) or None  # objects to read, half-open
+        self.only: set[int] | None = None  # of these, if a filter names them
         schemas = parse_schemas(options["schema_text"]) if options.get("schema_text") else {}
         self.schema_ = schemas.get(self.type) if self.type else next(iter(schemas.values()), None)
 
+    def _letter(self, h: Header) -> str | None:
+        return self.object or next((k for k, x in h.schema.lines.items() if x.kind == "O"), None)
+
+    def _runs(self, count: int) -> list[tuple[int, int]]:
+        """Wanted ordinals from 0 (what stands before the first object) to count, as half-open ranges."""
+        lo, hi = max(0, self.first), count + 1 if self.stop is None else min(self.stop, count + 1)
+        if self.only is None:
+            return [(lo, hi)] if lo < hi else []
+        out: list[tuple[int, int]] = []
+        for k in sorted(k for k in self.only if lo <= k < hi):
+            if out and out[-1][1] == k:
+                out[-1] = (out[-1][0], k + 1)
+            else:
+                out.append((k, k + 1))
+        return out
+
+    def _wants(self, obj: int) -> bool:
+        return self.first <= obj and (self.stop is None or obj < self.stop) and (self.only is None or obj in self.only)
+
     def partitions(self):
-        """Binary files are cut at objects; header and footer are all that is read for it. With from and to, only the
-        parts that hold those objects are read at all."""
+        """Binary files are cut at objects; header and footer are all that is read for it. Parts without a wanted object
+        aren't read at all."""
         out = []
+        some = self.first > 0 or self.stop is not None or self.only is not None
         for file in resolve(self.path, self.type):
             h = read_header(file, self.type, self.schema_)
-            at = h.index.get(self.object or "", [])
-            if h.binary and len(at) > 1 and (len(at) > self.splits or self.stop):
-                lo, hi = (max(1, self.first), min(self.stop, len(at))) if self.stop else (1, len(at))
+            at = h.index.get((self._letter(h) if some else self.object) or "", [])
+            if h.binary and len(at) > 1 and (len(at) > self.splits or some):
+                starts = [*at, h.data_end]  # of ordinal 0, 1, ... and the end
                 splits = max(self.splits, (h.data_end - h.data_start) // self.split_bytes)
-                cuts = sorted({lo + k * (hi - lo) // splits for k in range(splits)}) if hi > lo else []
-                if not self.first:
-                    out.append(_Part(file, h.data_start, at[1], 0))
-                out += [_Part(file, at[a], at[b] if b < len(at) else h.data_end, a - 1) for a, b in zip(cuts, [*cuts[1:], hi])]
+                for lo, hi in self._runs(len(at) - 1):
+                    n = max(1, min(hi - lo, splits * (hi - lo) // len(at)))
+                    cuts = sorted({lo + k * (hi - lo) // n for k in range(n)})
+                    out += [_Part(file, starts[a], starts[b], max(0, a - 1)) for a, b in zip(cuts, [*cuts[1:], hi]) if starts[a] < starts[b]]
             else:
                 out.append(_Part(file, None, None, 0))
         return out
@@ -713,18 +865,69 @@ class OneReader(DataSourceReader):
             p, obj, n = Parser(FileBytes(f), self.type, self.schema_), part.first, 0
             p.wanted = self.wanted
             h = p.header
-            letter = self.object or next((k for k, x in h.schema.lines.items() if x.kind == "O"), None)
+            letter = self._letter(h)
             start, end = (h.data_start, h.data_end) if part.start is None else (part.start, part.end)
             for at, x in p.read_range(f, start, end):
                 n += 1
                 obj += x.type == letter
-                if (self.wanted is None or x.type in self.wanted) and (part.start is not None or not self.stop or self.first <= obj < self.stop):
+                if (self.wanted is None or x.type in self.wanted) and self._wants(obj):
                     yield _row(part.file, at if part.start is not None else n, x, h.schema.lines[x.type].fields, obj)
 
 
+class PushingReader(OneReader):
+    """Comparisons of object_ord with numbers become the objects, and so the bytes, to read; those of type the lines whose
+    lists are decoded. They are applied exactly, so Spark doesn't repeat them."""
+
+    def pushFilters(self, filters):
+        for f in filters:
+            if not self._take(f):
+                yield f
+
+    def _take(self, f) -> bool:
+        name, kind, v = ".".join(f.attribute) if hasattr(f, "attribute") else "", type(f).__name__, getattr(f, "value", None)
+        if name in ("object_ord", "type") and kind == "IsNotNull":
+            return True
+        if name == "type" and kind in ("EqualTo", "In"):
+            letters = set(v) if kind == "In" else {v}
+            self.wanted = letters if self.wanted is None else self.wanted & letters
+            return True
+        if name != "object_ord" or kind not in ("EqualTo", "In", "GreaterThan", "GreaterThanOrEqual", "LessThan", "LessThanOrEqual"):
+            return False
+        if kind in ("EqualTo", "In"):
+            some = set(v) if kind == "In" else {v}
+            self.only = some if self.only is None else self.only & some
+        elif kind.startswith("Greater"):
+            self.first = max(self.first, v + (kind == "GreaterThan"))
+        else:
+            end = v + (kind == "LessThanOrEqual")
+            self.stop = end if self.stop is None else min(self.stop, end)
+        return True
+
+
 class _Written(WriterCommitMessage):
-    def __init__(self, files: list[tuple[str, str]]):
-        self.files = files
+    def __init__(self, files: list[tuple[str, str]], nested: Nested | None = None):
+        self.files, self.nested = files, nested
+
+
+def _header(schema: Schema, options) -> Header:
+    """The header that a writer's options describe. template: a file whose texts, subtype, provenance, references and
+    deferred files are taken over; then what the other options give is added."""
+    h = Header(schema)
+    if options.get("template"):
+        old = read_header(options["template"])
+        h.subtype, h.text, h.provenance, h.references, h.deferred = old.subtype, list(old.text), list(old.provenance), list(old.references), list(old.deferred)
+        if not schema.lines:
+            h.schema = old.schema
+    h.subtype = options.get("subtype") or h.subtype
+    if options.get("provenance"):  # [[program, version, command, date], ...]
+        h.provenance += [tuple(map(str, p)) for p in json.loads(options["provenance"])]
+        if any(len(p) != 4 for p in h.provenance):
+            raise ValueError("provenance is program, version, command and date")
+    for name in filter(None, options.get("references", "").split(",")):
+        h.references.append((name, len(h.references) + 1))
+    h.deferred += list(filter(None, options.get("deferred", "").split(",")))
+    h.codecs = {k: Codec.load(bytes.fromhex(c)) for k, c in json.loads(options.get("codecs") or "{}").items()}
+    return h
 
 
 class OneWriter(DataSourceWriter):
@@ -734,9 +937,14 @@ class OneWriter(DataSourceWriter):
 
     def __init__(self, options):
         self.path, self.binary, self.single = options["path"], options.get("binary", "false") == "true", options.get("single", "false") == "true"
-        schemas = parse_schemas(options["schema_text"])
-        self.schema = schemas[options["type"]] if options.get("type") else next(iter(schemas.values()))
-        self.header = Header(self.schema, references=[(name, k + 1) for k, name in enumerate(filter(None, options.get("references", "").split(",")))])
+        if options.get("schema_text"):
+            schemas = parse_schemas(options["schema_text"])
+            self.schema = schemas[options["type"]] if options.get("type") else next(iter(schemas.values()))
+        elif options.get("template"):
+            self.schema = read_header(options["template"]).schema
+        else:
+            raise ValueError("schema_text or template has to give the schema")
+        self.header = _header(self.schema, options)
         self.staging = f"{self.path}/_staging-{uuid.uuid4().hex}"
         if self.single and not self.binary:
             raise ValueError("only binary parts are joined")
@@ -760,14 +968,14 @@ class OneWriter(DataSourceWriter):
         if encoder is None:
             return _Written([])
         encoder.close()
-        return _Written([(place, name)])
+        return _Written([(place, name)], encoder.nested)
 
     def commit(self, messages) -> None:
-        files = sorted((f for m in messages if m is not None for f in m.files), key=lambda f: f[1])
-        if self.single and files:
-            merge_files([place for place, _ in files], f"{self.path}/all.1{self.schema.primary}")
+        done = sorted(((*f, m.nested) for m in messages if m is not None for f in m.files), key=lambda f: f[1])
+        if self.single and done:
+            merge_files([place for place, _, _ in done], f"{self.path}/all.1{self.schema.primary}", [n for _, _, n in done])
         else:
-            for place, name in files:
+            for place, name, _ in done:
                 os.replace(place, f"{self.path}/{name}")
         shutil.rmtree(self.staging, ignore_errors=True)
 
@@ -779,8 +987,10 @@ class OneSource(DataSource):
     """spark.dataSource.register(OneSource); spark.read.format("one").load(path).
 
     Options: type and schema_text (needed for headerless files), lines (letters to keep; lists of others are never
-    decoded), object (type to number and split by), from and to (its ordinals to read, half-open), splits and split_bytes;
-    for writing: schema_text, type, binary, references, single. The path has to be mounted on the executors.
+    decoded), object (type to number and split by), from and to (its ordinals to read, half-open), splits and split_bytes,
+    pushdown (true: filters on object_ord and type reach the reader; spark.sql.python.filterPushdown.enabled has to be on);
+    for writing: schema_text, type, binary, single, template, subtype, references, deferred, provenance, codecs
+    (write_compressed). The path has to be mounted on the executors.
     """
 
     @classmethod
@@ -791,7 +1001,7 @@ class OneSource(DataSource):
         return LINES
 
     def reader(self, schema):
-        return OneReader(self.options)
+        return (PushingReader if self.options.get("pushdown") == "true" else OneReader)(self.options)
 
     def writer(self, schema, overwrite):
         return OneWriter(self.options)

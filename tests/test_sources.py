@@ -83,8 +83,8 @@ def huffman(data: bytes) -> tuple[bytes, bytes, int]:
 @pytest.mark.parametrize("data", [b"abc", b"abcdefabcdefabcdefabcdefxyzabc", b"", b"f" * 200 + b"!"])
 def test_huffman(data):
     serial, raw, n = huffman(data)
-    assert of.Codec(serial).decode(raw, n, len(data)) == data
-    assert of.Codec(serial).decode(b"\xff" + data, 8 * len(data) + 8, len(data)) == data
+    assert of.Codec.load(serial).decode(raw, n, len(data)) == data
+    assert of.Codec.load(serial).decode(b"\xff" + data, 8 * len(data) + 8, len(data)) == data
 
 
 def test_bad_files():
@@ -207,7 +207,7 @@ def test_huffman_by_hand():
         n, code = {0x61: (1, 1), 0x62: (2, 1), 0x63: (3, 0), 0: (0, 1)}.get(s, (0, None))
         serial += bytes([n]) + (struct.pack("<H", code) if code is not None else b"")
     # 00 then a b c escape+'z' (0x7a = 01111010) a: 00 1 01 000 001 01111010 1 -> 00101000 00101111 0101 0000
-    assert of.Codec(bytes(serial)).decode(bytes([0b00101000, 0b00101111, 0b01010000]), 20, 5) == b"abcza"
+    assert of.Codec.load(bytes(serial)).decode(bytes([0b00101000, 0b00101111, 0b01010000]), 20, 5) == b"abcza"
 
 
 def test_packed_files(spark, tmp_path):
