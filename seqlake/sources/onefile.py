@@ -860,7 +860,9 @@ class OneReader(DataSourceReader):
                 out.append(_Part(file, None, None, 0))
         return out
 
-    def read(self, part: _Part):
+    def read(self, part: _Part | None):
+        if part is None:  # what Spark gives where there are no partitions
+            return
         with open(part.file, "rb") as f:
             p, obj, n = Parser(FileBytes(f), self.type, self.schema_), part.first, 0
             p.wanted = self.wanted
@@ -988,7 +990,8 @@ class OneSource(DataSource):
 
     Options: type and schema_text (needed for headerless files), lines (letters to keep; lists of others are never
     decoded), object (type to number and split by), from and to (its ordinals to read, half-open), splits and split_bytes,
-    pushdown (true: filters on object_ord and type reach the reader; spark.sql.python.filterPushdown.enabled has to be on);
+    pushdown (true: filters on object_ord and type reach the reader; spark.sql.python.filterPushdown.enabled has to be on,
+    and each query has to load() anew, because Spark 4.1 keeps what the last one pushed for a query without filters);
     for writing: schema_text, type, binary, single, template, subtype, references, deferred, provenance, codecs
     (write_compressed). The path has to be mounted on the executors.
     """
