@@ -22,7 +22,7 @@ SAMPLE, SAMPLE_WINDOWS, EPOCHS = 400, 6, 8
 STEPS = 300
 #: The pipeline rejects undetermined documents, and those with scores at which fewer than this share are right. Documents
 #: per language that this is seen on, times SAMPLE.
-PRECISION, CALIBRATION = 0.3, 5
+PRECISION, CALIBRATION = 0.5, 5
 _BLOCK = 1024
 _ASCII_LETTER = np.array([b < 128 and chr(b).isalpha() for b in range(256)])
 #: Letters among the characters up to U+FFFF; the rarer planes hold letters almost only, and signs that are taken out below.

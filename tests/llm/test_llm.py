@@ -657,8 +657,8 @@ def test_smith_waterman():
         assert decontaminate.smith_waterman([a, [1]], [b, other])[0] == max(map(max, h))
 
 
-def test_leaks_in_the_tables(spark, sf):
-    """The whole query against the alignment of every document with every item."""
+def leaks(spark, sf):
+    """(doc_id, item_id) by the alignment of every document with every item."""
     docs = {r.doc_id: decontaminate.words(r.text) for r in table(spark, sf, "documents").collect()}
     number, want = {}, set()
     code = lambda ws: [number.setdefault(w, len(number)) for w in ws]
@@ -671,7 +671,18 @@ def test_leaks_in_the_tables(spark, sf):
             part = near[k : k + 50]
             score = decontaminate.smith_waterman([code(w)] * len(part), [coded[d] for d in part])
             want |= {(d, r.item_id) for d, v in zip(part, score.tolist()) if v >= len(w)}
+    return want
+
+
+def test_leaks_in_the_tables(spark, sf):
+    """The whole query, and the pipeline's stage, against every alignment."""
+    import corpus_pipeline as cp
+
+    want = leaks(spark, sf)
     assert {(r.doc_id, r.item_id) for r in queries.op7_decontaminate(spark, sf).collect()} == want and want
+    docs = table(spark, sf, "documents")
+    left = cp.decontaminated(spark, docs, sf)
+    assert left.columns == docs.columns and sorted(map(repr, left.collect())) == sorted(repr(r) for r in docs.collect() if r.doc_id not in {d for d, _ in want})
 
 
 def decontaminate_bound(item, text):
@@ -918,11 +929,14 @@ def test_pipeline_stages(spark, sf, odd, none):
     docs = table(spark, sf, "documents")
     rows = cp.run(spark, sf).collect()
     assert 0.6 * docs.count() < len(rows) <= docs.count() and len({r.doc_id for r in rows}) == len(rows)
+    assert sorted(map(tuple, cp.encoded(spark, docs, sf).collect())) == sorted(map(tuple, queries.op8_bpe(spark, sf).collect()))
+    whole = {tuple(r) for r in queries.op8_bpe(spark, sf).collect()}
+    assert {tuple(r) for r in rows} <= whole  # what is kept is kept unchanged
 
 
 def test_oracles(spark, sf):
     con = duckdb.connect()
-    for name in ("documents", "conversations"):
+    for name in ("documents", "conversations", "embeddings"):
         con.sql(f"create view {name} as from '{sf}/{name}.parquet'")
     for name, sql in queries.ORACLE_SQL.items():
         df = queries.QUERIES[name](spark, sf)
