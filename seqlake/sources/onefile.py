@@ -819,6 +819,7 @@ class OneReader(DataSourceReader):
         self.splits, self.split_bytes = int(options.get("splits", "8")), int(options.get("split_bytes", str(64 << 20)))
         self.first, self.stop = int(options.get("from", "0")), int(options.get("to", "0")) or None  # objects to read, half-open
         self.only: set[int] | None = None  # of these, if a filter names them
+        self.block = int(options.get("ascii_block", "0"))  # bytes of a part of an ASCII file, see read_ascii()
         schemas = parse_schemas(options["schema_text"]) if options.get("schema_text") else {}
         self.schema_ = schemas.get(self.type) if self.type else next(iter(schemas.values()), None)
 
@@ -856,6 +857,8 @@ class OneReader(DataSourceReader):
                     n = max(1, min(hi - lo, splits * (hi - lo) // len(at)))
                     cuts = sorted({lo + k * (hi - lo) // n for k in range(n)})
                     out += [_Part(file, starts[a], starts[b], max(0, a - 1)) for a, b in zip(cuts, [*cuts[1:], hi]) if starts[a] < starts[b]]
+            elif not h.binary and self.block:
+                out += [_Part(file, k, k + self.block, 0) for k in range(h.data_start // self.block * self.block, h.data_end, self.block)]
             else:
                 out.append(_Part(file, None, None, 0))
         return out
@@ -869,13 +872,48 @@ class OneReader(DataSourceReader):
             h = p.header
             letter = self._letter(h)
             start, end = (h.data_start, h.data_end) if part.start is None else (part.start, part.end)
+            if not h.binary and part.start is not None:  # lines that begin in the block; no string of an ASCII file holds a line end
+                start, end = (line_start(p.data, max(x, h.data_start), h) for x in (start, end))
             for at, x in p.read_range(f, start, end):
                 n += 1
                 obj += x.type == letter
-                if (self.wanted is None or x.type in self.wanted) and self._wants(obj):
+                if (self.wanted is None or x.type in self.wanted) and (self.block or self._wants(obj)):
                     yield _row(part.file, at if part.start is not None else n, x, h.schema.lines[x.type].fields, obj)
 
 
+def line_start(data: FileBytes, at: int, h: Header) -> int:
+    """The first place from at on where a line of the data begins."""
+    if at <= h.data_start or at >= h.data_end:
+        return max(h.data_start, min(at, h.data_end))
+    k = data.find(b"\n", at - 1)
+    return h.data_end if k < 0 else k + 1
+
+
+def read_ascii(spark, path: str, block: int = 64 << 20, **options):
+    """Lines of ASCII files (LINES), each file by many tasks: a task scans the lines that begin in its block, and numbers the
+    objects among them; the blocks' counts, a row each, are summed to number them through. line_no is the byte
+    where a line begins. Options are those of the source but for lines of objects (from, to, pushdown)."""
+    from pyspark.sql import functions as F
+    from pyspark.sql import Window
+
+    from seqlake.operators.coords import dimension
+
+    if options.keys() & {"from", "to", "pushdown"}:
+        raise ValueError("objects of an ASCII file are numbered after reading: filter the result")
+    wanted = options.get("lines")
+    if wanted:  # objects are counted by their own lines
+        if not options.get("object"):
+            raise ValueError("lines needs the object type that numbers go by")
+        options["lines"] = wanted + options["object"]
+    lines = spark.read.format("one").options(ascii_block=str(block), **options).load(path)
+    part = F.expr(f"line_no div {block}")
+    per = lines.groupBy("file", part.alias("part")).agg(F.max("object_ord").alias("n"))
+    before = per.select("file", "part", F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    joined = lines.withColumn("part", part).join(dimension(before), ["file", "part"])
+    out = joined.withColumn("object_ord", F.col("object_ord") + F.col("before")).select(*lines.columns)
+    return out.where(F.col("type").isin(*wanted.replace(",", ""))) if wanted else out
+
+
 class PushingReader(OneReader):
     """Comparisons of object_ord with numbers become the objects, and so the bytes, to read; those of type the lines whose
     lists are decoded. They are applied exactly, so Spark doesn't repeat them."""

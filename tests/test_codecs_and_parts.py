@@ -166,6 +166,26 @@ def test_pushed_filters(spark, tmp_path):
         spark.conf.unset("spark.sql.python.filterPushdown.enabled")
 
 
+@pytest.mark.parametrize("block", [7, 100, 1 << 20])
+def test_ascii_files_by_many_tasks(spark, tmp_path, block):
+    """Any block size gives the lines, in their order, and the object numbers of one task, without reading the file twice over."""
+    spark.dataSource.register(of.OneSource)
+    data = lines(12 if block == 7 else 60)
+    raw = of.encode_file(schema(), data)
+    for name, text in (("x", raw), ("y", raw.rstrip(b"\n"))):  # with and without a last line end
+        (tmp_path / name).write_bytes(text)
+        one = spark.read.format("one").option("object", "A").load(str(tmp_path / name)).orderBy("line_no").collect()
+        many = of.read_ascii(spark, str(tmp_path / name), block, object="A").orderBy("line_no").collect()
+        assert [tuple(r)[2:] for r in many] == [tuple(r)[2:] for r in one] and len(many) == len(data)
+        assert all(text[r.line_no : r.line_no + 1] == r.type.encode() for r in many)
+    some = of.read_ascii(spark, str(tmp_path / "x"), block, object="A", lines="I").collect()
+    assert {r.type for r in some} == {"I"} and max(r.object_ord for r in some) == (12 if block == 7 else 60)
+    parts = of.OneReader({"path": str(tmp_path / "x"), "object": "A", "ascii_block": str(block)}).partitions()
+    assert len(parts) >= (len(raw) - of.read_header(str(tmp_path / "x")).data_start) // block
+    with pytest.raises(ValueError, match="numbered after"):
+        of.read_ascii(spark, str(tmp_path / "x"), **{"from": "3"})
+
+
 def test_pushed_objects_are_all_that_is_read(tmp_path):
     from pyspark.sql.datasource import EqualTo, GreaterThan, In, StringContains
 
