@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqlake.operators import coords
+from seqlake.operators.scratch import Scratch
 
 
 def score(diffs: Column, length: Column) -> Column:
@@ -24,25 +26,29 @@ def totals(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("n"), F.sum(F.col("end") - F.col("start")).alias("total"))
 
 
-#: Bases of a bucket of greedy(): between buckets the scan can be cut.
-BUCKET = 1 << 16
+#: Bases of a bucket of greedy(), at whose borders the scan can be cut; rows between two cuts that one task reads.
+BUCKET, DENSE = 1 << 16, 4_000_000
 
 
-def greedy(rows: DataFrame, width: int = BUCKET) -> DataFrame:
+def greedy(rows: DataFrame, width: int = BUCKET, dense: int = DENSE) -> DataFrame:
     """Rows (seq, start, end, unit) accepted by one scan of each sequence in order: a row is accepted if it starts at or
     behind the end of the last accepted one.
 
     A row that starts at or behind the end of all before it is accepted whatever came first. So the scan is cut between
     buckets of positions over which nothing reaches; what lies between two cuts is sorted by Spark and read as a stream
-    by one task, which holds one batch. Cuts are found on a table of one row a bucket.
+    by one task, which holds one batch. Cuts are found on a table of one row a bucket. Where more than dense rows lie between
+    two cuts, greedy_dense() cuts at every bucket.
     """
     order = ("start", "end", "unit")
     placed = rows.select("seq", *order).withColumn("bucket", F.floor(F.col("start") / width))
-    per = placed.groupBy("seq", "bucket").agg(F.min("start").alias("lo"), F.max("end").alias("hi"))
+    per = placed.groupBy("seq", "bucket").agg(F.min("start").alias("lo"), F.max("end").alias("hi"), F.count("*").alias("n"))
     w = Window.partitionBy("seq").orderBy("bucket")
     clean = F.coalesce(F.col("lo") >= F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)).cast("int")
-    cuts = per.withColumn("clean", clean).select("seq", "bucket", F.sum("clean").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("segment"))
-    dealt = placed.join(cuts, ["seq", "bucket"]).select("seq", *order, "segment").repartition("seq", "segment").sortWithinPartitions("seq", "segment", *order)
+    cuts = per.withColumn("clean", clean).select("seq", "bucket", "n", F.sum("clean").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("segment"))
+    cuts = Scratch(rows.sparkSession, "greedy").table(cuts, "cuts")
+    if (cuts.groupBy("seq", "segment").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] or 0) > dense:
+        return greedy_dense(rows, width)
+    dealt = placed.join(cuts.drop("n"), ["seq", "bucket"]).select("seq", *order, "segment").repartition("seq", "segment").sortWithinPartitions("seq", "segment", *order)
 
     def scan(batches):
         now, last = None, 0
@@ -60,6 +66,87 @@ def greedy(rows: DataFrame, width: int = BUCKET) -> DataFrame:
     return dealt.mapInArrow(scan, placed.select("seq", *order).schema)
 
 
+def greedy_dense(rows: DataFrame, width: int = BUCKET) -> DataFrame:
+    """greedy() with a cut at every bucket, for rows that overlap all along.
+
+    Whatever a bucket is entered with, it is left with the end of the last row accepted in it. So each bucket, by itself, says
+    for every start in it where the scan leaves that begins there (worked out backwards; neighbours that leave alike are one
+    row, and scans soon run into each other, so these are few). The sequence's chain of entries is read off those rows, then
+    every bucket is scanned from its entry. Of rows that start alike only the first can be accepted, but for empty ones,
+    so a bucket holds no more than width rows and those that are empty.
+    """
+    order, kind = ("start", "end", "unit"), rows.select("seq").schema["seq"].dataType.simpleString()
+    long = rows.select("seq", *order).where("end > start").groupBy("seq", "start").agg(F.min(F.struct("end", "unit")).alias("r")).select("seq", "start", "r.*")
+    placed = long.unionByName(rows.select("seq", *order).where("end <= start")).withColumn("bucket", F.floor(F.col("start") / width))
+    placed = Scratch(rows.sparkSession, "greedy").table(placed, "rows")
+    dealt = lambda x: x.repartition("seq", "bucket").sortWithinPartitions("seq", "bucket", *order)
+
+    def whole_buckets(batches):
+        """(seq, bucket, columns) with all rows of a bucket, from batches in order."""
+        kept, name = [], None
+        for b in batches:
+            seqs, buckets = b.column("seq").to_pylist(), b.column("bucket").to_pylist()
+            at = 0
+            for k in range(1, len(seqs) + 1):
+                if k == len(seqs) or (seqs[k], buckets[k]) != (seqs[at], buckets[at]):
+                    if name is not None and name != (seqs[at], buckets[at]):
+                        yield *name, pa.Table.from_batches(kept)
+                        kept = []
+                    name = (seqs[at], buckets[at])
+                    kept.append(b.slice(at, k - at))
+                    at = k
+        if name is not None:
+            yield *name, pa.Table.from_batches(kept)
+
+    def leave(batches):
+        for seq, bucket, t in whole_buckets(batches):
+            start, end = (t.column(c).to_numpy() for c in ("start", "end"))
+            n = len(start)
+            follow = np.maximum(np.searchsorted(start, end), np.arange(1, n + 1)).tolist()
+            out = end.tolist()
+            for k in range(n - 1, -1, -1):
+                if follow[k] < n:
+                    out[k] = out[follow[k]]
+            first = np.flatnonzero(np.concatenate([[True], start[1:] != start[:-1]]))  # of the rows that start alike
+            left = np.array(out)[first]
+            runs = np.flatnonzero(np.concatenate([left[1:] != left[:-1], [True]]))  # up to this start one leaves so
+            yield pa.RecordBatch.from_arrays([pa.array([seq] * len(runs), t.schema.field("seq").type), pa.array([bucket] * len(runs), pa.int64()), pa.array(start[first][runs].astype(np.int64)), pa.array(left[runs].astype(np.int64))], names=["seq", "bucket", "upto", "left"])
+
+    def chain(batches):
+        """The end with which each bucket is entered: the first run of a bucket that reaches it says how it is left."""
+        seq = bucket = None
+        entry, now = None, None
+        for b in batches:
+            out = []
+            for s, k, upto, left in zip(*(c.to_pylist() for c in b.columns)):
+                if s != seq:
+                    entry = now = None
+                if (s, k) != (seq, bucket):
+                    entry = now
+                    seq, bucket, done = s, k, False
+                    out.append((s, k, entry))
+                if not done and (entry is None or upto >= entry):
+                    now, done = left, True
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], b.schema.field("seq").type), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int64())], names=["seq", "bucket", "entry"])
+
+    runs = dealt(placed).mapInArrow(leave, f"seq {kind}, bucket long, upto long, left long")
+    entries = runs.repartition("seq").sortWithinPartitions("seq", "bucket", "upto").mapInArrow(chain, f"seq {kind}, bucket long, entry long")
+
+    def scan(batches):
+        name, last = None, None
+        for b in batches:
+            keep = []
+            for s, k, start, end, entry in zip(*(b.column(c).to_pylist() for c in ("seq", "bucket", "start", "end", "entry"))):
+                if (s, k) != name:
+                    name, last = (s, k), entry
+                keep.append(last is None or start >= last)
+                if keep[-1]:
+                    last = end
+            yield b.select(["seq", *order]).filter(pa.array(keep, pa.bool_()))
+
+    return dealt(placed.join(entries, ["seq", "bucket"])).mapInArrow(scan, rows.select("seq", *order).schema)
+
+
 def splice(sequences: DataFrame, accepted: DataFrame) -> DataFrame:
     """(seq, dna): each accepted repeat is replaced by its first unit; sequences without one keep all bases. A unit of
     0 removes the array, a unit longer than it repeats the bases behind it, as the rule says literally.

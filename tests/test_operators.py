@@ -76,9 +76,28 @@ def test_greedy_whatever_the_buckets(spark, width):
         if s >= last.get(q, -1):
             want.append((q, s, e, u))
             last[q] = e
-    got = tandem.greedy(spark.createDataFrame(rng.sample(data, len(data)), "seq string, start long, end long, unit long"), width)
+    mixed = spark.createDataFrame(rng.sample(data, len(data)), "seq string, start long, end long, unit long")
+    got = tandem.greedy(mixed, width)
     assert rows(got) == want
-    assert rows(tandem.greedy(got.where("start < 0"), width)) == []
+    assert rows(tandem.greedy(mixed, width, dense=0)) == want  # a cut at every bucket
+    assert rows(tandem.greedy(got.where("start < 0"), width)) == [] == rows(tandem.greedy_dense(got.where("start < 0"), width))
+
+
+def test_a_dense_stretch_is_dealt_out(spark):
+    """One sequence without a clean cut: its buckets are read by many tasks, and give what one scan gives."""
+    n = 60_000
+    made = spark.range(n).select(F.lit(1).alias("seq"), (F.col("id") * 7).alias("start"), (F.col("id") * 7 + 1 + F.col("id") * 2654435761 % 3000).alias("end"), F.lit(1).cast("long").alias("unit"))
+    got = tandem.greedy(made, 1 << 12, dense=1000)
+    want, last = [], 0
+    for k in range(n):
+        if 7 * k >= last:
+            last = 7 * k + 1 + k * 2654435761 % 3000
+            want.append((1, 7 * k, last, 1))
+    assert rows(got) == want and rows(tandem.greedy(made, 1 << 12)) == want
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    tasks = tandem.greedy(made, 1 << 12, dense=1000).select(F.spark_partition_id()).distinct().count()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert tasks > 1
 
 
 def test_splice_takes_linear_time(spark):
