@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -102,6 +103,33 @@ def contig_runs(seq: pd.Series) -> pd.Series:
     return seq.map(lambda s: None if s is None else [{"pos": m.start(), "run": m[0]} for m in _RUN.finditer(s)])
 
 
+_BASE = np.zeros(256, bool)
+_BASE[np.frombuffer(b"acgtACGT", np.uint8)] = True
+
+
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("pos", T.LongType()), T.StructField("len", T.LongType())])))
+def contig_spans(seq: pa.Array) -> pa.Array:
+    """array<struct<pos, len>>: where contig_runs() are, without their texts. The bytes of an Arrow batch are looked at all
+    at once, as they lie in memory; positions count characters."""
+    wide = pa.types.is_large_string(seq.type)
+    gone = seq.is_null()
+    ends = np.frombuffer(seq.buffers()[1], np.int64 if wide else np.int32)[seq.offset : seq.offset + len(seq) + 1].astype(np.int64) if len(seq) else np.zeros(1, np.int64)
+    data = np.frombuffer(seq.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]] if ends[-1] > ends[0] else np.zeros(0, np.uint8)
+    ends = ends - ends[0]
+    base = np.concatenate([[False], _BASE[data], [False]])
+    border = np.zeros(len(data) + 1, bool)
+    border[ends] = True
+    change = base[1:] != base[:-1]
+    first = np.flatnonzero((change | border) & base[1:])
+    last = np.flatnonzero((change | border) & base[:-1])
+    letter = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])  # characters before each byte
+    text = np.searchsorted(ends, first, "right") - 1
+    pos = letter[first] - letter[ends[text]]
+    offsets = np.searchsorted(first, ends).astype(np.int32)
+    runs = pa.StructArray.from_arrays([pa.array(pos.astype(np.int64)), pa.array((last - first).astype(np.int64))], names=["pos", "len"])
+    return pa.ListArray.from_arrays(pa.array(offsets), runs, mask=gone)
+
+
 def symbol_runs(seq: Column) -> Column:
     """Runs of one repeated symbol, in order."""
     return F.regexp_extract_all(seq, F.lit(r"((.)\2*)"), F.lit(1))

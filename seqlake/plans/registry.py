@@ -201,12 +201,19 @@ def _(spark, d):
     return table(spark, d, "part").select("p_partkey", sq.leading_integer(F.concat(F.col("p_size").cast("string"), F.lit(" bp"))).alias("unit"))
 
 
-@query("s24_contig_runs", "select seq_id, cast(len(regexp_extract_all(translate(dna,'c','n'),'[ACGTacgt]+')) as bigint) as n_runs, length(replace(dna,'c','')) as bases, coalesce(length(regexp_extract(translate(dna,'c','n'),'^[^ACGTacgt]*')),0) as first, coalesce(list_max(list_transform(regexp_extract_all(translate(dna,'c','n'),'[ACGTacgt]+'), lambda r: length(r))),0) as longest from px_seq", "px_seq")
-def _(spark, d):
-    r = view(spark, d, "px_seq").select("seq_id", "dna", sq.contig_runs(F.translate("dna", "c", "n")).alias("r"))
-    sizes = F.transform("r", lambda x: F.length(x.run).cast("long"))
-    first = F.coalesce(F.get("r", F.lit(0)).getField("pos"), F.length("dna").cast("long"))  # a sequence without a run ends before its first
-    return r.select("seq_id", F.size("r").cast("long").alias("n_runs"), F.aggregate(sizes, F.lit(0).cast("long"), lambda a, x: a + x).alias("bases"), first.alias("first"), F.coalesce(F.array_max(sizes), F.lit(0)).alias("longest"))
+@query("s24_contig_runs", """, letters as (select seq_id, i, f, lag(f,1,0) over (partition by seq_id order by i) before, lead(f,1,0) over (partition by seq_id order by i) after
+        from (select seq_id, i, case when c in ('a','g','t') then 1 else 0 end f from (select seq_id, unnest(string_split(dna,'')) c, unnest(range(0,length(dna))) i from px_seq where length(dna)>0))),
+    edges as (select seq_id, count(*) filter (f>before) n_runs, cast(sum(f) as bigint) bases, min(i) filter (f=1) first, cast(sum(case when f>before then i end) as bigint) starts, cast(sum(case when f>after then i+1 end) as bigint) ends from letters group by seq_id)
+    select seq_id, coalesce(n_runs,0) as n_runs, coalesce(bases,0) as bases, coalesce(first,length(dna)) as first, coalesce(starts,0) as starts, coalesce(ends,0) as ends,
+        coalesce(list_max(list_transform(regexp_extract_all(translate(dna,'c','n'),'[ACGTacgt]+'), lambda r: length(r))),0) as longest from px_seq left join edges using (seq_id)""", "px_seq")
+def _(spark, d):
+    r = view(spark, d, "px_seq").select("seq_id", F.length("dna").cast("long").alias("n"), sq.contig_spans(F.translate("dna", "c", "n")).alias("r"))
+    total = lambda x: F.aggregate(F.transform("r", x), F.lit(0).cast("long"), lambda a, b: a + b)
+    first = F.coalesce(F.get("r", F.lit(0)).getField("pos"), F.col("n"))  # a sequence without a run ends before its first
+    return r.select(
+        "seq_id", F.size("r").cast("long").alias("n_runs"), total(lambda x: x["len"]).alias("bases"), first.alias("first"), total(lambda x: x["pos"]).alias("starts"),
+        total(lambda x: x["pos"] + x["len"]).alias("ends"), F.coalesce(F.array_max(F.transform("r", lambda x: x["len"])), F.lit(0)).alias("longest"),
+    )
 
 
 RANDOM = "select seq_id, coalesce(string_agg(translate(substring(md5(seq_id||':'||k||':1'),1,1),'0123456789abcdef','acgtacgtacgtacgt'),'' order by k),'') s from px_rand left join range(1,10000) b(k) on k<=len group by seq_id"

@@ -384,6 +384,9 @@ def test_sequence_functions(spark):
     assert one(sq.to_index(F.lit("ACGTN"))) == "01234" and one(sq.from_index(F.lit("01234"))) == "acgtn"
     assert one(sq.first_mismatch(F.lit("acgt"), F.lit("acct"))) == 2 and one(sq.first_mismatch(F.lit("acgt"), F.lit("acgt"))) == 0
     assert one(sq.cut(F.lit("acgtacgt"), F.lit(2), F.lit(5))) == "gta"
+    odd = ["nnACgtNtt", "", None, "a", "é☃acé", "acgt", "gt", "n", "tn☃"]
+    spans = spark.createDataFrame([(k, t) for k, t in enumerate(odd)], "k int, t string").coalesce(1).select("k", "t", sq.contig_spans("t").alias("r"), sq.contig_runs("t").alias("w")).collect()
+    assert all((r.r is None and r.t is None) or [(x["pos"], x["len"]) for x in r.r] == [(x["pos"], len(x["run"])) for x in r.w] for r in spans) and len(spans) == 9
     assert [(r.pos, r.run) for r in one(sq.contig_runs(F.lit("nnACgtNtt")))] == [(2, "ACgt"), (7, "tt")] and one(sq.contig_runs(F.lit(""))) == []
     assert one(sq.symbol_runs(F.lit("nnnab"))) == ["nnn", "a", "b"]
     assert one(sq.phred(F.lit("!I"))) == [0, 40] and one(sq.quality_bits(F.array(F.lit(3), F.lit(30)), 20)) == [0, 1]
