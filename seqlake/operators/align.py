@@ -95,6 +95,70 @@ def distance(s1: str, s2: str, costs: Costs = Costs()) -> tuple[int, int]:
     return score[0], end[0]
 
 
+def _banded(longer: list[str], shorter: list[str], most: np.ndarray, costs: Costs) -> np.ndarray:
+    """Scores of pairs, -1 where they are above most: a row of every pair's band at a time. A place k off the diagonal costs
+    k gaps, so cells further off than most / gap never count; a pair whose row is all above most is left at once."""
+    m, n = np.array([len(x) for x in longer]), np.array([len(x) for x in shorter])
+    wide = int(max(0, (most // costs.gap).max(initial=0)))
+    a, b, gap = _codes(longer, 4), _codes(shorter, 4), costs.gap
+    cost, far = costs.matrix().astype(np.int32), np.int32(1 << 29)
+    b = np.pad(b, ((0, 0), (wide + 1, 2 * wide + 2 + max(0, a.shape[1] - b.shape[1]))), constant_values=4)
+    shift = np.arange(-wide, wide + 1)
+    ramp = (gap * np.arange(2 * wide + 1)).astype(np.int32)
+    row = np.where(shift >= 0, gap * shift, far).astype(np.int32)
+    row = np.where(shift[None] <= n[:, None], row, far)
+    out = np.full(len(m), -1)
+    at = np.flatnonzero(n >= m - most // gap)  # pairs still worked on; row belongs to them
+    row = row[at]
+    for i in range(int(m.max(initial=0)) + 1):
+        done = m[at] == i
+        if done.any():
+            end = at[done]
+            score = row[done, n[end] - i + wide]
+            out[end] = np.where(score <= most[end], score, -1)
+        go = ~done & (row.min(1) <= most[at]) if len(at) else done
+        at, row = at[go], row[go]
+        if not len(at):
+            break
+        j = i + 1 + shift  # columns of the next row
+        c = cost[a[at, i][:, None], b[at, i + 1 : i + 2 + 2 * wide]]  # b's letter j - 1 lies at j + wide
+        new = np.minimum(row + c, np.concatenate([row[:, 1:], np.full((len(at), 1), far)], 1) + gap)
+        new[:, j < 1] = far
+        if wide >= i + 1:
+            new[:, wide - i - 1] = gap * (i + 1)  # column 0
+        new = np.minimum.accumulate(new - ramp, axis=1) + ramp
+        row = np.where((j[None] >= 0) & (j[None] <= n[at][:, None]), new, far).astype(np.int32)
+    return out
+
+
+def distances_within(s1: list[str], s2: list[str], most: list[int], costs: Costs = Costs()) -> list[int]:
+    """Global scores that are at most most, -1 for the others, in bands: for pairs that may be far apart."""
+    if costs.loop or min(costs.transition, costs.transversion, costs.gap) < 1:
+        raise ValueError("bands need a global distance in which every edit costs")
+    out = [-1] * len(s1)
+    order = sorted((k for k in range(len(s1)) if most[k] >= 0), key=lambda k: (most[k], len(s1[k]) + len(s2[k])))
+    at = 0
+    while at < len(order):
+        part = order[at : at + 4096]
+        while len(part) > 1 and len(part) * (2 * most[part[-1]] // costs.gap + 1) > CELLS:
+            part = part[: len(part) // 2]
+        turned = [(s1[k], s2[k]) if len(s1[k]) >= len(s2[k]) else (s2[k], s1[k]) for k in part]
+        for k, v in zip(part, _banded([x for x, _ in turned], [y for _, y in turned], np.array([most[k] for k in part], np.int64), costs).tolist()):
+            out[k] = v
+        at += len(part)
+    return out
+
+
+def within_udf(costs: Costs = Costs()):
+    """(s1, s2, most) -> score, -1 above most."""
+
+    @F.pandas_udf("int")
+    def nw(s1: pd.Series, s2: pd.Series, most: pd.Series) -> pd.Series:
+        return pd.Series(distances_within(s1.tolist(), s2.tolist(), most.tolist(), costs), dtype="int32")
+
+    return nw
+
+
 def distance_udf(costs: Costs = Costs()):
     """(s1, s2) -> struct(score, end), whole Arrow batches at a time."""
 

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqlake.functions.sequence import revcomp
+from seqlake.operators.align import Costs, within_udf
 
 #: Letters of a part that are hashed.
 STRETCHES = (1, 2, 3, 4, 6, 8, 10, 12, 14, 16)
@@ -117,19 +118,21 @@ def candidates(seqs: DataFrame, per_mille: int, strands: bool = False) -> DataFr
     return met.where(shorter & near).select("i", "j", "strand").distinct()
 
 
-def similar_pairs(seqs: DataFrame, per_mille: int, strands: bool = False) -> DataFrame:
+def similar_pairs(seqs: DataFrame, per_mille: int, strands: bool = False, costs: Costs | None = None) -> DataFrame:
     """(i, j, score, strand): all pairs i < j of (seq_id, s) with an edit distance of at most per_mille thousandths of
-    the longer length (cut down), and that distance. With strands the better of both, + of equals.
+    the longer length (cut down), and that distance. With strands the better of both, + of equals. With costs the
+    weighted global distance; a pair within it has no more edits than it over the least cost.
 
     Sequences with one text all pair with each other; give such texts once (distinct_texts) where they may be many. Null
     texts have no pair, empty ones pair with each other.
     """
-    pairs = candidates(seqs.where("length(s) > 0"), per_mille, strands)
+    least = min(costs.transition, costs.transversion, costs.gap) if costs else 1
+    pairs = candidates(seqs.where("length(s) > 0"), -(-per_mille // least), strands)
     equal = _equal(seqs, strands)
     text = lambda k: seqs.select(F.col("seq_id").alias(k), F.col("s").alias(f"s_{k}"))
     both = pairs.join(text("i"), "i").join(text("j"), "j")
     other = F.when(F.col("strand") == "-", revcomp(F.col("s_j"))).otherwise(F.col("s_j")) if strands else F.col("s_j")
-    scored = both.withColumn("most", F.expr(f"cast(greatest(length(s_i), length(s_j)) * {per_mille} div 1000 as int)")).withColumn("s_j", other).withColumn("score", F.expr("levenshtein(s_i, s_j, most)")).where("score > 0")  # equal texts come from _equal()
+    scored = both.withColumn("most", F.expr(f"cast(greatest(length(s_i), length(s_j)) * {per_mille} div 1000 as int)")).withColumn("s_j", other).withColumn("score", within_udf(costs)("s_i", "s_j", "most") if costs else F.expr("levenshtein(s_i, s_j, most)")).where("score > 0")  # equal texts come from _equal()
     ordered = scored.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "score", "strand").unionByName(equal)
     if not strands:
         return ordered

@@ -504,6 +504,11 @@ def _(spark, d):
     return align.pairs(view(spark, d, "px_name")).select("i", "j", align.distance_udf()("s_i", "s_j").getField("score").alias("score"))
 
 
+@query("f20_nw_within", nw_rows("f", FORWARD_PAIRS, False) + " select i, j, score from f join f_p using (i,j) where score<=length(p)*250//1000", "px_name")
+def _(spark, d):
+    return similar.similar_pairs(view(spark, d, "px_name"), 250, costs=align.Costs()).select("i", "j", "score")
+
+
 @query("f21_nw_loop", nw_rows("f", FORWARD_PAIRS, True) + nw_rows("r", REVERSE_PAIRS, True) + " " + BOTH, "px_name")
 def _(spark, d):
     return align.score_pairs(view(spark, d, "px_name"), align.Costs(loop=True))

@@ -264,6 +264,38 @@ def test_distances_in_blocks(monkeypatch):
                     assert g == (3 * max(len(x), len(y)), 0)
 
 
+def test_distances_in_bands(monkeypatch):
+    """The scores of the whole table up to the threshold, whatever the lengths and the size of a block."""
+    rng = random.Random(16)
+    word = lambda: "".join(rng.choice("acgtn") for _ in range(rng.choice([0, 1, 2, 9, 30])))
+    a = [word() for _ in range(200)]
+    b = [mutated(rng, x, rng.randrange(5)) if rng.random() < 0.7 else word() for x in a]
+    most = [rng.choice([-1, 0, 1, 2, 5, 9, 200]) for _ in a]
+    for cells in (8, 1 << 21):
+        monkeypatch.setattr(align, "CELLS", cells)
+        for c in (align.Costs(), align.Costs(1, 1, 1), align.Costs(2, 3, 2)):
+            whole = align.distances(a, b, c)[0]
+            assert align.distances_within(a, b, most, c) == [v if v <= k else -1 for v, k in zip(whole, most)]
+    with pytest.raises(ValueError):
+        align.distances_within(["a"], ["a"], [1], align.Costs(loop=True))
+
+
+@pytest.mark.parametrize("strands", [False, True])
+def test_similar_pairs_by_weight(spark, strands):
+    rng, comp, c = random.Random(33), str.maketrans("acgt", "tgca"), align.Costs(2, 4, 3)
+    data = ["".join(rng.choice("acgt") for _ in range(n)) for n in (8, 20, 33, 50)]
+    data += [mutated(rng, s, rng.randrange(4)) for s in data for _ in range(5)]
+    data += [s[::-1].translate(comp) for s in data[::4]]
+    want = []
+    for i, s in enumerate(data):
+        for j, t in enumerate(data[:i]):
+            score, strand = min((align.distance(s, x, c)[0], n) for n, x in enumerate([t, t[::-1].translate(comp)][: 1 + strands]))
+            if score <= max(len(s), len(t)) * 200 // 1000:
+                want.append((j, i, score, "+-"[strand]))
+    seqs = spark.createDataFrame(list(enumerate(data)), "seq_id long, s string")
+    assert rows(similar.similar_pairs(seqs, 200, strands, c)) == sorted(want) and want
+
+
 def test_cluster_report(spark):
     labels = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (8, 7), (7, 7)], "node long, label long")
     seqs = spark.createDataFrame([(1, "aaaaaaaac"), (2, "aaaaaagtc"), (3, "aaaaaaaa"), (7, "aaaa"), (8, "aaac")], "seq_id long, s string")
