@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import math
 import random
 import re
 import unicodedata
@@ -891,6 +892,45 @@ def test_quality(spark, sf, odd, none):
     assert quality.quality(odd).count() == odd.count() and quality.quality(none).count() == 0
 
 
+def test_quality_against_brute_force(spark, sf):
+    """The whole result: expectation-maximisation a row at a time, and the scorer's gradient over a dense table of words."""
+    docs = [(r.doc_id, r.text) for r in table(spark, sf, "documents").collect()] + [(7, None), (8, "")]
+    votes = [quality.votes(t) for _, t in docs]
+    share, said = 0.8, [[[1.0, 0.75, 0.25], [1.0, 0.25, 0.75]] for _ in votes[0]]
+    post = None
+    for _ in range(200):
+        before, post = post, []
+        for v in votes:
+            bad, good = 1 - share, share
+            for k, x in enumerate(v):
+                bad, good = bad * said[k][0][x], good * said[k][1][x]
+            post.append(good / (bad + good))
+        if before and max(abs(a - b) for a, b in zip(before, post)) < 1e-9:
+            break
+        share = min(0.99, max(0.01, (sum(post) + 1) / (len(post) + 2)))
+        for k in range(len(said)):
+            for c in (0, 1):
+                tally = [1 + sum(p if c else 1 - p for p, v in zip(post, votes) if v[k] == x) for x in (1, 2)]
+                said[k][c][1:] = [t / sum(tally) for t in tally]
+    words = [[(zlib.crc32(b"w" + w.lower().encode()) % quality.COLUMNS, zlib.crc32(b"s" + quality.shape(w).encode()) % quality.COLUMNS) for w in (t or "").split() or [""]] for _, t in docs]
+    used = {c: k for k, c in enumerate(sorted({c for ws in words for pair in ws for c in pair}))}
+    x = np.zeros((len(docs), len(used) + 1))
+    for r, ws in enumerate(words):
+        for pair in ws:
+            for c in pair:
+                x[r, used[c]] += quality.SCALE / len(ws)
+    x[:, -1] = 1
+    w, m, v = (np.zeros(x.shape[1]) for _ in range(3))
+    for step in range(1, 201):
+        grad = x.T @ (1 / (1 + np.exp(-np.clip(x @ w, -30, 30))) - post) / len(post) + 1e-6 * np.append(w[:-1], 0)
+        m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
+        w = w - 0.3 * (1 - step / 201) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
+    want = sorted((d, p, 1 / (1 + math.exp(-z))) for (d, _), p, z in zip(docs, post, x @ w))
+    got = sorted((r.doc_id, r.weak_label, r.score) for r in quality.quality(spark.createDataFrame(docs, "doc_id long, text string")).collect())
+    assert [g[0] for g in got] == [x[0] for x in want]
+    assert np.allclose([g[1] for g in got], [x[1] for x in want], atol=1e-6) and np.allclose([g[2] for g in got], [x[2] for x in want], atol=5e-3)
+
+
 def test_quality_of_unseen_patterns():
     counts_ = {quality.pattern_code(v): n for v, n in (([2] * 8, 80), ([1] * 8, 20), ([2, 1] * 4, 7))}
     post, share, said = quality.estimate(counts_, rounds=2000)
