@@ -858,6 +858,28 @@ def test_decoding_against_every_reading():
         assert abs(every[model.decode(span)] - max(every.values())) < 1e-6, span
 
 
+def test_toxicity_scores_against_brute_force(spark, sf):
+    """Features and weights from the restored texts of the training fold, over a dense table, and every row's score."""
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    got = {r.doc_id: r for r in toxicity.toxicity(docs, labels, with_text=True).collect()}
+    y = {r.doc_id: r.toxic for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 4 != 2 and r.doc_id in got}
+    own = {d: toxicity.features(r.restored) for d, r in got.items()}
+    bad, good = (collections.Counter(f for d, t in y.items() if t == k for f in own[d]) for k in (1, 0))
+    n = collections.Counter(y.values())
+    lift = {f: (t + 0.5) / (n[1] + 1) / ((good[f] + 0.5) / (n[0] + 1)) for f, t in bad.items() if t >= 3}
+    names = sorted((f for f, v in lift.items() if v >= 4), key=lambda f: (-lift[f], f))[: toxicity.FEATURES]
+    x = np.array([[f in own[d] for f in names] + [True] for d in y], float)
+    w, m, v = (np.zeros(len(names) + 1) for _ in range(3))
+    for step in range(1, 401):
+        grad = x.T @ (1 / (1 + np.exp(-x @ w)) - np.array(list(y.values()))) / len(y) + 1e-4 * np.append(w[:-1], 0)
+        m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
+        w = w - 0.5 * (1 - step / 401) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
+    assert len(names) > 3 and n[1] > 3
+    for d, r in got.items():
+        z = w[-1] + sum(u for f, u in zip(names, w) if f in own[d] and abs(u) > 1e-3)
+        assert abs(r.score - 1 / (1 + math.exp(-max(-30, min(30, z))))) < 1e-4 and r.predicted == (r.score >= 0.3)
+
+
 def test_toxicity_with_repeated_ids(spark, monkeypatch):
     """However many rows a labelled id has, the sample holds one of each id."""
     docs = spark.createDataFrame([(k % 8, f"{'vile' if k % 8 < 4 else 'kind'} text {k}") for k in range(400)], "doc_id long, text string")
