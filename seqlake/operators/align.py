@@ -170,7 +170,13 @@ def distance_udf(costs: Costs = Costs()):
     return nw
 
 
-def pairs(seqs: DataFrame, rows: int = 512, block: int | None = None) -> DataFrame:
+def tasks(seqs: DataFrame) -> int:
+    """Tasks for work that takes long for its bytes, which adaptive execution would put into a few."""
+    spark = seqs.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+
+
+def pairs(seqs: DataFrame, rows: int = 256, block: int | None = None) -> DataFrame:
     """(i, s_i, j, s_j) for all i < j of (seq_id, s), which is what scoring all pairs asks for.
 
     Rows are dealt into blocks of about rows each; every two blocks x <= y meet once by an equi join, so that each task
@@ -185,9 +191,10 @@ def block_pairs(seqs: DataFrame, *keys: str) -> DataFrame:
     """pairs() within the groups of keys, each dealt into the number of blocks that its rows name in column __blocks."""
     x = F.pmod(F.xxhash64("seq_id"), F.col("__blocks")).cast("int")
     own = seqs.select(*keys, "seq_id", "s", x.alias("__own"), F.col("__blocks").cast("int").alias("__blocks"))
+    n, cell = tasks(seqs), [*keys, "x", "y"]
     left = own.select(*keys, F.col("seq_id").alias("i"), F.col("s").alias("s_i"), F.col("__own").alias("x"), F.explode(F.sequence("__own", F.col("__blocks") - 1)).alias("y"))
     right = own.select(*keys, F.col("seq_id").alias("j"), F.col("s").alias("s_j"), F.col("__own").alias("y"), F.explode(F.sequence(F.lit(0), F.col("__own"))).alias("x"))
-    met = left.join(right, [*keys, "x", "y"]).where("x < y or i < j")
+    met = left.repartition(n, *cell).join(right.repartition(n, *cell), cell).where("x < y or i < j")
     turn = F.col("i") > F.col("j")
     either = lambda a, b, name: F.when(turn, F.col(a)).otherwise(F.col(b)).alias(name)
     return met.select(*keys, either("j", "i", "i"), either("s_j", "s_i", "s_i"), either("i", "j", "j"), either("s_i", "s_j", "s_j"))

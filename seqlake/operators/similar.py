@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqlake.functions.sequence import revcomp
-from seqlake.operators.align import Costs, within_udf
+from seqlake.operators.align import Costs, tasks, within_udf
 
 #: Letters of a part that are hashed.
 STRETCHES = (1, 2, 3, 4, 6, 8, 10, 12, 14, 16)
@@ -107,6 +107,7 @@ def candidates(seqs: DataFrame, per_mille: int, strands: bool = False) -> DataFr
     smaller id. Strand - (with strands only): j is reverse complemented."""
     if not 0 <= per_mille < 1000:
         raise ValueError("the share is below one")
+    seqs = seqs.select("seq_id", "s").repartition(tasks(seqs), "seq_id")
     parts = _stretches(seqs, per_mille, True).select("key", F.col("id").alias("i"), F.col("n").alias("n_i"), F.col("at").alias("at_i"))
     some = _stretches(seqs, per_mille, False).withColumn("strand", F.lit("+"))
     if strands:
