@@ -28,7 +28,7 @@ from seqlake.llm.common import Scratch, arrow_map, column
 from seqlake.llm.vectors import Best, finite, groups_for, numbers, packed, query_blocks
 
 #: Lines; half a window's width at radius 1; chance that a vector inside the last radius is verified; growth of the radius.
-PROJECTIONS, WIDTH, CERTAINTY, GROWTH = 48, 1.25, 0.985, 1.5
+PROJECTIONS, WIDTH, CERTAINTY, GROWTH = 48, 1.25, 0.985, 3.0
 INDEX = "dim int, ids binary, vecs binary, places binary, sorted binary"
 QUERY = "dim int, ids binary, keys binary, vecs binary"
 
@@ -88,17 +88,25 @@ def search_block(queries: np.ndarray, own: np.ndarray, best: Best, vecs: np.ndar
         down = np.stack([np.searchsorted(p, at[left, i] - half, "left") for i, p in enumerate(places)], 1)
         up = np.stack([np.searchsorted(p, at[left, i] + half, "right") for i, p in enumerate(places)], 1)
         down, up = np.minimum(down, lo[left]), np.maximum(up, hi[left])  # windows only grow
-        more = []
+        more, inside, before = [], (up - down).sum(1), (hi[left] - lo[left]).sum(1)
         for x, q in enumerate(left):
-            margins = [order[i, a:b] for i, (a, b) in enumerate(zip(down[x].tolist(), lo[q].tolist())) if a < b]
-            margins += [order[i, a:b] for i, (a, b) in enumerate(zip(hi[q].tolist(), up[x].tolist())) if a < b]
-            if margins:
-                now = seen[q] + np.bincount(np.concatenate(margins), minlength=n).astype(np.int16)
+            out = count * n - inside[x] < inside[x] - before[x]  # fewer places lie outside than come in: those are counted
+            down_x, up_x = down[x].tolist(), up[x].tolist()
+            if out:
+                margins = [order[i, :a] for i, a in enumerate(down_x) if a] + [order[i, b:] for i, b in enumerate(up_x) if b < n]
+            else:
+                margins = [order[i, a:b] for i, (a, b) in enumerate(zip(down_x, lo[q].tolist())) if a < b]
+                margins += [order[i, a:b] for i, (a, b) in enumerate(zip(hi[q].tolist(), up_x)) if a < b]
+            if out or margins:
+                hits = np.bincount(np.concatenate(margins), minlength=n) if margins else np.zeros(n, np.int64)
+                now = (count - hits if out else seen[q] + hits).astype(np.int16)
                 found = np.flatnonzero((now >= enough) & (seen[q] < enough))
                 seen[q] = now
                 found = found[ids[found] != own[q]]
                 verified += len(found)
-                if len(found):
+                if len(found):  # scores that can't come in aren't summed exactly; equal vectors have equal sums, wherever they lie
+                    near = (vecs @ queries[q])[found] if 4 * len(found) > n else vecs[found] @ queries[q]
+                    found = found[near >= best.bound(q) - 1e-9 * most * norm[q]] if best.n[q] == best.k else found
                     best.add(q, (vecs[found] * queries[q]).sum(1), ids[found])
             goal = far(q)
             if radius[q] < goal and not (down[x].max() == 0 and up[x].min() == n):
@@ -145,7 +153,7 @@ def nearest(df: DataFrame, asks: Column, id_col: str = "vec_id", vector: str = "
                     states[name] = (numbers(r["q"], width=r["dim"]), own, numbers(r["keys"], np.int64), Best(len(own), k))
                 queries, own, _, best = states[name]
                 ids = numbers(r["vec_ids"], np.int64)
-                search_block(queries, own, best, numbers(r["vecs"], width=r["dim"]), ids, numbers(r["places"], width=len(ids)), numbers(r["sorted"], np.int32, len(ids)), most)
+                search_block(queries, own, best, numbers(r["vecs"], width=r["dim"]), ids, numbers(r["places"], width=len(ids)), numbers(r["sorted"], np.int32, len(ids)).astype(np.intp), most)
         yield from flush()
 
     met = blocks.withColumnRenamed("vecs", "q").join(index.withColumnRenamed("ids", "vec_ids").hint("merge"), ["g", "dim"])
