@@ -2,27 +2,32 @@
 
 The network reads windows of WINDOW bytes in both directions, labels every byte with a distribution over languages, and
 a document's probabilities are the mean of its letters' distributions. It is trained in numpy by backpropagation
-through time (Adam) on a bounded sample: for each language up to SAMPLE documents of the training fold, of each the
-windows at up to SAMPLE_WINDOWS evenly spaced places of the whole text. Every window of every whole text is labelled.
+through time (Adam) on every window of every labelled text of the training fold: the rows are dealt into rounds and
+groups by a hash, each group of a round is learnt by a task that starts from the same network, and the next round starts
+from the mean of their networks. Every window of every whole text is labelled.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqlake.llm.common import ROW, ROW_ARROW, Scratch, arrow_map, batch, column, held_out, numbered, spare, without
 
 WINDOW, HIDDEN = 48, 6
-#: Training documents per language, windows of each, passes. Every language of the training fold is learnt.
-SAMPLE, SAMPLE_WINDOWS, EPOCHS = 400, 6, 8
-#: Steps at least: small samples get more passes.
-STEPS = 300
-#: The pipeline rejects undetermined documents, and those with scores at which fewer than this share are right. Documents
-#: per language that this is seen on, times SAMPLE.
-PRECISION, CALIBRATION = 0.5, 5
+#: Rounds at most, and bytes of texts that a group has in a round (about; so the groups grow with the corpus, not what each learns).
+ROUNDS, GROUP = 8, 2 << 20
+#: Steps at least, of BATCH windows (first and most): small corpora get more passes. Rate of the first step.
+STEPS, BATCH, RATE = 300, (256, 1024), 0.01
+#: A language of fewer rows than this share of an even part is learnt in several groups, so that weights stay bounded.
+RARE = 0.25
+#: The pipeline rejects undetermined documents, and those with scores at which fewer than this share are right; buckets in
+#: which that is counted.
+PRECISION, BUCKETS = 0.5, 4096
+#: Parameters are averaged as whole numbers of this part, so the mean doesn't depend on the order of tasks.
+_UNIT = 1 << 24
 _BLOCK = 1024
 _ASCII_LETTER = np.array([b < 128 and chr(b).isalpha() for b in range(256)])
 #: Letters among the characters up to U+FFFF; the rarer planes hold letters almost only, and signs that are taken out below.
@@ -73,58 +78,100 @@ class BiGru:
             out[t] = h
         return out, kept
 
-    def loss(self, x: np.ndarray, y: np.ndarray, mask: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean cross entropy over letters, and its gradients. x: (L, B) bytes, y: (B) classes, mask: (L, B) letters."""
-        p, hid = self.p, len(self.p["bf"])
-        hf, kf = self._forward(x, "f")
-        hb, kb = self._forward(x, "b")
-        h = np.concatenate([hf, hb], 2)
-        logits = h @ p["wo"] + p["bo"]
-        logits -= logits.max(2, keepdims=True)
-        prob = np.exp(logits)
-        prob /= prob.sum(2, keepdims=True)
-        total = max(int(mask.sum()), 1)
-        own = np.take_along_axis(prob, np.broadcast_to(y[None, :, None], (*x.shape, 1)), 2)[:, :, 0]
-        value = float(-(np.log(np.maximum(own, 1e-12)) * mask).sum() / total)
-        dl = prob
-        np.put_along_axis(dl, np.broadcast_to(y[None, :, None], (*x.shape, 1)), (own - 1)[:, :, None], 2)
-        dl = dl * (mask[:, :, None] / total).astype(h.dtype)
-        grad = {"wo": h.reshape(-1, 2 * hid).T @ dl.reshape(-1, dl.shape[2]), "bo": dl.sum((0, 1))}
-        dh_all = dl @ p["wo"].T
-        for d, kept, dh_out in (("f", kf, dh_all[:, :, :hid]), ("b", kb, dh_all[:, :, hid:])):
-            u = p[f"u{d}"]
-            du, db, dh = np.zeros_like(u), np.zeros_like(p[f"b{d}"]), np.zeros((x.shape[1], hid), u.dtype)
-            da = np.empty((*x.shape, 3 * hid), u.dtype)
-            for t, before, z, r, hn, n in reversed(kept):  # back through time
-                dh = dh + dh_out[t]
-                dan = dh * (1 - z) * (1 - n * n)
-                daz = dh * (before - n) * z * (1 - z)
-                dar = dan * hn * r * (1 - r)
-                dg = np.concatenate([daz, dar, dan * r], 1)
-                da[t, :, :hid], da[t, :, hid : 2 * hid], da[t, :, 2 * hid :] = daz, dar, dan
-                du += before.T @ dg
-                db += dg[:, 2 * hid :].sum(0)
-                dh = dh * z + dg @ u.T
-            flat = x.ravel()
-            cols = da.reshape(-1, 3 * hid)
-            grad[f"wx{d}"] = np.stack([np.bincount(flat, cols[:, c], 256) for c in range(3 * hid)], 1).astype(u.dtype)
-            grad[f"u{d}"], grad[f"b{d}"] = du, db
+    def _kept(self, x: np.ndarray, d: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """_forward() for training, units in rows and a step's values side by side: states (L, H, B), gates and new values
+        (L, 3H, B), recurrent products (L, 3H, B; those of the gates aren't kept)."""
+        hid, kind = len(self.p["bf"]), self.p["wo"].dtype
+        half = np.concatenate([np.full(2 * hid, 0.5), np.ones(hid)]).astype(kind)
+        wx, u, b = np.ascontiguousarray((self.p[f"wx{d}"] * half).T), np.ascontiguousarray((self.p[f"u{d}"] * half).T), self.p[f"b{d}"][:, None]
+        out, gates, products = (np.empty((len(x), k * hid, x.shape[1]), kind) for k in (1, 3, 3))
+        h, rn = np.zeros((hid, x.shape[1]), kind), np.empty((hid, x.shape[1]), kind)
+        for t in range(len(x)) if d == "f" else range(len(x) - 1, -1, -1):
+            a, g = gates[t], products[t]
+            np.take(wx, x[t], axis=1, out=a, mode="clip")
+            np.matmul(u, h, out=g)
+            zr, n, hn = a[: 2 * hid], a[2 * hid :], g[2 * hid :]
+            zr += g[: 2 * hid]
+            np.tanh(zr, out=zr)
+            zr *= 0.5
+            zr += 0.5
+            hn += b
+            np.multiply(hn, zr[hid:], out=rn)
+            n += rn
+            np.tanh(n, out=n)
+            new = out[t]
+            np.subtract(h, n, out=new)
+            new *= zr[:hid]
+            new += n
+            h = new
+        return out, gates, products
+
+    def loss(self, x: np.ndarray, y: np.ndarray, mask: np.ndarray, weight: np.ndarray | None = None) -> tuple[float, dict[str, np.ndarray]]:
+        """Mean cross entropy over letters, and its gradients. x: (L, B) bytes, y: (B) classes, mask: (L, B) letters,
+        weight: (B), of each window's letters."""
+        p, hid, rows = self.p, len(self.p["bf"]), x.shape[1]
+        x = x.astype(np.intp)
+        share = (mask if weight is None else mask * weight).astype(p["wo"].dtype)
+        share /= max(float(share.sum()), 1e-9)
+        kept = {d: self._kept(x, d) for d in "fb"}
+        prob = np.matmul(p["wo"][:hid].T, kept["f"][0])  # (L, K, B)
+        prob += np.matmul(p["wo"][hid:].T, kept["b"][0])
+        prob += p["bo"][:, None]
+        prob -= prob.max(1, keepdims=True)
+        np.exp(prob, out=prob)
+        prob /= prob.sum(1, keepdims=True)
+        own = np.arange(len(x))[:, None], y[None, :], np.arange(rows)[None, :]
+        value = float(-(np.log(np.maximum(prob[own], 1e-12)) * share).sum())
+        prob[own] -= 1
+        prob *= share[:, None, :]
+        grad = {"wo": np.concatenate([np.matmul(kept[d][0], prob.transpose(0, 2, 1)).sum(0) for d in "fb"]), "bo": prob.sum((0, 2))}
+        flat = x.ravel()
+        for d, wo in (("f", p["wo"][:hid]), ("b", p["wo"][hid:])):
+            out, gates, dg = kept[d]
+            u, dh_out = p[f"u{d}"], np.matmul(wo, prob)
+            da, dh, s, none = np.empty_like(out), np.zeros((hid, rows), u.dtype), np.empty((hid, rows), u.dtype), np.zeros((hid, rows), u.dtype)
+            du, back = np.zeros_like(u), -1 if d == "f" else 1
+            for t in range(len(x) - 1, -1, -1) if d == "f" else range(len(x)):  # back through time
+                before = out[t + back] if 0 <= t + back < len(x) else none
+                z, r, n = gates[t, :hid], gates[t, hid : 2 * hid], gates[t, 2 * hid :]
+                g, dn = dg[t], da[t]
+                hn = g[2 * hid :]
+                dh += dh_out[t]
+                np.subtract(before, n, out=g[:hid])
+                g[:hid] *= z
+                n *= n
+                np.subtract(1, n, out=n)
+                np.subtract(1, z, out=s)
+                g[:hid] *= s
+                g[:hid] *= dh
+                s *= n
+                np.multiply(dh, s, out=dn)
+                np.subtract(1, r, out=s)
+                s *= r
+                s *= hn
+                np.multiply(s, dn, out=g[hid : 2 * hid])
+                np.multiply(dn, r, out=hn)
+                du += before @ g.T
+                dh *= z
+                dh += u @ g
+            columns = [dg[:, c] for c in range(2 * hid)] + [da[:, c] for c in range(hid)]
+            grad[f"wx{d}"] = np.stack([np.bincount(flat, c.ravel(), 256) for c in columns], 1).astype(u.dtype)
+            grad[f"u{d}"], grad[f"b{d}"] = du, dg[:, 2 * hid :].sum((0, 2))
         return value, grad
 
-    def train(self, x: np.ndarray, y: np.ndarray, mask: np.ndarray, epochs: int = EPOCHS, size: int = 256, rate: float = 0.01, seed: int = 11) -> BiGru:
-        """x and mask: (windows, L), y: (windows)."""
+    def train(self, x: np.ndarray, y: np.ndarray, mask: np.ndarray, weight: np.ndarray, passes: int = 1, size: int = BATCH[0], rates: tuple[float, float] = (RATE, 0.0), seed: int = 11) -> BiGru:
+        """x and mask: (windows, L), y and weight: (windows); rates: of the first step and behind the last."""
         rng = np.random.default_rng(seed)
         m, v, step = {k: np.zeros_like(w) for k, w in self.p.items()}, {k: np.zeros_like(w) for k, w in self.p.items()}, 0
-        epochs = max(epochs, -(-STEPS * size // max(len(x), size)))
-        total = epochs * max(1, -(-len(x) // size))
-        for _ in range(epochs):
+        total = passes * -(-len(x) // size)
+        for _ in range(passes):
             order = rng.permutation(len(x))
             for k in range(0, len(x), size):
                 part = order[k : k + size]
-                _, grad = self.loss(x[part].T, y[part], mask[part].T)
+                _, grad = self.loss(x[part].T, y[part], mask[part].T, weight[part])
                 norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
+                lr = rates[0] + (rates[1] - rates[0]) * step / total
                 step += 1
-                lr = rate * (1 - (step - 1) / total)
                 for name, g in grad.items():
                     g = g * min(1.0, 1.0 / max(norm, 1e-9))
                     m[name] += 0.1 * (g - m[name])
@@ -132,6 +179,17 @@ class BiGru:
                     self.p[name] -= lr * (m[name] / (1 - 0.9**step)) / (np.sqrt(v[name] / (1 - 0.99**step)) + 1e-8)
         return self
 
+    def flat(self) -> np.ndarray:
+        return np.concatenate([self.p[k].ravel() for k in sorted(self.p)])
+
+    def filled(self, values: np.ndarray) -> BiGru:
+        """A network of this shape with the parameters of a flat()."""
+        p, at = {}, 0
+        for k in sorted(self.p):
+            p[k] = values[at : at + self.p[k].size].reshape(self.p[k].shape).astype(np.float32)
+            at += self.p[k].size
+        return BiGru(p, self.languages)
+
     def _states(self, x: np.ndarray, d: str) -> np.ndarray:
         """_forward() without what training keeps, as (H, L, B): units in rows, so that every gate is contiguous, and
         sigmoids as tanh of half the sum."""
@@ -196,44 +254,110 @@ class BiGru:
         return total / np.maximum(letters, 1)[:, None], letters
 
 
-def _windows(text: str, most: int = SAMPLE_WINDOWS) -> tuple[list[bytes], list[bytes]]:
-    """Windows at evenly spaced places of the whole text, and which of their bytes belong to letters."""
+def _windows(text: str) -> tuple[bytes, bytes]:
+    """The windows of the whole text, and which of their bytes belong to letters."""
     raw = text.encode("utf-8", "replace")
-    mask = letter_bytes(text, raw).tobytes()
-    n = -(-len(raw) // WINDOW)
-    cut = lambda b: [b[k * WINDOW : (k + 1) * WINDOW].ljust(WINDOW, b"\0") for k in sorted({i * n // min(n, most) for i in range(min(n, most))})]
-    return cut(raw), cut(mask)
+    size = -(-len(raw) // WINDOW) * WINDOW
+    return raw.ljust(size, b"\0"), letter_bytes(text, raw).tobytes().ljust(size, b"\0")
 
 
-def _labelled(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int) -> DataFrame:
-    """(lang, text, part): labelled rows of the training fold, about sample a language in part 0 (to learn from) and
-    CALIBRATION times as many others in part 1 (to set a threshold on), drawn by a hash of the row."""
+def _labelled(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    """(doc_id, text, lang) of the labelled rows of the training fold."""
     rows = docs.select(column(id_col).alias("doc_id"), column(text_col).cast("string").alias("text"), column(lang_col).cast("string").alias("lang"))
-    rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    shares = rows.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(sample) / F.count("*")).alias("share"))
-    drawn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    part = F.when(drawn < F.col("share"), 0).when(drawn < (1 + CALIBRATION) * F.col("share"), 1)
-    return rows.join(F.broadcast(shares), "lang").select("lang", "text", part.alias("part")).where("part is not null").distinct()  # a share per language, like the network's output
-
+    return rows.where((F.col("text") != "") & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
+
+
+def _round(rows: DataFrame, net: BiGru, weights: dict[str, float], rounds: int, number: int) -> BiGru:
+    """The mean of the networks that the groups of rows (group, key, lang, text) make of net, by their windows."""
+    shared, out = rows.sparkSession.sparkContext.broadcast((net.p, net.languages, weights)), pa.schema([("at", pa.int32()), ("value", pa.int64())])
+    rates = RATE * (1 - number / rounds), RATE * (1 - (number + 1) / rounds)
+
+    def learnt(begun: BiGru, group: int, langs: list[str], parts: list[tuple[bytes, bytes]]) -> tuple[BiGru, int]:
+        x, mask = (np.frombuffer(b"".join(p), np.uint8).reshape(-1, WINDOW) for p in zip(*parts))
+        index = {g: k for k, g in enumerate(begun.languages)}
+        n = np.array([len(p) // WINDOW for p, _ in parts])
+        y, weight = np.repeat([index[g] for g in langs], n), np.repeat([shared.value[2][g] for g in langs], n)
+        some = mask.any(1)  # others have no letter to learn from
+        x, y, mask, weight = x[some], y[some], mask[some] > 0, weight[some]
+        if not len(x):
+            return begun, 0
+        size = min(BATCH[1], max(BATCH[0], len(x) * rounds // STEPS))
+        passes = -(-STEPS // (rounds * -(-len(x) // size)))
+        return begun.train(x, y, mask, weight, passes, size, rates, seed=group), len(x)
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> BiGru | None:
-    """Learns from text and non-null lang of rows of the training fold; None where there are none."""
-    out = pa.schema([("lang", pa.string()), ("windows", pa.binary()), ("letters", pa.binary())])
+    def run(batches):
+        begun, total = BiGru(*shared.value[:2]), None
+        at, net, langs, parts, size, seen = None, None, [], [], 0, 0
+
+        def done():
+            nonlocal total, net, seen, langs, parts, size
+            if parts:
+                net, n = learnt(net, at, langs, parts)
+                seen, langs, parts, size = seen + n, [], [], 0
+
+        def ended():
+            nonlocal total
+            done()
+            if seen:
+                value = np.append(np.rint(net.flat().astype(np.float64) * _UNIT).astype(np.int64) * seen, seen)
+                total = value if total is None else total + value
 
-    def cut(batches):
         for b in batches:
-            rows = [(g, *map(b"".join, _windows(t))) for g, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if t]
-            yield batch(out, *zip(*rows)) if rows else batch(out, [], [], [])
-
-    picked = _labelled(docs, id_col, text_col, lang_col, sample).where("part = 0").select("lang", "text")
-    got = sorted((r["lang"], bytes(r.windows), bytes(r.letters)) for r in arrow_map(picked, cut, "lang string, windows binary, letters binary").toLocalIterator())
+            for group, g, t in zip(*(c.to_pylist() for c in b.columns)):
+                if group != at:
+                    ended()
+                    at, net, seen = group, begun.filled(begun.flat()), 0
+                parts.append(_windows(t))
+                langs.append(g)
+                size += len(parts[-1][0])
+                if size > 4 * GROUP:  # a group of far more than it should have is learnt a part at a time
+                    done()
+        ended()
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], schema=out)
+
+    mine = rows.where(F.col("group") % rounds == number)
+    groups = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = mine.repartition(groups, "group").sortWithinPartitions("group", "key", "lang", "text").select("group", "lang", "text")
+    got = {r.at: r.value for r in arrow_map(dealt, run, "at int, value long").groupBy("at").agg(F.sum("value").alias("value")).collect()}
     if not got:
+        return net
+    windows = got[len(got) - 1]
+    return net.filled(np.array([got[k] / windows / _UNIT for k in range(len(got) - 1)]))
+
+
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> BiGru | None:
+    """Learns from text and non-null lang of all rows of the training fold, each whole text; None where there are none.
+
+    Languages weigh alike: a row's weight is the inverse of its language's rows, and rows of rare languages are learnt in
+    several groups.
+    """
+    rows = _labelled(docs, id_col, text_col, lang_col)
+    counts = sorted((r["lang"], r["n"], r["size"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("size")).toLocalIterator())  # one a language, like the network's output
+    if not counts:
         return None
-    names = sorted({g for g, *_ in got})
-    x = np.frombuffer(b"".join(w for _, w, _ in got), np.uint8).reshape(-1, WINDOW)
-    mask = np.frombuffer(b"".join(m for *_, m in got), np.uint8).reshape(-1, WINDOW) > 0
-    y = np.concatenate([np.full(len(w) // WINDOW, names.index(g)) for g, w, _ in got])
-    return BiGru.new(names).train(x, y, mask)
+    even = sum(n for _, n, _ in counts) / len(counts)
+    copies = {g: max(1, int(np.ceil(RARE * even / n))) for g, n, _ in counts}
+    size = sum(copies[g] * s for g, _, s in counts)
+    rounds = int(min(ROUNDS, max(1, size // GROUP)))
+    groups = rounds * max(1, round(size / (rounds * GROUP)))
+    copies = {g: min(groups, c) for g, c in copies.items()}
+    weights = {g: even / (n * copies[g]) for g, n, _ in counts}
+    key = F.xxhash64("doc_id", "text")
+    rare = [g for g, c in copies.items() if c > 1]
+    rows = rows.withColumn("key", key)
+    if rare:
+        times = rows.sparkSession.createDataFrame([(g, copies[g]) for g in rare], "lang string, copies int")
+        rows = rows.join(F.broadcast(times), "lang", "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
+        rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+        group = F.pmod(F.pmod("key", F.lit(groups)) + F.col("copy") * F.expr(f"{groups} div copies"), F.lit(groups))  # no group has two copies of a row
+    else:
+        group = F.pmod("key", F.lit(groups))
+    rows = rows.select(group.cast("int").alias("group"), "key", "lang", "text")
+    net = BiGru.new([g for g, *_ in counts])
+    for number in range(rounds):
+        net = _round(rows, net, weights, rounds, number)
+    return net
 
 
 def _best(net: BiGru | None, texts: list[str | None]) -> tuple[list[str], list[float]]:
@@ -278,37 +402,42 @@ def least_score(scores: np.ndarray, right: np.ndarray, precision: float = PRECIS
     return float(np.nextafter(scores[order][k], 2)) if gain[k] > 0 else 0.0
 
 
-def calibrate(docs: DataFrame, model: BiGru | None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> float:
-    """least_score() on labelled documents of the training fold that train() has not seen."""
-    if model is None:
+def calibrate(scored: DataFrame) -> float:
+    """least_score() of all rows of scored (score double from 0 to 1, good boolean), exactly: sums by bucket of scores say
+    in which buckets the best score can lie, only these are put in order, by Spark."""
+    gain = F.when(F.col("good"), PRECISION - 1).otherwise(PRECISION)
+    rows = scored.select("score", gain.alias("gain"), F.floor(F.col("score") * BUCKETS).cast("int").alias("bucket"))
+    sums = sorted((r.bucket, r.gain, r.most) for r in rows.groupBy("bucket").agg(F.sum("gain").alias("gain"), F.sum(F.greatest("gain", F.lit(0.0))).alias("most")).collect())
+    before = np.concatenate([[0.0], np.cumsum([g for _, g, _ in sums])])
+    floor = before.max()
+    open_ = [(b, float(before[k])) for k, (b, _, most) in enumerate(sums) if most and before[k] + most >= floor]
+    if not open_:
         return 0.0
-    shared, out = docs.sparkSession.sparkContext.broadcast((model.p, model.languages)), pa.schema([("score", pa.float64()), ("good", pa.bool_())])
-
-    def run(batches):
-        net = BiGru(*shared.value)
-        for b in batches:
-            names, scores = _best(net, b.column(1).to_pylist())
-            yield batch(out, scores, [g == n for g, n in zip(b.column(0).to_pylist(), names)])
-
-    rows = _labelled(docs, id_col, text_col, lang_col, sample).where("part = 1").select("lang", "text")
-    got = [(r.score, r.good) for r in arrow_map(rows, run, "score double, good boolean").toLocalIterator()]
-    return least_score(np.array([s for s, _ in got]), np.array([g for _, g in got], float)) if got else 0.0
+    spark = scored.sparkSession
+    mine = rows.join(F.broadcast(spark.createDataFrame(open_, "bucket int, before double")), "bucket").groupBy("bucket", "score").agg(F.sum("gain").alias("gain"), F.first("before").alias("before"))
+    upto = (F.col("before") + F.sum("gain").over(Window.partitionBy("bucket").orderBy("score"))).alias("upto")
+    best = mine.select("score", upto).agg(F.max(F.struct("upto", (-F.col("score")).alias("low")))).first()[0]
+    return float(np.nextafter(-best.low, 2)) if best.upto > 0 else 0.0
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """docs without the rows whose language is undetermined, or whose score is one at which predictions are mostly wrong
-    (see calibrate()). Rows go by their place in the table, so repeated and null ids and equal rows each stay or go by
-    their own text; all columns stay as they are."""
+    (see calibrate(); that is seen on all labelled rows of the training fold). Rows go by their place in the table, so
+    repeated and null ids and equal rows each stay or go by their own text; all columns stay as they are."""
     scratch, row = Scratch(docs.sparkSession, "language"), spare(docs, "row")
-    model = train(docs, id_col, text_col, lang_col)
-    least, rows = calibrate(docs, model, id_col, text_col, lang_col), numbered(docs, scratch, row)
-    shared, out = docs.sparkSession.sparkContext.broadcast(model and (model.p, model.languages)), pa.schema([("row", ROW_ARROW)])
+    model, rows = train(docs, id_col, text_col, lang_col), numbered(docs, scratch, row)
+    shared = docs.sparkSession.sparkContext.broadcast(model and (model.p, model.languages))
+    out = pa.schema([("row", ROW_ARROW), ("score", pa.float64()), ("good", pa.bool_())])
 
-    def rejected(batches):
+    def score(batches):
         net = BiGru(*shared.value) if shared.value else None
         for b in batches:
             names, scores = _best(net, b.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array([n == "und" or s < least for n, s in zip(names, scores)], pa.bool_()))], schema=out)
+            yield batch(out, b.column(0), [None if n == "und" else s for n, s in zip(names, scores)], [None if g is None else g == n for g, n in zip(b.column(2).to_pylist(), names)])
 
-    gone = arrow_map(rows.select(F.col(row).alias("row"), column(text_col).cast("string").alias("text")), rejected, f"row {ROW}")
+    label = F.when(~held_out(column(id_col)), column(lang_col).cast("string"))
+    scored = arrow_map(rows.select(F.col(row).alias("row"), column(text_col).cast("string").alias("text"), label.alias("lang")), score, f"row {ROW}, score double, good boolean")
+    scored = scratch.table(scored, "scored")
+    least = calibrate(scored.where("score is not null and good is not null").select("score", "good"))
+    gone = scored.where(F.col("score").isNull() | (F.col("score") < least))
     return without(rows, gone.select(F.col("row").alias(row)), row, scratch)

@@ -796,6 +796,39 @@ def test_language_learns_every_language(spark):
     assert np.mean([r.lang_pred == truth[r.doc_id] for r in rare]) > 0.5
 
 
+def test_language_learns_from_whole_texts(spark):
+    """What tells four languages apart stands in one window of sixty, at none of six evenly spaced places."""
+    rng, w = random.Random(4), langid.WINDOW
+    fill = lambda n: "".join(rng.choice("abcde ") for _ in range(n * w))
+    docs = spark.createDataFrame([(d, fill(5) + "wxyz"[d % 4] * w + fill(54), f"l{d % 4}") for d in range(80)], "doc_id long, text string, lang string")
+    said = spark.createDataFrame([(k, "wxyz"[k] * 40) for k in range(4)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.lang_pred) for r in langid.predict(said, langid.train(docs)).collect()) == [(k, f"l{k}") for k in range(4)]
+
+
+def test_language_learns_in_rounds(spark, monkeypatch):
+    """Many groups and rounds, a rare language among them: learnt as well, and the same however the rows lie."""
+    monkeypatch.setattr(langid, "GROUP", 4096)
+    rng = random.Random(5)
+    rows = [(d, "".join(rng.choice("klmn op" if d % 40 else "uvw ") for _ in range(200)), "often" if d % 40 else "rare") for d in range(800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model, other = langid.train(docs), langid.train(docs.orderBy(F.desc("doc_id")).repartition(7))
+    assert all((model.p[k] == other.p[k]).all() for k in model.p)
+    assert np.mean([r.lang_pred == rows[r.doc_id][2] for r in langid.predict(docs, model).collect()]) > 0.99
+
+
+def test_threshold_from_every_row(spark, monkeypatch):
+    """calibrate() is least_score() of all rows, whatever the buckets."""
+    rng = np.random.default_rng(6)
+    for buckets in (4, 4096):
+        monkeypatch.setattr(langid, "BUCKETS", buckets)
+        for n in (3, 5000):
+            score = rng.permutation(n) / n
+            good = rng.random(n) < 0.2 + score
+            df = spark.createDataFrame(list(zip(score.tolist(), good.tolist())), "score double, good boolean")
+            assert langid.calibrate(df) == langid.least_score(score, good.astype(float))
+    assert langid.calibrate(df.where("score > 2")) == 0.0
+
+
 def test_toxicity(spark, sf, odd, none):
     rng = random.Random(13)
     bad = ["idiotic", "scoundrel", "nitwit"]
