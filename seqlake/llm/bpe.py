@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame
 
 from seqlake.llm.common import arrow_map, batch, column
 
-#: Distinct pre-tokens and pairs that a worker remembers; beyond, it starts afresh (results are the same). Pre-tokens of
+#: Distinct pre-tokens and pairs that a worker remembers; beyond, the pairs start afresh and half of the pre-tokens go
+#: (results are the same). Pre-tokens of
 #: more than MEMO_CHARS characters are never remembered, so the memo is bounded in bytes too.
 MEMO, MEMO_CHARS = 200_000, 64
 #: White space of the Unicode standard, which is what \s means to the public tokenizers' pattern engines.
@@ -136,37 +137,54 @@ def _loaded(path: str, pat: str) -> tuple[Bpe, regex.Pattern]:
     return Bpe(read_ranks(path)), pattern(pat)
 
 
-class TextCodec:
-    """Whole texts: pieces are encoded once each while the memo holds them."""
+class Pieces(dict):
+    """Ids of each piece, the ids joined by commas, and what they decode to; remembered while there is room. The half that
+    fills up first is kept as old: pieces that come again move on from there, the others go with it. Known pieces are
+    found without a call of Python."""
 
-    def __init__(self, path: str, pat: str):
-        self.bpe, self.pattern = _loaded(path, pat)
-        self.known: dict[str, tuple[list[int], str, bytes]] = {}
+    def __init__(self, bpe: Bpe):
+        super().__init__()
+        self.bpe, self.old = bpe, {}
 
-    def piece(self, text: str) -> tuple[list[int], str, bytes]:
-        found = self.known.get(text)
+    def __missing__(self, text: str) -> tuple[list[int], str, bytes]:
+        found = self.old.get(text)
         if found is None:
             ids = self.bpe.encode(text.encode())
             found = (ids, ",".join(map(str, ids)), self.bpe.decode(ids))
-            if len(text) <= MEMO_CHARS:
-                if len(self.known) > MEMO:
-                    self.known.clear()
-                self.known[text] = found
+        if len(text) <= MEMO_CHARS:
+            if len(self) > MEMO // 2:
+                self.old = dict(self)
+                self.clear()
+            self[text] = found
         return found
 
+
+class TextCodec:
+    """Whole texts: pieces are encoded once each while the memo holds them."""
+
+    def __init__(self, path: str, pat: str):
+        self.bpe, self.pattern = _loaded(path, pat)
+        self.known = Pieces(self.bpe)
+
     def pieces(self, text: str) -> list[tuple[list[int], str, bytes]]:
-        return list(map(self.piece, self.pattern.findall(text)))
+        return list(map(self.known.__getitem__, self.pattern.findall(text)))
 
     def encode(self, text: str) -> list[int]:
         return [i for p in self.pieces(text) for i in p[0]]
 
 
+@functools.lru_cache(2)
+def codec_of(path: str, pat: str) -> TextCodec:
+    """The codec of a worker, which knows the pieces of its tasks so far."""
+    return TextCodec(path, pat)
+
+
 def encode(docs: DataFrame, ranks: str, pat: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids array<int>, decoded binary) for every row and whole text; null is empty, an empty text has no ids."""
     out = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.binary())])
 
     def run(batches):
-        codec = TextCodec(ranks, pat)
+        codec = codec_of(ranks, pat)
         for b in batches:
             ids = [codec.encode(t or "") for t in b.column(1).to_pylist()]
             yield batch(out, b.column(0), ids, [codec.bpe.decode(x) for x in ids])
@@ -181,7 +199,7 @@ def digests(docs: DataFrame, ranks: str, pat: str, id_col: str = "doc_id", text_
     out = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
     def run(batches):
-        codec = TextCodec(ranks, pat)
+        codec = codec_of(ranks, pat)
         for b in batches:
             n, ids, back = [], [], []
             for t in b.column(1).to_pylist():

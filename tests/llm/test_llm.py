@@ -258,6 +258,18 @@ def test_bpe_is_exact():
         assert ids == ref.encode_ordinary(s) and codec.bpe.decode(ids) == s.encode()
 
 
+def test_bpe_keeps_pieces_that_come_again(monkeypatch):
+    """More distinct pieces than the memo holds: those that come again and again are encoded once all the same."""
+    monkeypatch.setattr(bpe, "MEMO", 20)
+    codec, often = bpe.TextCodec(*bpe.default_ranks()), [" elephantine", " crocodilian"]
+    seen, plain = [], codec.bpe.encode
+    monkeypatch.setattr(codec.bpe, "encode", lambda piece: seen.append(piece.decode()) or plain(piece))
+    text = "".join(f" {chr(97 + k // 26)}{chr(97 + k % 26)}q{often[k % 2]}" for k in range(200))
+    ids = codec.encode(text)
+    assert [seen.count(x) for x in often] == [1, 1] and codec.bpe.decode(ids) == text.encode()
+    assert len(codec.known) + len(codec.known.old) <= 24
+
+
 def test_bpe_rows(odd, none):
     path, pat = bpe.default_ranks()
     codec = bpe.TextCodec(path, pat)
