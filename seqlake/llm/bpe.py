@@ -4,8 +4,10 @@ A sequence of tokens is what the merges give if and only if each two neighbours
 the two tokens' bytes alone gives back the two tokens. So a piece is encoded left to right: take the longest token
 that matches, or the next shorter one that is compatible with the token before it, and step back where none is. Each
 position is given up at most once, and compatibility is memoised by pair. Bytes are mapped to Latin-1 characters, so
-that one Aho-Corasick automaton over all tokens finds every match of a piece in a single scan. Both the backtracking
-and the test of compatibility are the published ones of GitHub's "So many tokens, so little time" (2024).
+that one Aho-Corasick automaton over all tokens cuts a piece into longest matches in a single scan; they stand up to the
+first two that aren't compatible. From there on its trie says how far a visited place can match at most, and the longest
+token is the first prefix from there down that is one. Both the backtracking and the test of compatibility are the
+published ones of GitHub's "So many tokens, so little time" (2024).
 """
 
 from __future__ import annotations
@@ -51,14 +53,14 @@ class Bpe:
     def __init__(self, tokens: list[bytes]):
         self.tokens, self.ids = tokens, {t: i for i, t in enumerate(tokens)}
         self.length = [len(t) for t in tokens]
-        self.automaton = ahocorasick.Automaton()
+        self.automaton, self.most = ahocorasick.Automaton(), max(self.length, default=0)
         for i, t in enumerate(tokens):
             self.automaton.add_word(t.decode("latin-1"), i)
         self.automaton.make_automaton()
         self.shorter = [next((self.ids[t[:k]] for k in range(len(t) - 1, 0, -1) if t[:k] in self.ids), -1) for t in tokens]
         self.merged: dict[tuple[int, int], int] = {}
         self.halves: list[tuple[int, int]] = []
-        self.memo: dict[tuple[int, int], bool] = {}
+        self.memo: dict[int, int] = {}
         for i, t in enumerate(tokens):
             left = self.shorter[i]
             while left >= 0:
@@ -89,43 +91,78 @@ class Bpe:
             else:
                 return True
 
-    def compatible(self, left: int, right: int) -> bool:
-        key = (left, right)
-        known = self.memo.get(key)
-        if known is None:
-            if len(self.memo) > MEMO:
-                self.memo.clear()
-            known = self.memo[key] = self._compatible(left, right)
-        return known
+    def fitting(self, left: int, token: int) -> int:
+        """The first of token and the shorter and shorter ones in its place that is compatible with left, -1 if none is."""
+        memo, tried = self.memo, []
+        if len(memo) > MEMO:
+            memo.clear()
+        while token >= 0:
+            known = memo.get(left << 32 | token)
+            if known is not None:
+                token = known
+                break
+            tried.append(token)
+            if self._compatible(left, token):
+                break
+            token = self.shorter[token]
+        for t in tried:
+            memo[left << 32 | t] = token
+        return token
+
+    def longest(self, piece: bytes, text: str, at: int) -> int:
+        """The longest token at a place of a piece (text: its bytes as Latin-1), -1 if there is none."""
+        get, k = self.ids.get, self.automaton.longest_prefix(text[at : at + self.most])
+        while k:
+            token = get(piece[at : at + k])
+            if token is not None:
+                return token
+            k -= 1
+        return -1
 
     def encode(self, piece: bytes) -> list[int]:
         whole = self.ids.get(piece)
         if whole is not None:
             return [whole]
-        n = len(piece)
-        longest = [-1] * n
-        length, shorter = self.length, self.shorter
-        for end, i in self.automaton.iter(piece.decode("latin-1")):
-            start = end + 1 - length[i]
-            if longest[start] < 0 or length[i] > length[longest[start]]:
-                longest[start] = i
+        text, n, length, known = piece.decode("latin-1"), len(piece), self.length, self.memo.get
         out: list[int] = []
-        alive, at = [True] * (n + 1), 0
-        token = longest[0]
+        at, before, token = 0, -1, -1
+        for _, token in self.automaton.iter_long(text):
+            if before >= 0:
+                fits = known(before << 32 | token)
+                if fits is None:
+                    fits = self.fitting(before, token)
+                if fits != token:
+                    token = fits
+                    break
+            out.append(token)
+            at += length[token]
+            before = token
+        else:
+            if at == n:
+                return out
+            token = self.longest(piece, text, at)
+        dead: set[int] = set()  # places that were given up
+        shorter = self.shorter
         while at < n:
-            before = out[-1] if out else -1
-            while token >= 0 and not (alive[at + length[token]] and (before < 0 or self.compatible(before, token))):
+            while token >= 0:
+                if before >= 0:
+                    fits = known(before << 32 | token)
+                    token = self.fitting(before, token) if fits is None else fits
+                if token < 0 or at + length[token] not in dead:
+                    break
                 token = shorter[token]
             if token >= 0:
                 out.append(token)
                 at += length[token]
-                token = longest[at] if at < n else -1
+                if at < n:
+                    before, token = token, self.longest(piece, text, at)
             else:
                 if not out:
                     raise ValueError("the vocabulary lacks a byte")
-                alive[at] = False
-                token = out.pop()
-                at -= length[token]
+                dead.add(at)
+                last = out.pop()
+                at -= length[last]
+                token, before = shorter[last], out[-1] if out else -1
         return out
 
     def decode(self, ids: list[int]) -> bytes:
@@ -138,19 +175,19 @@ def _loaded(path: str, pat: str) -> tuple[Bpe, regex.Pattern]:
 
 
 class Pieces(dict):
-    """Ids of each piece, the ids joined by commas, and what they decode to; remembered while there is room. The half that
-    fills up first is kept as old: pieces that come again move on from there, the others go with it. Known pieces are
-    found without a call of Python."""
+    """The ids of each piece, joined by commas; remembered while there is room. The half that fills up first is kept as old:
+    pieces that come again move on from there, the others go with it. Known pieces are found without a call of Python, and
+    as nothing but strings is kept, the garbage collector has nothing to follow."""
 
     def __init__(self, bpe: Bpe):
         super().__init__()
-        self.bpe, self.old = bpe, {}
+        self.bpe, self.old, self.names = bpe, {}, [str(i) for i in range(len(bpe.tokens))]
 
-    def __missing__(self, text: str) -> tuple[list[int], str, bytes]:
+    def __missing__(self, text: str) -> str:
         found = self.old.get(text)
         if found is None:
-            ids = self.bpe.encode(text.encode())
-            found = (ids, ",".join(map(str, ids)), self.bpe.decode(ids))
+            names = self.names
+            found = ",".join([names[i] for i in self.bpe.encode(text.encode())])
         if len(text) <= MEMO_CHARS:
             if len(self) > MEMO // 2:
                 self.old = dict(self)
@@ -165,12 +202,18 @@ class TextCodec:
     def __init__(self, path: str, pat: str):
         self.bpe, self.pattern = _loaded(path, pat)
         self.known = Pieces(self.bpe)
+        self.bytes = dict(zip(self.known.names, self.bpe.tokens))
 
-    def pieces(self, text: str) -> list[tuple[list[int], str, bytes]]:
-        return list(map(self.known.__getitem__, self.pattern.findall(text)))
+    def joined(self, text: str) -> str:
+        """The ids of a text as decimal numbers, joined by commas."""
+        return ",".join(map(self.known.__getitem__, self.pattern.findall(text)))
 
     def encode(self, text: str) -> list[int]:
-        return [i for p in self.pieces(text) for i in p[0]]
+        joined = self.joined(text)
+        return list(map(int, joined.split(","))) if joined else []
+
+    def decode(self, joined: str) -> bytes:
+        return b"".join(map(self.bytes.__getitem__, joined.split(","))) if joined else b""
 
 
 @functools.lru_cache(2)
@@ -203,10 +246,10 @@ def digests(docs: DataFrame, ranks: str, pat: str, id_col: str = "doc_id", text_
         for b in batches:
             n, ids, back = [], [], []
             for t in b.column(1).to_pylist():
-                pieces = codec.pieces(t or "")
-                n.append(sum(len(p[0]) for p in pieces))
-                ids.append(hashlib.sha256(",".join([p[1] for p in pieces]).encode()).hexdigest())
-                back.append(hashlib.sha256(b"".join([p[2] for p in pieces])).hexdigest())
+                joined = codec.joined(t or "")
+                n.append(joined.count(",") + 1 if joined else 0)
+                ids.append(hashlib.sha256(joined.encode()).hexdigest())
+                back.append(hashlib.sha256(codec.decode(joined)).hexdigest())
             yield batch(out, b.column(0), n, ids, back)
 
     return arrow_map(docs.select(column(id_col).cast("long").alias("doc_id"), column(text_col).cast("string").alias("text")), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

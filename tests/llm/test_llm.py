@@ -2,6 +2,7 @@
 
 import base64
 import collections
+import gc
 import hashlib
 import math
 import random
@@ -270,6 +271,52 @@ def test_bpe_keeps_pieces_that_come_again(monkeypatch):
     assert len(codec.known) + len(codec.known.old) <= 24
 
 
+def test_bpe_memo_holds_only_strings():
+    """Nothing that the garbage collector would follow is kept for a piece, and a pair's answer is found at the first look."""
+    codec = bpe.TextCodec(*bpe.default_ranks())
+    text = "".join(f" w{k}x{k * k}" for k in range(500))
+    ids = codec.encode(text)
+    assert not any(map(gc.is_tracked, codec.known.values())) and not any(map(gc.is_tracked, [*codec.bpe.memo, *codec.bpe.memo.values()]))
+    codec.known.clear()
+    looked, plain = [], codec.bpe._compatible
+    codec.bpe._compatible = lambda *pair: looked.append(pair) or plain(*pair)
+    assert codec.encode(text) == ids and not looked
+    assert all(codec.bpe.fitting(k >> 32, k & 0xFFFFFFFF) == t for k, t in codec.bpe.memo.items())
+
+
+def test_bpe_of_small_vocabularies():
+    """Vocabularies of few letters, in which longest matches are often wrong, against merging the lowest rank first."""
+    rng, wrong = random.Random(8), 0
+    for _ in range(30):
+        tokens, said = [bytes([b]) for b in range(256)], [[bytes([b]) for b in (rng.choice("abc") * rng.randint(1, 3)).encode()] for _ in range(120)]
+        said = [[x for part in rng.sample(said, 4) for x in part] for _ in range(60)]
+        ranks = {t: i for i, t in enumerate(tokens)}
+
+        def merged(parts, ranks=ranks):
+            while True:
+                found = [(ranks[a + b], k) for k, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks]
+                if not found:
+                    return parts
+                k = min(found)[1]
+                parts = [*parts[:k], parts[k] + parts[k + 1], *parts[k + 2 :]]
+
+        for _ in range(25):  # as vocabularies are trained
+            pairs = collections.Counter(p for x in map(merged, said) for p in zip(x, x[1:]))
+            if not pairs:
+                break
+            (a, b), _n = max(sorted(pairs.items()), key=lambda x: x[1])
+            ranks[a + b] = len(tokens)
+            tokens.append(a + b)
+        own = bpe.Bpe(tokens)
+        for _ in range(60):
+            piece = "".join(rng.choice("abc") for _ in range(rng.randint(1, 60))).encode()
+            want = [piece] if piece in ranks else merged([bytes([b]) for b in piece])
+            ids = own.encode(piece)
+            assert [tokens[i] for i in ids] == want and own.decode(ids) == piece
+            wrong += [i for _, i in own.automaton.iter_long(piece.decode())] != ids
+    assert wrong > 300
+
+
 def test_bpe_rows(odd, none):
     path, pat = bpe.default_ranks()
     codec = bpe.TextCodec(path, pat)
