@@ -28,7 +28,8 @@ RARE = 0.25
 PRECISION, BUCKETS = 0.5, 4096
 #: Parameters are averaged as whole numbers of this part, so the mean doesn't depend on the order of tasks.
 _UNIT = 1 << 24
-_BLOCK = 1024
+#: Windows at a time, in training and in prediction (fewer with many languages; speed and memory only).
+BLOCK, _BLOCK = 512, 1024
 _ASCII_LETTER = np.array([b < 128 and chr(b).isalpha() for b in range(256)])
 #: Letters among the characters up to U+FFFF; the rarer planes hold letters almost only, and signs that are taken out below.
 _LETTER = np.array([not 0xD800 <= c < 0xE000 and chr(c).isalpha() for c in range(0x10000)])
@@ -45,12 +46,20 @@ def letter_bytes(text: str, raw: bytes) -> np.ndarray:
     return np.repeat(letter, 1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF))
 
 
+def _inputs(wx: np.ndarray, ahead: np.ndarray, back: np.ndarray, out: np.ndarray) -> None:
+    """What the bytes at a step of either direction add to the units: wx (3, 2, H, 256) gathered into out (6H, B)."""
+    out = out.reshape(*wx.shape[:3], -1)
+    for k in range(3):
+        wx[k, 0].take(ahead, 1, out[k, 0], "clip")
+        wx[k, 1].take(back, 1, out[k, 1], "clip")
+
+
 class BiGru:
     """Parameters: for each direction wx (256, 3H), u (H, 3H), b (H); output wo (2H, K), bo (K). Gates in the order
     update, reset, new; the reset gate acts behind the recurrent product."""
 
     def __init__(self, p: dict[str, np.ndarray], languages: list[str]):
-        self.p, self.languages = p, languages
+        self.p, self.languages, self.space = p, languages, None
 
     @classmethod
     def new(cls, languages: list[str], hidden: int = HIDDEN, seed: int = 7) -> BiGru:
@@ -78,86 +87,119 @@ class BiGru:
             out[t] = h
         return out, kept
 
-    def _kept(self, x: np.ndarray, d: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """_forward() for training, units in rows and a step's values side by side: states (L, H, B), gates and new values
-        (L, 3H, B), recurrent products (L, 3H, B; those of the gates aren't kept)."""
+    def _both(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """wx (3, 2, H, 256), u (6H, 2H) and b (2H, 1) of both directions as one network of twice the units, gate by gate;
+        halved for the gates, whose sigmoids are taken as tanh of half the sum."""
         hid, kind = len(self.p["bf"]), self.p["wo"].dtype
         half = np.concatenate([np.full(2 * hid, 0.5), np.ones(hid)]).astype(kind)
-        wx, u, b = np.ascontiguousarray((self.p[f"wx{d}"] * half).T), np.ascontiguousarray((self.p[f"u{d}"] * half).T), self.p[f"b{d}"][:, None]
-        out, gates, products = (np.empty((len(x), k * hid, x.shape[1]), kind) for k in (1, 3, 3))
-        h, rn = np.zeros((hid, x.shape[1]), kind), np.empty((hid, x.shape[1]), kind)
-        for t in range(len(x)) if d == "f" else range(len(x) - 1, -1, -1):
-            a, g = gates[t], products[t]
-            np.take(wx, x[t], axis=1, out=a, mode="clip")
+        wx = np.stack([(self.p[f"wx{d}"] * half).T.reshape(3, hid, 256) for d in "fb"], 1)
+        u = np.zeros((3, 2, hid, 2, hid), kind)
+        for k, d in enumerate("fb"):
+            u[:, k, :, k] = (self.p[f"u{d}"] * half).T.reshape(3, hid, hid)
+        return np.ascontiguousarray(wx), u.reshape(6 * hid, 2 * hid), np.concatenate([self.p["bf"], self.p["bb"]])[:, None]
+
+    def _space(self, length: int, rows: int) -> tuple[np.ndarray, ...]:
+        """Arrays that loss() fills for a block of windows; kept, because getting and returning memory costs as much as the
+        sums do."""
+        key = length, rows, self.p["wo"].dtype
+        if self.space is None or self.space[0] != key:
+            hid, k = len(self.p["bf"]), len(self.p["bo"])
+            shapes = [(length, h * hid, rows) for h in (2, 6, 6, 2)] + [(length, k, rows)] * 2 + [(2 * hid, rows)] * 3
+            self.space = key, (*(np.empty(z, key[2]) for z in shapes), np.empty((length, rows)))
+        return self.space[1]
+
+    def loss(self, x: np.ndarray, y: np.ndarray, mask: np.ndarray, weight: np.ndarray | None = None) -> tuple[float, dict[str, np.ndarray]]:
+        """Mean cross entropy over letters, and its gradients. x: (L, B) bytes, y: (B) classes, mask: (L, B) letters,
+        weight: (B), of each window's letters. Windows are taken BLOCK at a time, which bounds what is kept of them."""
+        share = (mask if weight is None else mask * weight).astype(self.p["wo"].dtype)
+        share /= max(float(share.sum()), 1e-9)
+        value, grad, both = 0.0, {k: np.zeros_like(w) for k, w in self.p.items()}, self._both()
+        block = max(1, BLOCK * 64 // max(64, len(self.languages)))
+        for k in range(0, x.shape[1], block):
+            at = slice(k, k + block)
+            value += self._block(np.ascontiguousarray(x[:, at], np.intp), y[at], share[:, at], both, grad)
+        return value, grad
+
+    def _block(self, x: np.ndarray, y: np.ndarray, share: np.ndarray, both: tuple[np.ndarray, np.ndarray, np.ndarray], grad: dict[str, np.ndarray]) -> float:
+        """The part of loss() that some windows give, added to grad. Both directions take a step at once, units in rows: the
+        s-th is at byte s forwards and at byte L-1-s backwards."""
+        p, hid, last = self.p, len(self.p["bf"]), len(x) - 1
+        two, four = 2 * hid, 4 * hid
+        wx, u, b = both
+        out, gates, products, da, prob, own, rn, none, s, flat = self._space(*x.shape)
+        none[:] = 0
+        h = none
+        for t in range(len(x)):
+            a, g, new = gates[t], products[t], out[t]
+            _inputs(wx, x[t], x[last - t], a)
             np.matmul(u, h, out=g)
-            zr, n, hn = a[: 2 * hid], a[2 * hid :], g[2 * hid :]
-            zr += g[: 2 * hid]
+            zr, n, hn = a[:four], a[four:], g[four:]
+            zr += g[:four]
             np.tanh(zr, out=zr)
             zr *= 0.5
             zr += 0.5
             hn += b
-            np.multiply(hn, zr[hid:], out=rn)
+            np.multiply(hn, zr[two:], out=rn)
             n += rn
             np.tanh(n, out=n)
-            new = out[t]
             np.subtract(h, n, out=new)
-            new *= zr[:hid]
+            new *= zr[:two]
             new += n
             h = new
-        return out, gates, products
-
-    def loss(self, x: np.ndarray, y: np.ndarray, mask: np.ndarray, weight: np.ndarray | None = None) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean cross entropy over letters, and its gradients. x: (L, B) bytes, y: (B) classes, mask: (L, B) letters,
-        weight: (B), of each window's letters."""
-        p, hid, rows = self.p, len(self.p["bf"]), x.shape[1]
-        x = x.astype(np.intp)
-        share = (mask if weight is None else mask * weight).astype(p["wo"].dtype)
-        share /= max(float(share.sum()), 1e-9)
-        kept = {d: self._kept(x, d) for d in "fb"}
-        prob = np.matmul(p["wo"][:hid].T, kept["f"][0])  # (L, K, B)
-        prob += np.matmul(p["wo"][hid:].T, kept["b"][0])
+        ahead, back = out[:, :hid], out[::-1, hid:]
+        np.matmul(p["wo"][:hid].T, ahead, out=prob)  # (L, K, B)
+        prob += np.matmul(p["wo"][hid:].T, back, out=own)
         prob += p["bo"][:, None]
         prob -= prob.max(1, keepdims=True)
         np.exp(prob, out=prob)
         prob /= prob.sum(1, keepdims=True)
-        own = np.arange(len(x))[:, None], y[None, :], np.arange(rows)[None, :]
-        value = float(-(np.log(np.maximum(prob[own], 1e-12)) * share).sum())
-        prob[own] -= 1
+        truth = (np.arange(len(p["bo"]))[:, None] == y).astype(prob.dtype)  # (K, B)
+        np.multiply(prob, truth, out=own)
+        value = float(-(np.log(np.maximum(own.sum(1), 1e-12)) * share).sum())
+        prob -= truth
         prob *= share[:, None, :]
-        grad = {"wo": np.concatenate([np.matmul(kept[d][0], prob.transpose(0, 2, 1)).sum(0) for d in "fb"]), "bo": prob.sum((0, 2))}
-        flat = x.ravel()
-        for d, wo in (("f", p["wo"][:hid]), ("b", p["wo"][hid:])):
-            out, gates, dg = kept[d]
-            u, dh_out = p[f"u{d}"], np.matmul(wo, prob)
-            da, dh, s, none = np.empty_like(out), np.zeros((hid, rows), u.dtype), np.empty((hid, rows), u.dtype), np.zeros((hid, rows), u.dtype)
-            du, back = np.zeros_like(u), -1 if d == "f" else 1
-            for t in range(len(x) - 1, -1, -1) if d == "f" else range(len(x)):  # back through time
-                before = out[t + back] if 0 <= t + back < len(x) else none
-                z, r, n = gates[t, :hid], gates[t, hid : 2 * hid], gates[t, 2 * hid :]
-                g, dn = dg[t], da[t]
-                hn = g[2 * hid :]
-                dh += dh_out[t]
-                np.subtract(before, n, out=g[:hid])
-                g[:hid] *= z
-                n *= n
-                np.subtract(1, n, out=n)
-                np.subtract(1, z, out=s)
-                g[:hid] *= s
-                g[:hid] *= dh
-                s *= n
-                np.multiply(dh, s, out=dn)
-                np.subtract(1, r, out=s)
-                s *= r
-                s *= hn
-                np.multiply(s, dn, out=g[hid : 2 * hid])
-                np.multiply(dn, r, out=hn)
-                du += before @ g.T
-                dh *= z
-                dh += u @ g
-            columns = [dg[:, c] for c in range(2 * hid)] + [da[:, c] for c in range(hid)]
-            grad[f"wx{d}"] = np.stack([np.bincount(flat, c.ravel(), 256) for c in columns], 1).astype(u.dtype)
-            grad[f"u{d}"], grad[f"b{d}"] = du, dg[:, 2 * hid :].sum((0, 2))
-        return value, grad
+        grad["wo"] += np.concatenate([np.matmul(z, prob.transpose(0, 2, 1)).sum(0) for z in (ahead, back)])
+        grad["bo"] += prob.sum((0, 2))
+        # da: first what the outputs say of the states, then the gradients of the new values before tanh
+        np.matmul(p["wo"][:hid], prob, out=da[:, :hid])
+        np.matmul(p["wo"][hid:], prob[::-1], out=da[:, hid:])
+        whole = u.copy()
+        whole[:four] *= 2
+        whole, du, dh = np.ascontiguousarray(whole.T), np.zeros_like(u.T), rn
+        dh[:] = 0
+        for t in range(last, -1, -1):  # back through time
+            before = out[t - 1] if t else none
+            z, r, n = gates[t, :two], gates[t, two:four], gates[t, four:]
+            g, dn = products[t], da[t]
+            gz, gr, hn = g[:two], g[two:four], g[four:]
+            dh += dn
+            np.subtract(before, n, out=gz)
+            gz *= z
+            n *= n
+            np.subtract(1, n, out=n)
+            np.subtract(1, z, out=s)
+            gz *= s
+            gz *= dh
+            s *= n
+            np.multiply(dh, s, out=dn)
+            np.subtract(1, r, out=s)
+            s *= r
+            s *= hn
+            np.multiply(s, dn, out=gr)
+            np.multiply(dn, r, out=hn)
+            du += before @ g.T
+            dh *= z
+            dh += np.matmul(whole, g, out=s)
+        du = du.reshape(2, hid, 3, 2, hid)
+        for k, d in enumerate("fb"):
+            at, mine = (x if d == "f" else x[::-1]).ravel(), slice(k * hid, (k + 1) * hid)
+            for c in range(3 * hid):
+                kind, unit = divmod(c, hid)
+                flat[:] = (products[:, kind * two :] if kind < 2 else da)[:, k * hid + unit]
+                grad[f"wx{d}"][:, c] += np.bincount(at, flat.ravel(), 256)
+            grad[f"u{d}"] += du[k, :, :, k].reshape(hid, 3 * hid)
+            grad[f"b{d}"] += products[:, four:][:, mine].sum((0, 2))
+        return value
 
     def train(self, x: np.ndarray, y: np.ndarray, mask: np.ndarray, weight: np.ndarray, passes: int = 1, size: int = BATCH[0], rates: tuple[float, float] = (RATE, 0.0), seed: int = 11) -> BiGru:
         """x and mask: (windows, L), y and weight: (windows); rates: of the first step and behind the last."""
@@ -190,39 +232,37 @@ class BiGru:
             at += self.p[k].size
         return BiGru(p, self.languages)
 
-    def _states(self, x: np.ndarray, d: str) -> np.ndarray:
-        """_forward() without what training keeps, as (H, L, B): units in rows, so that every gate is contiguous, and
-        sigmoids as tanh of half the sum."""
-        hid = len(self.p["bf"])
-        half = np.concatenate([np.full(2 * hid, 0.5), np.ones(hid)]).astype(np.float32)
-        wx, u, b = np.ascontiguousarray((self.p[f"wx{d}"] * half).T), np.ascontiguousarray((self.p[f"u{d}"] * half).T), self.p[f"b{d}"][:, None]
-        rows = x.shape[1]
-        h, out = np.zeros((hid, rows), np.float32), np.empty((hid, *x.shape), np.float32)
-        a, g = np.empty((3 * hid, rows), np.float32), np.empty((3 * hid, rows), np.float32)
-        zr, n = a[: 2 * hid], g[2 * hid :]
-        for t in range(len(x)) if d == "f" else range(len(x) - 1, -1, -1):
-            np.take(wx, x[t], axis=1, out=a, mode="clip")
+    def _states(self, x: np.ndarray) -> np.ndarray:
+        """_forward() of both directions without what training keeps, as (2H, L, B): units in rows, so that every gate is
+        contiguous."""
+        wx, u, b = self._both()
+        two, rows, last = len(b), x.shape[1], len(x) - 1
+        hid, four = two // 2, 2 * two
+        h, out = np.zeros((two, rows), np.float32), np.empty((two, *x.shape), np.float32)
+        a, g = np.empty((6 * hid, rows), np.float32), np.empty((6 * hid, rows), np.float32)
+        z, r, zr, n, gn = a[:two], a[two:four], a[:four], g[four:], a[four:]
+        for t in range(len(x)):
+            _inputs(wx, x[t], x[last - t], a)
             np.matmul(u, h, out=g)
-            zr += g[: 2 * hid]
+            zr += g[:four]
             np.tanh(zr, out=zr)
             zr *= 0.5
             zr += 0.5
             n += b
-            n *= zr[hid:]
-            n += a[2 * hid :]
+            n *= r
+            n += gn
             np.tanh(n, out=n)
             h -= n
-            h *= zr[:hid]
+            h *= z
             h += n
-            out[:, t] = h
+            out[:hid, t], out[hid:, last - t] = h[:hid], h[hid:]
         return out
 
     def positions(self, windows: np.ndarray) -> np.ndarray:
         """(K, L, windows): the distribution over languages at every byte."""
         x = np.ascontiguousarray(windows.T).astype(np.intp)
-        wo, hid = self.p["wo"], len(self.p["bf"])
-        logits = np.ascontiguousarray(wo[:hid].T) @ self._states(x, "f").reshape(hid, -1)
-        logits += np.ascontiguousarray(wo[hid:].T) @ self._states(x, "b").reshape(hid, -1)
+        wo = self.p["wo"]
+        logits = np.ascontiguousarray(wo.T) @ self._states(x).reshape(len(wo), -1)
         logits += self.p["bo"][:, None]
         logits -= logits.max(0)
         np.exp(logits, out=logits)

@@ -7,6 +7,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import unicodedata
 import zlib
 
@@ -785,6 +786,27 @@ def test_language_gradients():
         assert abs((up - down) / 2 / e - grad[k][i]) < 1e-6
 
 
+def test_language_gradients_by_blocks(monkeypatch):
+    """Windows taken a few at a time give what all at once give, and a step of training gets little new memory."""
+    rng, (n, w) = np.random.default_rng(2), (1024, langid.WINDOW)
+    x, y, mask, weight = rng.integers(97, 123, (w, n)).astype(np.uint8), rng.integers(0, 3, n), rng.random((w, n)) < 0.8, rng.random(n)
+    net, plain = langid.BiGru.new(["a", "b", "c"]), langid.BiGru.new(["a", "b", "c"])
+    for m in (net, plain):
+        m.p = {k: v.astype(np.float64) for k, v in m.p.items()}
+    value, grad = plain.loss(x, y, mask, weight)
+    monkeypatch.setattr(langid, "BLOCK", 100)
+    got, by_block = net.loss(x, y, mask, weight)
+    assert abs(got - value) < 1e-9 and all(np.allclose(by_block[k], g, atol=1e-12) for k, g in grad.items())
+    monkeypatch.undo()
+    net = langid.BiGru.new(["a", "b", "c"])
+    net.loss(x, y, mask, weight)
+    tracemalloc.start()
+    net.loss(x, y, mask, weight)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 4 << 20
+
+
 def test_language_positions():
     net = langid.BiGru.new(["a", "b"], 5)
     w = np.random.default_rng(1).integers(0, 256, (9, langid.WINDOW)).astype(np.uint8)
