@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -280,6 +281,73 @@ def test_distances_in_bands(monkeypatch):
         align.distances_within(["a"], ["a"], [1], align.Costs(loop=True))
 
 
+def test_score_matrix_against_loop(monkeypatch):
+    """Tables of all pairs of two blocks as differences, whatever the lengths, the costs and how many are filled at once."""
+    rng = random.Random(61)
+    word = lambda: "".join(rng.choice("acgtn") for _ in range(rng.choice([0, 1, 2, 9, 30])))
+    a, b = [word() for _ in range(25)], [word() for _ in range(30)]
+    for pairs, tables in ((1, 1), (7, 200), (4096, 1 << 22)):
+        monkeypatch.setattr(align, "PAIRS", pairs)
+        monkeypatch.setattr(align, "TABLES", tables)
+        for c in (align.Costs(), align.Costs(1, 1, 1), align.Costs(2, 3, 4), align.Costs(1, 2, 90)):
+            got = align.score_matrix(a, b, c).tolist()
+            assert got == [[slow_distance(x, y, c)[0] if x and y else c.gap * max(len(x), len(y)) for y in b] for x in a]
+
+
+def test_loop_scores_against_loop(monkeypatch):
+    rng = random.Random(62)
+    texts = ["".join(rng.choice("acgtn") for _ in range(rng.choice([1, 2, 9, 30]))) for _ in range(40)]
+    both = [(i, j) for i, s in enumerate(texts) for j, t in enumerate(texts) if len(s) >= len(t)]
+    for tables in (1, 1 << 22):
+        monkeypatch.setattr(align, "TABLES", tables)
+        for c in (align.Costs(loop=True), align.Costs(1, 1, 1, True), align.Costs(2, 3, 4, True)):
+            score, end = align.loop_scores(texts, *map(np.array, zip(*both)), c)
+            assert list(zip(score.tolist(), end.tolist())) == [slow_distance(texts[i], texts[j], c) for i, j in both]
+
+
+@pytest.mark.parametrize("costs", [align.Costs(), align.Costs(1, 1, 1), align.Costs(loop=True)])
+def test_score_pairs_against_loop(spark, monkeypatch, costs):
+    """Many ids of one text, equally long texts, empty and null ones, in one block and in several."""
+    rng, comp = random.Random(63), str.maketrans("acgt", "tgca")
+    texts = ["".join(rng.choice("acgt") for _ in range(n)) for n in (1, 6, 6, 7, 7, 12)] + ["", None]
+    data = [(k * 7 % 61 - 20, rng.choice(texts)) for k in range(61)]
+    score = lambda s, t: slow_distance(s, t, costs) if s and t else (costs.gap * max(len(s), len(t)), 0)
+    want, near = [], []
+    for i, s in data:
+        for j, t in data:
+            if i < j and s is not None and t is not None:
+                f, r = score(s, t), score(s, t[::-1].translate(comp))
+                want.append((i, len(s), j, len(t), min(f[0], r[0]), "+" if f[0] <= r[0] else "-", (f if f[0] <= r[0] else r)[1]))
+                if f[0] <= max(len(s), len(t)) * 600 // 1000:
+                    near.append((i, len(s), j, len(t), f[0]))
+    seqs = spark.createDataFrame(data, "seq_id long, s string")
+    monkeypatch.setattr(align, "UNIT", 3)
+    for block in (1, 4):
+        assert rows(align.score_pairs(seqs, costs, block)) == sorted(want)
+        assert rows(align.score_pairs(seqs, costs, block, strands=False, within=600)) == sorted(near)
+
+
+def test_all_pairs_of_few_texts(spark):
+    """What is sent grows with the blocks, and a text is aligned once whatever the ids that have it: 2 million pairs of 40 texts."""
+    rng = random.Random(64)
+    texts = ["".join(rng.choice("acgt") for _ in range(60)) for _ in range(40)]
+    seqs = spark.createDataFrame([(k, texts[k % 40]) for k in range(2000)], "seq_id long, s string")
+    units = align._units(seqs)
+    assert units.count() <= 40 and units.select(F.explode("ids")).count() == 2000
+    assert align.block_count(spark.range(40000).select(F.lit("acgt").alias("s"))) <= 10
+    got = align.score_pairs(seqs).agg(F.count("*"), F.sum(F.when(F.col("i") % 40 == F.col("j") % 40, F.col("score"))), F.sum("score")).first()
+    one = {(s, t): min(align.distance(s, t)[0], align.distance(s, t[::-1].translate(str.maketrans("acgt", "tgca")))[0]) for s in texts for t in texts}
+    assert tuple(got) == (2000 * 1999 // 2, 0, sum(one[s, t] * 2500 for i, s in enumerate(texts) for t in texts[i + 1 :]))
+
+
+def test_estimate_factor_against_loop(spark):
+    rng = random.Random(65)
+    data = [(k, "".join(rng.choice("ac") for _ in range(rng.randrange(1, 5)))) for k in range(60)]
+    got = align.estimate_factor(spark.createDataFrame(data, "seq_id long, s string")).first()
+    each = [align.distance(s, t)[0] * 100 / max(len(s), len(t)) for i, s in data for j, t in data if i < j]
+    assert got.mean == pytest.approx(sum(each) / len(each)) and got.factor == pytest.approx(0.009 * got.mean)
+
+
 @pytest.mark.parametrize("strands", [False, True])
 def test_similar_pairs_by_weight(spark, strands):
     rng, comp, c = random.Random(33), str.maketrans("acgt", "tgca"), align.Costs(2, 4, 3)
