@@ -536,7 +536,7 @@ LINKS = f""", ln as materialized (select seq_id, s, length(s) n, {_words(2)} c,
 
 @query("fl11_similar", LINKS + " select least(i,j) i, greatest(i,j) j, score from lk", "px_line")
 def _(spark, d):
-    return similar.similar_pairs(view(spark, d, "px_line"), NEAR).select("i", "j", "score")
+    return similar.similar_pairs(Scratch(spark, "lines").table(view(spark, d, "px_line"), "lines"), NEAR).select("i", "j", "score")
 
 
 REACH = LINKS + """, b as (select i x, j y from lk union all select j, i from lk),

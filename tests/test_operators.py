@@ -439,6 +439,30 @@ def test_distinct_texts(spark):
     assert rows(classes) == [(1, "ac"), (2, "g")] and rows(members) == [(1, 1), (1, 3), (2, 2)]
 
 
+@pytest.mark.parametrize("strands", [False, True])
+def test_similar_stretches_are_few(spark, monkeypatch, strands):
+    """Of unlike texts next to nothing is sent; of like ones what two of them share."""
+    rng, kept = random.Random(71), []
+    table = similar.Scratch.table
+    monkeypatch.setattr(similar.Scratch, "table", lambda self, df, name: (kept.append((name, t := table(self, df, name))), t)[1])
+    data = ["".join(rng.choice("acgt") for _ in range(rng.choice([45, 300, 1100]))) for _ in range(60)]
+    seqs = spark.createDataFrame(list(enumerate(data)), "seq_id long, s string")
+    assert similar.similar_pairs(seqs, 50, strands).count() == 0
+    assert dict(kept)["stretches"].count() < 0.02 * sum(map(len, data)) and dict(kept)["candidates"].count() == 0  # every letter before
+    like = spark.createDataFrame(list(enumerate(data)) + [(100 + k, mutated(rng, s, len(s) // 40)) for k, s in enumerate(data)], "seq_id long, s string")
+    assert rows(similar.similar_pairs(like, 50, strands), "i", "j") == [(k, 100 + k) for k in range(60)]
+
+
+def test_known_keys():
+    """A filter finds all of its keys, and few others."""
+    rng = np.random.default_rng(72)
+    keys, others = rng.integers(0, 1 << 64, 20000, np.uint64), rng.integers(0, 1 << 64, 20000, np.uint64)
+    blobs = similar._tops([keys[:7000], keys[7000:]])
+    known = similar._Keys({k: similar._Keys.shard(np.unique(np.frombuffer(b, np.uint32)).astype(np.uint64)) for k, b in zip(blobs.column(0).to_pylist(), blobs.column(1).to_pylist())})
+    assert known.has(keys).all() and known.has(others).mean() < 0.02
+    assert not similar._Keys({}).has(keys).any()
+
+
 def test_components_and_medoids(spark):
     links = spark.createDataFrame([(1, 2), (2, 3), (4, 5), (9, 8), (8, 7), (7, 6), (3, 3)], "i long, j long")
     assert rows(cluster.components(links)) == [(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (6, 6), (7, 6), (8, 6), (9, 6)]
