@@ -439,6 +439,41 @@ def test_distinct_texts(spark):
     assert rows(classes) == [(1, "ac"), (2, "g")] and rows(members) == [(1, 1), (1, 3), (2, 2)]
 
 
+def test_placed_insertions(spark, monkeypatch):
+    """The rows of insertions(), over borders of places too, of which none is sent again when they are counted, numbered or thinned out."""
+    rng, o = random.Random(73), sv.SvOptions(max_size=3000)
+    data = []
+    for _ in range(600):
+        comp, ab, bb, n = rng.randrange(2), rng.randrange(12000), rng.randrange(2000), rng.randrange(1000, 1200)
+        data.append((rng.randrange(2), rng.randrange(2), comp, ab, ab + n, bb, bb + n + rng.randrange(3)))
+    ovl = spark.createDataFrame(data, "aread long, bread long, comp int, ab long, ae long, bb long, be long")
+    got, want = sv.placed_insertions(ovl, o), sv.insertions(ovl, o)
+    assert rows(got.drop("__place")) == rows(want) and got.count() > 100
+    key = ["a", "__place", "a_begin", "a_end"]
+    assert rows(sv.dedup(got, *key).drop("__place")) == rows(sv.dedup(want).select("a", "a_begin", "a_end", "b", "comp", "b_match_begin", "b_match_end", "lflank", "rflank"))
+    order = ["a", "a_begin", "a_end", "b", "comp", "b_match_begin", "b_match_end"]
+    n = ordinal.dense_ordinal(got, F.col("a") * 1000 + F.floor(F.col("a_begin") / 1500), order, "n", dealt=["a", "__place"])
+    assert [tuple(r) for r in n.orderBy("n").select(*order).collect()] == rows(want.select(*order)) and rows(n, "n") == [(k + 1,) for k in range(got.count())]
+    for df in (got.groupBy(*key).count(), sv.dedup(got, *key)):
+        df.collect()
+        assert df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange hashpartitioning") == 2
+
+
+def test_pieces_across_one_border(spark, monkeypatch):
+    """Pieces up to a stated length are cut from one chunk and the beginning of the next, without a written table."""
+    rng, text = random.Random(74), "".join(random.Random(75).choice("acgt") for _ in range(200))
+    parts = similar.Scratch(spark, "t").table(sv.chunks(spark.createDataFrame([(0, 0, text), (1, 0, text[:37])], "ctg long, start long, txt string"), 32, 8), "c")
+    data = [(rng.randrange(3), rng.randrange(-3, 205), rng.randrange(-1, 20)) for _ in range(300)] + [(0, 200, 0), (1, 32, 5), (0, 192, 8)]
+    want = [(c, at, n, {0: text, 1: text[:37]}[c][at : at + n] if c < 2 and at >= 0 and n >= 0 and at + n <= (200, 37)[c] else None) for c, at, n in data]
+    df = spark.createDataFrame(data, "ctg long, a long, k long")
+    monkeypatch.setattr(sv, "Scratch", None)
+    for most in (sv.BROADCAST, 0):
+        monkeypatch.setattr(sv, "BROADCAST", most)
+        assert sorted(rows(sv.cut_pieces(df, "ctg", F.col("a"), F.col("k"), parts, "piece", 32, 8, 20)), key=repr) == sorted(want, key=repr)
+    with pytest.raises(Exception, match="longer than 4"):
+        sv.cut_pieces(df, "ctg", F.col("a"), F.col("k"), parts, "piece", 32, 8, 4).collect()
+
+
 @pytest.mark.parametrize("strands", [False, True])
 def test_similar_stretches_are_few(spark, monkeypatch, strands):
     """Of unlike texts next to nothing is sent; of like ones what two of them share."""
